@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import license_digests, quality_rules, toxicity_kernel, url_equivalence, warc_archive
+from . import bpe_lexicon, license_digests, quality_rules, toxicity_kernel, url_equivalence, warc_archive
 
-_MODULES = (toxicity_kernel, url_equivalence, license_digests, warc_archive, quality_rules)
+_MODULES = (bpe_lexicon, toxicity_kernel, url_equivalence, license_digests, warc_archive, quality_rules)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
