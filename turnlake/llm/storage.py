@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,3 +45,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def likely_member(keys: DataFrame, key: str, least_bits: int = 1 << 20, most_bits: int = 1 << 27):
+    """A Column function that is true for every value of the long column ``key`` of ``keys``, and false for most others.
+
+    It holds one bit per slot of the value's hash, 16 slots per key, and never more than ``most_bits`` (16 MB), which is the
+    proven bound of what is broadcast. It only spares rows a shuffle; an exact join has to follow.
+    """
+    bits = least_bits
+    count = keys.count()
+    while bits < min(16 * count, most_bits):
+        bits *= 2
+    slot = F.pmod(F.col(key), F.lit(bits)) + 1  # bucket n holds slots 32768 * (n - 1) + 1 and on
+    parts = keys.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap")).collect()
+    packed = np.zeros(bits // 8, np.uint8)
+    for part in parts:
+        start = (part["bucket"] - 1) * 4096
+        packed[start : start + 4096] |= np.frombuffer(part["bitmap"], np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(packed)
+
+    @F.pandas_udf("boolean")
+    def member(values: pd.Series) -> pd.Series:
+        at = np.mod(values.to_numpy(np.int64), bits)
+        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return member
