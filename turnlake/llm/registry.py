@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe_lexicon, license_digests, metric_search, quality_rules, suffix_buckets, toxicity_kernel, url_equivalence, warc_archive
+from . import bpe_lexicon, license_digests, metric_search, partition_join, quality_rules, suffix_buckets, toxicity_kernel, url_equivalence, warc_archive
 
-_MODULES = (bpe_lexicon, toxicity_kernel, url_equivalence, license_digests, warc_archive, suffix_buckets, quality_rules, metric_search)
+_MODULES = (bpe_lexicon, partition_join, toxicity_kernel, url_equivalence, license_digests, warc_archive, suffix_buckets, quality_rules, metric_search)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rolling import RollingHash, mix
 from .storage import likely_member, read_table, stored
 
 #: Bytes of a string that counts as repeated, and of the strings that initial buckets are made by.
@@ -33,47 +34,6 @@ PART = 1 << 19
 ANCHORS = "gram long, run long, doc long, fingerprint long, at long, left int, right int"
 _NO_ID = -(1 << 63)
 
-_rng = np.random.default_rng(20)
-_BYTES = _rng.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-_POWERS: list[np.ndarray] = []
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(31))
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(29)
-    return x
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    """For each base its powers and those of its inverse modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        _POWERS.clear()
-        for base in _BASES:
-            for factor in (base, np.uint64(pow(int(base), -1, 1 << 64))):
-                steps = np.full(n, factor, np.uint64)
-                steps[0] = 1
-                _POWERS.append(np.multiply.accumulate(steps))
-    return _POWERS
-
-
-class RollingHash:
-    """Hashes of any substrings of ``data`` at once; equal bytes have equal hashes wherever they stand."""
-
-    def __init__(self, data: np.ndarray, which: int):
-        n = len(data)
-        powers = _powers(max(n + 1, PART + 1024))
-        self.inverse = powers[2 * which + 1]
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTES[which][data] * powers[2 * which][:n], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.inverse[start]
-
-    def grams(self, size: int) -> np.ndarray:
-        return (self.sums[size:] - self.sums[:-size]) * self.inverse[: len(self.sums) - size]
-
 
 def sampled_suffixes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     """(text, gram, run, at, left, right) of the runs of several texts.
@@ -85,7 +45,7 @@ def sampled_suffixes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray,
     if n < LENGTH:
         return none, none, none, none, none, none
     first = RollingHash(data, 0)
-    grams = _mix(first.grams(GRAM))
+    grams = mix(first.grams(GRAM))
     # the upper bits order, the lower 20 are the position: minima are leftmost
     best = (grams & ~np.uint64((1 << 20) - 1)) | np.arange(len(grams), dtype=np.uint64)
     width, have = LENGTH - GRAM + 1, 1
@@ -105,7 +65,7 @@ def sampled_suffixes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray,
     low, high, at, text = where[edge], where[last], pick[edge], text[edge]
     second = RollingHash(data, 1)
     left, right = at - low, high - at
-    run = _mix(second.of(low, high + LENGTH) + _mix((left * 4096 + right + 2048).astype(np.uint64)))
+    run = mix(second.of(low, high + LENGTH) + mix((left * 4096 + right + 2048).astype(np.uint64)))
     return text, grams[at].view(np.int64), run.view(np.int64), at - starts[:-1][text], left, right
 
 
@@ -159,7 +119,7 @@ def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             half, keys = LENGTH // 2, []
             for which in (0, 1):
                 rolling = RollingHash(data, which)
-                keys.append(_mix(_mix(rolling.of(begin, begin + half)) * np.uint64(3) + _mix(rolling.of(begin + half, begin + LENGTH))).view(np.int64))
+                keys.append(mix(mix(rolling.of(begin, begin + half)) * np.uint64(3) + mix(rolling.of(begin + half, begin + LENGTH))).view(np.int64))
             low = np.repeat([r["at"] - r["left"] for r in runs], counts) + within
             out.append((keys[0], keys[1], np.full(len(low), doc), np.full(len(low), fingerprint), low, np.repeat([r["witness"] for r in runs], counts)))
             if sum(len(x[0]) for x in out) > 200_000:
