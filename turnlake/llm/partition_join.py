@@ -170,7 +170,7 @@ def _links(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text).
+    """doc_id, fingerprint of the text, n_shingles, component_id for every row of ``docs`` (doc_id, text).
 
     A set is the distinct 5-word shingles of the whole text, A-Z lower-cased, words between white space; a text of fewer
     words is one shingle, one without words has none and is linked with nothing. Sets link at a Jaccard similarity of 3/4;
@@ -206,11 +206,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     least = stored(placed.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least-ids")
     named = stored(placed.join(least, "component").select("cls", "component_id"), "named-classes")
     out = members.join(named, "cls", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "fingerprint", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op2_partition_join(spark, sf_dir) -> DataFrame:
-    return jaccard_components(read_table(spark, sf_dir, "documents"))
+    return jaccard_components(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES = {"op2_partition_join": op2_partition_join}

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .quality_rules import hash_fold
 from .storage import read_table, stored
@@ -343,26 +344,29 @@ def fit_toxicity(train: DataFrame) -> ToxicityModel:
 def _scorer(model: ToxicityModel):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = model.document_score(document_facts(batch.column("text").to_pylist(), model))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(scores)], ["doc_id", "held_out", "score"])
+            scores = model.document_score(document_facts(batch.column("scored_text").to_pylist(), model))
+            kept = [i for i, name in enumerate(batch.schema.names) if name != "scored_text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(scores)], [*(batch.schema.names[i] for i in kept), "score"])
 
     return score
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Score every row of ``docs`` (doc_id, text) by what ``labels`` (doc_id, toxic) of rows not ``held_out`` teach.
 
-    ``held_out`` is a condition on doc_id. Rows with a null label or doc_id teach nothing. Returns doc_id, held_out, score
-    (0 to 1), predicted (score >= 0.3). A null text scores as an empty one; without labels of both classes every score is
-    the smoothed share of toxic labels. The bounded training rows are joined by broadcast, their number being the bound.
+    ``held_out`` is a condition on doc_id. Rows with a null label or doc_id teach nothing. Returns the columns ``keep``,
+    held_out, score (0 to 1), predicted (score >= 0.3). A null text scores as an empty one; without labels of both classes
+    every score is the smoothed share of toxic labels. The bounded training rows are joined by broadcast, their number being
+    the bound.
     """
     known = labels.filter(~held_out & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = (F.xxhash64("doc_id", F.lit(3)), F.col("doc_id"))
     taught = known.filter("toxic = 1").orderBy(*order).limit(max_toxic).union(known.filter("toxic = 0").orderBy(*order).limit(max_clean))
     train = stored(docs.select("doc_id", "text").join(F.broadcast(taught), "doc_id").select("toxic", "text"), "toxic-train")
     model = fit_toxicity(train)
-    scored = docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(_scorer(model), "doc_id long, held_out boolean, score double")
-    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    rows = docs.select(*keep, held_out.alias("held_out"), F.col("text").alias("scored_text"))
+    schema = T.StructType([*(f for f in rows.schema.fields if f.name != "scored_text"), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(_scorer(model), schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def op3_toxicity_kernel(spark, sf_dir) -> DataFrame:
