@@ -4,12 +4,14 @@ Every 200-byte string has one suffix that stands for it: the start of its least
 equals. The choice depends on the 200 bytes alone, so equal strings choose alike, and only one position in about 70 becomes a
 row. A run is the range of string starts that share a sampled suffix.
 
-1. Initial buckets: sampled suffixes by the hash of their first ``GRAM`` bytes. A bucket of one is done: nothing repeats.
-2. First refinement: within a bucket by the identifier of the whole run, the bytes before and after the suffix up to the
-   run's ends. Members of a refined bucket of two or more are done: every string of their runs repeats.
-3. Last refinement, of what is left: the strings of a run one by one, bucketed by the identifiers of their pieces at later
-   offsets, where the pieces' identifiers are themselves made from those of their halves. Of a bucket that step 2 has
-   settled, one member stays as a witness for the others. A string in a bucket of two or more repeats.
+Each level of refinement has a bucket identifier, of bytes that all of a run's strings hold, and a run identifier, of all bytes
+that any of them holds, both with their places around the suffix. A bucket of one is done: nothing in it repeats. Within
+larger buckets, runs that are equal are done: all their strings repeat. What is left goes to the next level, and of runs that
+are done one goes along as a witness for the others:
+
+1. runs, in initial buckets by the q-gram at the sampled suffix;
+2. parts of runs, of ``STEP`` neighbouring strings, whose identifiers are those of the bytes at later offsets;
+3. single strings, whose identifiers are made from those of their halves.
 
 Buckets are hash keys, counted with partial aggregation, so a passage that a third of all documents hold makes no large task.
 """
@@ -28,10 +30,13 @@ from .storage import likely_member, read_table, stored
 
 #: Bytes of a string that counts as repeated, and of the strings that initial buckets are made by.
 LENGTH, GRAM = 200, 64
+#: Strings of a part of a run.
+STEP = 16
 #: Bytes handled at once; a longer text is handled in parts that overlap.
 PART = 1 << 19
 
-ANCHORS = "gram long, run long, doc long, fingerprint long, at long, left int, right int"
+ANCHORS = "bucket long, run long, doc long, fingerprint long, at long, left int, right int"
+PARTS = f"{ANCHORS}, witness boolean"
 _NO_ID = -(1 << 63)
 
 
@@ -104,33 +109,74 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [x.split()[0] for x in ANCHORS.split(", ")])
 
 
-def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per string of each member of ``runs``: two identifiers of its bucket, made of those of its halves."""
+def _opened(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Per text: its keys, its bytes, and the suffixes, left and right ends and witness marks of its open runs."""
+    for doc, fingerprint, text, runs in zip(*(batch.column(c).to_pylist() for c in ("doc", "fingerprint", "bytes", "runs")), strict=True):
+        at, left, right = (np.array([r[c] for r in runs], np.int64) for c in ("at", "left", "right"))
+        yield doc, fingerprint, np.frombuffer(text, np.uint8), at, left, right, np.array([r["witness"] for r in runs])
+
+
+def _repeated(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index, number within it) of each of ``counts`` items."""
+    index = np.repeat(np.arange(len(counts)), counts)
+    return index, np.arange(len(index)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+class _Windows:
+    """Hashes of stretches of a text around some places in it; only bytes near those places are hashed."""
+
+    def __init__(self, data: np.ndarray, low: np.ndarray, high: np.ndarray, which: int):
+        sizes = high - low
+        index, within = _repeated(sizes)
+        self.shift = np.cumsum(sizes) - sizes - low
+        self.rolling = RollingHash(data[low[index] + within], which)
+
+    def of(self, index: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return self.rolling.of(start + self.shift[index], end + self.shift[index])
+
+
+def _part_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each open run in parts of STEP string starts, aligned by their distance to the suffix."""
+    names = [x.split()[0] for x in PARTS.split(", ")]
     for batch in batches:
         out = []
-        rows = zip(*(batch.column(c).to_pylist() for c in ("doc", "fingerprint", "bytes", "runs")), strict=True)
-        for doc, fingerprint, text, runs in rows:
-            pieces = [text[r["at"] - r["left"] : r["at"] + r["right"] + LENGTH] for r in runs]
-            data = np.frombuffer(b"".join(pieces), np.uint8)
-            starts = np.cumsum([0, *map(len, pieces)])
-            counts = np.diff(starts) - LENGTH + 1
-            within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            begin = within + np.repeat(starts[:-1], counts)
-            half, keys = LENGTH // 2, []
+        for doc, fingerprint, data, at, left, right, witness in _opened(batch):
+            first, last = np.floor_divide(-right, STEP), np.floor_divide(left, STEP)
+            run, within = _repeated(last - first + 1)
+            block = (first[run] + within) * STEP
+            near, far = np.maximum(block, -right[run]), np.minimum(block + STEP - 1, left[run])
+            keys = []
             for which in (0, 1):
-                rolling = RollingHash(data, which)
-                keys.append(mix(mix(rolling.of(begin, begin + half)) * np.uint64(3) + mix(rolling.of(begin + half, begin + LENGTH))).view(np.int64))
-            low = np.repeat([r["at"] - r["left"] for r in runs], counts) + within
-            out.append((keys[0], keys[1], np.full(len(low), doc), np.full(len(low), fingerprint), low, np.repeat([r["witness"] for r in runs], counts)))
-            if sum(len(x[0]) for x in out) > 200_000:
-                yield _string_batch(out)
-                out = []
+                hashes = _Windows(data, at - left, at + right + LENGTH, which)
+                if which == 0:
+                    place = mix((block + 4096).astype(np.uint64))
+                    keys.append(mix(hashes.of(run, at[run] - block, at[run] - block - STEP + 1 + LENGTH) + place))
+                else:
+                    place = mix((near * 8192 + far + (1 << 30)).astype(np.uint64))
+                    keys.append(mix(hashes.of(run, at[run] - far, at[run] - near + LENGTH) + place))
+            n = len(run)
+            out.append((keys[0].view(np.int64), keys[1].view(np.int64), np.full(n, doc), np.full(n, fingerprint), at[run], far.astype(np.int32), (-near).astype(np.int32), witness[run]))
         if out:
-            yield _string_batch(out)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
 
 
-def _string_batch(out: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["key", "key2", "doc", "fingerprint", "low", "witness"])
+def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A run per string of each open part; its identifiers are made of those of its halves."""
+    names = [x.split()[0] for x in PARTS.split(", ")]
+    half = LENGTH // 2
+    for batch in batches:
+        out = []
+        for doc, fingerprint, data, at, left, right, witness in _opened(batch):
+            run, within = _repeated(left + right + 1)
+            start = at[run] - left[run] + within
+            keys = []
+            for which in (0, 1):
+                hashes = _Windows(data, at - left, at + right + LENGTH, which)
+                keys.append(mix(mix(hashes.of(run, start, start + half)) * np.uint64(3) + mix(hashes.of(run, start + half, start + LENGTH))).view(np.int64))
+            n, nothing = len(run), np.zeros(len(run), np.int32)
+            out.append((keys[0], keys[1], np.full(n, doc), np.full(n, fingerprint), start, nothing, nothing, witness[run]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -142,23 +188,37 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(doc, fingerprint, low, high): byte ranges that repeated strings cover, of the texts of ``keyed`` documents; ranges may overlap."""
     texts = docs.select("doc", "fingerprint", F.col("text").cast("binary").alias("bytes")).filter(F.length("bytes") >= LENGTH)
     anchors = stored(texts.mapInArrow(_anchor_rows, ANCHORS), "suffixes")
-    buckets = stored(anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "gram-buckets")
-    shared = stored(anchors.join(buckets, "gram"), "shared-suffixes")
-    refined = stored(
-        shared.groupBy("gram", "run").agg(F.count("*").alias("n"), F.min("doc").alias("doc"), F.min_by("fingerprint", "doc").alias("fingerprint"), F.min_by("at", "doc").alias("at"), F.first("left").alias("left"), F.first("right").alias("right")),
-        "run-buckets",
+    buckets = stored(anchors.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "initial-buckets")
+    shared = stored(anchors.filter(likely_member(buckets, "bucket")(F.col("bucket"))).join(buckets, "bucket").withColumn("witness", F.lit(False)), "shared-suffixes")
+    whole, rest = _refined(shared, "runs")
+    ranges = [whole]
+    for rows, name in ((_part_rows, "parts"), (_string_rows, "strings")):
+        found, rest = _refined(stored(_with_text(texts, rest).mapInArrow(rows, PARTS), name), f"{name}-of-runs")
+        ranges.append(found)
+    return ranges[0].unionByName(ranges[1]).unionByName(ranges[2])
+
+
+def _refined(runs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(byte ranges of the runs that repeat as a whole, runs to refine further with their witnesses)."""
+    classes = stored(
+        runs.groupBy("bucket", "run").agg(
+            F.count("*").alias("n"), F.min("witness").alias("witness"), F.min("doc").alias("doc"), F.min_by("fingerprint", "doc").alias("fingerprint"), F.min_by("at", "doc").alias("at"), F.first("left").alias("left"), F.first("right").alias("right")
+        ),
+        name,
     )
-    settled = shared.join(refined.filter("n > 1").select("gram", "run"), ["gram", "run"], "left_semi")
+    several = classes.filter("n > 1").select("bucket", "run")
+    settled = runs.filter("not witness").join(several, ["bucket", "run"], "left_semi")
     whole = settled.select("doc", "fingerprint", (F.col("at") - F.col("left")).alias("low"), (F.col("at") + F.col("right") + LENGTH).alias("high"))
-    open_grams = stored(refined.filter("n = 1").select("gram").distinct(), "open-grams")
-    rest = stored(refined.join(open_grams, "gram", "left_semi").select("doc", "fingerprint", "at", "left", "right", (F.col("n") > 1).alias("witness")), "open-runs")
-    by_text = stored(rest.groupBy("doc", "fingerprint").agg(F.collect_list(F.struct("at", "left", "right", "witness")).alias("runs")), "open-texts")
-    likely = likely_member(by_text, "fingerprint")
-    needed = texts.filter(likely(F.col("fingerprint"))).join(by_text, ["doc", "fingerprint"]).dropDuplicates(["doc", "fingerprint"])
-    strings = stored(needed.mapInArrow(_string_rows, "key long, key2 long, doc long, fingerprint long, low long, witness boolean"), "open-strings")
-    repeated = stored(strings.groupBy("key", "key2").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "string-buckets")
-    single = strings.filter("not witness").join(repeated, ["key", "key2"], "left_semi").select("doc", "fingerprint", "low", (F.col("low") + LENGTH).alias("high"))
-    return whole.unionByName(single)
+    alone = (F.col("n") == 1) & ~F.col("witness")
+    open_ = classes.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(alone).alias("alone")).filter("n > 1 and alone").select("bucket")
+    rest = classes.join(stored(open_, f"{name}-open"), "bucket", "left_semi").select("doc", "fingerprint", "at", "left", "right", (~alone).alias("witness"))
+    return whole, rest
+
+
+def _with_text(texts: DataFrame, runs: DataFrame) -> DataFrame:
+    """``runs`` gathered by text, with its bytes; texts without any are not shuffled."""
+    by_text = stored(runs.groupBy("doc", "fingerprint").agg(F.collect_list(F.struct("at", "left", "right", "witness")).alias("runs")), "open-texts")
+    return texts.filter(likely_member(by_text, "fingerprint")(F.col("fingerprint"))).join(by_text, ["doc", "fingerprint"]).dropDuplicates(["doc", "fingerprint"])
 
 
 def _merged(low: list[int], high: list[int]) -> list[tuple[int, int]]:
