@@ -12,6 +12,11 @@ QUERY_JOINT = "，"
 MAX_QUERIES = 8
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def squeeze(text: Column) -> Column:
     """Each run of Unicode white space as one space, none at the ends; null stays null."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -24,10 +29,12 @@ def word_tokens(text: Column) -> Column:
 
 def bigrams(text: Column) -> Column:
     """Distinct pairs of neighbouring letters or digits, in lower case; a single one alone."""
-    compact = F.regexp_replace(F.lower(text), r"(?U)[\s\W_]+", "")
-    size = F.length(compact)
-    pairs = F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.substring(compact, i, F.lit(2)))
-    return F.when(size >= 2, F.array_distinct(pairs)).when(size == 1, F.array(compact)).otherwise(F.array().cast("array<string>"))
+    def pairs(compact: Column) -> Column:
+        size = F.length(compact)
+        every = F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.substring(compact, i, F.lit(2)))
+        return F.when(size >= 2, F.array_distinct(every)).when(size == 1, F.array(compact)).otherwise(F.array().cast("array<string>"))
+
+    return let(F.regexp_replace(F.lower(text), r"(?U)[\s\W_]+", ""), pairs)
 
 
 def lexical_terms(text: Column) -> Column:
@@ -37,8 +44,11 @@ def lexical_terms(text: Column) -> Column:
 
 def term_jaccard(a: Column, b: Column) -> Column:
     """Jaccard similarity of two arrays of distinct terms; 0 if one is empty."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), both / (F.size(a) + F.size(b) - both)).otherwise(F.lit(0.0))
+    def jaccard(x: Column) -> Column:
+        both = F.size(F.array_intersect(x["a"], x["b"]))
+        return F.when((F.size(x["a"]) > 0) & (F.size(x["b"]) > 0), both / (F.size(x["a"]) + F.size(x["b"]) - both)).otherwise(F.lit(0.0))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), jaccard)
 
 
 def lexical_similarity(a: Column, b: Column) -> Column:
@@ -50,7 +60,10 @@ def split_queries(text: Column, limit: int = MAX_QUERIES) -> Column:
 
     A text of marks alone has none; a null text has none.
     """
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), QUERY_MARKS), squeeze), lambda p: p != "")
+    return let(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), QUERY_MARKS), squeeze), lambda p: p != ""), lambda parts: _joined_tail(parts, limit))
+
+
+def _joined_tail(parts: Column, limit: int) -> Column:
     joined = F.concat(F.slice(parts, 1, limit - 1), F.array(F.array_join(F.slice(parts, F.lit(limit), F.greatest(F.size(parts), F.lit(1))), QUERY_JOINT)))
     return F.when(F.size(parts) > limit, joined).otherwise(parts)
 
