@@ -23,8 +23,8 @@ from .storage import read_table
 
 #: Words in the transducer at most; it is the same work at every size of the corpus.
 LEXICON_WORDS = 65_536
-#: Words a worker remembers, and distinct words a task counts, before it starts afresh.
-REMEMBERED, COUNTED = 150_000, 150_000
+#: Words of a generation of a worker's memory, of which it keeps two, and distinct words a task counts before it hands them on.
+REMEMBERED, COUNTED = 300_000, 150_000
 
 WORD = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Characters that this pattern and the tokenizer's own classes surely treat alike; texts with others are split by the library.
@@ -217,10 +217,18 @@ class Codec:
         codec = self
 
         class Known(dict):
+            """Ids of words met lately: a full generation becomes the older one, from which words still in use come back."""
+
+            older: dict[str, bytes] = {}
+
             def __missing__(self, word: str) -> bytes:
+                found = self.older.get(word)
+                if found is None:
+                    found = codec.word_ids(word.encode())
                 if len(self) >= REMEMBERED:
+                    self.older = dict(self)
                     self.clear()
-                self[word] = found = codec.word_ids(word.encode())
+                self[word] = found
                 return found
 
         self.known = Known()
