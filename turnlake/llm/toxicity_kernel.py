@@ -318,7 +318,7 @@ def fit_toxicity(train: DataFrame) -> ToxicityModel:
     expected = (F.col("pos") + F.col("neg")) * (n_toxic / (n_toxic + n_clean))
     strength = (F.col("pos") - expected) / F.sqrt(expected + 1)
     least = min(3, n_toxic)
-    top = counts.filter((F.col("pos") >= least) & (F.col("pos") > 2 * expected)).select("word", strength.alias("s")).orderBy(F.desc("s"), "word").limit(4 * LANDMARKS).collect()
+    top = counts.filter((F.col("pos") >= least) & (F.col("pos") * n_clean > 2 * F.col("neg") * n_toxic)).select("word", strength.alias("s")).orderBy(F.desc("s"), "word").limit(4 * LANDMARKS).collect()
     if not top:
         return constant
     association = {bytes(r["word"]): float(r["s"]) for r in top}
