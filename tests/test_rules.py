@@ -137,3 +137,13 @@ def test_hooks(spark):
         return "new " * 3
 
     assert sorted(tuple(r) for r in H.summarize(old, model).select("user_id", "summary", "covered_count").collect()) == [(1, "new new new", 9), (2, "old", 3)]
+
+
+def test_proposals_of_an_owner_see_one_another(spark):
+    memory = spark.createDataFrame([(1, 7, "likes tea", "tea?", "drink", 0.3, True, 10, [1.0, 0.0], True), (2, 7, "has a cat", "cat?", None, 0.5, False, 11, [0.0, 1.0], True)], "chunk_id long, owner_user_id long, text string, probe string, slot_key string, importance double, approved boolean, created_at long, embedding array<float>, active boolean")
+    rows = [(1, 7, 1, "drink", "likes coffee", "coffee?", 0.9, False, [0.6, 0.8]), (2, 7, 2, None, "has two cats", "cats?", 0.2, True, [0.1, 0.99]), (3, 7, 3, None, "is tall", "tall?", 0.5, False, [-1.0, 0.0]), (4, 7, 4, None, "is tall", "height?", 0.6, True, None), (5, 8, 1, None, "new owner", "who?", 0.4, False, None)]
+    proposals = spark.createDataFrame(rows, "prop_id long, owner_user_id long, ord long, slot_key string, text string, probe string, importance double, approved boolean, embedding array<float>")
+    got = {r.chunk_id: (r.text, r.probe, r.importance, r.approved, r.action) for r in M.upsert_memories(proposals, memory, 99).collect()}
+    assert got == {
+        1: ("likes tea", "tea?", 0.9, True, "merged"), 2: ("has two cats", "cats?", 0.5, True, "merged"), -3: ("is tall", "height?", 0.6, True, "inserted"), -5: ("new owner", "who?", 0.4, False, "inserted"),
+    }

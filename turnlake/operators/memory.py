@@ -277,3 +277,84 @@ def merge_duplicates(memory: DataFrame, groups: DataFrame) -> DataFrame:
     whole = Window.partitionBy("leader")
     merged = rows.withColumns({"r": F.row_number().over(w), "all_hits": F.sum("hits").over(whole), "top": F.max("importance").over(whole), "any": F.max("approved").over(whole)})
     return merged.filter("r = 1").select("leader", "chunk_id", F.col("all_hits").alias("hits"), F.col("top").alias("importance"), F.col("any").alias("approved"))
+
+
+def safety_memories(turns: DataFrame, plans: list[tuple[tuple[str, ...], str, str, str]], negations: tuple[str, ...] = (), urgent: tuple[str, ...] = (), importance: float = 0.95) -> DataFrame:
+    """(turn_id, user_id, slot_key, text, probe, quote, importance, approved): what an urgent turn (turn_id, user_id, input_text) discloses.
+
+    ``plans`` are (vocabulary, slot key, probe, what it is about); a plan gives a row if the turn states one of its phrases
+    undenied, the first one said being the quote.
+    """
+    from ..functions.lexicon import first_disclosure, risk_level
+
+    words = urgent or tuple(w for p in plans for w in p[0])
+    message = squeeze(F.coalesce("input_text", F.lit("")))
+    rows = F.array(*(
+        F.struct(first_disclosure(message, vocabulary, negations).alias("quote"), F.lit(key).alias("slot_key"), F.lit(probe).alias("probe"), F.lit(about).alias("about"))
+        for vocabulary, key, probe, about in plans
+    ))
+    found = turns.filter(risk_level(F.col("input_text"), words, ()) == "urgent").select("turn_id", "user_id", F.explode(rows).alias("r")).filter("r.quote <> ''")
+    return found.select(
+        "turn_id", "user_id", "r.slot_key", F.concat(F.lit("The user has said that they "), "r.about", F.lit(": “"), "r.quote", F.lit("”.")).alias("text"), "r.probe", "r.quote",
+        F.lit(importance).alias("importance"), F.lit(True).alias("approved"),
+    )
+
+
+def upsert_memories(proposals: DataFrame, memory: DataFrame, now: int, s: MemorySettings = MemorySettings(), newest: int = 200) -> DataFrame:
+    """The rows of ``memory`` that ``proposals`` change or add, with ``action`` (inserted, merged).
+
+    Proposals (prop_id, owner_user_id, ord, slot_key, text, probe, importance, approved, embedding) of an owner apply in order
+    and see one another. One merges into the active memory with the same text, else the same slot key, else the most similar
+    probe from ``statement_similarity`` on, among the owner's newest; otherwise it is a new memory, its id the negative of
+    prop_id. A merge keeps the larger importance, never takes approval back, keeps an approved text against one that is not,
+    and takes the vector of the probe it keeps. At most ``newest`` memories of an owner are looked at.
+    """
+    import numpy as np
+
+    few = newest_candidates(memory.filter("active and owner_user_id is not null"), newest).select("owner_user_id", "chunk_id", "slot_key", "text", "probe", "importance", "approved", "created_at", "embedding")
+
+    def similar(a, b) -> float:
+        if a is None or b is None or len(a) != len(b):
+            return 0.0
+        a, b = np.asarray(a, float), np.asarray(b, float)
+        size = np.linalg.norm(a) * np.linalg.norm(b)
+        return float(a @ b / size) if size else 0.0
+
+    def apply(key, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        rows = old.sort_values(["created_at", "chunk_id"], ascending=False).to_dict("records")
+        changed: dict[int, str] = {}
+        for p in new.sort_values(["ord", "prop_id"]).to_dict("records"):
+            hit = next((r for r in rows if r["text"] == p["text"]), None)
+            if hit is None and isinstance(p["slot_key"], str):
+                hit = next((r for r in rows if r["slot_key"] == p["slot_key"]), None)
+            if hit is None:
+                scored = [(similar(r["embedding"], p["embedding"]), -i, r) for i, r in enumerate(rows)]
+                best = max(scored, key=lambda x: x[:2], default=(0.0, 0, None))
+                hit = best[2] if best[0] >= s.statement_similarity else None
+            if hit is None:
+                row = {k: p[k] for k in ("slot_key", "text", "probe", "importance", "approved", "embedding")} | {"owner_user_id": p["owner_user_id"], "chunk_id": -int(p["prop_id"]), "created_at": now}
+                rows.insert(0, row)
+                changed[row["chunk_id"]] = "inserted"
+                continue
+            if not (hit["approved"] and not p["approved"]):
+                hit |= {"text": p["text"], "probe": p["probe"], "embedding": p["embedding"]}
+            hit["importance"], hit["approved"] = max(hit["importance"], p["importance"]), bool(hit["approved"] or p["approved"])
+            changed.setdefault(hit["chunk_id"], "merged")
+        out = [r | {"action": changed[r["chunk_id"]]} for r in rows if r["chunk_id"] in changed]
+        return pd.DataFrame(out, columns=["owner_user_id", "chunk_id", "slot_key", "text", "probe", "importance", "approved", "embedding", "action"])
+
+    wanted = few.join(proposals.select("owner_user_id").distinct(), "owner_user_id", "left_semi")
+    schema = "owner_user_id long, chunk_id long, slot_key string, text string, probe string, importance double, approved boolean, embedding array<float>, action string"
+    return proposals.groupBy("owner_user_id").cogroup(wanted.groupBy("owner_user_id")).applyInPandas(apply, schema)
+
+
+def apply_turn(memory: DataFrame, used: DataFrame, proposals: DataFrame, now: int, s: MemorySettings = MemorySettings()) -> tuple[DataFrame, DataFrame]:
+    """(memory after hits, then proposals; tier report of it), in that order."""
+    hit = apply_hits(memory, used, now)
+    changes = upsert_memories(proposals, hit, now, s)
+    fields = ("slot_key", "text", "probe", "importance", "approved", "embedding")
+    merged = changes.filter("action = 'merged'").select("chunk_id", F.struct(*fields).alias("new"))
+    old = hit.join(merged, "chunk_id", "left").withColumns({c: F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(c)) for c in fields}).drop("new")
+    added = changes.filter("action = 'inserted'").withColumns({"tier": F.lit("hot"), "hits": F.lit(0), "created_at": F.lit(now), "last_hit_at": F.lit(None), "active": F.lit(True)})
+    whole = old.unionByName(added.select(*(F.col(c).cast(memory.schema[c].dataType) for c in memory.columns)))
+    return whole, evaluate_tiers(whole, now, s)

@@ -257,3 +257,28 @@ def max_window_score(spark, sf):
     s = p.join(t, F.col("user_id") == F.col("true_user")).select(F.col("probe_id").alias("query_id"), F.col("template_id").alias("chunk_id"), F.round(V.dot(F.col("embedding"), F.col("v")), 6).alias("score"))
     w = s.filter("chunk_id % 2 = 0").select("query_id", "chunk_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("n")).select("query_id", "chunk_id", ((F.col("chunk_id") * 7 + F.col("n") * 31) % 100 / 100).alias("window_score"))
     return R.max_window_score(s, w).withColumn("score", F.round("score", 6))
+
+
+@query("f06_safety_memories", duck("SELECT turn_id, slot_key, quote, importance FROM (WITH p(w, slot_key) AS (VALUES ('sad', 'safety_self'), ('great', 'safety_other')), spots AS (SELECT turn_id, w, slot_key, i, t FROM (SELECT turn_id, trim(regexp_replace(lower(input_text), '[\\s\\p{Z}]+', ' ', 'g')) AS t FROM turns), p, LATERAL (SELECT unnest(generate_series(1, greatest(length(t) - length(w) + 1, 1))) AS i) WHERE substr(t, i, length(w)) = w) SELECT DISTINCT turn_id, slot_key, w AS quote, 0.95 AS importance FROM spots WHERE NOT contains(substr(t, greatest(i - 2, 1), least(2, i - 1)), 'un') AND NOT contains(substr(t, greatest(i - 2, 1), least(2, i - 1)), 'no'))", "turns"))
+def safety_memories(spark, sf):
+    plans = [(("sad",), "safety_self", "is the user safe", "want to harm themselves"), (("great",), "safety_other", "are others safe", "want to harm others")]
+    return M.safety_memories(view(spark, sf, "turns"), plans, ("un", "no")).select("turn_id", "slot_key", "quote", "importance")
+
+
+def new_memories(spark, sf):
+    m, c = view(spark, sf, "memory"), F.col("chunk_id")
+    return m.filter("owner_user_id is not null and chunk_id % 5 = 0").select(
+        (c + 100_000).alias("prop_id"), "owner_user_id", c.alias("ord"), F.when(c % 2 == 0, F.col("slot_key")).alias("slot_key"), F.when(c % 3 == 0, F.col("text")).otherwise(F.concat(F.lit("new "), "text")).alias("text"), "probe",
+        F.lit(0.9).alias("importance"), (c % 4 == 0).alias("approved"), F.when(c % 7 != 0, F.col("embedding")).alias("embedding"),
+    )
+
+
+@query("r08_upsert_memories")
+def upsert_memories(spark, sf):
+    return M.upsert_memories(new_memories(spark, sf), view(spark, sf, "memory"), NOW).select("owner_user_id", "chunk_id", "importance", "approved", "action")
+
+
+@query("r10_apply_turn")
+def apply_turn(spark, sf):
+    used = view(spark, sf, "turns").select("turn_id", F.array(F.col("turn_id") % 50).alias("used_ids"))
+    return M.apply_turn(view(spark, sf, "memory"), used, new_memories(spark, sf), NOW)[1].select("chunk_id", F.round("score", 6).alias("score"), "new_tier", "transition")
