@@ -91,3 +91,19 @@ def test_near_sets_share_a_key():
             continue
         cost = lambda s: (s % np.uint64(5)).astype(np.int64)
         assert set(P.segment_keys(a, cost(a)).tolist()) & set(P.segment_keys(b, cost(b)).tolist()), (len(a), len(b), both)
+
+
+def test_lists_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(P, "BLOCK", 3)
+    check(spark, rows())
+
+
+def test_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        n = int(rng.integers(1, 900))
+        base = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        other = np.unique(np.concatenate([base[: int(len(base) * rng.random()) + 1], rng.integers(0, 1 << 63, int(rng.integers(0, n)), dtype=np.uint64)]))
+        values, before = np.concatenate([base, other]), np.array([0, len(base), len(base) + len(other)])
+        a, b = P.odd_sketches(values, before)
+        assert P.sketch_distance(a, b) <= len(np.setxor1d(base, other)) and P.sketch_distance(a, a) == 0

@@ -13,9 +13,10 @@ of 3/4, and s / t >= 3/4.
 * One-deletion neighbourhoods: where H is 1 at most, a segment's subset would be a single shingle, of which common lines
   make long lists. There the whole set is the segment, indexed with its subsets of one shingle less.
 
-Sets that share a key are linked through the least set of the key's list, pairs are verified on the exact sets, and links
-that verify are joined to components. Then lists whose sets are still in different components are compared in full, but for
-pairs within a component. No other pairs are made, so a group of near copies costs a few pairs per member.
+Sets that share a key are linked through the least set of the key's list, its hub: each set first with the hub that it shares
+most keys with. Pairs are verified on the exact sets, and links that verify are joined to components. Then come the pairs with
+other hubs, and then lists whose sets are still in different components in full, both without pairs within a component; in full
+lists only pairs that their sketches do not rule out ever become rows. No other pairs are made, so a group of near copies costs a few pairs per member.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ SPREAD = 2
 #: Slots that shingles are counted in to find frequent ones, and slots that a task reports at most. They only order segments.
 SLOTS, REPORTED = 1 << 20, 8_192
 _NO_SLOT = -1
+#: Members of a block of a list.
+BLOCK = 512
 
 
 def _text_sets(batch: pa.RecordBatch, column: str = "bytes") -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -60,23 +63,44 @@ def set_ids(values: np.ndarray, before: np.ndarray) -> np.ndarray:
     return mix(_sums(mix(values ^ np.uint64(0x5851F42D4C957F2D)), before) + mix(n * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
 
 
+def odd_sketches(values: np.ndarray, before: np.ndarray) -> list[bytes]:
+    """A bit array of each set, at least four bits a shingle: the parity of the shingles that hash to each bit.
+
+    A shingle that one of two sets lacks flips one bit, so the bits that differ never outnumber the shingles that do.
+    """
+    n = np.diff(before)
+    bits = np.left_shift(1, np.clip(np.ceil(np.log2(np.maximum(4 * n, 1))), 6, 20).astype(np.int64))
+    start = np.cumsum(bits) - bits
+    owner = np.repeat(np.arange(len(n)), n)
+    at = start[owner] + (mix(values + np.uint64(0x41C64E6D)) & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(at, minlength=int(bits.sum())) & 1).astype(np.uint8))
+    return [packed[a // 8 : (a + b) // 8].tobytes() for a, b in zip(start.tolist(), bits.tolist(), strict=True)]
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """Bits that differ, the longer sketch folded to the length of the shorter; no more than the sets' difference."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    return int(np.bitwise_count(x ^ _folded(y.tobytes(), len(x))).sum())
+
+
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document its set's size and identifier; at the end of a task the slots of its frequent shingles."""
     counts = np.zeros(SLOTS, np.int32)
-    names = ["doc_id", "fingerprint", "n_shingles", "cls", "slot", "count"]
+    names = ["doc_id", "fingerprint", "n_shingles", "cls", "sketch", "slot", "count"]
     for batch in batches:
-        sizes, ids = [], []
+        sizes, ids, sketches = [], [], []
         for _, values, before in _text_sets(batch):
+            sketches += odd_sketches(values, before)
             sizes.append(np.diff(before))
             ids.append(set_ids(values, before))
             np.add.at(counts, (values & np.uint64(SLOTS - 1)).astype(np.int64), 1)
         n = batch.num_rows
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("fingerprint"), pa.array(np.concatenate(sizes) if n else [], pa.int64()), pa.array(np.concatenate(ids) if n else [], pa.int64()), pa.array(np.full(n, _NO_SLOT, np.int32)), pa.array(np.zeros(n, np.int64))], names)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("fingerprint"), pa.array(np.concatenate(sizes) if n else [], pa.int64()), pa.array(np.concatenate(ids) if n else [], pa.int64()), pa.array(sketches, pa.binary()), pa.array(np.full(n, _NO_SLOT, np.int32)), pa.array(np.zeros(n, np.int64))], names)
     mean = counts.mean()
     often = np.flatnonzero(counts > mean + 8 * np.sqrt(mean) + 16)
     often = often[np.argsort(-counts[often], kind="stable")[:REPORTED]]
     none = pa.nulls(len(often), pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(often.astype(np.int32)), pa.array(counts[often].astype(np.int64))], names)
+    yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(often), pa.binary()), pa.array(often.astype(np.int32)), pa.array(counts[often].astype(np.int64))], names)
 
 
 def differences(size: int) -> tuple[int, int]:
@@ -139,6 +163,13 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(set_ids(values, before)), pa.array(packed, pa.binary())], ["cls", "shingles"])
 
 
+def _near_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        columns = (batch.column(c).to_pylist() for c in ("m", "x", "n", "y"))
+        near = [7 * sketch_distance(x, y) <= m + n for m, x, n, y in zip(*columns, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         linked = []
@@ -150,25 +181,74 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` of set identifiers whose sets reach the similarity. Only sets of such pairs are shuffled."""
-    size = classes.select("cls", "n_shingles", "fingerprint")
-    fits = stored(
-        pairs.join(size.select(F.col("cls").alias("a"), F.col("n_shingles").alias("m")), "a")
-        .join(size.select(F.col("cls").alias("b"), F.col("n_shingles").alias("n")), "b")
-        .filter("4 * m >= 3 * n and 4 * n >= 3 * m").select("a", "b"),
-        "candidates",
-    )
+    """The (a, b) of ``pairs`` of set identifiers whose sets reach the similarity.
+
+    Sizes and sketches, a sixteenth of a set, rule out pairs without doubt; only sets of the others are shuffled.
+    """
+    side = lambda x, y: classes.select(F.col("cls").alias(x), F.struct("n_shingles", "sketch").alias(y))
+    likely = pairs.join(side("a", "left"), "a").join(side("b", "right"), "b").filter("4 * left.n_shingles >= 3 * right.n_shingles and 4 * right.n_shingles >= 3 * left.n_shingles")
+    near = likely.select("a", "b", F.col("left.n_shingles").alias("m"), F.col("left.sketch").alias("x"), F.col("right.n_shingles").alias("n"), F.col("right.sketch").alias("y")).mapInArrow(_near_sketches, "a long, b long")
+    return _verified_links(texts, classes, near)
+
+
+def _verified_links(texts: DataFrame, classes: DataFrame, near: DataFrame) -> DataFrame:
+    """The (a, b) of ``near`` whose exact sets reach the similarity."""
+    fits = stored(near, "candidates")
     if fits.isEmpty():
         return fits
     used = fits.select(F.col("a").alias("cls")).union(fits.select("b")).distinct()
-    wanted = stored(size.join(used, "cls", "left_semi").select("fingerprint").distinct(), "wanted")
+    wanted = stored(classes.select("cls", "fingerprint").join(used, "cls", "left_semi").select("fingerprint").distinct(), "wanted")
     found = texts.filter(likely_member(wanted, "fingerprint")(F.col("fingerprint"))).join(wanted, "fingerprint", "left_semi").dropDuplicates(["fingerprint"])
-    sets = stored(found.mapInArrow(_set_rows, "cls long, shingles binary"), "sets")
-    sets = sets.dropDuplicates(["cls"])
-    both = stored(fits.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("left")), "a"), "left-sets").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("right")), "b")
+    sets = stored(found.mapInArrow(_set_rows, "cls long, shingles binary"), "sets").dropDuplicates(["cls"])
+    both = fits.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("right")), "b")
     return stored(both.select("a", "b", "left", "right").mapInArrow(_verified, "a long, b long"), "verified")
 
 
+def _near_in_list(rows: pa.Table) -> pa.Table:
+    """Pairs (a, b) of one block pair of a list: of different components, with sizes and sketches that allow a link."""
+    cls, component, size, block, part = (rows.column(c).to_numpy() for c in ("cls", "component", "n_shingles", "block", "low"))
+    sketches = rows.column("sketch").to_pylist()
+    crossing = rows.column("high")[0].as_py() != part[0]
+    lengths = np.array([len(x) for x in sketches])
+    out: tuple[list, list] = ([], [])
+    for short in np.unique(lengths):
+        mine = np.flatnonzero(lengths == short)
+        other = np.flatnonzero((lengths >= short) & (lengths <= 2 * short))
+        folded = np.stack([_folded(sketches[j], int(short)) for j in other])
+        for i in mine.tolist():
+            may = (component[other] != component[i]) & (4 * size[other] >= 3 * size[i]) & (4 * size[i] >= 3 * size[other])
+            may &= (block[other] != block[i]) if crossing else True
+            may &= (lengths[other] > short) | (cls[other] > cls[i])
+            j = np.flatnonzero(may)
+            if len(j):
+                distance = np.bitwise_count(folded[j] ^ np.frombuffer(sketches[i], np.uint8)).sum(1)
+                j = other[j[7 * distance <= size[other[j]] + size[i]]]
+                out[0].extend(np.minimum(cls[j], cls[i]).tolist())
+                out[1].extend(np.maximum(cls[j], cls[i]).tolist())
+    return pa.table([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
+
+
+def _folded(sketch: bytes, size: int) -> np.ndarray:
+    x = np.frombuffer(sketch, np.uint8)
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def _near_in_lists(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b), a < b, of sets of different components of a list of ``rows`` (key, cls, component) whose sketches allow a link.
+
+    Of lists with the same members one is looked at. A list is cut to blocks of BLOCK members; each pair of blocks is a task's
+    group of its own, in which sketches are compared without making a row for a pair that they rule out.
+    """
+    lists = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
+    one = stored(lists.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "different-lists")
+    kept = rows.join(one, "key").join(classes.select("cls", "n_shingles", "sketch"), "cls").withColumn("block", F.pmod(F.xxhash64("cls", "key"), F.col("blocks")).cast("int"))
+    dealt = kept.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other", "blocks")
+    return dealt.groupBy("key", "low", "high").applyInArrow(_near_in_list, "a long, b long").distinct()
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint of the text, n_shingles, component_id for every row of ``docs`` (doc_id, text).
 
@@ -179,28 +259,33 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.xxhash64("text").alias("fingerprint"), F.col("text").cast("binary").alias("bytes"))
-    schema = "doc_id long, fingerprint long, n_shingles long, cls long, slot int, count long"
+    schema = "doc_id long, fingerprint long, n_shingles long, cls long, sketch binary, slot int, count long"
     facts = stored(texts.mapInArrow(_facts, schema), "shingle-sets")
     members = facts.filter(F.col("slot") == _NO_SLOT).select("doc_id", "fingerprint", "n_shingles", "cls")
     frequent = np.zeros(SLOTS, np.int64)  # a fixed number of counters, so what is sent to every task is bounded
     for row in facts.filter(F.col("slot") != _NO_SLOT).groupBy("slot").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "slot").limit(1 << 16).collect():
         frequent[row["slot"]] = row["n"]
     texts = texts.filter(F.length("bytes") > 0)
-    classes = stored(members.filter("n_shingles > 0").groupBy("cls").agg(F.min("n_shingles").alias("n_shingles"), F.min("fingerprint").alias("fingerprint"), F.min("doc_id").alias("doc_id")), "set-classes")
+    classes = stored(facts.filter("n_shingles > 0").groupBy("cls").agg(F.min("n_shingles").alias("n_shingles"), F.min("fingerprint").alias("fingerprint"), F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "set-classes")
     keys = texts.mapInArrow(_key_rows(spark.sparkContext.broadcast(frequent)), "key long, cls long")
     same = Window.partitionBy("key")
     lists = stored(keys.select("key", "cls", F.min("cls").over(same).alias("hub"), F.max("cls").over(same).alias("last")).filter("hub <> last").select("key", "cls", "hub"), "key-lists")
-    links = _links(texts, classes, lists.filter("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct())
+    # each set with the hub that it shares most keys with, then with other hubs of other components
+    stars = stored(lists.filter("cls <> hub").groupBy("hub", "cls").agg(F.count("*").alias("n")), "stars")
+    nearest = stars.groupBy("cls").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("a")).select("a", F.col("cls").alias("b"))
+    links = _links(texts, classes, nearest)
+    component = stored(connected_components(links, "a", "b"), "nearest-components")
+    named = component.select(F.col("node").alias("cls"), "component")
+    apart = stars.join(nearest.select(F.col("a").alias("hub"), F.col("b").alias("cls")), ["hub", "cls"], "left_anti").join(named, "cls", "left").withColumn("x", F.coalesce("component", "cls")).drop("component")
+    apart = apart.join(named.select(F.col("cls").alias("hub"), "component"), "hub", "left").withColumn("y", F.coalesce("component", "hub")).filter("x <> y")
+    links = stored(links.unionByName(_links(texts, classes, apart.select(F.col("hub").alias("a"), F.col("cls").alias("b")))), "star-links")
     component = stored(connected_components(links, "a", "b"), "hub-components")
     # lists that still hold several components, of three sets or more (a pair has been compared)
-    placed = lists.join(component.select(F.col("node").alias("cls"), "component"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("component"), "hub").distinct()
+    placed = lists.join(component.select(F.col("node").alias("cls"), "component"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("component")).distinct()
     placed = stored(placed, "placed-lists")
     several = stored(placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).filter("x <> y and n > 2").select("key"), "open-lists")
     rest = stored(placed.join(several, "key", "left_semi"), "open-rows")
-    left = rest.select("key", F.col("cls").alias("a"), F.col("component").alias("of_a"), "hub")
-    right = rest.select("key", F.col("cls").alias("b"), F.col("component").alias("of_b"))
-    more = left.join(right, "key").filter("a < b and of_a <> of_b and a <> hub and b <> hub").select("a", "b").distinct()
-    links = stored(links.unionByName(_links(texts, classes, more)), "all-links")
+    links = stored(links.unionByName(_verified_links(texts, classes, _near_in_lists(rest, classes))), "all-links")
     component = stored(connected_components(links, "a", "b"), "set-components")
     placed = stored(classes.join(component.select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("component")), "placed-classes")
     least = stored(placed.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least-ids")
