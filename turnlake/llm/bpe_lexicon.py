@@ -19,7 +19,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import read_table
+from .storage import read_table, stored
 
 #: Words in the transducer at most; it is the same work at every size of the corpus.
 LEXICON_WORDS = 65_536
@@ -281,12 +281,24 @@ def word_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     return docs.filter("text is not null").select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame, words: int) -> DataFrame:
+    """(word) of at most ``words`` of the most frequent words: all above a count that a histogram of some hundred bars gives."""
+    bar = F.floor(F.log2("n") * 16)
+    total, least = 0, None
+    for row in sorted(counts.groupBy(bar.alias("bar")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["bar"]):
+        total += row["n"]
+        if total > words:
+            break
+        least = row["bar"]
+    return counts.filter(bar >= least if least is not None else F.lit(False)).select("word")
+
+
 def compile_lexicon(docs: DataFrame, tokenizer: str, words: int = LEXICON_WORDS) -> str:
-    """Compile the ``words`` most frequent words of the corpus with their ids and send the file to every node; returns its name.
+    """Compile up to ``words`` of the most frequent words of the corpus with their ids and send the file to every node; returns its name.
 
     Only that many words reach the driver. Encoding gives the same ids with any lexicon, or none.
     """
-    top = word_counts(docs, tokenizer).orderBy(F.desc("n"), "word").limit(words).select("word").collect()
+    top = frequent_words(stored(word_counts(docs, tokenizer), "word-counts"), words).collect()
     vocabulary = Vocabulary(tokenizer)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     path = os.path.join(tempfile.mkdtemp(prefix="spark-"), name)
