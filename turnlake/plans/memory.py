@@ -259,7 +259,7 @@ def max_window_score(spark, sf):
     return R.max_window_score(s, w).withColumn("score", F.round("score", 6))
 
 
-@query("f06_safety_memories", duck("SELECT turn_id, slot_key, quote, importance FROM (WITH p(w, slot_key) AS (VALUES ('sad', 'safety_self'), ('great', 'safety_other')), spots AS (SELECT turn_id, w, slot_key, i, t FROM (SELECT turn_id, trim(regexp_replace(lower(input_text), '[\\s\\p{Z}]+', ' ', 'g')) AS t FROM turns), p, LATERAL (SELECT unnest(generate_series(1, greatest(length(t) - length(w) + 1, 1))) AS i) WHERE substr(t, i, length(w)) = w) SELECT DISTINCT turn_id, slot_key, w AS quote, 0.95 AS importance FROM spots WHERE NOT contains(substr(t, greatest(i - 2, 1), least(2, i - 1)), 'un') AND NOT contains(substr(t, greatest(i - 2, 1), least(2, i - 1)), 'no'))", "turns"))
+@query("f06_safety_memories", duck("SELECT turn_id, slot_key, quote, importance FROM (WITH p(w, slot_key) AS (VALUES ('sad', 'safety_self'), ('great', 'safety_other')), spots AS (SELECT turn_id, w, slot_key, i, t FROM (SELECT turn_id, trim(regexp_replace(lower(input_text), '[\\s\\p{Z}]+', ' ', 'g')) AS t FROM turns), p, LATERAL (SELECT unnest(generate_series(1, greatest(length(t) - length(w) + 1, 1))) AS i) WHERE substr(t, i, length(w)) = w) SELECT DISTINCT turn_id, slot_key, w AS quote, CAST(0.95 AS DOUBLE) AS importance FROM spots WHERE NOT contains(substr(t, greatest(i - 2, 1), least(2, i - 1)), 'un') AND NOT contains(substr(t, greatest(i - 2, 1), least(2, i - 1)), 'no'))", "turns"))
 def safety_memories(spark, sf):
     plans = [(("sad",), "safety_self", "is the user safe", "want to harm themselves"), (("great",), "safety_other", "are others safe", "want to harm others")]
     return M.safety_memories(view(spark, sf, "turns"), plans, ("un", "no")).select("turn_id", "slot_key", "quote", "importance")
