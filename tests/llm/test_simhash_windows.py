@@ -69,3 +69,20 @@ def test_passes_of_items(spark, monkeypatch):
 def test_empty_tables(spark):
     docs, items = data()
     assert run(spark, docs, []) == [] and run(spark, [], items) == []
+
+
+def test_texts_shorter_than_an_item_are_one_window(spark):
+    items = data()[1]
+    words = items[2][1].split()
+    docs = [(1, " ".join(words[1:])), (2, " ".join(words[:-2])), (3, " ".join(words[3:-1])), (4, " ".join(words[:27])), (5, " ".join(words[:20])), (6, " ".join(words[:4])), (7, "two"), (8, "la la la la la la la la la")]
+    want = []
+    for doc, text in docs:
+        a = grams(words_of(text))
+        for item, passage in set(items):
+            b = grams(words_of(passage))
+            if item is not None and b and len(words_of(text)) < len(words_of(passage)):
+                similarity = sum((a & b).values()) / sum((a | b).values())
+                if similarity >= 0.75:
+                    want.append((str(doc), item, round(similarity, 9), 0, len(words_of(text))))
+    short = [r for r in run(spark, docs, items) if r[4] < len(words_of(next(t for i, t in items if i == r[1])))]
+    assert short == sorted(want) and {r[0] for r in short} >= {"1", "2", "3", "8"}

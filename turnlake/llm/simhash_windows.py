@@ -1,6 +1,6 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted-shingle similarity.
 
-A text's windows have as many words as the benchmark item they are held against. Only windows that hold a shingle of some
+A text's windows have as many words as the benchmark item they are held against; a text of fewer words is one window, whole. Only windows that hold a shingle of some
 item can be similar to one, so only those get fingerprints: 64 bits, each the sign of a sum over the window's shingles,
 weighted by how often they occur. Fingerprints of items are indexed by blocks of bits; at a distance of R at most, some block
 of B differs in R // B bits at most, so looking up every value that near to each block of a window's fingerprint finds every
@@ -22,8 +22,8 @@ from .rolling import BY_PUNCTUATION, groups_of, shingles, word_hashes
 from .storage import read_table
 
 WORDS, SIMILARITY = 5, 0.75
-#: A weighted Jaccard similarity of 0.75 is a cosine of 0.857 between windows of equal size, 31 degrees, so each bit differs
-#: with a probability of 0.17: over 26 of 64 differ once in some 1e6 windows.
+#: A weighted Jaccard similarity of 0.75 is a cosine of 0.857 between windows of equal size, 31 degrees, and no less where a text
+#: is shorter than the item, so each bit differs with a probability of 0.17: over 26 of 64 differ once in some 1e6 windows.
 RADIUS, BLOCKS = 26, 8
 #: Words of items that one pass over the corpus takes; what is sent to tasks is bounded by it.
 PASS_WORDS = 400_000
@@ -125,13 +125,13 @@ def matches_of(text_words: np.ndarray, text_shingles: np.ndarray, items: Items)
     long_hits = hits_in(text_shingles) if n_words >= WORDS else np.zeros(0, np.int64)
     long_values = text_shingles[long_hits]
     for size, index in items.by_size.items():
-        if size > n_words:
-            continue
+        if size > n_words and n_words - WORDS + 1 < SIMILARITY * (size - WORDS + 1):
+            continue  # the text's shingles are too few, or its only one is shorter than the item's
         if size < WORDS:
             values, width = _short_matches(text_words, size), 1
             hits = hits_in(values)
         else:
-            values, width, hits = text_shingles, size - WORDS + 1, long_hits
+            values, width, hits = text_shingles, min(size, n_words) - WORDS + 1, long_hits
             if len(hits):  # of items of this size only
                 of_size = np.isin(items.sorted, np.concatenate([items.shingle[items.before[i] : items.before[i + 1]] for i in index.items]))
                 hits = hits[np.isin(long_values, items.sorted[of_size])]
@@ -150,10 +150,10 @@ def matches_of(text_words: np.ndarray, text_shingles: np.ndarray, items: Items)
                 counts = np.zeros((len(mine), b - a), np.int32)
                 np.add.at(counts, (np.nonzero(same)[0], at[same]), 1)
                 both = np.minimum(counts, items.count[a:b]).sum(1)
-                similarity = both / (2 * width - both)
+                similarity = both / (width + items.count[a:b].sum() - both)
                 top = int(similarity.argmax())
                 if similarity[top] >= SIMILARITY and similarity[top] > best.get(i, (0.0,))[0]:
-                    best[i] = (float(similarity[top]), int(some[mine[top]]), size, int(distance[item == i][top]))
+                    best[i] = (float(similarity[top]), int(some[mine[top]]), min(size, n_words), int(distance[item == i][top]))
     return [(int(items.ids[i]), *found) for i, found in sorted(best.items())]
 
 
@@ -186,7 +186,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Words are runs of letters and digits, in lower case; shingles have 5 words, an item of fewer words is one shingle.
     ``similarity`` is the weighted Jaccard similarity (sum of least over sum of largest counts) of the best window, at least
-    0.75; ``first_word`` and ``n_words`` place it, ``distance`` is that of the fingerprints. Null or empty texts have no
+    0.75; a text of fewer words than the item is one window. ``first_word`` and ``n_words`` place it, ``distance`` is that of the fingerprints. Null or empty texts have no
     window; repeated rows each give their rows; a null doc_id is kept. Whole texts are scanned, once for each pass of items.
     """
     spark, found = docs.sparkSession, None
