@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -48,6 +53,105 @@ def rank(questions: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("whole").alias("query_id"), "chunk_id", "score", "rank")
 
 
+def document_chunks(documents: DataFrame, max_chars: int = 600) -> DataFrame:
+    """(doc_id, chunk_id, text): each text, whole, in chunks of at most ``max_chars`` characters that end before white space where they can.
+
+    Chunks of a text, joined in order, are the text. ``chunk_id`` is doc_id * 2**23 + place; doc_id is below 2**40.
+    """
+    chunk = rf"(?s)(.{{1,{max_chars}}}(?!\S)|.{{1,{max_chars}}})"
+    cut = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.regexp_extract_all("text", F.lit(chunk), 1)).alias("place", "text"))
+    return cut.select("doc_id", (F.shiftleft("doc_id", 23) + F.col("place")).alias("chunk_id"), "text")
+
+
+class _Asked:
+    """Questions as a matrix, terms by parts; the parts of a question stand together."""
+
+    def __init__(self, rows: list):
+        rows = sorted(rows, key=lambda r: r["query_id"])
+        ids = np.array([r["query_id"] for r in rows], np.int64)
+        self.ids, self.starts = np.unique(ids, return_index=True)
+        self.vocabulary = sorted({t for r in rows for t in r["terms"]})
+        place = {t: i for i, t in enumerate(self.vocabulary)}
+        self.size = np.array([len(r["terms"]) for r in rows], float)
+        self.matrix = np.zeros((len(place), len(rows)), np.float32)
+        for j, r in enumerate(rows):
+            self.matrix[[place[t] for t in r["terms"]], j] = 1
+
+
+def _best_chunks(shared, k: int, cells: int = 1 << 22):
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = shared.value
+        kept = {(b, q): (np.zeros(0, np.int64), np.zeros(0)) for b, block in enumerate(blocks) for q in range(len(block.ids))}
+        least = [np.zeros(len(block.ids)) for block in blocks]
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            length = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            before, values = np.concatenate([[0], np.cumsum(length)]), batch.column(1).flatten()
+            for b, block in enumerate(blocks):
+                code = pc.fill_null(pc.index_in(values, value_set=pa.array(block.vocabulary, values.type)), -1).to_numpy(zero_copy_only=False)
+                step = max(1, cells // len(block.vocabulary))
+                for begin in range(0, len(ids), step):
+                    n = length[begin : begin + step]
+                    some = code[before[begin] : before[begin + len(n)]]
+                    has = np.zeros((len(n), len(block.vocabulary)), np.float32)
+                    has[np.repeat(np.arange(len(n)), n)[some >= 0], some[some >= 0]] = 1
+                    both = (has @ block.matrix).astype(float)
+                    score = np.maximum.reduceat(both / (block.size + n[:, None] - both), block.starts, axis=1)
+                    enough = (score > 0) & (score >= least[b])
+                    for q in np.flatnonzero(enough.any(0)):
+                        new = np.flatnonzero(enough[:, q])
+                        chunk, by = np.concatenate([kept[b, q][0], ids[begin + new]]), np.concatenate([kept[b, q][1], score[new, q]])
+                        order = np.lexsort((chunk, -by))
+                        chunk, by = chunk[order], by[order]
+                        first = np.sort(np.unique(chunk, return_index=True)[1])[:k]
+                        kept[b, q] = chunk[first], by[first]
+                        if len(first) == k:
+                            least[b][q] = by[first][-1]
+        for b, block in enumerate(blocks):
+            found = [kept[b, q] for q in range(len(block.ids))]
+            query = np.repeat(block.ids, [len(f[0]) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], ["query_id", "chunk_id", "score"])
+
+    return best
+
+
+def rank_all(questions: DataFrame, chunks: DataFrame, k: int = 20, block: int = 256) -> DataFrame:
+    """What ``rank`` gives, over chunks of any number: each task scores its chunks against all questions by matrix products and keeps the best ``k``.
+
+    The stated questions go to every task; neither chunks, terms nor pairs are shuffled, only each task's best. No term is
+    left out for being common. Ids are longs; rows without one are not ranked.
+    """
+    spark = chunks.sparkSession
+    parts = questions.filter("query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), F.explode(split_queries(F.col("question"))).alias("sub"))
+    rows = parts.select("query_id", lexical_terms(F.col("sub")).alias("terms")).filter(F.size("terms") > 0).collect()
+    ids = sorted({r["query_id"] for r in rows})
+    empty = "query_id long, chunk_id long, score double"
+    if not ids:
+        return spark.createDataFrame([], empty + ", rank int")
+    which = {q: i // block for i, q in enumerate(ids)}
+    blocks = [_Asked([r for r in rows if which[r["query_id"]] == n]) for n in range(which[ids[-1]] + 1)]
+    terms = chunks.filter("chunk_id is not null").select(F.col("chunk_id").cast("long"), lexical_terms(F.coalesce("text", F.lit(""))).alias("terms"))
+    best = terms.mapInArrow(_best_chunks(spark.sparkContext.broadcast(blocks), k), empty).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def judge_cases(cases: DataFrame, expected: DataFrame, ranked: DataFrame, served: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows for ``calibration_gate``: one for each case, and one for each case and document that it expects.
+
+    ``cases`` (query_id); ``expected`` (query_id, doc_id), where a case without rows is a negative; ``ranked`` and ``served``
+    (query_id, chunk_id, doc_id, score). A hit is a served chunk of an expected document and scores as the best of those;
+    any other case scores as its best chunk, 0 without one.
+    """
+    top = ranked.groupBy("query_id").agg(F.max("score").alias("top"))
+    pairs = expected.select("query_id", "doc_id").distinct()
+    hits = pairs.join(served.select("query_id", "doc_id", "score"), ["query_id", "doc_id"], "left").groupBy("query_id", "doc_id").agg(F.max("score").alias("hit_score"))
+    whole = cases.select("query_id").distinct().join(hits.groupBy("query_id").agg(F.max("hit_score").alias("hit_score"), F.lit(False).alias("wanted")), "query_id", "left").join(top, "query_id", "left")
+    each = hits.withColumn("wanted", F.lit(False)).join(top, "query_id", "left")
+    rows = [F.coalesce("wanted", F.lit(True)).alias("is_negative"), F.col("hit_score").isNotNull().alias("hit"), F.coalesce("hit_score", "top", F.lit(0.0)).alias("score")]
+    return whole.select("query_id", *rows), each.select("query_id", "doc_id", *rows)
+
+
 def retrieve(ranked: DataFrame, floor: float = 0.623, n: int = 4, rerank_scores: DataFrame | None = None, rerank_below: float = 0.70, rerank_floor: float = -5.0, sanity: float = 0.45) -> DataFrame:
     """The first ``n`` rows of each query that pass: by score and ``floor``, or, where the best score is below ``rerank_below``
     and rerank scores (query_id, chunk_id, rerank) are given, by those, their own floor and the sanity floor of the score."""

@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import memory as M
 from ..operators import retrieval as R
+from ..session import table
 from .base import query
 from .fixtures import NOW, duck, view
 
@@ -251,6 +252,31 @@ def calibration_gate(spark, sf):
     return out.select("cases", "hits", F.round("rate", 6).alias("rate"), F.round("lowest_hit", 6).alias("lowest_hit"), F.round("highest_negative", 6).alias("highest_negative"), "overlap", "passed")
 
 
+def _ranked_documents(spark, sf):
+    questions = view(spark, sf, "cases").select(F.col("item_id").alias("query_id"), "question")
+    return R.rank_all(questions, R.document_chunks(table(spark, sf, "documents")), 20)
+
+
+@query("r05_rank_documents")
+def rank_documents(spark, sf):
+    return _ranked_documents(spark, sf).withColumn("score", F.round("score", 6))
+
+
+@query("r06_retrieve_documents")
+def retrieve_documents(spark, sf):
+    return R.retrieve(_ranked_documents(spark, sf), floor=0.2).withColumn("score", F.round("score", 6))
+
+
+@query("a13_calibration_documents")
+def calibration_documents(spark, sf):
+    with_doc = lambda df: df.withColumn("doc_id", F.shiftright("chunk_id", 23))
+    ranked = _ranked_documents(spark, sf).localCheckpoint()
+    expected = view(spark, sf, "case_docs").select(F.col("item_id").alias("query_id"), "doc_id")
+    whole, each = R.judge_cases(view(spark, sf, "cases").select(F.col("item_id").alias("query_id")), expected, with_doc(ranked), with_doc(R.retrieve(ranked, floor=0.2)))
+    out = R.calibration_gate(whole).withColumn("doc_id", F.lit(None).cast("long")).unionByName(R.calibration_gate(each, "doc_id"))
+    return out.select("doc_id", "cases", "hits", *(F.round(c, 6).alias(c) for c in ("rate", "lowest_hit", "highest_negative")), "overlap", "passed")
+
+
 @query("r04_max_window_score", duck(f"WITH s AS (SELECT probe_id AS query_id, template_id AS chunk_id, round({_DOT('p.embedding', 't.embedding')}, 6) AS score FROM probes p JOIN templates t ON t.user_id = p.true_user), w AS (SELECT query_id, chunk_id, (chunk_id * 7 + n * 31) % 100 / 100.0 AS window_score FROM s, (SELECT unnest(range(3)) AS n) WHERE chunk_id % 2 = 0) SELECT s.query_id, s.chunk_id, round(greatest(score, coalesce(max(window_score), 0.0)), 6) AS score FROM s LEFT JOIN w USING (query_id, chunk_id) GROUP BY s.query_id, s.chunk_id, score", "probes", "templates"))
 def max_window_score(spark, sf):
     p, t = view(spark, sf, "probes"), view(spark, sf, "templates").withColumnRenamed("embedding", "v")
