@@ -20,9 +20,12 @@ RULES = (
     ("block", "com", "/de/"),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: href of <link rel=canonical>, target of <meta http-equiv=refresh>.
-CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']([^"'>]+)["']"""
-REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["'][^"'>]*?url\s*=\s*([^"'>]+)["']"""
+#: Tags that may declare an alias, and the base of a page's relative links.
+LINKS, METAS, BASES = (rf"(?is)(<{name}\b[^>]*>)" for name in ("link", "meta", "base"))
+#: Target in the content of a refresh, with or without ``url=``.
+REFRESH = r"""(?is)(?:\burl\s*=\s*|^\s*[0-9.]+\s*[;,]\s*+(?!url\s*=))["']?\s*([^"']+)"""
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+NAMED = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"))
 
 
 def host_of(url: Column) -> Column:
@@ -55,20 +58,68 @@ def explicit_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, st
     return branches
 
 
-def alias_links(pages: DataFrame) -> DataFrame:
-    """(url, target): the redirects and canonical links that pages declare; relative targets take the page's scheme and host."""
-    origin = F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    target = F.trim(F.col("raw"))
-    absolute = (
-        F.when(F.instr(target, "://") > 0, target)
-        .when(target.startswith("//"), F.concat(F.regexp_extract("url", r"^([^:]*:)", 1), target))
-        .when(target.startswith("/"), F.concat(origin, target))
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute in double, single or no quotes; empty without it."""
+    pattern = rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.concat(*(F.regexp_extract(tag, pattern, group) for group in (1, 2, 3)))
+
+
+def _decoded(text: Column) -> Column:
+    """Character references as characters; each once."""
+    for name, character in NAMED:
+        text = F.replace(text, F.lit(name), F.lit(character))
+    number = lambda e: F.when(F.lower(e).startswith("x"), F.substring(e, 2, 20)).otherwise(F.conv(e, 10, 16))
+    code = lambda e: F.conv(number(e), 16, 10).cast("long")
+    codes = F.regexp_extract_all(text, F.lit(r"(?i)&#(x0*[0-9a-f]{1,6}|0*[0-9]{1,7});"), 1)
+    codes = F.filter(codes, lambda e: (code(e) != 38) & (code(e) > 0) & (code(e) < 0x110000) & ~code(e).between(0xD800, 0xDFFF))
+    character = lambda e: F.decode(F.unhex(F.lpad(F.regexp_replace(number(e), "^0+", ""), 8, "0")), "UTF-32")
+    text = F.aggregate(codes, text, lambda so_far, e: F.replace(so_far, F.concat(F.lit("&#"), e, F.lit(";")), character(e)))
+    return F.regexp_replace(text, "(?i)&(amp|#0*38|#x0*26);", "&")
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that starts with ``/``, its ``.`` and ``..`` segments resolved."""
+    segments = F.split(F.regexp_replace(F.substring(path, 2, 1 << 30), r"(^|/)(\.\.?)$", "$1$2/"), "/")
+    kept = F.aggregate(
+        segments,
+        F.array().cast("array<string>"),
+        lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))),
+    )
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def _resolved(target: Column, base: Column) -> Column:
+    """``target`` as a url; null if it is a part of the page itself or of another kind than ``scheme://``."""
+    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    path, rest = F.regexp_extract(target, "^[^?#]*", 0), F.regexp_extract(target, "^[^?#]*(.*)$", 1)
+    folder = F.regexp_extract(path_of(base), "^(.*/)", 1)
+    return (
+        F.when(target.rlike(SCHEME + "//"), target)
+        .when(target.rlike(SCHEME) | target.startswith("#") | (target == ""), None)
+        .when(target.startswith("//"), F.concat(F.regexp_extract(base, r"^([^:]*:)", 1), target))
+        .when(target.startswith("/"), F.concat(origin, _without_dots(path), rest))
+        .when(origin == "", None)
+        .when(target.startswith("?"), F.concat(origin, F.when(path_of(base) == "", "/").otherwise(path_of(base)), target))
+        .otherwise(F.concat(origin, _without_dots(F.concat(F.when(folder == "", "/").otherwise(folder), path)), rest))
     )
-    found = F.array(F.regexp_extract("html", CANONICAL, 1), F.regexp_extract("html", REFRESH, 1))
+
+
+def alias_links(pages: DataFrame) -> DataFrame:
+    """(url, target): all redirects and canonical links that pages declare.
+
+    Attributes may be in any order and in either or no quotes; character references are decoded. Relative targets are
+    resolved against the page's url, or its ``<base>`` where that has a scheme.
+    """
+    links = F.filter(F.regexp_extract_all("html", F.lit(LINKS), 1), lambda t: F.array_contains(F.split(F.lower(_attribute(t, "rel")), r"\s+"), "canonical"))
+    metas = F.filter(F.regexp_extract_all("html", F.lit(METAS), 1), lambda t: F.lower(F.trim(_attribute(t, "http-equiv"))) == "refresh")
+    hrefs = F.transform(links, lambda t: _decoded(_attribute(t, "href")))
+    found = F.concat(hrefs, F.transform(metas, lambda t: F.regexp_extract(_decoded(_attribute(t, "content")), REFRESH, 1)))
+    base = F.trim(_decoded(_attribute(F.regexp_extract("html", BASES, 1), "href")))
     return (
         pages.filter("url is not null and html is not null")
-        .select("url", F.explode(F.filter(found, lambda x: x != "")).alias("raw"))
-        .select("url", absolute.alias("target"))
+        .filter(F.col("html").rlike(r"(?i)<(link|meta)\b"))
+        .select("url", F.when(base.rlike(SCHEME + "//"), base).otherwise(F.col("url")).alias("base"), F.explode(found).alias("raw"))
+        .select("url", _resolved(F.regexp_replace("raw", r"^\s+|\s+$", ""), F.col("base")).alias("target"))
         .filter("target is not null and target <> url")
         .distinct()
     )
