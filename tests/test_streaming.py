@@ -1,5 +1,7 @@
 """Streams give what their batch twins give; machines on hand-computed rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,7 +48,38 @@ def test_endpoint_needs_voice_then_silence():
     level = lambda x, n: [x] * n
     rms = [*level(50, 10), *level(2000, 8), *level(50, 20), *level(2000, 3), *level(50, 30)]
     rows = [{"session_id": 1, "arrival": i, "rms": x} for i, x in enumerate(rms)]
-    assert run(S.endpoint_step(), rows) == [(1, 10, 31, 22, "silence")]
+    assert run(S.endpoint_step(), rows) == [(1, 0, 31, 32, True, "silence")]
+
+
+def naive_segments(levels, threshold):
+    """Every rule by its own words, over the levels of one session."""
+    out, start = [], 0
+    while start < len(levels):
+        for end in range(start, len(levels)):
+            seen = levels[start : end + 1]
+            gates = [min(max(threshold, 2.5 * min(seen[max(0, i - 49) : i + 1])), 3 * threshold) for i in range(len(seen))]
+            loud = [x >= g for x, g in zip(seen, gates, strict=True)]
+            spoke = sum(loud) * 60 >= 240
+            quiet = next((i for i, x in enumerate(reversed(loud)) if x), len(loud)) * 60
+            reason = "silence" if spoke and quiet >= 800 else "max_length" if len(seen) * 60 >= 20_000 else "flush" if end == len(levels) - 1 and spoke and len(seen) * 60 >= 400 else None
+            if reason:
+                out.append((start, end, len(seen), spoke, reason))
+                break
+        else:
+            break
+        start = end + 1
+    return out
+
+
+def test_endpoints_against_every_prefix(spark):
+    rng = random.Random(5)
+    sessions = {k: [float(rng.choice((0, 40, 100, 250, 299, 300, 900)) if k % 2 else rng.random() ** 4 * 900) for _ in range(60 + 90 * k)] for k in range(6)} | {None: [300.0] * 30}
+    sessions[9] = [10.0] * 700
+    rows = [(k, i, x) for k, levels in sessions.items() for i, x in enumerate(levels)]
+    df = spark.createDataFrame(rows, "session_id long, arrival long, rms double").repartition(5)
+    got = sorted((str(r.session_id), r.started, r.ended, r.frames, r.spoke, r.reason) for r in S.run_batch(df, "session_id", "arrival", S.endpoint_step(), S.SEGMENTS, S.endpoint_finish()).collect())
+    assert got == sorted((str(k), *s) for k, levels in sessions.items() for s in naive_segments(levels, 300.0))
+    assert {r[5] for r in got} == {"silence", "max_length", "flush"}
 
 
 def test_a_second_begin_is_rejected():

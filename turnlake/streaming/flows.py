@@ -40,16 +40,15 @@ def validate_envelope(events: DataFrame, types: Sequence[str], version: int = 1)
 
 
 def heartbeat_batch(read: Callable[[str], DataFrame], write: Callable[[str, DataFrame], None]):
-    """The foreachBatch function of a heartbeat stream: clean rows, latest state per device, event log, unknown users.
+    """The foreachBatch function of a heartbeat stream: clean rows, latest state per device (a late one never replaces a newer), event log, unknown users.
 
     ``read`` and ``write`` take a table's name (devices, device_events, users); writing devices and users replaces the table.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         clean = normalize_heartbeat(batch).persist()
-        latest = upsert_last(clean, ["device_id"], ["created_at"])
         devices = read("devices")
-        write("devices", devices.join(latest.select("device_id"), "device_id", "left_anti").unionByName(latest.select(*devices.columns)))
+        write("devices", upsert_last(devices.unionByName(clean.select(*devices.columns)), ["device_id"], ["created_at"]))
         write("device_events", clean.select("device_id", F.lit("heartbeat").alias("event_type"), "created_at", F.lit(batch_id).alias("batch_id")))
         users = read("users")
         new = clean.filter("user_id is not null").groupBy("user_id").agg(F.min("created_at").alias("created_at")).withColumn("display_name", F.col("user_id").cast("string"))

@@ -10,28 +10,48 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 Step = Callable[[dict, dict], tuple[dict, list[tuple]]]
+ARROW = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
 
 
-def run_batch(df: DataFrame, key: str, order: str, step: Step, schema: str) -> DataFrame:
-    """All rows of each key in order through ``step``, in one pass over sorted partitions; no key is held in memory."""
-    columns = [x.split()[0] for x in schema.split(", ")]
+def run_batch(df: DataFrame, key: str, order: str, step: Step, schema: str, finish: Step | None = None) -> DataFrame:
+    """All rows of each key in order through ``step``, in one pass over sorted partitions; no key is held in memory.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = object(), {}
-        for frame in frames:
-            out = []
-            for row in frame.to_dict("records"):
-                if row[key] != current:
-                    current, state = row[key], {}
+    Rows without a key are a key of their own. ``finish`` takes the state and the last row of a key once it has ended.
+    """
+    fields = [x.split() for x in schema.split(", ")]
+    table = pa.schema([(name, ARROW[kind]) for name, kind in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, last = {}, None
+        for batch in batches:
+            out: list[tuple] = []
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                row = dict(zip(batch.schema.names, values, strict=True))
+                if last is None or not _same(row[key], last[key]):
+                    out += finish(state, last)[1] if finish and last is not None else []
+                    state = {}
+                last = row
                 state, emitted = step(state, row)
                 out += emitted
-            yield pd.DataFrame(out, columns=columns)
+            yield _rows(out, table)
+        if finish and last is not None:
+            yield _rows(finish(state, last)[1], table)
+
+    return df.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
+
+
+def _same(a, b) -> bool:
+    return a == b or (a != a and b != b)
 
-    return df.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, schema)
+
+def _rows(out: list[tuple], table: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*out, strict=True) if out else [()] * len(table)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, table, strict=True)], schema=table)
 
 
 def run_stream(df: DataFrame, key: str, order: str, step: Step, schema: str) -> DataFrame:
@@ -62,32 +82,41 @@ SEQUENCE = "session_id long, sequence long, arrival long"
 
 
 def endpoint_step(threshold: float = 300.0, frame_ms: int = 60, trigger_ms: int = 240, silence_ms: int = 800, longest_ms: int = 20_000, shortest_ms: int = 400, floor_ms: int = 3_000) -> Step:
-    """Speech segments of a level series. Rows: session_id, arrival, rms; emits session_id, started, ended, frames, reason.
+    """Segments of a level series. Rows: session_id, arrival, rms; emits session_id, started, ended, frames, spoke, reason.
 
-    A frame is voice above a gate, 2.5 times the least level of the last ``floor_ms`` but between once and three times the
-    threshold. ``trigger_ms`` of voice, short silences aside, start a segment; ``silence_ms`` without voice or ``longest_ms``
-    in all end it, and all starts anew. Segments with less than ``shortest_ms`` of voice are dropped.
+    A frame is voice from a gate on, 2.5 times the least level of the last ``floor_ms`` but between once and three times
+    the threshold. ``trigger_ms`` of voice, short silences aside, make a segment one that is spoken; then ``silence_ms``
+    without voice end it. ``longest_ms`` end any, spoken or not. A segment begins with the first frame after the last one's
+    end, and nothing is remembered across an end. Segments shorter than ``shortest_ms`` are dropped. A null level is silence.
     """
 
     def step(s: dict, row: dict) -> tuple[dict, list[tuple]]:
-        levels = [*s.get("levels", []), float(row["rms"])][-(floor_ms // frame_ms):]
+        level = float(row["rms"] or 0.0)
+        levels = [*s.get("levels", []), level][-max(1, floor_ms // frame_ms):]
         gate = min(max(2.5 * min(levels), threshold), 3 * threshold)
-        voice = float(row["rms"]) > gate
+        voice = level >= gate
         voiced, silent = s.get("voiced", 0) + voice * frame_ms, 0 if voice else s.get("silent", 0) + frame_ms
-        began = s.get("began") if s.get("began") is not None or not voice else int(row["arrival"])
-        frames = s.get("frames", 0) + (began is not None)
-        active = s.get("active", False) or voiced >= trigger_ms
-        s = {"levels": levels, "voiced": voiced, "silent": silent, "began": began, "frames": frames, "active": active}
-        reason = "silence" if active and silent >= silence_ms else "longest" if active and frames * frame_ms >= longest_ms else None
+        frames, began = s.get("frames", 0) + 1, s.get("began", int(row["arrival"]))
+        spoke = s.get("spoke", False) or voiced >= trigger_ms
+        reason = "silence" if spoke and silent >= silence_ms else "max_length" if frames * frame_ms >= longest_ms else None
         if reason is None:
-            return s, []
-        out = [(row["session_id"], began, int(row["arrival"]), frames, reason)] if voiced >= shortest_ms else []
-        return {"levels": levels}, out
+            return {"levels": levels, "voiced": voiced, "silent": silent, "frames": frames, "began": began, "spoke": spoke}, []
+        return {}, [(row["session_id"], began, int(row["arrival"]), frames, spoke, reason)] if frames * frame_ms >= shortest_ms else []
 
     return step
 
 
-SEGMENTS = "session_id long, started long, ended long, frames long, reason string"
+def endpoint_finish(frame_ms: int = 60, shortest_ms: int = 400) -> Step:
+    """What is open when the frames of a session end is a segment if it is spoken."""
+
+    def finish(s: dict, row: dict) -> tuple[dict, list[tuple]]:
+        long_enough = s.get("spoke", False) and s["frames"] * frame_ms >= shortest_ms
+        return {}, [(row["session_id"], s["began"], int(row["arrival"]), s["frames"], True, "flush")] if long_enough else []
+
+    return finish
+
+
+SEGMENTS = "session_id long, started long, ended long, frames long, spoke boolean, reason string"
 
 
 def lifecycle_step(state: dict, row: dict) -> tuple[dict, list[tuple]]:
