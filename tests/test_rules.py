@@ -1,7 +1,10 @@
 """Hand-computed cases of rules that the test tables do not reach."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from turnlake.functions import commands as K
 from turnlake.functions import dialogue as D
 from turnlake.functions import hooks as H
 from turnlake.functions import lexicon as L
@@ -139,11 +142,116 @@ def test_hooks(spark):
     assert sorted(tuple(r) for r in H.summarize(old, model).select("user_id", "summary", "covered_count").collect()) == [(1, "new new new", 9), (2, "old", 3)]
 
 
+MEMORY = "chunk_id long, owner_user_id long, text string, probe string, slot_key string, importance double, approved boolean, created_at long, embedding array<float>, statement_vec array<float>, active boolean"
+PROPOSALS = "prop_id long, owner_user_id long, ord long, slot_key string, text string, probe string, importance double, approved boolean, embedding array<float>, statement_vec array<float>"
+
+
+def upserts(spark, proposals, memory, **options):
+    got = M.upsert_memories(spark.createDataFrame(proposals, PROPOSALS), spark.createDataFrame(memory, MEMORY), 99, **options).collect()
+    return {r.chunk_id: (r.slot_key, r.text, r.probe, round(r.importance, 6), r.approved, None if r.embedding is None else [round(x, 4) for x in r.embedding], r.action) for r in got}
+
+
 def test_proposals_of_an_owner_see_one_another(spark):
-    memory = spark.createDataFrame([(1, 7, "likes tea", "tea?", "drink", 0.3, True, 10, [1.0, 0.0], True), (2, 7, "has a cat", "cat?", None, 0.5, False, 11, [0.0, 1.0], True)], "chunk_id long, owner_user_id long, text string, probe string, slot_key string, importance double, approved boolean, created_at long, embedding array<float>, active boolean")
-    rows = [(1, 7, 1, "drink", "likes coffee", "coffee?", 0.9, False, [0.6, 0.8]), (2, 7, 2, None, "has two cats", "cats?", 0.2, True, [0.1, 0.99]), (3, 7, 3, None, "is tall", "tall?", 0.5, False, [-1.0, 0.0]), (4, 7, 4, None, "is tall", "height?", 0.6, True, None), (5, 8, 1, None, "new owner", "who?", 0.4, False, None)]
-    proposals = spark.createDataFrame(rows, "prop_id long, owner_user_id long, ord long, slot_key string, text string, probe string, importance double, approved boolean, embedding array<float>")
-    got = {r.chunk_id: (r.text, r.probe, r.importance, r.approved, r.action) for r in M.upsert_memories(proposals, memory, 99).collect()}
-    assert got == {
-        1: ("likes tea", "tea?", 0.9, True, "merged"), 2: ("has two cats", "cats?", 0.5, True, "merged"), -3: ("is tall", "height?", 0.6, True, "inserted"), -5: ("new owner", "who?", 0.4, False, "inserted"),
+    memory = [(1, 7, "likes tea", "tea?", "drink", 0.3, True, 10, [1.0, 0.0], None, True), (2, 7, "is Bo", "name?", "name", 0.5, True, 11, [0.0, 1.0], None, True), (3, 7, "gone", "tea?", "home", 0.5, True, 12, [1.0, 0.0], None, False)]
+    rows = [
+        (1, 7, 1, "drink", "likes coffee", "coffee?", 0.9, False, [1.0, 0.0], None),  # a category: another fact, though key and probe agree
+        (2, 7, 2, "name", "is Al", "who?", 0.2, True, None, None),  # one current value: it replaces, and the vector goes with its probe
+        (3, 7, 3, None, "likes  coffee", "coffee?", 0.5, True, [0.6, 0.8], None),  # other white space: the same words, near only by the first proposal's probe
+        (4, 7, 4, None, "likes coffee", "really?", 0.95, True, None, None), (5, 8, 1, "home", "gone", None, 0.4, False, None, None), (6, None, 1, None, "nobody", "?", 0.4, False, None, None),
+    ]
+    assert upserts(spark, rows, memory) == {
+        2: ("name", "is Al", "who?", 0.5, True, None, "updated"), -1: ("drink", "likes coffee", "really?", 0.95, True, None, "inserted"),
+        -3: (None, "likes  coffee", "coffee?", 0.5, True, [0.6, 0.8], "inserted"), -5: ("home", "gone", "gone", 0.4, False, None, "inserted"),
     }
+
+
+def test_what_a_change_keeps(spark):
+    memory = [(1, 7, "said so", "p", None, 0.7, True, 10, [1.0, 0.0], None, True), (2, 7, "maybe", "p", "pet", 0.7, False, 10, [1.0, 0.0], None, True)]
+    rows = [(1, 7, 1, "pet", "said so", "other", 0.1, False, [0.0, 1.0], None), (2, 7, 2, None, "maybe", "p", 0.8, False, None, None)]
+    assert upserts(spark, rows, memory) == {1: ("pet", "said so", "p", 0.7, True, [1.0, 0.0], "updated"), 2: ("pet", "maybe", "p", 0.8, False, [1.0, 0.0], "updated")}
+
+
+def plain_upserts(proposals, memory, now, newest, single, near=0.9, same=0.8):
+    """The rules one after another, over all rows of an owner."""
+    unit = lambda v: None if v is None else [x / (sum(y * y for y in v) ** 0.5 or 1) for x in v]
+    dot = lambda a, b: sum(x * y for x, y in zip(unit(a), unit(b), strict=True))
+    names = [x.split()[0] for x in MEMORY.split(", ")]
+    rows = sorted((dict(zip(names, r, strict=True)) for r in memory), key=lambda r: (r["created_at"], r["chunk_id"]))
+    rows, out = [r for r in rows if r["active"]], {}
+    for p in sorted((dict(zip([x.split()[0] for x in PROPOSALS.split(", ")], r, strict=True)) for r in proposals), key=lambda p: (p["owner_user_id"], p["ord"], p["prop_id"])):
+        own = [r for r in rows if r["owner_user_id"] == p["owner_user_id"]]
+        found = [r for r in own if p["slot_key"] and r["slot_key"] == p["slot_key"]] + [r for r in own if r["text"] == p["text"]]
+        if p["embedding"] is not None:
+            recent = sorted((r for r in own if r["embedding"] is not None), key=lambda r: -r["created_at"])[:newest]
+            found += [r for r in recent if dot(r["embedding"], p["embedding"]) >= near]
+        hit, action = next((r for r in found if r["text"] == p["text"]), None), "updated"
+        if hit is None and p["slot_key"] in single:
+            hit = next((r for r in found if r["slot_key"] == p["slot_key"]), None)
+        if hit is None:
+            alike = lambda r: dot(r["statement_vec"], p["statement_vec"]) >= same if r["statement_vec"] and p["statement_vec"] else r["text"].split() == p["text"].split()
+            hit, action = next((r for r in found if alike(r)), None), "merged"
+        if hit is None:
+            rows.append({**{k: p.get(k) for k in names}, "chunk_id": -p["prop_id"], "probe": p["probe"] or p["text"], "created_at": now})
+            out[-p["prop_id"]] = rows[-1], "inserted"
+            continue
+        probe = p["probe"] or p["text"]
+        if not (hit["approved"] and not p["approved"]):
+            if not (p["embedding"] is None and probe == hit["probe"]):
+                hit["embedding"] = p["embedding"]
+            hit |= {"text": p["text"], "probe": probe, "statement_vec": p["statement_vec"]}
+        hit |= {"slot_key": p["slot_key"] or hit["slot_key"], "importance": max(hit["importance"], p["importance"]), "approved": hit["approved"] or p["approved"]}
+        out.setdefault(hit["chunk_id"], (hit, action))
+    return {i: (r["slot_key"], r["text"], r["probe"], round(r["importance"], 6), r["approved"], None if r["embedding"] is None else [round(x, 4) for x in r["embedding"]], a) for i, (r, a) in out.items()}
+
+
+def test_upserts_against_the_rules(spark):
+    rng = random.Random(12)
+    vector = lambda: None if rng.random() < 0.2 else [1.0, rng.choice((0.0, 0.1, 0.3, 0.6, 2.0))]
+    fields = lambda: (rng.choice([f"fact {n}" for n in range(9)] + ["fact  1"]), rng.choice(("p", "q", None)), rng.choice(("name", "skill", "pet", None)), rng.choice((0.1, 0.5, 0.9)), rng.random() < 0.5)
+    memory, proposals = [], []
+    for n in range(150):
+        text, probe, key, importance, approved = fields()
+        memory.append((n + 1, n % 4, text, probe or text, key, importance, approved, 10 + n * 7 % 150, vector(), vector(), n % 9 > 0))
+    for n in range(120):
+        text, probe, key, importance, approved = fields()
+        proposals.append((1000 + n, n % 5, n * 7 % 120, key, text, probe, importance, approved, vector(), vector()))
+    for newest in (5, 200):
+        assert upserts(spark, proposals, memory, newest=newest) == plain_upserts(proposals, memory, 99, newest, M.SINGLE_VALUED)
+
+
+def test_candidates_agree_with_upserts_on_equal_texts(spark):
+    memory = spark.createDataFrame([(n, 1, f"t{n % 500}", None, n, [1.0, 0.0], True) for n in range(700)], "chunk_id long, owner_user_id long, text string, slot_key string, created_at long, embedding array<float>, active boolean")
+    new = spark.createDataFrame([(1, 1, None, "t3", None), (2, 1, None, "t400", [0.0, 1.0]), (3, 1, None, "no", [1.0, 0.1]), (4, 2, None, "t3", None), (5, 1, None, "no", None)], "prop_id long, owner_user_id long, slot_key string, text string, embedding array<float>")
+    assert {r.prop_id: (r.chunk_id, r.how) for r in M.candidates_join(new, memory).collect()} == {1: (503, "text"), 2: (400, "text"), 3: (699, "probe")}
+
+
+def test_import_refuses_skips_and_replaces(spark):
+    profiles = spark.createDataFrame([(0, "a", "", ["Keep"], ["Drop"], 1, 40, "scenario"), (1, "", "x/*.md", [], [], 10, 600, "reference")], "ord int, doc string, path_glob string, keep_sections array<string>, drop_sections array<string>, min_chars int, max_chars int, default_kind string")
+    docs = spark.createDataFrame([("a1", "k/a.md", "s1", "# Keep\nFirst sentence here! Second sentence there!\n# Drop\nno\n# Other\nno"), ("b1", "x/b.md", "s2", "short\n# T\nlong enough text <sub>p4</sub>"), ("c1", "c.md", "s3", "text"), ("d1", "x/d.md", "s4", "# T\nlong enough text")], "doc_id string, path string, sha256 string, text string")
+    catalog = spark.createDataFrame([("d1", "s4", 1, "x/d.md", "passed"), ("b1", "old", 1, "x/b.md", "passed"), ("z", "s", 1, "z", "passed")], "doc_id string, sha256 string, cleaner_version int, path string, calibration_status string")
+    chunks = spark.createDataFrame([("d1", "d1#0000", "kept", 5), ("b1", "b1#0000", "old", 5)], "doc_id string, chunk_id string, text string, hits int").withColumn("embedding", F.lit(None).cast("array<float>")).withColumn("windows", F.lit(None).cast("array<string>"))
+    embed = lambda df: H.embed_texts(df, "text", lambda: lambda texts: [[float(len(t))] for t in texts])
+    new_docs, new_chunks, report = C.import_corpus(docs, profiles, catalog, chunks, 1, embed=embed)
+    assert {r.doc_id: r.status for r in report.collect()} == {"a1": "imported", "b1": "imported", "c1": "refused", "d1": "skipped"}
+    assert sorted((r.doc_id, r.sha256, r.calibration_status) for r in new_docs.collect()) == [("a1", "s1", "uncalibrated"), ("b1", "s2", "passed"), ("d1", "s4", "passed"), ("z", "s", "passed")]
+    got = sorted((r.chunk_id, r.text, r.embedding and r.embedding[0], r.windows) for r in new_chunks.collect())
+    assert got == [("a1#0000", "First sentence here!", 20.0, ["First sentence here!"]), ("a1#0001", " Second sentence there!", 23.0, ["Second sentence there!"]), ("b1#0000", "long enough text", 16.0, ["long enough text"]), ("d1#0000", "kept", None, None)]
+    assert C.import_corpus(docs, profiles, catalog, chunks, 1, force=True)[2].filter("status = 'imported'").count() == 3
+    assert C.import_corpus(docs, profiles.limit(0), catalog, chunks, 1)[2].filter("status = 'refused'").count() == 4
+
+
+def test_numbers_and_settings(spark):
+    said = ["十五", "六十", "一百二十", "两百", "", None]
+    assert [r.n for r in spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").orderBy("i").select(K.spoken_number(F.col("t")).alias("n")).collect()] == [15, 60, 120, 200, 0, None]
+    want = {
+        "请把音量调到60": ("volume", "set", 60, None), "音量 30": ("volume", "set", 30, None), "音量真的很好听呀，我有30本书": None, "音量好，有3本书": ("volume", "set", 3, None), "把亮度调到百分之三十": ("brightness", "set", 30, None), "聲音大一點": ("volume", "step", 1, None),
+        "太亮了，屏幕": ("brightness", "step", -1, None), "静音，声音": ("volume", "set", 0, None), "切换主题": None, "深色主题": ("theme", "set", None, "dark"), "你好": None, "volume to 200": None, "": None, None: None,
+    }
+    df = spark.createDataFrame([(t,) for t in want], "t string").withColumn("c", K.device_command(F.col("t")))
+    assert {r.t: None if r.c is None else (r.c.target, r.c.kind, r.c.level, r.c.theme) for r in df.collect()} == want
+
+
+def test_levels_at_any_depth(spark):
+    texts = ['{"a": [{"Volume": 55.9}]}', '{"volume": "50"}', '{"x": "\\"volume\\": 5", "speaker_level": 3}', '{"volume": 101, "b": {"level": 1e1}}', '{"volume": true}', "no json", None, '{"brightness": 4}']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert [r.v for r in df.orderBy("i").select(K.find_level(F.col("t"), "volume").alias("v")).collect()] == [55, None, 3, 10, None, None, None, None]

@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import lexical_similarity, lexical_terms, quote_is_verbatim, squeeze, term_jaccard
 from ..functions.vectors import cosine
+from .blocks import best_in_rows, made, matrix, scored_in_blocks, term_jaccards, widest
 
 DAY = 86_400.0
 TIERS = ("slot", "hot", "cold")
+# Slot keys whose fact has one current value, which a later statement replaces.
+SINGLE_VALUED = frozenset({
+    "name", "nickname", "call_me", "identity", "language", "age", "birthday", "birthdate", "gender", "sex", "home", "city", "residence",
+    "address", "occupation", "job", "phone", "email",
+})
 
 
 @dataclass(frozen=True)
@@ -91,6 +100,13 @@ def memory_patch(memory: DataFrame, updates: DataFrame) -> DataFrame:
     }).select(*memory.columns)
 
 
+def _with_every(left: DataFrame, right: DataFrame, by: str, rows: int = 4096) -> DataFrame:
+    """Each row of ``left`` with each of ``right``: ``left`` is dealt to as many parts as its rows ask for, ``right`` copied to each part."""
+    parts = max(1, -(-left.count() // rows))
+    dealt = left.withColumn("part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
+    return dealt.join(right.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), "part").drop("part")
+
+
 def visible(memory: DataFrame, identities: DataFrame) -> DataFrame:
     """Per row of ``identities`` (turn_id, user_id, decision) the memories it may see: active and approved, shared or its own.
 
@@ -98,7 +114,7 @@ def visible(memory: DataFrame, identities: DataFrame) -> DataFrame:
     owned ones.
     """
     usable = memory.filter("active and approved")
-    shared = identities.select("turn_id", "user_id").withColumn("k", F.lit(1)).join(usable.filter("owner_user_id is null").withColumn("k", F.lit(1)), "k").drop("k")
+    shared = _with_every(identities.select("turn_id", "user_id"), usable.filter("owner_user_id is null"), "turn_id")
     accepted = identities.filter("decision = 'accepted'").select("turn_id", "user_id")
     owned = accepted.join(usable.filter("owner_user_id is not null"), F.col("owner_user_id") == F.col("user_id"))
     return shared.unionByName(owned)
@@ -107,8 +123,7 @@ def visible(memory: DataFrame, identities: DataFrame) -> DataFrame:
 def memory_pool(memory: DataFrame, users: DataFrame) -> DataFrame:
     """(user_id, pool, ...): shared rows, which every user has in the slot pool, and the user's own by tier; active and approved."""
     usable = memory.filter("active and approved")
-    k = F.lit(1)
-    shared = users.select("user_id").withColumn("k", k).join(usable.filter("owner_user_id is null").withColumn("k", k), "k").drop("k").withColumn("pool", F.lit("slot"))
+    shared = _with_every(users.select("user_id"), usable.filter("owner_user_id is null"), "user_id").withColumn("pool", F.lit("slot"))
     owned = users.select("user_id").join(usable, F.col("owner_user_id") == F.col("user_id")).withColumn("pool", F.coalesce("tier", F.lit("hot")))
     return shared.unionByName(owned)
 
@@ -156,22 +171,39 @@ def hybrid_score(query: Column, vector: Column | None, text: Column, probe: Colu
     return F.when(vector.isNotNull() & embedding.isNotNull(), both).otherwise(lexical)
 
 
+def _near_probes(p: DataFrame, m: DataFrame, similarity: float) -> DataFrame:
+    """(prop_id, chunk_id, created_at, similarity): of the owner's rows ``m`` the most similar to each proposal, the newer of equals."""
+    schema = "prop_id long, chunk_id long, created_at long, similarity double"
+
+    def nearest(x: pa.Table, y: pa.Table) -> pa.Table:
+        width = widest(x["p_vec"], y["embedding"])
+        length = lambda c: np.array([len(v) for v in c.to_pylist()])
+        a, b = matrix(x["p_vec"], width), matrix(y["embedding"], width)
+        size = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None]
+        scores = np.divide(a @ b.T, size, out=np.zeros_like(size), where=(size > 0) & (length(x["p_vec"])[:, None] == length(y["embedding"])[None]))
+        row, column = best_in_rows(scores, 1, 1e-9)
+        keep = scores[row, column] >= similarity
+        row, column = row[keep], column[keep]
+        return made(schema, x["prop_id"].to_numpy()[row], y["chunk_id"].to_numpy()[column], y["created_at"].to_numpy()[column], scores[row, column])
+
+    return scored_in_blocks(p.filter("p_vec is not null"), m.filter("embedding is not null"), ("prop_id", "chunk_id"), nearest, schema, "owner_user_id")
+
+
 def candidates_join(new: DataFrame, memory: DataFrame, similarity: float = 0.90, newest: int = 200) -> DataFrame:
     """(prop_id, chunk_id, how): for each proposal (prop_id, owner_user_id, slot_key, text, embedding) the one memory it matches.
 
     Same text before same slot key before a probe of that similarity among the owner's newest; of equals the more similar,
-    then the newer. Three equi-joins on the owner.
+    then the newer. Two equi-joins, and a matrix product for each owner's probes; only its best row leaves a block.
     """
     p = new.select("prop_id", "owner_user_id", F.col("slot_key").alias("p_key"), F.col("text").alias("p_text"), F.col("embedding").alias("p_vec"))
     m = memory.filter("active").select("owner_user_id", "chunk_id", "slot_key", "text", "embedding", "created_at")
-    out = ["prop_id", "chunk_id", "created_at"]
-    by_text = p.join(m, (p["owner_user_id"] == m["owner_user_id"]) & (F.col("p_text") == F.col("text"))).select(*out, F.lit(0).alias("rank"), F.lit(1.0).alias("similarity"))
-    by_key = p.join(m, (p["owner_user_id"] == m["owner_user_id"]) & (F.col("p_key") == F.col("slot_key"))).select(*out, F.lit(1).alias("rank"), F.lit(1.0).alias("similarity"))
-    few = newest_candidates(m, newest)
-    near = p.join(few, "owner_user_id").withColumn("similarity", cosine(F.col("p_vec"), F.col("embedding"))).filter(F.col("similarity") >= similarity).select(*out, F.lit(2).alias("rank"), "similarity")
-    w = Window.partitionBy("prop_id").orderBy("rank", F.desc("similarity"), F.desc("created_at"), F.desc("chunk_id"))
-    found = by_text.unionByName(by_key).unionByName(near).withColumn("r", F.row_number().over(w)).filter("r = 1")
-    return found.select("prop_id", "chunk_id", F.element_at(F.array(F.lit("text"), F.lit("slot_key"), F.lit("probe")), F.col("rank") + 1).alias("how"))
+    newest_of = lambda c: m.groupBy("owner_user_id", F.col(c).alias("same")).agg(F.max(F.struct("created_at", "chunk_id")).alias("b"))
+    alike = lambda c, of, rank: p.withColumn("same", F.col(c)).join(newest_of(of), ["owner_user_id", "same"]).select("prop_id", F.lit(rank).alias("rank"), F.lit(1.0).alias("similarity"), "b.created_at", "b.chunk_id")
+    few = newest_candidates(m, newest).select("owner_user_id", "chunk_id", "created_at", "embedding")
+    near = _near_probes(p.select("prop_id", "owner_user_id", "p_vec"), few, similarity).select("prop_id", F.lit(2).alias("rank"), F.round("similarity", 9).alias("similarity"), "created_at", "chunk_id")
+    found = alike("p_text", "text", 0).unionByName(alike("p_key", "slot_key", 1)).unionByName(near)
+    best = found.groupBy("prop_id").agg(F.max(F.struct((-F.col("rank")).alias("first"), "similarity", "created_at", "chunk_id")).alias("b"))
+    return best.select("prop_id", "b.chunk_id", F.element_at(F.array(F.lit("text"), F.lit("slot_key"), F.lit("probe")), 1 - F.col("b.first")).alias("how"))
 
 
 def normalize_candidate(raw: DataFrame, s: MemorySettings = MemorySettings()) -> DataFrame:
@@ -218,24 +250,77 @@ def lexical_retrieve(visible_rows: DataFrame, limit: int = 4) -> DataFrame:
     return select_relevant(scored, -1.0, limit, "turn_id")
 
 
-def recall(turns: DataFrame, pool: DataFrame, s: MemorySettings = MemorySettings(), basics: int = 4) -> DataFrame:
-    """(turn_id, chunk_id, tier, score, source): what each turn (turn_id, user_id, input_text) gets to see, lexical path.
+def _hashed(terms: Column) -> Column:
+    """Terms as 64-bit hashes: a fraction of the bytes to deal."""
+    return F.transform(terms, lambda t: F.xxhash64(t))
+
 
-    Every question of a turn is scored against every pool of ``memory_pool``; rows that reach the floor of their pool count
-    with their best score. The user's highest slot rows come first as basics and are not charged; of the matched the best
-    ``inject_top_n`` stay.
+def _lexical_best(questions: DataFrame, rows: DataFrame, keep: int, floors: dict[str, float] | None, key: str | None = None) -> DataFrame:
+    """(turn_id, chunk_id, pool, score): each turn's ``keep`` best of all ``rows`` (chunk_id, pool, t, p), of its ``key`` where there is one.
+
+    ``questions`` (turn_id, q) are several to a turn. A row scores as the better of its two term lists does with the turn's
+    best question. Blocks of both sides meet as matrices of terms; what reaches no floor never leaves them.
+    """
+    schema = "turn_id long, chunk_id long, pool string, score double"
+
+    def best(x: pa.Table, y: pa.Table) -> pa.Table:
+        turns, asked = x["turn_id"].to_numpy(), x["q"].to_pylist()
+        order = np.argsort(turns, kind="stable")
+        turns, first = np.unique(turns[order], return_index=True)
+        asked = [asked[i] for i in order]
+        scores = term_jaccards(asked, y["t"].to_pylist())
+        if "p" in y.column_names:
+            scores = np.maximum(scores, term_jaccards(asked, y["p"].to_pylist()))
+        scores = np.maximum.reduceat(scores, first, axis=0)
+        pools = y["pool"].to_pylist()
+        if floors is not None:
+            scores[scores < np.array([floors.get(p, floors["hot"]) for p in pools])[None]] = -1
+        by_id = np.argsort(y["chunk_id"].to_numpy(), kind="stable")
+        row, column = best_in_rows(scores[:, by_id], keep)
+        column = by_id[column]
+        kept = scores[row, column] >= 0
+        row, column = row[kept], column[kept]
+        place = np.lexsort((y["chunk_id"].to_numpy()[column], -scores[row, column], row))
+        row, column = row[place], column[place]
+        begin = np.searchsorted(row, row)
+        some = np.arange(len(row)) - begin < keep
+        row, column = row[some], column[some]
+        return made(schema, turns[row], y["chunk_id"].to_numpy()[column], [pools[j] for j in column], scores[row, column])
+
+    return scored_in_blocks(questions, rows, ("turn_id", "chunk_id"), best, schema, key, (1024, 1024))
+
+
+def lexical_search(turns: DataFrame, memory: DataFrame, limit: int = 4) -> DataFrame:
+    """``lexical_retrieve`` of what ``visible`` gives each turn (turn_id, user_id, decision, query), without making its pairs: (turn_id, chunk_id, score)."""
+    usable = memory.filter("active and approved").select("owner_user_id", "chunk_id", F.lit("hot").alias("pool"), _hashed(lexical_terms(F.coalesce("text", F.lit("")))).alias("t"))
+    asked = turns.select("turn_id", "user_id", "decision", _hashed(lexical_terms(F.coalesce("query", F.lit("")))).alias("q"))
+    shared = _lexical_best(asked.select("turn_id", "q"), usable.filter("owner_user_id is null").drop("owner_user_id"), limit, None)
+    owned = _lexical_best(asked.filter("decision = 'accepted'").select("turn_id", "user_id", "q"), usable.withColumnRenamed("owner_user_id", "user_id"), limit, None, "user_id")
+    return select_relevant(shared.unionByName(owned), -1.0, limit, "turn_id").select("turn_id", "chunk_id", "score")
+
+
+def recall(turns: DataFrame, memory: DataFrame, s: MemorySettings = MemorySettings(), basics: int = 4) -> DataFrame:
+    """(turn_id, chunk_id, pool, score, source): what each turn (turn_id, user_id, input_text) gets to see, lexical path.
+
+    Every question of a turn is scored against the rows that ``memory_pool`` gives its user; rows that reach the floor of
+    their pool count with their best score. The user's highest slot rows come first as basics and are not charged; of the
+    matched the best ``inject_top_n`` stay. Terms are taken once for each row; pairs are scored in blocks and never made.
     """
     from ..functions.text import split_queries
 
-    questions = turns.select("turn_id", "user_id", F.explode(split_queries(F.col("input_text"))).alias("question")).withColumn("q", lexical_terms(F.col("question")))
-    terms = pool.select("user_id", "chunk_id", "pool", lexical_terms(F.coalesce("text", F.lit(""))).alias("t"), lexical_terms(F.coalesce("probe", F.lit(""))).alias("p"))
-    scored = questions.join(terms, "user_id").select("turn_id", "chunk_id", "pool", F.greatest(term_jaccard(F.col("q"), F.col("t")), term_jaccard(F.col("q"), F.col("p"))).alias("score"))
-    floor = F.when(F.col("pool") == "cold", s.cold_floor).otherwise(s.relevance_floor)
-    best = scored.filter(F.col("score") >= floor).groupBy("turn_id", "chunk_id", "pool").agg(F.max("score").alias("score"))
+    questions = turns.select("turn_id", "user_id", F.explode(split_queries(F.col("input_text"))).alias("question")).select("turn_id", "user_id", _hashed(lexical_terms(F.col("question"))).alias("q"))
+    usable = memory.filter("active and approved").withColumn("pool", F.when(F.col("owner_user_id").isNull(), "slot").otherwise(F.coalesce("tier", F.lit("hot"))))
+    terms = lambda c: _hashed(lexical_terms(F.coalesce(c, F.lit(""))))
+    rows = usable.select("owner_user_id", "chunk_id", "pool", terms("text").alias("t"), terms("probe").alias("p"))
+    floors = {"slot": s.relevance_floor, "hot": s.relevance_floor, "cold": s.cold_floor}
+    shared = _lexical_best(questions.select("turn_id", "q"), rows.filter("owner_user_id is null").drop("owner_user_id"), s.inject_top_n, floors)
+    owned = _lexical_best(questions, rows.withColumnRenamed("owner_user_id", "user_id"), s.inject_top_n, floors, "user_id")
+    best = shared.unionByName(owned).groupBy("turn_id", "chunk_id", "pool").agg(F.max("score").alias("score"))
     w = Window.partitionBy("turn_id").orderBy(F.desc("score"), "chunk_id")
     matched = best.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= s.inject_top_n).drop("r").withColumn("source", F.lit("matched"))
-    slot = pool.filter("pool = 'slot' and owner_user_id is not null").withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("importance"), "chunk_id"))).filter(F.col("r") <= basics)
-    first = turns.select("turn_id", "user_id").join(slot.select("user_id", "chunk_id", "pool"), "user_id").select("turn_id", "chunk_id", "pool", F.lit(None).cast("double").alias("score"), F.lit("basic").alias("source"))
+    own = Window.partitionBy("owner_user_id").orderBy(F.desc("importance"), "chunk_id")
+    slot = usable.filter("pool = 'slot' and owner_user_id is not null").select("owner_user_id", "chunk_id", "pool", F.row_number().over(own).alias("r")).filter(F.col("r") <= basics)
+    first = turns.select("turn_id", F.col("user_id").alias("owner_user_id")).join(slot, "owner_user_id").select("turn_id", "chunk_id", "pool", F.lit(None).cast("double").alias("score"), F.lit("basic").alias("source"))
     both = first.unionByName(matched.select("turn_id", "chunk_id", "pool", "score", "source"))
     order = Window.partitionBy("turn_id", "chunk_id").orderBy(F.when(F.col("source") == "basic", 0).otherwise(1))
     return both.withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r")
@@ -249,8 +334,6 @@ def duplicate_groups(memory: DataFrame, similarity: float = 0.90, newest: int =
     rows = newest_candidates(memory.filter("active and embedding is not null and owner_user_id is not null"), newest)
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
         pdf = pdf.sort_values(["created_at", "chunk_id"], ascending=False)
         vectors = np.stack(pdf["embedding"].to_numpy()).astype(float)
         size = np.linalg.norm(vectors, axis=1)
@@ -300,52 +383,142 @@ def safety_memories(turns: DataFrame, plans: list[tuple[tuple[str, ...], str, st
     )
 
 
-def upsert_memories(proposals: DataFrame, memory: DataFrame, now: int, s: MemorySettings = MemorySettings(), newest: int = 200) -> DataFrame:
-    """The rows of ``memory`` that ``proposals`` change or add, with ``action`` (inserted, merged).
+UPSERTS = "owner_user_id long, chunk_id long, slot_key string, text string, probe string, importance double, approved boolean, embedding array<float>, action string"
+
+
+class _OwnMemories:
+    """The rows of one owner that proposals may meet, in order of their insertion; proposals change and add rows."""
+
+    def __init__(self, s: MemorySettings, single_valued: Collection[str], newest: int, now: int):
+        self.s, self.single_valued, self.newest, self.now = s, single_valued, newest, now
+        self.rows: list[dict] = []
+        self.by_text: dict[str, list[int]] = {}
+        self.by_key: dict[str, list[int]] = {}
+        self.changed: dict[int, str] = {}
+
+    def add(self, row: dict) -> int:
+        at = len(self.rows)
+        self.rows.append(row | {"unit": _unit(row["embedding"])})
+        self.by_text.setdefault(row["text"], []).append(at)
+        if row["slot_key"]:
+            self.by_key.setdefault(row["slot_key"], []).append(at)
+        return at
+
+    def _with(self, index: dict, column: str, value) -> list[int]:
+        return sorted({i for i in index.get(value, ()) if self.rows[i][column] == value}) if value else []
+
+    def _near(self, vector) -> list[int]:
+        """Rows whose probe is about the same, among the newest that have a vector, newest first."""
+        if vector is None or self.s.merge_similarity > 1:
+            return []
+        some = sorted((i for i, r in enumerate(self.rows) if r["unit"] is not None), key=lambda i: (-self.rows[i]["created_at"], i))[: self.newest]
+        return [i for i in some if len(self.rows[i]["unit"]) == len(vector) and float(self.rows[i]["unit"] @ vector) >= self.s.merge_similarity]
+
+    def _same_fact(self, p: dict, i: int) -> bool:
+        a, b = _unit(p.get("statement_vec")), _unit(self.rows[i].get("statement_vec"))
+        if a is None or b is None:
+            return " ".join(p["text"].split()) == " ".join(self.rows[i]["text"].split())
+        return len(a) == len(b) and float(a @ b) >= self.s.statement_similarity
+
+    def match(self, p: dict) -> tuple[int | None, str]:
+        key = p["slot_key"]
+        texts, keys = self._with(self.by_text, "text", p["text"]), self._with(self.by_key, "slot_key", key)
+        if texts:
+            same_key = [i for i in keys if self.rows[i]["text"] == p["text"]]
+            return (same_key or texts)[0], "updated"
+        if key in self.single_valued and keys:
+            return keys[0], "updated"
+        candidates = dict.fromkeys([*keys, *self._near(_unit(p["embedding"]))])
+        return next(((i, "merged") for i in candidates if self._same_fact(p, i)), (None, "inserted"))
+
+    def apply(self, p: dict) -> None:
+        p = p | {"slot_key": p["slot_key"] or None, "probe": p["probe"] or p["text"]}
+        at, action = self.match(p)
+        if at is None:
+            kept = {k: p.get(k) for k in ("owner_user_id", "slot_key", "text", "probe", "importance", "approved", "embedding", "statement_vec")}
+            at = self.add(kept | {"chunk_id": -int(p["prop_id"]), "created_at": self.now})
+            self.changed[at] = "inserted"
+            return
+        row = self.rows[at]
+        verified = bool(row["approved"]) and not p["approved"]
+        if not verified:
+            if p["embedding"] is not None or p["probe"] != row["probe"]:
+                row |= {"embedding": p["embedding"], "unit": _unit(p["embedding"])}
+            row |= {"text": p["text"], "probe": p["probe"], "statement_vec": p.get("statement_vec")}
+            self.by_text.setdefault(p["text"], []).append(at)
+        if p["slot_key"]:
+            row["slot_key"] = p["slot_key"]
+            self.by_key.setdefault(p["slot_key"], []).append(at)
+        row["importance"], row["approved"] = max(row["importance"] or 0.0, p["importance"]), bool(row["approved"] or p["approved"])
+        self.changed.setdefault(at, action)
+
+    def out(self) -> Iterator[tuple]:
+        for at, action in sorted(self.changed.items()):
+            yield *(self.rows[at][x.split()[0]] for x in UPSERTS.split(", ")[:-1]), action
+
+
+def _unit(v) -> np.ndarray | None:
+    """A vector scaled to length 1; null for none or an empty one, zeros stay."""
+    if v is None or not len(v):
+        return None
+    v = np.asarray([0.0 if x is None else x for x in v])
+    size = np.linalg.norm(v)
+    return v / size if size else v
+
+
+def upsert_memories(proposals: DataFrame, memory: DataFrame, now: int, s: MemorySettings = MemorySettings(), newest: int = 200, single_valued: Collection[str] = SINGLE_VALUED) -> DataFrame:
+    """The rows of ``memory`` that ``proposals`` change or add, with ``action`` (inserted, updated, merged: of the first that did).
 
     Proposals (prop_id, owner_user_id, ord, slot_key, text, probe, importance, approved, embedding) of an owner apply in order
-    and see one another. One merges into the active memory with the same text, else the same slot key, else the most similar
-    probe from ``statement_similarity`` on, among the owner's newest; otherwise it is a new memory, its id the negative of
-    prop_id. A merge keeps the larger importance, never takes approval back, keeps an approved text against one that is not,
-    and takes the vector of the probe it keeps. At most ``newest`` memories of an owner are looked at.
+    and see one another. One updates the owner's active memory with the same text, else, if its slot key is one of
+    ``single_valued``, the memory with that key. Otherwise it merges into the first of those with the same key, then of the
+    ``newest`` with a vector those whose probe reaches ``merge_similarity``, that states the same fact: by the cosine of
+    ``statement_vec`` from ``statement_similarity`` on where both have that column, else by the words. What is left is a new
+    memory, its id the negative of prop_id. A change keeps the larger importance, never takes approval back, takes the slot
+    key if there is one, and keeps an approved text, probe and vector against a proposal that is not; a vector goes when its
+    probe does. Rows without owner take no part.
+
+    An owner's proposals are one task's work, for each sees those before; only memories that they may meet are held, those
+    with a text or slot key of theirs and as many of the newest as they can reach.
     """
-    import numpy as np
-
-    few = newest_candidates(memory.filter("active and owner_user_id is not null"), newest).select("owner_user_id", "chunk_id", "slot_key", "text", "probe", "importance", "approved", "created_at", "embedding")
-
-    def similar(a, b) -> float:
-        if a is None or b is None or len(a) != len(b):
-            return 0.0
-        a, b = np.asarray(a, float), np.asarray(b, float)
-        size = np.linalg.norm(a) * np.linalg.norm(b)
-        return float(a @ b / size) if size else 0.0
-
-    def apply(key, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        rows = old.sort_values(["created_at", "chunk_id"], ascending=False).to_dict("records")
-        changed: dict[int, str] = {}
-        for p in new.sort_values(["ord", "prop_id"]).to_dict("records"):
-            hit = next((r for r in rows if r["text"] == p["text"]), None)
-            if hit is None and isinstance(p["slot_key"], str):
-                hit = next((r for r in rows if r["slot_key"] == p["slot_key"]), None)
-            if hit is None:
-                scored = [(similar(r["embedding"], p["embedding"]), -i, r) for i, r in enumerate(rows)]
-                best = max(scored, key=lambda x: x[:2], default=(0.0, 0, None))
-                hit = best[2] if best[0] >= s.statement_similarity else None
-            if hit is None:
-                row = {k: p[k] for k in ("slot_key", "text", "probe", "importance", "approved", "embedding")} | {"owner_user_id": p["owner_user_id"], "chunk_id": -int(p["prop_id"]), "created_at": now}
-                rows.insert(0, row)
-                changed[row["chunk_id"]] = "inserted"
-                continue
-            if not (hit["approved"] and not p["approved"]):
-                hit |= {"text": p["text"], "probe": p["probe"], "embedding": p["embedding"]}
-            hit["importance"], hit["approved"] = max(hit["importance"], p["importance"]), bool(hit["approved"] or p["approved"])
-            changed.setdefault(hit["chunk_id"], "merged")
-        out = [r | {"action": changed[r["chunk_id"]]} for r in rows if r["chunk_id"] in changed]
-        return pd.DataFrame(out, columns=["owner_user_id", "chunk_id", "slot_key", "text", "probe", "importance", "approved", "embedding", "action"])
-
-    wanted = few.join(proposals.select("owner_user_id").distinct(), "owner_user_id", "left_semi")
-    schema = "owner_user_id long, chunk_id long, slot_key string, text string, probe string, importance double, approved boolean, embedding array<float>, action string"
-    return proposals.groupBy("owner_user_id").cogroup(wanted.groupBy("owner_user_id")).applyInPandas(apply, schema)
+    vec = "statement_vec"
+    with_vec = lambda df: df if vec in df.columns else df.withColumn(vec, F.lit(None).cast("array<float>"))
+    fields = ["owner_user_id", "slot_key", "text", "probe", "importance", "approved", "embedding", vec]
+    new = with_vec(proposals).filter("owner_user_id is not null and text is not null").select(*fields, "prop_id", "ord")
+    old = with_vec(memory).filter("active and owner_user_id is not null").select(*fields, "chunk_id", "created_at")
+    owners = new.groupBy("owner_user_id").agg(F.count("*").alias("asked"))
+    w = Window.partitionBy("owner_user_id").orderBy(F.desc("created_at"), "chunk_id")
+    recent = old.filter("embedding is not null").join(owners, "owner_user_id").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= newest + F.col("asked")).select("chunk_id")
+    same = lambda c: old.join(new.select("owner_user_id", c).distinct(), ["owner_user_id", c], "left_semi").select("chunk_id")
+    met = old.join(recent.union(same("text")).union(same("slot_key")).distinct(), "chunk_id", "left_semi")
+    nothing = F.lit(None).cast("long")
+    rows = met.select(F.lit(0).alias("phase"), F.col("created_at").alias("o1"), F.col("chunk_id").alias("o2"), *fields, "chunk_id", "created_at", nothing.alias("prop_id")).unionByName(
+        new.select(F.lit(1).alias("phase"), F.col("ord").cast("long").alias("o1"), F.col("prop_id").alias("o2"), *fields, nothing.alias("chunk_id"), nothing.alias("created_at"), "prop_id")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.bool_(), pa.list_(pa.float32()), pa.string()]
+        names = [x.split()[0] for x in UPSERTS.split(", ")]
+        owner, state = None, None
+
+        def done(found: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*found, strict=True)) if found else [()] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["owner_user_id"] != owner:
+                    if state is not None:
+                        yield done(list(state.out()))
+                    owner, state = row["owner_user_id"], _OwnMemories(s, single_valued, newest, now)
+                if row["phase"]:
+                    state.apply(row)
+                else:
+                    state.add(row)
+        if state is not None:
+            yield done(list(state.out()))
+
+    return rows.repartition("owner_user_id").sortWithinPartitions("owner_user_id", "phase", "o1", "o2").mapInArrow(run, UPSERTS)
 
 
 def apply_turn(memory: DataFrame, used: DataFrame, proposals: DataFrame, now: int, s: MemorySettings = MemorySettings()) -> tuple[DataFrame, DataFrame]:
@@ -353,7 +526,7 @@ def apply_turn(memory: DataFrame, used: DataFrame, proposals: DataFrame, now: in
     hit = apply_hits(memory, used, now)
     changes = upsert_memories(proposals, hit, now, s)
     fields = ("slot_key", "text", "probe", "importance", "approved", "embedding")
-    merged = changes.filter("action = 'merged'").select("chunk_id", F.struct(*fields).alias("new"))
+    merged = changes.filter("action <> 'inserted'").select("chunk_id", F.struct(*fields).alias("new"))
     old = hit.join(merged, "chunk_id", "left").withColumns({c: F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(c)) for c in fields}).drop("new")
     added = changes.filter("action = 'inserted'").withColumns({"tier": F.lit("hot"), "hits": F.lit(0), "created_at": F.lit(now), "last_hit_at": F.lit(None), "active": F.lit(True)})
     whole = old.unionByName(added.select(*(F.col(c).cast(memory.schema[c].dataType) for c in memory.columns)))

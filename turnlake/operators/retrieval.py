@@ -12,20 +12,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import lexical_terms, split_queries, term_jaccard
-from ..functions.vectors import dot
+from .blocks import best_in_rows, made, matrix, scored_in_blocks, widest
 
 
-def brute_force_topk(queries: DataFrame, chunks: DataFrame, k: int = 20, blocks: int = 16) -> DataFrame:
+def brute_force_topk(queries: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, chunk_id, score, rank): the ``k`` largest inner products of each query vector with all chunks.
 
-    The stated queries meet the chunks in ``blocks`` blocks: chunks are dealt to blocks and queries copied to each, so chunks
-    are never copied, and each block keeps its own ``k`` before they are merged. Scores are rounded to 6 places; ties go to
-    the smaller id.
+    The stated queries meet the chunks in blocks that are counted from the rows; a block is one matrix product, of which each
+    query's best ``k`` leave it. Scores are rounded to 6 places; ties go to the smaller id. Missing components count as 0,
+    rows without a vector take no part.
     """
-    dealt = chunks.withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)))
-    asked = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("long"))
-    scored = dealt.select("block", "chunk_id", F.col("embedding").alias("c")).join(asked.select("block", "query_id", F.col("embedding").alias("q")), "block")
-    scored = scored.select("query_id", "chunk_id", F.round(dot(F.col("q"), F.col("c")), 6).alias("score"))
+    schema = "query_id long, chunk_id long, score double"
+
+    def best(x: pa.Table, y: pa.Table) -> pa.Table:
+        width = widest(x["embedding"], y["embedding"])
+        scores = matrix(x["embedding"], width) @ matrix(y["embedding"], width).T
+        row, column = best_in_rows(scores, k, 1e-6)  # all that may tie once rounded
+        return made(schema, x["query_id"].to_numpy()[row], y["chunk_id"].to_numpy()[column], scores[row, column])
+
+    asked = queries.filter("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), "embedding")
+    rows = chunks.filter("embedding is not null").select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding")
+    scored = scored_in_blocks(asked, rows, ("query_id", "chunk_id"), best, schema).withColumn("score", F.round("score", 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -53,6 +60,26 @@ def rank(questions: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("whole").alias("query_id"), "chunk_id", "score", "rank")
 
 
+def rank_hybrid(questions: DataFrame, chunks: DataFrame, k: int = 20, pool: int = 20) -> DataFrame:
+    """(query_id, chunk_id, score, rank): each question's ``pool`` nearest chunks by vector, scored anew by vector and words, the best ``k``.
+
+    ``questions`` (query_id, question, embedding), ``chunks`` (chunk_id, text, embedding). Chunks without a vector are ranked
+    by their words, as all are for a question without one (``rank``). Only pooled pairs get to see texts.
+    """
+    from .memory import hybrid_score
+
+    asked = questions.select(F.col("query_id").cast("long").alias("query_id"), "question", F.col("embedding").alias("vector"))
+    rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "text", "embedding")
+    near = brute_force_topk(asked.withColumnRenamed("vector", "embedding"), rows, pool).select("query_id", "chunk_id")
+    text = F.coalesce("text", F.lit(""))
+    scored = near.join(asked, "query_id").join(rows, "chunk_id").select("query_id", "chunk_id", hybrid_score(F.coalesce("question", F.lit("")), F.col("vector"), text, text, F.col("embedding")).alias("score"))
+    plain = rank_all(asked.filter("vector is null").select("query_id", "question"), rows.select("chunk_id", "text"), k)
+    bare = rank_all(asked.filter("vector is not null").select("query_id", "question"), rows.filter("embedding is null").select("chunk_id", "text"), k)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    both = scored.unionByName(plain.select("query_id", "chunk_id", "score")).unionByName(bare.select("query_id", "chunk_id", "score"))
+    return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def document_chunks(documents: DataFrame, max_chars: int = 600) -> DataFrame:
     """(doc_id, chunk_id, text): each text, whole, in chunks of at most ``max_chars`` characters that end before white space where they can.
 
