@@ -68,7 +68,7 @@ def strip_markup(text: Column) -> Column:
 def split_speech(text: Column, longest: int = 48) -> Column:
     """Speakable pieces: sentences, those that are too long cut at the last soft break that is not too early, else hard."""
     plain = F.trim(F.regexp_replace(strip_markup(text), r"(?U)\s+", " "))
-    parts = F.transform(F.regexp_extract_all(plain, F.lit(f"([^{TERMINATORS}]+[{TERMINATORS}]?)"), 1), F.trim)
+    parts = F.transform(F.regexp_extract_all(plain, F.lit(f"([^{TERMINATORS}]+[{TERMINATORS}]?)"), 1), lambda s: F.trim(s))
     floor = max(6, longest // 3)
 
     def cut(part: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -127,7 +127,7 @@ def _fold(pieces: Column, size: int, joint: str) -> Column:
 
 def split_windows(text: Column, size: int = 90, limit: int = 8) -> Column:
     """Windows of whole sentences of at most ``size`` characters, the first ``limit``; a longer sentence is a window."""
-    sentences = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), SENTENCE_END), F.trim), lambda s: s != "")
+    sentences = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), SENTENCE_END), lambda s: F.trim(s)), lambda s: s != "")
     return F.slice(_fold(sentences, size, ""), 1, limit)
 
 
@@ -173,6 +173,42 @@ def replace_document(catalog: DataFrame, chunks: DataFrame, new_docs: DataFrame,
     return docs, chunks.join(ids, "doc_id", "left_anti").unionByName(named.select(*chunks.columns))
 
 
+def import_corpus(docs: DataFrame, profiles: DataFrame, catalog: DataFrame, chunks: DataFrame, cleaner_version: int, force: bool = False, embed: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(catalog, chunks, report) after an import of ``docs`` (doc_id, path, sha256, text).
+
+    ``report`` has a status for each document: refused without a profile, skipped if the catalog has it as it is (unless
+    ``force``), else imported. ``profiles`` are rows of ``read_profiles`` with ``ord``, a short list: its rows are collected,
+    and each cleans and chunks its own documents. ``embed`` adds the vectors of ``text`` to new chunks. Chunks and catalog
+    keep the columns that they have; new chunks offer doc_id, ord, chunk_id, page, kind, section_path, text, source_id,
+    windows, hits, embedding.
+    """
+    placed = profile_for(docs.select("doc_id", "path"), profiles)
+    stale = needs_import(docs.select("doc_id", "sha256").withColumn("cleaner_version", F.lit(cleaner_version)), catalog).select("doc_id", F.lit(True).alias("stale"))
+    known = placed.select("doc_id", "profile", "refused").join(stale, "doc_id", "left")
+    report = known.select("doc_id", "profile", F.when(F.col("refused"), "refused").when(F.lit(force) | F.col("stale"), "imported").otherwise("skipped").alias("status"))
+    new = docs.join(report.filter("status = 'imported'").select("doc_id", "profile"), "doc_id")
+    lines = new.select("doc_id", "profile", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    found = None
+    for p in profiles.orderBy("ord").collect():
+        made, _ = chunk_corpus(
+            lines.filter(F.col("profile") == p["ord"]).drop("profile"), p["keep_sections"], p["drop_sections"], default_kind=p["default_kind"], min_chars=p["min_chars"], max_chars=p["max_chars"],
+        )
+        made = made.withColumn("source_id", citation(F.col("section_path"), F.col("page"), p["doc"]))
+        found = made if found is None else found.unionByName(made)
+    report = report.select("doc_id", "status")
+    if found is None:
+        return catalog, chunks, report
+    found = found.withColumn("windows", split_windows(F.col("text")))
+    if embed is not None:
+        found = embed(found)
+    for c in set(chunks.columns) - set(found.columns) - {"chunk_id", "hits"}:
+        found = found.withColumn(c, F.lit(None).cast(chunks.schema[c].dataType))
+    rows = new.withColumn("cleaner_version", F.lit(cleaner_version))
+    for c in set(catalog.columns) - set(rows.columns) - {"calibration_status"}:
+        rows = rows.withColumn(c, F.lit(None).cast(catalog.schema[c].dataType))
+    return *replace_document(catalog, chunks, rows.select(*(c for c in catalog.columns if c != "calibration_status")), found), report
+
+
 def delete_document(catalog: DataFrame, chunks: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     return catalog.join(ids, "doc_id", "left_anti"), chunks.join(ids, "doc_id", "left_anti")
 
@@ -214,12 +250,20 @@ def toc_pages(sections: DataFrame, toc: DataFrame) -> DataFrame:
     return sections.withColumn("n", n("start")).join(toc.withColumn("n", n("ord")).select("doc_id", "title", "n", F.col("page").alias("toc_page")), ["doc_id", "title", "n"], "left").drop("n")
 
 
-def coverage_check(source: DataFrame, output: DataFrame) -> DataFrame:
-    """(class, kept, total) of source lines (doc_id, class, line) that the output (doc_id, text) holds, white space aside."""
+def coverage_check(source: DataFrame, output: DataFrame, part: int = 512) -> DataFrame:
+    """(class, kept, total) of source lines (doc_id, class, line) that the output (doc_id, text) holds, white space aside.
+
+    A document's text stands once beside every ``part`` of its different lines, not beside each line.
+    """
     bare = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
+    lines = source.select("doc_id", "class", bare("line").alias("bare")).filter("bare <> ''").groupBy("doc_id", "class", "bare").agg(F.count("*").alias("n"))
+    number = F.count("*").over(Window.partitionBy("doc_id"))
+    parts = lines.withColumn("part", F.pmod(F.xxhash64("class", "bare"), F.ceil(number / part)))
+    parts = parts.groupBy("doc_id", "part").agg(F.collect_list(F.struct("class", "bare", "n")).alias("lines"))
     out = output.select("doc_id", bare("text").alias("text"))
-    lines = source.withColumn("bare", bare("line")).filter("bare <> ''").join(out, "doc_id", "left")
-    return lines.groupBy("class").agg(F.count_if(F.contains(F.coalesce("text", F.lit("")), F.col("bare"))).alias("kept"), F.count("*").alias("total"))
+    held = F.transform("lines", lambda x: F.struct(x["class"].alias("class"), x["n"].alias("n"), F.contains(F.coalesce("text", F.lit("")), x["bare"]).alias("held")))
+    found = parts.join(out, "doc_id", "left").select(F.inline(held))
+    return found.groupBy("class").agg(F.coalesce(F.sum(F.when(F.col("held"), F.col("n"))), F.lit(0)).alias("kept"), F.sum("n").alias("total"))
 
 
 def running_heads(lines: DataFrame, band: float = 0.08, pages: int = 3, longest: int = 30) -> DataFrame:

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import commands as K
 from ..functions import dialogue as D
+from ..functions import hooks as H
+from ..functions.tables import register_tables
 from ..operators import corpus as C
-from ..session import table
+from ..operators.retrieval import export_matrix
+from ..session import scratch, table
+from ..sources import tables as S
 from .base import query
 from .fixtures import duck, view
 
@@ -19,6 +24,22 @@ _BLOCKS = f"bl AS (SELECT * FROM (SELECT doc_id, last_value(CASE WHEN {_LEVEL} I
 _SECTIONS = f"{_TREE}, {_BLOCKS}, b AS (SELECT doc_id, section_start, min(page) AS page, count(*) AS n_blocks, string_agg(text, ' ' ORDER BY pos) AS body FROM bl GROUP BY ALL), sections AS (SELECT b.doc_id, coalesce(section_start, -1) AS start, coalesce(CASE WHEN parent IS NOT NULL THEN parent || ' › ' || title ELSE title END, '前言') AS section_path, coalesce(title, '前言') AS title, parent, page, n_blocks, body FROM b LEFT JOIN tree t ON b.doc_id = t.doc_id AND b.section_start = t.start)"
 
 
+_SENTENCES = lambda t: f"regexp_extract_all({t}, '[^。！？；!?;]*[。！？；!?;]|[^。！？；!?;]+')"
+
+
+def _folded(pieces: str, size: int, joint: str) -> str:
+    """DuckDB SQL of a list of pieces joined greedily while they fit."""
+    step = f"CASE WHEN a.open <> '' AND length(a.open) + length(x.open) > {size} THEN {{'done': a.done || [a.open], 'open': x.open}} WHEN a.open = '' THEN {{'done': a.done, 'open': x.open}} ELSE {{'done': a.done, 'open': a.open || '{joint}' || x.open}} END"
+    one = f"list_reduce(list_transform({pieces}, lambda p: {{'done': CAST([] AS VARCHAR[]), 'open': p}}), lambda a, x: {step})"
+    return f"(CASE WHEN len({pieces}) = 0 THEN [] ELSE (SELECT CASE WHEN r.open <> '' THEN r.done || [r.open] ELSE r.done END FROM (SELECT {one} AS r)) END)"
+
+
+def _packed(size: int, where: str = "") -> str:
+    """DuckDB SQL of the chunks of all sections, or of those ``where`` joins: doc_id, start, ord, page, text."""
+    long_ = _folded(f"list_filter({_SENTENCES('text')}, lambda s: s <> '')", size, "")
+    return f"pieces AS (SELECT doc_id, coalesce(section_start, -1) AS start, pos, page, CASE WHEN length(text) > {size} THEN {long_} ELSE [text] END AS p FROM bl), runs AS (SELECT doc_id, start, page, min(pos) AS first, flatten(list(p ORDER BY pos)) AS p FROM pieces {where} GROUP BY doc_id, start, page), folded AS (SELECT doc_id, start, page, first, {_folded('p', size, ' ')} AS c FROM runs), flat AS (SELECT doc_id, start, page, first, generate_subscripts(c, 1) AS m, unnest(c) AS text FROM folded), packed AS (SELECT doc_id, start, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start, first, m) - 1 AS INT) AS ord, page, text FROM flat)"
+
+
 def lines(spark, sf):
     return view(spark, sf, "md_lines")
 
@@ -59,12 +80,15 @@ def citation(spark, sf):
     return C.sectionize(lines(spark, sf)).select("doc_id", "start", C.citation(F.col("section_path"), F.col("page"), "Manual").alias("citation"))
 
 
-@query("w16_pack_chunks")
+@query("w16_pack_chunks", duck(f"WITH {_SECTIONS}, {_packed(300)} SELECT doc_id, start, ord, page, text FROM packed", "md_lines"))
 def pack_chunks(spark, sf):
     return C.pack_chunks(C.sectionize(lines(spark, sf)), 300)
 
 
-@query("r02_chunk_corpus")
+_JUDGED = "judged AS (SELECT *, CASE WHEN contains(title, 'an') THEN 'drop_section' WHEN length(body) < 40 THEN 'too_short' END AS reason, CASE WHEN contains(title, 'en') OR contains(coalesce(parent, ''), 'en') THEN 'scenario' ELSE 'reference' END AS kind FROM sections)"
+
+
+@query("r02_chunk_corpus", duck(f"WITH {_SECTIONS}, {_JUDGED}, {_packed(600, 'JOIN (SELECT doc_id, start FROM judged WHERE reason IS NULL) USING (doc_id, start)')} SELECT doc_id, CAST(ord AS BIGINT) AS n, kind, section_path FROM packed JOIN judged USING (doc_id, start) UNION ALL SELECT doc_id, length(body), reason, section_path FROM judged WHERE reason IS NOT NULL", "md_lines"))
 def chunk_corpus(spark, sf):
     chunks, dropped = C.chunk_corpus(lines(spark, sf), drop=("an",), scenario=("en",))
     return chunks.select("doc_id", F.col("ord").cast("long").alias("n"), "kind", "section_path").unionByName(dropped.select("doc_id", F.col("chars").cast("long").alias("n"), F.col("reason").alias("kind"), "section_path"))
@@ -109,17 +133,20 @@ def page_report(spark, sf):
     return C.page_report(view(spark, sf, "ocr_lines")).withColumn("mean_width", F.round("mean_width", 6))
 
 
-@query("w14_paragraphs_from_lines")
+_PARAGRAPHS = "g AS (SELECT *, y - lag(y) OVER w AS gap, row_number() OVER w AS r FROM ocr_lines WINDOW w AS (PARTITION BY doc_id, page ORDER BY y, x)), us AS (SELECT doc_id, page, quantile_cont(gap, 0.5) AS usual, min(x) AS lft FROM g GROUP BY ALL), fl AS (SELECT g.*, CASE WHEN r = 1 OR x - lft > 9.6 OR gap > 1.35 * usual THEN 1 ELSE 0 END AS new FROM g JOIN us USING (doc_id, page)), pl AS (SELECT *, CAST(sum(new) OVER (PARTITION BY doc_id, page ORDER BY y, x) AS BIGINT) AS paragraph FROM fl), paragraphs AS (SELECT doc_id, page, paragraph, string_agg(text, '' ORDER BY y, x) AS text FROM pl GROUP BY ALL)"
+
+
+@query("w14_paragraphs_from_lines", duck(f"WITH {_PARAGRAPHS} SELECT doc_id, page, paragraph, text FROM paragraphs", "ocr_lines"))
 def paragraphs_from_lines(spark, sf):
     return C.paragraphs_from_lines(view(spark, sf, "ocr_lines"))
 
 
-@query("w13_carry_paragraph")
+@query("w13_carry_paragraph", duck(f"WITH {_PARAGRAPHS}, j AS (SELECT *, lag(page) OVER w AS last_page, lag(text) OVER w AS last_text FROM paragraphs WINDOW w AS (PARTITION BY doc_id ORDER BY page, paragraph)), b AS (SELECT *, CAST(sum(CASE WHEN last_page < page AND NOT regexp_matches(last_text, '[。！？.!?]\\s*$') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY page, paragraph) AS BIGINT) AS block FROM j) SELECT doc_id, block, min(page) AS page, string_agg(text, '' ORDER BY page, paragraph) AS text FROM b GROUP BY doc_id, block", "ocr_lines"))
 def carry_paragraph(spark, sf):
     return C.carry_paragraph(C.paragraphs_from_lines(view(spark, sf, "ocr_lines")))
 
 
-@query("f21_split_windows")
+@query("f21_split_windows", duck("WITH t AS (SELECT doc_id, list_filter(list_transform(" + _SENTENCES("regexp_replace(coalesce(text, ''), '\\.\\s*', '!', 'g')") + ", lambda s: trim(s)), lambda s: s <> '') AS s FROM documents) SELECT doc_id, " + _folded("s", 90, "") + "[1:8] AS windows FROM t"))
 def split_windows(spark, sf):
     text = F.regexp_replace("text", r"\.\s*", "!")
     return table(spark, sf, "documents").select("doc_id", C.split_windows(text).alias("windows"))
@@ -246,3 +273,130 @@ def acoustic_features(spark, sf):
     sample = F.round(F.col("rms") * 10 * F.when(F.col("arrival") % 3 == 0, 1).otherwise(-1)).cast("int")
     s = view(spark, sf, "frames").groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("arrival", sample.alias("x")))).alias("p")).withColumn("pcm", F.transform("p", lambda v: v["x"]))
     return s.withColumn("q", D.acoustic_features(F.col("pcm"))).select("session_id", F.round("q.mean", 4).alias("mean"), F.round("q.zero_crossing_rate", 6).alias("zero_crossing_rate"))
+
+
+_SAID = ("音量調到六十", "把亮度设为100%", "声音小一点", "屏幕调成夜间模式", "volume 35", "喇叭百分之三十到", "亮度最大", "聲音好像有問題", "音量一百二十到")
+_ASKED = {0: ("volume", "set", 60, None), 1: ("brightness", "set", 100, None), 2: ("volume", "step", -1, None), 3: ("theme", "set", None, "dark"), 4: ("volume", "set", 35, None), 5: ("volume", "set", 30, None), 6: ("brightness", "set", 100, None)}
+
+
+def _case(column: int) -> str:
+    return "CASE turn_id % 10 " + " ".join(f"WHEN {n} THEN {repr(row[column])}" for n, row in _ASKED.items() if row[column] is not None) + " END"
+
+
+@query("f24_device_command", duck(f"SELECT turn_id, {_case(0)} AS target, {_case(1)} AS kind, {_case(2)} AS level, {_case(3)} AS theme FROM turns", "turns"))
+def device_command(spark, sf):
+    said = F.element_at(F.array(*map(F.lit, _SAID), F.col("input_text")), (F.col("turn_id") % 10 + 1).cast("int"))
+    return view(spark, sf, "turns").withColumn("c", K.device_command(said)).select("turn_id", "c.target", "c.kind", "c.level", "c.theme")
+
+
+@query("f25_find_level", duck("SELECT event_id, CASE event_id % 5 WHEN 0 THEN CAST(event_id % 101 AS INT) WHEN 1 THEN CAST(nullif(event_id % 101, 100) AS INT) WHEN 2 THEN 7 END AS level FROM heartbeats", "heartbeats"))
+def find_level(spark, sf):
+    n, e = (F.col("event_id") % 101).cast("string"), F.col("event_id") % 5
+    text = (
+        F.when(e == 0, F.concat(F.lit('{"audio": {"Speaker_Volume": '), n, F.lit("}}"))).when(e == 1, F.concat(F.lit('{"note": "\\"volume\\": 5", "volume": true, "list": [{"level": 400}, {"level": '), n, F.lit(".9}]}")))
+        .when(e == 2, F.lit('{"volume": -3, "a": {"volume": 7, "level": 8}}')).when(e == 3, F.lit('{"volume": 5')).otherwise(F.col("props"))
+    )
+    return view(spark, sf, "heartbeats").select("event_id", K.find_level(text, "volume").alias("level"))
+
+
+@query("h04_split_queries", duck("WITH p AS (SELECT turn_id, list_filter(list_transform(regexp_split_to_array(input_text, '[？?！!。；;，,\\n\\r]+'), lambda p: trim(regexp_replace(p, '[\\s\\p{Z}]+', ' ', 'g'))), lambda p: p <> '') AS x FROM turns), q AS (SELECT turn_id, CASE WHEN len(x) > 8 THEN x[1:7] || [array_to_string(x[8:], '，')] ELSE x END AS x FROM p) SELECT turn_id, CAST(generate_subscripts(x, 1) - 1 AS INT) AS part, unnest(x) AS question FROM q", "turns"))
+def split_queries_table(spark, sf):
+    register_tables(spark)
+    return spark.sql("SELECT turn_id, q.part, q.question FROM {turns}, LATERAL split_queries(input_text) q", turns=view(spark, sf, "turns"))
+
+
+@query("h04_bigrams", duck("WITH x AS (SELECT turn_id, regexp_replace(lower(input_text), '[^\\p{L}\\p{N}\\p{M}]+', '', 'g') AS x FROM turns) SELECT DISTINCT turn_id, substr(x, i, 2) AS bigram FROM x, LATERAL (SELECT unnest(generate_series(1, greatest(length(x) - 1, 1))) AS i) WHERE x <> ''", "turns"))
+def bigrams_table(spark, sf):
+    register_tables(spark)
+    return spark.sql("SELECT turn_id, b.bigram FROM {turns}, LATERAL bigrams(input_text) b", turns=view(spark, sf, "turns"))
+
+
+_IMPORT = "SELECT d.doc_id, CASE WHEN NOT (lang = 'fr' OR contains(source, 'src1') OR contains(source, 'src2')) THEN 'refused' WHEN d.doc_id % 5 = 0 OR d.doc_id % 3 = 0 THEN 'imported' ELSE 'skipped' END AS status FROM documents d"
+
+
+def imported(spark, sf):
+    d, c = catalog(spark, sf)
+    docs = paths(spark, sf).join(d.select("doc_id", "sha256"), "doc_id").join(table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id")
+    rows = [(0, "src1", "", [], [], 1, 600, "reference"), (1, "src2", "", [], [], 1, 300, "reference"), (2, "", "fr/*.md", [], [], 1, 900, "scenario")]
+    profiles = spark.createDataFrame(rows, "ord int, doc string, path_glob string, keep_sections array<string>, drop_sections array<string>, min_chars int, max_chars int, default_kind string")
+    old = c.select("doc_id", F.format_string("%s#0000", F.col("doc_id").cast("string")).alias("chunk_id"), F.lit("old").alias("text"), F.lit("old").alias("kind"))
+    return C.import_corpus(docs, profiles, c, old, 1)
+
+
+@query("r03_import_corpus", duck(_IMPORT))
+def import_corpus(spark, sf):
+    return imported(spark, sf)[2]
+
+
+@query("r03_import_counts", duck(f"WITH s AS ({_IMPORT}), k AS (SELECT s.doc_id, status, CASE WHEN status <> 'imported' THEN 1 END AS old FROM s JOIN documents USING (doc_id) WHERE status = 'imported' OR s.doc_id % 5 <> 0) SELECT doc_id, status = 'imported' AS is_new, CASE WHEN status = 'imported' THEN 'uncalibrated' END AS first_status FROM k", ))
+def import_counts(spark, sf):
+    docs, chunks, report = imported(spark, sf)
+    fresh = chunks.groupBy("doc_id").agg((F.max("text") != "old").alias("is_new"))
+    known = docs.select("doc_id", "calibration_status").join(fresh, "doc_id", "left").join(report, "doc_id")
+    return known.select("doc_id", (F.col("status") == "imported").alias("is_new"), F.when(F.col("status") == "imported", F.lit("uncalibrated")).alias("first_status"))
+
+
+@query("s03_read_markdown", duck("SELECT 'doc-' || doc_id AS doc_id, sha256('---' || chr(10) || 'title: T' || doc_id || chr(10) || '---' || chr(10) || coalesce(text, '')) AS sha256, sha256(coalesce(text, '')) AS body, 'T' || doc_id AS title FROM documents"))
+def read_markdown(spark, sf):
+    folder, i = scratch(spark, "markdown"), F.col("doc_id").cast("string")
+    S.write_files(table(spark, sf, "documents").select(F.concat(F.lit("Doc "), i, F.lit(".md")).alias("name"), F.concat(F.lit("---\ntitle: T"), i, F.lit("\n---\n"), F.coalesce("text", F.lit(""))).alias("content")), folder)
+    return S.read_markdown(spark, folder).select("doc_id", "sha256", F.sha2("text", 256).alias("body"), F.col("front")["title"].alias("title"))
+
+
+@query("s04_read_profiles", duck("SELECT n_name AS doc, CASE WHEN n_nationkey % 2 = 0 THEN 100 + n_nationkey ELSE 40 END AS min_chars, 600 AS max_chars, 1 AS min_heading_level, CASE WHEN n_nationkey % 3 = 0 THEN 'scenario' ELSE 'reference' END AS default_kind, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE '' END AS drops FROM nation"))
+def read_profiles(spark, sf):
+    folder, n = scratch(spark, "profiles"), F.col("n_nationkey")
+    profile = F.struct(F.col("n_name").alias("doc"), F.when(n % 2 == 0, n + 100).alias("min_chars"), F.when(n % 3 == 0, "scenario").alias("default_kind"), F.when(n % 2 == 0, F.array("n_name")).alias("drop_sections"))
+    S.write_files(table(spark, sf, "nation").select(F.concat(n.cast("string"), F.lit(".json")).alias("name"), F.to_json(profile, {"pretty": "true"}).alias("content")), folder)
+    return S.read_profiles(spark, folder).select("doc", "min_chars", "max_chars", "min_heading_level", "default_kind", F.array_join("drop_sections", ",").alias("drops"))
+
+
+@query("s06_read_cases", duck("SELECT item_id, text AS question, CASE WHEN item_id % 2 = 0 THEN 'doc' || item_id ELSE '' END AS expect, CASE WHEN item_id % 3 = 0 THEN 'note' END AS note FROM benchmark"))
+def read_cases(spark, sf):
+    folder, i = scratch(spark, "cases"), F.col("item_id")
+    case = F.to_json(F.struct(F.col("text").alias("question"), F.when(i % 2 == 0, F.array(F.concat(F.lit("doc"), i.cast("string")))).alias("expect"), F.array(F.array(i.cast("int"))).alias("expect_pages"), F.when(i % 3 == 0, "note").alias("note")))
+    table(spark, sf, "benchmark").select(F.explode(F.array(F.lit("# a remark"), case, F.lit("   "))).alias("value")).write.text(folder)
+    return S.read_cases(spark, folder).select(F.element_at(F.element_at("expect_pages", 1), 1).cast("long").alias("item_id"), "question", F.array_join(F.coalesce("expect", F.array().cast("array<string>")), ",").alias("expect"), "note")
+
+
+@query("s11_append_events", duck("SELECT event_id, event_type, created_at FROM heartbeats", "heartbeats"))
+def append_events(spark, sf):
+    path, h = scratch(spark, "events"), view(spark, sf, "heartbeats").select("event_id", "event_type", "created_at")
+    S.append_events(h.filter("event_id % 2 = 0"), path)
+    S.append_events(h.filter("event_id % 2 <> 0"), path)
+    return spark.read.parquet(path)
+
+
+@query("s13_export_matrix", duck("SELECT chunk_id, round(embedding[1], 6) AS first, len(embedding) AS size FROM memory WHERE chunk_id % 5 <> 0", "memory"))
+def exported_matrix(spark, sf):
+    path = scratch(spark, "matrix")
+    m = view(spark, sf, "memory").select("chunk_id", F.floor(F.col("chunk_id") / 4096).alias("doc_id"), (F.col("chunk_id") % 4096).alias("ord"), F.when(F.col("chunk_id") % 5 != 0, F.col("embedding")).alias("embedding"))
+    export_matrix(m, path)
+    return spark.read.parquet(path).select("chunk_id", F.round(F.col("embedding")[0], 6).alias("first"), F.size("embedding").cast("long").alias("size"))
+
+
+@query("h01_embed_texts", duck("SELECT turn_id, CASE WHEN turn_id % 4 <> 0 THEN CAST(length('query: ' || input_text) AS FLOAT) END AS size FROM turns", "turns"))
+def embed_texts(spark, sf):
+    t = view(spark, sf, "turns").select("turn_id", F.when(F.col("turn_id") % 4 != 0, F.col("input_text")).alias("text"))
+    return H.embed_texts(t, "text", lambda: lambda texts: [[float(len(x)), 1.0] for x in texts], as_query=True).select("turn_id", F.col("embedding")[0].alias("size"))
+
+
+@query("h02_rerank", duck("SELECT session_id AS query_id, turn_id AS chunk_id, length(response_text) + length(first_value(input_text) OVER (PARTITION BY session_id ORDER BY seq)) / 1000.0E0 AS rerank FROM turns", "turns"))
+def rerank(spark, sf):
+    t = view(spark, sf, "turns")
+    first = t.groupBy("session_id").agg(F.min_by("input_text", "seq").alias("question"))
+    pool = t.join(first, "session_id").select(F.col("session_id").alias("query_id"), "question", F.col("turn_id").alias("chunk_id"), F.col("response_text").alias("text"))
+    return H.rerank(pool, lambda question, texts: [len(x) + len(question) / 1000.0 for x in texts])
+
+
+@query("h03_summarize", duck("SELECT turn_id AS user_id, CASE WHEN turn_id % 5 = 0 THEN 'before' WHEN length(s) > 400 THEN substr(s, 1, 400) || '…' ELSE s END AS summary, CASE WHEN turn_id % 5 = 0 THEN 3 ELSE seq END AS covered_count, CASE WHEN turn_id % 5 = 0 THEN 'ValueError' END AS error FROM (SELECT *, trim(regexp_replace('before ' || response_text, '[\\s\\p{Z}]+', ' ', 'g')) AS s FROM turns)", "turns"))
+def summarize(spark, sf):
+    t = view(spark, sf, "turns")
+
+    def model(previous: str, transcript: str) -> str:
+        if not transcript:
+            raise ValueError("nothing to summarise")
+        return f"{previous} {transcript}"
+
+    text = F.when(F.col("turn_id") % 5 != 0, F.col("response_text"))
+    return H.summarize(t.select(F.col("turn_id").alias("user_id"), F.lit("before").alias("previous"), text.alias("transcript"), F.lit(3).cast("long").alias("covered_count"), F.col("seq").alias("stop")), model)

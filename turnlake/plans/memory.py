@@ -85,11 +85,15 @@ def slot_overflow(spark, sf):
     return M.slot_overflow(view(spark, sf, "memory"), NOW, M.MemorySettings(slot_capacity=5)).withColumn("score", F.round("score", 6))
 
 
-@query("j11_apply_hits", duck(f"WITH u AS (SELECT DISTINCT turn_id, unnest([turn_id % 50, turn_id % 50, turn_id % 7]) AS chunk_id FROM turns), c AS (SELECT chunk_id, count(*) AS n FROM u GROUP BY 1) SELECT chunk_id, hits + coalesce(n, 0) AS hits, CASE WHEN n IS NOT NULL THEN {NOW} ELSE last_hit_at END AS last_hit_at FROM memory LEFT JOIN c USING (chunk_id)", "turns", "memory"))
+def used_memories(spark, sf):
+    """Each turn uses the memory of its conversation's number and its own place in it, twice, and the first of that number."""
+    own = F.floor(F.col("turn_id") / 1000) * 4096
+    return view(spark, sf, "turns").select("turn_id", F.array(own + F.col("turn_id") % 1000, own + F.col("turn_id") % 1000, own).alias("used_ids"))
+
+
+@query("j11_apply_hits", duck(f"WITH u AS (SELECT DISTINCT turn_id, unnest([turn_id // 1000 * 4096 + turn_id % 1000, turn_id // 1000 * 4096 + turn_id % 1000, turn_id // 1000 * 4096]) AS chunk_id FROM turns), c AS (SELECT chunk_id, count(*) AS n FROM u GROUP BY 1) SELECT chunk_id, hits + coalesce(n, 0) AS hits, CASE WHEN n IS NOT NULL THEN {NOW} ELSE last_hit_at END AS last_hit_at FROM memory LEFT JOIN c USING (chunk_id)", "turns", "memory"))
 def apply_hits(spark, sf):
-    t = F.col("turn_id")
-    used = view(spark, sf, "turns").select("turn_id", F.array(t % 50, t % 50, t % 7).alias("used_ids"))
-    return M.apply_hits(view(spark, sf, "memory"), used, NOW).select("chunk_id", "hits", "last_hit_at")
+    return M.apply_hits(view(spark, sf, "memory"), used_memories(spark, sf), NOW).select("chunk_id", "hits", "last_hit_at")
 
 
 _EVALUATED = f"e AS (SELECT *, {_SCORE} AS score FROM memory WHERE active), t AS (SELECT *, CASE WHEN tier = 'cold' AND {_TIER('score')} = 'slot' THEN 'hot' ELSE {_TIER('score')} END AS target FROM e), o AS (SELECT *, target = 'slot' AND owner_user_id IS NOT NULL AND row_number() OVER (PARTITION BY owner_user_id, target ORDER BY score DESC, created_at, chunk_id) > 2 AS over FROM t)"
@@ -123,18 +127,18 @@ def hybrid_score(spark, sf):
     return both.select("chunk_id", "probe_id", F.round(M.hybrid_score(F.col("probe"), F.col("q"), F.col("text"), F.col("probe"), F.col("embedding")), 5).alias("score"))
 
 
-@query("j05_candidates_join", duck(f"""WITH p AS (SELECT chunk_id + 100000 AS prop_id, owner_user_id, CASE WHEN chunk_id % 2 = 0 THEN slot_key END AS slot_key, CASE WHEN chunk_id % 3 = 0 THEN text ELSE 'new text' END AS text, embedding FROM memory WHERE owner_user_id IS NOT NULL),
+@query("j05_candidates_join", duck(f"""WITH p AS (SELECT chunk_id + 1000000000 AS prop_id, owner_user_id, CASE WHEN chunk_id % 2 = 0 THEN slot_key END AS slot_key, CASE WHEN chunk_id % 3 = 0 THEN text ELSE 'new text' END AS text, embedding FROM memory WHERE owner_user_id IS NOT NULL),
 m AS (SELECT * FROM memory WHERE active), few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY owner_user_id ORDER BY created_at DESC, chunk_id DESC) AS r FROM m) WHERE r <= 200),
 c AS (SELECT prop_id, chunk_id, created_at, 0 AS rank, 1.0 AS s FROM p JOIN m ON p.owner_user_id = m.owner_user_id AND p.text = m.text UNION ALL SELECT prop_id, chunk_id, created_at, 1, 1.0 FROM p JOIN m ON p.owner_user_id = m.owner_user_id AND p.slot_key = m.slot_key
 UNION ALL SELECT prop_id, chunk_id, created_at, 2, {_COS('p.embedding', 'few.embedding')} FROM p JOIN few ON p.owner_user_id = few.owner_user_id WHERE {_COS('p.embedding', 'few.embedding')} >= 0.90)
 SELECT prop_id, chunk_id, ['text', 'slot_key', 'probe'][rank + 1] AS how FROM (SELECT *, row_number() OVER (PARTITION BY prop_id ORDER BY rank, round(s, 9) DESC, created_at DESC, chunk_id DESC) AS r FROM c) WHERE r = 1""", "memory"))
 def candidates_join(spark, sf):
     m, c = view(spark, sf, "memory"), F.col("chunk_id")
-    p = m.filter("owner_user_id is not null").select((c + 100000).alias("prop_id"), "owner_user_id", F.when(c % 2 == 0, F.col("slot_key")).alias("slot_key"), F.when(c % 3 == 0, F.col("text")).otherwise("new text").alias("text"), "embedding")
+    p = m.filter("owner_user_id is not null").select((c + 1_000_000_000).alias("prop_id"), "owner_user_id", F.when(c % 2 == 0, F.col("slot_key")).alias("slot_key"), F.when(c % 3 == 0, F.col("text")).otherwise("new text").alias("text"), "embedding")
     return M.candidates_join(p, m)
 
 
-_RAW = "SELECT turn_id, CASE WHEN turn_id % 3 = 0 THEN 'Likes_Tea' WHEN turn_id % 3 = 1 THEN 'not a key' END AS key, CASE WHEN turn_id % 7 = 0 THEN 'x' ELSE substr(input_text, 1, 120) END AS text, CASE WHEN turn_id % 4 = 0 THEN NULL ELSE substr(input_text, 1, 30) END AS probe, CASE WHEN turn_id % 2 = 0 THEN substr(input_text, 5, 40) ELSE 'never said' END AS quote, CASE turn_id % 5 WHEN 0 THEN '0.7' WHEN 1 THEN '5' WHEN 2 THEN '-1' WHEN 3 THEN 'high' END AS importance, input_text AS message FROM turns"
+_RAW = "SELECT turn_id, CASE WHEN turn_id % 3 = 0 THEN 'Likes_Tea' WHEN turn_id % 3 = 1 THEN 'not a key' END AS key, CASE WHEN turn_id % 7 = 0 THEN 'x' ELSE input_text END AS text, CASE WHEN turn_id % 4 = 0 THEN NULL ELSE input_text END AS probe, CASE WHEN turn_id % 2 = 0 THEN split_part(input_text, ',', 2) ELSE 'never said' END AS quote, CASE turn_id % 5 WHEN 0 THEN '0.7' WHEN 1 THEN '5' WHEN 2 THEN '-1' WHEN 3 THEN 'high' END AS importance, input_text AS message FROM turns"
 
 
 def proposals(spark, sf):
@@ -154,7 +158,7 @@ def normalize_candidate(spark, sf):
     return M.normalize_candidate(proposals(spark, sf)).select("turn_id", "text", "probe", "slot_key", "importance", "approved")
 
 
-_PROPS = "SELECT turn_id // 1000 AS turn_id, turn_id AS ord, CASE WHEN turn_id % 3 = 0 THEN 'k' || turn_id % 2 END AS slot_key, substr(input_text, 1, 20) AS text FROM turns"
+_PROPS = "SELECT turn_id // 1000 AS turn_id, turn_id AS ord, CASE WHEN turn_id % 3 = 0 THEN 'k' || turn_id % 2 END AS slot_key, input_text AS text FROM turns"
 
 
 @query("w09_cap_candidates", duck(f"WITH p AS ({_PROPS}), f AS (SELECT *, row_number() OVER (PARTITION BY turn_id, coalesce(slot_key, text) ORDER BY ord) AS r FROM p), c AS (SELECT turn_id, ord, slot_key, text FROM (SELECT *, row_number() OVER (PARTITION BY turn_id ORDER BY ord) AS n FROM f WHERE r = 1) WHERE n <= 3), s AS (SELECT DISTINCT turn_id, -1 AS ord, 'k0' AS slot_key, 'safety' AS text FROM p) SELECT * FROM c UNION ALL SELECT s.* FROM s WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.turn_id = s.turn_id AND coalesce(c.slot_key, c.text) = 'k0')", "turns"))
@@ -197,9 +201,7 @@ def select_relevant(spark, sf):
 
 @query("k03_lexical_retrieve", duck(f"WITH {_IDS}, v AS (SELECT ids.turn_id, chunk_id, {_TERMS('input_text')} AS a, {_TERMS('m.text')} AS b FROM ids JOIN turns USING (turn_id), memory m WHERE active AND approved AND (owner_user_id IS NULL OR (decision = 'accepted' AND owner_user_id = ids.user_id))), s AS (SELECT turn_id, chunk_id, round({_JACCARD('a', 'b')}, 9) AS score FROM v) SELECT turn_id, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY turn_id ORDER BY score DESC, chunk_id) AS r FROM s) WHERE r <= 4", "turns", "memory"))
 def lexical_retrieve(spark, sf):
-    ids = identities(spark, sf)
-    seen = M.visible(view(spark, sf, "memory"), ids).join(ids.select("turn_id", F.col("input_text").alias("query")), "turn_id")
-    return M.lexical_retrieve(seen, 4).select("turn_id", "chunk_id", F.round("score", 6).alias("score"))
+    return M.lexical_search(identities(spark, sf).withColumnRenamed("input_text", "query"), view(spark, sf, "memory"), 4).select("turn_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query("k04_inject_cap", duck(f"WITH s AS (SELECT t.turn_id AS query_id, m.chunk_id, m.score FROM turns t JOIN (SELECT *, round({_SCORE}, 6) AS score FROM memory) m ON m.owner_user_id = t.user_id) SELECT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM s) WHERE r <= 12", "turns", "memory"))
@@ -218,13 +220,13 @@ both_ AS (SELECT *, row_number() OVER (PARTITION BY turn_id, chunk_id ORDER BY s
 @query("r07_recall", duck(f"WITH {_RECALL} SELECT turn_id, chunk_id, pool, round(score, 6) AS score, source FROM both_ WHERE r = 1", "turns", "memory"))
 def recall(spark, sf):
     s = M.MemorySettings(relevance_floor=0.14, cold_floor=0.16)
-    return M.recall(view(spark, sf, "turns"), pool(spark, sf), s).withColumn("score", F.round("score", 6))
+    return M.recall(view(spark, sf, "turns"), view(spark, sf, "memory"), s).withColumn("score", F.round("score", 6))
 
 
 @query("u02_merge_basics", duck(f"WITH {_RECALL} SELECT turn_id, source, count(*) AS n FROM both_ WHERE r = 1 GROUP BY ALL", "turns", "memory"))
 def merge_basics(spark, sf):
     s = M.MemorySettings(relevance_floor=0.14, cold_floor=0.16)
-    return M.recall(view(spark, sf, "turns"), pool(spark, sf), s).groupBy("turn_id", "source").agg(F.count("*").alias("n"))
+    return M.recall(view(spark, sf, "turns"), view(spark, sf, "memory"), s).groupBy("turn_id", "source").agg(F.count("*").alias("n"))
 
 
 _PASSAGES = f"parts AS (SELECT item_id AS query_id, {_TERMS('sub')} AS a FROM (SELECT item_id, unnest({_SPLIT('question')}) AS sub FROM cases)), c AS (SELECT item_id AS chunk_id, {_TERMS('text')} AS b FROM cases), best AS (SELECT query_id, chunk_id, max({_JACCARD('a', 'b')}) AS score FROM parts, c GROUP BY ALL), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM best WHERE score > 0)"
@@ -252,6 +254,19 @@ def calibration_gate(spark, sf):
     return out.select("cases", "hits", F.round("rate", 6).alias("rate"), F.round("lowest_hit", 6).alias("lowest_hit"), F.round("highest_negative", 6).alias("highest_negative"), "overlap", "passed")
 
 
+_HYBRID = f"""q AS (SELECT e.vec_id AS query_id, d.text AS question, e.embedding AS v FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE e.vec_id % 100 = 0), c AS (SELECT e.vec_id AS chunk_id, d.text, e.embedding AS e FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id),
+near AS (SELECT query_id, chunk_id FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round({_DOT('v', 'e')}, 6) DESC, chunk_id) AS r FROM q, c) WHERE r <= 20),
+terms AS (SELECT query_id, chunk_id, v, e, {_TERMS("coalesce(question, '')")} AS a, {_TERMS("coalesce(text, '')")} AS b FROM near JOIN q USING (query_id) JOIN c USING (chunk_id)),
+s AS (SELECT query_id, chunk_id, round({_COS('v', 'e')} + 0.25 * {_JACCARD('a', 'b')}, 5) AS score FROM terms)"""
+
+
+@query("r05_rank_hybrid", duck(f"WITH {_HYBRID} SELECT query_id, chunk_id, score FROM s"))
+def rank_hybrid(spark, sf):
+    both = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text").join(table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id")
+    asked = both.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("text").alias("question"), "embedding")
+    return R.rank_hybrid(asked, both.withColumnRenamed("vec_id", "chunk_id")).select("query_id", "chunk_id", F.round("score", 5).alias("score"))
+
+
 def _ranked_documents(spark, sf):
     questions = view(spark, sf, "cases").select(F.col("item_id").alias("query_id"), "question")
     return R.rank_all(questions, R.document_chunks(table(spark, sf, "documents")), 20)
@@ -270,7 +285,7 @@ def retrieve_documents(spark, sf):
 @query("a13_calibration_documents")
 def calibration_documents(spark, sf):
     with_doc = lambda df: df.withColumn("doc_id", F.shiftright("chunk_id", 23))
-    ranked = _ranked_documents(spark, sf).localCheckpoint()
+    ranked = _ranked_documents(spark, sf).persist()
     expected = view(spark, sf, "case_docs").select(F.col("item_id").alias("query_id"), "doc_id")
     whole, each = R.judge_cases(view(spark, sf, "cases").select(F.col("item_id").alias("query_id")), expected, with_doc(ranked), with_doc(R.retrieve(ranked, floor=0.2)))
     out = R.calibration_gate(whole).withColumn("doc_id", F.lit(None).cast("long")).unionByName(R.calibration_gate(each, "doc_id"))
@@ -293,8 +308,8 @@ def safety_memories(spark, sf):
 
 def new_memories(spark, sf):
     m, c = view(spark, sf, "memory"), F.col("chunk_id")
-    return m.filter("owner_user_id is not null and chunk_id % 5 = 0").select(
-        (c + 100_000).alias("prop_id"), "owner_user_id", c.alias("ord"), F.when(c % 2 == 0, F.col("slot_key")).alias("slot_key"), F.when(c % 3 == 0, F.col("text")).otherwise(F.concat(F.lit("new "), "text")).alias("text"), "probe",
+    return m.filter("owner_user_id is not null").select(
+        (c + 1_000_000_000).alias("prop_id"), "owner_user_id", c.alias("ord"), F.when(c % 2 == 0, F.col("slot_key")).alias("slot_key"), F.when(c % 3 == 0, F.col("text")).otherwise(F.concat(F.lit("new "), "text")).alias("text"), "probe",
         F.lit(0.9).alias("importance"), (c % 4 == 0).alias("approved"), F.when(c % 7 != 0, F.col("embedding")).alias("embedding"),
     )
 
@@ -306,5 +321,4 @@ def upsert_memories(spark, sf):
 
 @query("r10_apply_turn")
 def apply_turn(spark, sf):
-    used = view(spark, sf, "turns").select("turn_id", F.array(F.col("turn_id") % 50).alias("used_ids"))
-    return M.apply_turn(view(spark, sf, "memory"), used, new_memories(spark, sf), NOW)[1].select("chunk_id", F.round("score", 6).alias("score"), "new_tier", "transition")
+    return M.apply_turn(view(spark, sf, "memory"), used_memories(spark, sf), new_memories(spark, sf), NOW)[1].select("chunk_id", F.round("score", 6).alias("score"), "new_tier", "transition")

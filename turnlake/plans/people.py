@@ -78,15 +78,15 @@ def centroid(spark, sf):
     return c.select("user_id", "n", F.round(F.col("centroid")[0], 6).alias("first"), F.round(mark, 5).alias("mark"))
 
 
-@query("w18_next_enrollment_step", duck("WITH s AS (SELECT user_id, step FROM templates WHERE template_id % 41 < 9 AND step <> user_id % 4) SELECT user_id, (SELECT min(x) FROM (VALUES (1), (2), (3)) v(x) WHERE x NOT IN (SELECT step FROM s s2 WHERE s2.user_id = s.user_id)) AS next_step FROM s GROUP BY user_id", "templates"))
+@query("w18_next_enrollment_step", duck("WITH s AS (SELECT user_id, 1 + template_id % (1 + user_id % 3) AS step FROM templates) SELECT user_id, (SELECT min(x) FROM (VALUES (1), (2), (3)) v(x) WHERE x NOT IN (SELECT step FROM s s2 WHERE s2.user_id = s.user_id)) AS next_step FROM s GROUP BY user_id", "templates"))
 def next_enrollment_step(spark, sf):
-    return I.next_enrollment_step(view(spark, sf, "templates").filter("template_id % 41 < 9 and step <> user_id % 4"))
+    return I.next_enrollment_step(view(spark, sf, "templates").withColumn("step", F.expr("1 + template_id % (1 + user_id % 3)")))
 
 
-@query("r16_enroll", duck("WITH s AS (SELECT * FROM templates WHERE user_id % 2 = 0 OR step < 3), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, step ORDER BY template_id DESC) AS r FROM s) WHERE r = 1), ready AS (SELECT user_id FROM l GROUP BY 1 HAVING count(*) = 3) SELECT user_id, template_id, active AND user_id NOT IN (SELECT user_id FROM ready) AS active FROM templates UNION ALL SELECT user_id, -template_id, true FROM l WHERE user_id IN (SELECT user_id FROM ready)", "templates"))
+@query("r16_enroll", duck("WITH s AS (SELECT * REPLACE (1 + template_id % (2 + user_id % 2) AS step) FROM templates), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, step ORDER BY template_id DESC) AS r FROM s) WHERE r = 1), ready AS (SELECT user_id FROM l GROUP BY 1 HAVING count(*) = 3) SELECT user_id, template_id, active AND user_id NOT IN (SELECT user_id FROM ready) AS active FROM templates UNION ALL SELECT user_id, -template_id, true FROM l WHERE user_id IN (SELECT user_id FROM ready)", "templates"))
 def enroll(spark, sf):
     t = view(spark, sf, "templates")
-    samples = t.filter("user_id % 2 = 0 or step < 3").select("user_id", "step", F.col("template_id").alias("seq"), "embedding")
+    samples = t.select("user_id", F.expr("1 + template_id % (2 + user_id % 2)").alias("step"), F.col("template_id").alias("seq"), "embedding")
     return I.enroll(samples, t).select("user_id", "template_id", "active")
 
 

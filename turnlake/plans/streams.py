@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..session import scratch
 from ..streaming import flows, machines
 from .analytics import ATTENTION, NEGATIVE, POSITIVE, URGENT, labelled
 from .base import query
@@ -17,7 +18,7 @@ def sequence_dedup(spark, sf):
 
 @query("t04_endpoint_detect")
 def endpoint_detect(spark, sf):
-    return machines.run_batch(view(spark, sf, "frames"), "session_id", "arrival", machines.endpoint_step(100.0), machines.SEGMENTS)
+    return machines.run_batch(view(spark, sf, "frames"), "session_id", "arrival", machines.endpoint_step(100.0), machines.SEGMENTS, machines.endpoint_finish())
 
 
 def lifecycle(spark, sf):
@@ -26,12 +27,21 @@ def lifecycle(spark, sf):
     return h.filter("event_type in ('signup', 'error', 'purchase')").select(F.col("device_id").alias("session_id"), (F.col("event_id") % 3).alias("turn_id"), (F.col("created_at") * 100_000 + F.col("event_id")).alias("ts"), kind.alias("kind"))
 
 
-@query("t05_turn_lifecycle")
+_LIFECYCLE = """e AS (SELECT device_id AS session_id, event_id % 3 AS turn_id, created_at * 100000 + event_id AS ts, CASE event_type WHEN 'signup' THEN 'begin' WHEN 'error' THEN 'cancel' ELSE 'complete' END AS kind FROM heartbeats WHERE event_type IN ('signup', 'error', 'purchase')),
+l AS (SELECT session_id, list({'open': CAST(NULL AS BIGINT), 'out': CAST([] AS STRUCT(turn_id BIGINT, ts BIGINT, outcome VARCHAR)[]), 'turn_id': turn_id, 'ts': ts, 'kind': kind} ORDER BY ts) AS l FROM e GROUP BY session_id),
+r AS (SELECT session_id, list_reduce([{'open': CAST(NULL AS BIGINT), 'out': CAST([] AS STRUCT(turn_id BIGINT, ts BIGINT, outcome VARCHAR)[]), 'turn_id': CAST(0 AS BIGINT), 'ts': CAST(0 AS BIGINT), 'kind': ''}] || l, lambda a, x: {
+  'open': CASE WHEN x.kind = 'begin' THEN coalesce(a.open, x.turn_id) WHEN a.open = x.turn_id THEN NULL ELSE a.open END,
+  'out': a.out || [{'turn_id': x.turn_id, 'ts': x.ts, 'outcome': CASE WHEN x.kind = 'begin' THEN CASE WHEN a.open IS NULL THEN 'begun' ELSE 'rejected_busy' END WHEN a.open = x.turn_id THEN CASE x.kind WHEN 'cancel' THEN 'cancelled' ELSE 'completed' END ELSE 'ignored' END}],
+  'turn_id': x.turn_id, 'ts': x.ts, 'kind': x.kind}).out AS out FROM l),
+o AS (SELECT session_id, unnest(out) AS o FROM r)"""
+
+
+@query("t05_turn_lifecycle", duck(f"WITH {_LIFECYCLE} SELECT session_id, o.turn_id AS turn_id, o.ts AS ts, o.outcome AS outcome FROM o", "heartbeats"))
 def turn_lifecycle(spark, sf):
     return machines.run_batch(lifecycle(spark, sf), "session_id", "ts", machines.lifecycle_step, machines.LIFECYCLE)
 
 
-@query("w19_turn_lifecycle")
+@query("w19_turn_lifecycle", duck(f"WITH {_LIFECYCLE} SELECT o.outcome AS outcome, count(*) AS n FROM o GROUP BY 1", "heartbeats"))
 def turn_outcomes(spark, sf):
     return turn_lifecycle(spark, sf).groupBy("outcome").agg(F.count("*").alias("n"))
 
@@ -73,3 +83,32 @@ def validate_envelope(spark, sf):
     e = F.col("event_id")
     h = view(spark, sf, "heartbeats").select("event_id", F.col("event_type").alias("type"), F.when(e % 5 == 0, 2).otherwise(1).alias("version"), F.when(e % 7 != 0, F.col("device_id").cast("string")).alias("device_id"))
     return flows.validate_envelope(h, ("signup", "click", "view", "purchase")).select("event_id", "reason")
+
+
+@query("t01_heartbeat_stream", duck("SELECT CAST(device_id AS VARCHAR) AS device_id, max(created_at) AS last_seen, count(*) AS n FROM heartbeats GROUP BY device_id", "heartbeats"))
+def heartbeat_stream(spark, sf):
+    """The heartbeat stream over the table's rows as they come in two files: devices as they stand then, with the number of their events."""
+    root = scratch(spark, "heartbeats")
+    h = view(spark, sf, "heartbeats").select("device_id", F.col("device_id").alias("user_id"), "created_at", "is_simulator")
+    columns = {"firmware": "string", "ip": "string", "capabilities": "array<string>"}
+    h = h.select("*", *(F.lit(None).cast(kind).alias(c) for c, kind in columns.items()))
+    for part, rows in enumerate((h.filter("created_at % 2 = 0"), h.filter("created_at % 2 <> 0"))):
+        rows.write.parquet(f"{root}/in/{part}")
+    empty = {"devices": flows.normalize_heartbeat(h.limit(0)), "users": spark.createDataFrame([], "user_id long, display_name string, created_at long")}
+    at = {}
+
+    def read(name):
+        return spark.read.parquet(at[name]) if name in at else empty[name]
+
+    def write(name, df):
+        if name == "device_events":
+            df.write.mode("append").parquet(f"{root}/device_events")
+            return
+        path = f"{root}/{name}-{len(at)}-{scratch(spark, name).rsplit('-', 1)[1]}"
+        df.write.parquet(path)
+        at[name] = path
+
+    stream = spark.readStream.schema(h.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    flows.heartbeat_stream(stream, f"{root}/checkpoint", read, write).awaitTermination()
+    events = spark.read.parquet(f"{root}/device_events").groupBy("device_id").agg(F.count("*").alias("n"))
+    return read("devices").select("device_id", F.col("created_at").alias("last_seen")).join(events, "device_id")

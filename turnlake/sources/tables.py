@@ -74,6 +74,23 @@ def append_events(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def write_files(files: DataFrame, folder: str) -> int:
+    """Write each row (name, content) as a file of its own below ``folder``, from the tasks; the number of files."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(folder)
+        store.create_dir(path, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                with store.open_output_stream(f"{path}/{name}", compression=None) as file:
+                    file.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    rows = files.select("name", F.col("content").cast("binary").alias("content"))
+    return rows.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def slug(name: Column) -> Column:
     """Letters, digits and underscores, all else dashes, 80 characters at most; of a name without any, a hash."""
     s = F.substring(F.regexp_replace(F.regexp_replace(F.lower(name), r"(?U)[^\w]+", "-"), "^-+|-+$", ""), 1, 80)
