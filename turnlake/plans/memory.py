@@ -153,7 +153,7 @@ def quote_is_verbatim(spark, sf):
     return proposals(spark, sf).select("turn_id", T.quote_is_verbatim(F.col("quote"), F.col("message")).alias("verbatim"))
 
 
-@query("f11_normalize_candidate", duck(f"WITH r AS ({_RAW}) SELECT turn_id, {_SQ('text')} AS text, CASE WHEN substr({_SQ('probe')}, 1, 120) <> '' THEN substr({_SQ('probe')}, 1, 120) ELSE {_SQ('text')} END AS probe, CASE WHEN regexp_full_match(lower({_SQ('key')}), '[a-z][a-z0-9_]{{0,39}}') THEN lower({_SQ('key')}) END AS slot_key, least(1.0, greatest(0.05, coalesce(try_cast(importance AS DOUBLE), 0.5))) AS importance, {_SQ('quote')} <> '' AND contains({_SQ('message')}, {_SQ('quote')}) AS approved FROM r WHERE length({_SQ('text')}) BETWEEN 2 AND 280", "turns"))
+@query("f11_normalize_candidate", duck(f"WITH r AS ({_RAW}) SELECT turn_id, {_SQ('text')} AS text, CASE WHEN substr({_SQ('probe')}, 1, 120) <> '' THEN substr({_SQ('probe')}, 1, 120) ELSE {_SQ('text')} END AS probe, CASE WHEN regexp_full_match(lower({_SQ('key')}), '[a-z][a-z0-9_]{{0,39}}') THEN lower({_SQ('key')}) END AS slot_key, least(1.0, greatest(0.05, coalesce(try_cast(importance AS DOUBLE), 0.5))) AS importance, {_SQ('quote')} <> '' AND length({_SQ('quote')}) <= 200 AND contains({_SQ('message')}, {_SQ('quote')}) AS approved FROM r WHERE length({_SQ('text')}) BETWEEN 2 AND 280", "turns"))
 def normalize_candidate(spark, sf):
     return M.normalize_candidate(proposals(spark, sf)).select("turn_id", "text", "probe", "slot_key", "importance", "approved")
 
