@@ -15,11 +15,11 @@ def _linked_to_least(edges: DataFrame, larger_only: bool) -> DataFrame:
     """
     if larger_only:
         both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).toDF("node", "other")
-        least = stored(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("least")), "least")
+        least = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("least"))
         moved = both.filter("other > node").join(least, "node").select(F.col("other").alias("a"), F.col("least").alias("b"))
     else:
         down = edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("other"))
-        least = stored(down.groupBy("node").agg(F.min("other").alias("least")), "least")
+        least = down.groupBy("node").agg(F.min("other").alias("least"))
         moved = down.join(least, "node").select(F.col("other").alias("a"), F.col("least").alias("b"))
         moved = moved.union(least.select(F.col("node").alias("a"), F.col("least").alias("b")))
     return moved.filter("a <> b").distinct()
@@ -50,3 +50,16 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         before = state
     leaves = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return leaves.union(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def joined_components(component: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component) once ``edges`` (a, b) have joined the components of ``component``; nodes that it lacks are their own before.
+
+    Only the edges between different components are followed, each as one between their least nodes.
+    """
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    nodes = stored(component.unionByName(ends.join(component.select("node"), "node", "left_anti").withColumn("component", F.col("node"))), "nodes")
+    at = lambda end, name: nodes.select(F.col("node").alias(end), F.col("component").alias(name))
+    between = edges.select("a", "b").join(at("a", "x"), "a").join(at("b", "y"), "b").select("x", "y").filter("x <> y")
+    merged = connected_components(between, "x", "y").select(F.col("node").alias("component"), F.col("component").alias("least"))
+    return nodes.join(merged, "component", "left").select("node", F.coalesce("least", "component").alias("component"))

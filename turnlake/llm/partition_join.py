@@ -15,8 +15,10 @@ of 3/4, and s / t >= 3/4.
 
 Sets that share a key are linked through the least set of the key's list, its hub: each set first with the hub that it shares
 most keys with. Pairs are verified on the exact sets, and links that verify are joined to components. Then come the pairs with
-other hubs, and then lists whose sets are still in different components in full, both without pairs within a component; in full
-lists only pairs that their sketches do not rule out ever become rows. No other pairs are made, so a group of near copies costs a few pairs per member.
+other hubs, and then the lists whose sets are still in different components. Of the pairs there that sketches do not rule out
+a forest of the nearest is verified, at most one pair for each member, and again without the pairs that failed and those that
+the links have joined. Once few pairs of a forest verify, and after ``FORESTS`` rounds at the latest, all that is left is verified
+at once. So a group of near copies costs a few pairs for each member, and no link is lost.
 """
 
 from __future__ import annotations
@@ -29,19 +31,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .components import connected_components
+from .components import connected_components, joined_components
 from .rolling import BY_SPACE, groups_of, mix, sets_of, shingles, word_hashes
-from .storage import likely_member, read_table, stored
+from .storage import in_turn, marked_likely, read_table, stored
 
 WORDS = 5
-#: Largest H of each band, and segments per possible difference.
-BANDS = (1, 3, 15, 63, 255, 1023, 4095, 16383, 65535, 262143, 1048575)
+#: Segments per possible difference.
 SPREAD = 2
 #: Slots that shingles are counted in to find frequent ones, and slots that a task reports at most. They only order segments.
 SLOTS, REPORTED = 1 << 20, 8_192
 _NO_SLOT = -1
-#: Members of a block of a list.
-BLOCK = 512
+#: Members of a block of a list; rounds of forests before all pairs that are left.
+BLOCK, FORESTS = 512, 2
+#: Members of a list up to which sketches are compared one by one.
+FEW = 24
 
 
 def _text_sets(batch: pa.RecordBatch, column: str = "bytes") -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -108,14 +111,20 @@ def differences(size: int) -> tuple[int, int]:
     return (size + -(-3 * size // 4)) // 7, (size + 4 * size // 3) // 7
 
 
+def bands(low: int, high: int) -> Iterator[tuple[int, int]]:
+    """(number, largest H) of the bands that hold an H of ``low`` to ``high``; they end at 1, 3, 15, 63 and so on without end."""
+    band, least, largest = 0, 0, 1
+    while least <= high:
+        if low <= largest:
+            yield band, largest
+        band, least, largest = band + 1, largest + 1, 3 if not band else 4 * largest + 3
+
+
 def segment_keys(values: np.ndarray, costs: np.ndarray) -> np.ndarray:
     """The keys that one set of shingles is indexed by; ``costs`` are those of its shingles."""
     low, high = differences(len(values))
     keys = []
-    for band, largest in enumerate(BANDS):
-        least = BANDS[band - 1] + 1 if band else 0
-        if high < least or low > largest:
-            continue
+    for band, largest in bands(low, high):
         tag = mix(np.array([band + 1], np.uint64) * np.uint64(0xA24BAED4963EE407))[0]
         if not band:
             mixed = mix(values ^ tag)
@@ -187,7 +196,7 @@ def _links(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     side = lambda x, y: classes.select(F.col("cls").alias(x), F.struct("n_shingles", "sketch").alias(y))
     likely = pairs.join(side("a", "left"), "a").join(side("b", "right"), "b").filter("4 * left.n_shingles >= 3 * right.n_shingles and 4 * right.n_shingles >= 3 * left.n_shingles")
-    near = likely.select("a", "b", F.col("left.n_shingles").alias("m"), F.col("left.sketch").alias("x"), F.col("right.n_shingles").alias("n"), F.col("right.sketch").alias("y")).mapInArrow(_near_sketches, "a long, b long")
+    near = likely.select("a", "b", F.col("left.n_shingles").alias("m"), F.col("left.sketch").alias("x"), F.col("right.n_shingles").alias("n"), F.col("right.sketch").alias("y")).mapInArrow(in_turn("shingles", _near_sketches), "a long, b long")
     return _verified_links(texts, classes, near)
 
 
@@ -198,34 +207,127 @@ def _verified_links(texts: DataFrame, classes: DataFrame, near: DataFrame) -> Da
         return fits
     used = fits.select(F.col("a").alias("cls")).union(fits.select("b")).distinct()
     wanted = stored(classes.select("cls", "fingerprint").join(used, "cls", "left_semi").select("fingerprint").distinct(), "wanted")
-    found = texts.filter(likely_member(wanted, "fingerprint")(F.col("fingerprint"))).join(wanted, "fingerprint", "left_semi").dropDuplicates(["fingerprint"])
-    sets = stored(found.mapInArrow(_set_rows, "cls long, shingles binary"), "sets").dropDuplicates(["cls"])
+    found = marked_likely(texts, "fingerprint", wanted, "fingerprint").filter("likely").join(wanted, "fingerprint", "left_semi").dropDuplicates(["fingerprint"])
+    sets = stored(found.select("bytes").mapInArrow(in_turn("shingles", _set_rows), "cls long, shingles binary"), "sets").dropDuplicates(["cls"])
     both = fits.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("right")), "b")
-    return stored(both.select("a", "b", "left", "right").mapInArrow(_verified, "a long, b long"), "verified")
-
-
-def _near_in_list(rows: pa.Table) -> pa.Table:
-    """Pairs (a, b) of one block pair of a list: of different components, with sizes and sketches that allow a link."""
-    cls, component, size, block, part = (rows.column(c).to_numpy() for c in ("cls", "component", "n_shingles", "block", "low"))
-    sketches = rows.column("sketch").to_pylist()
-    crossing = rows.column("high")[0].as_py() != part[0]
-    lengths = np.array([len(x) for x in sketches])
-    out: tuple[list, list] = ([], [])
-    for short in np.unique(lengths):
-        mine = np.flatnonzero(lengths == short)
-        other = np.flatnonzero((lengths >= short) & (lengths <= 2 * short))
-        folded = np.stack([_folded(sketches[j], int(short)) for j in other])
-        for i in mine.tolist():
-            may = (component[other] != component[i]) & (4 * size[other] >= 3 * size[i]) & (4 * size[i] >= 3 * size[other])
-            may &= (block[other] != block[i]) if crossing else True
-            may &= (lengths[other] > short) | (cls[other] > cls[i])
-            j = np.flatnonzero(may)
-            if len(j):
-                distance = np.bitwise_count(folded[j] ^ np.frombuffer(sketches[i], np.uint8)).sum(1)
-                j = other[j[7 * distance <= size[other[j]] + size[i]]]
-                out[0].extend(np.minimum(cls[j], cls[i]).tolist())
-                out[1].extend(np.maximum(cls[j], cls[i]).tolist())
-    return pa.table([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
+    return stored(both.select("a", "b", "left", "right").mapInArrow(in_turn("shingles", _verified), "a long, b long"), "verified")
+
+
+class _Lists:
+    """Near pairs of one block pair of a list at a time: of different components, with sizes and sketches that allow a link."""
+
+    def __init__(self, everything: bool):
+        self.everything = everything
+
+    def pairs(self, cls: list[int], component: list[int], size: list[int], block: list[int], sketches: list[bytes], failed: set, crossing: bool) -> tuple[list[int], list[int]]:
+        near = self._few if len(cls) <= FEW else self._many
+        i, j, distance = near(np.array(cls), np.array(component), np.array(size), np.array(block), sketches, crossing)
+        if failed and len(i):
+            new = np.array([(cls[a], cls[b]) not in failed for a, b in zip(i.tolist(), j.tolist(), strict=True)])
+            i, j, distance = i[new], j[new], distance[new]
+        if not self.everything and len(i) > 1:
+            kept = _forest(i, j, distance, np.unique(component, return_inverse=True)[1])
+            i, j = i[kept], j[kept]
+        return [cls[x] for x in i.tolist()], [cls[x] for x in j.tolist()]
+
+    @staticmethod
+    def _few(cls, component, size, block, sketches, crossing):
+        """All pairs (i, j, distance), cls[i] < cls[j], one by one."""
+        numbers, lengths, out = [int.from_bytes(x) for x in sketches], [len(x) for x in sketches], []
+        c, n, b = component.tolist(), size.tolist(), block.tolist()
+        order = np.argsort(cls, kind="stable").tolist()
+        for at, i in enumerate(order):
+            for j in order[at + 1 :]:
+                if c[i] == c[j] or (crossing and b[i] == b[j]) or 4 * n[i] < 3 * n[j] or 4 * n[j] < 3 * n[i]:
+                    continue
+                x, y, p, q = (numbers[i], numbers[j], lengths[i], lengths[j]) if lengths[i] <= lengths[j] else (numbers[j], numbers[i], lengths[j], lengths[i])
+                while q > p:  # the longer folded to the length of the shorter
+                    q //= 2
+                    y = (y >> 8 * q) ^ (y & ((1 << 8 * q) - 1))
+                if 7 * (distance := (x ^ y).bit_count()) <= n[i] + n[j]:
+                    out.append((i, j, distance))
+        return tuple(np.array(x, np.int64) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+
+    @staticmethod
+    def _many(cls, component, size, block, sketches, crossing):
+        lengths, out = np.array([len(x) for x in sketches]), ([], [], [])
+        for short in np.unique(lengths):
+            other = np.flatnonzero((lengths >= short) & (lengths <= 2 * short))
+            folded = np.stack([_folded(sketches[j], int(short)) for j in other])
+            for i in np.flatnonzero(lengths == short).tolist():
+                may = (component[other] != component[i]) & (4 * size[other] >= 3 * size[i]) & (4 * size[i] >= 3 * size[other])
+                may &= (block[other] != block[i]) if crossing else True
+                may &= (lengths[other] > short) | (cls[other] > cls[i])
+                j = np.flatnonzero(may)
+                if len(j):
+                    distance = np.bitwise_count(folded[j] ^ np.frombuffer(sketches[i], np.uint8)).sum(1, dtype=np.int64)
+                    near = 7 * distance <= size[other[j]] + size[i]
+                    j, distance = other[j[near]], distance[near]
+                    first = cls[j] > cls[i]
+                    for column, x in zip(out, (np.where(first, i, j), np.where(first, j, i), distance), strict=True):
+                        column.append(x)
+        return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by their group: key, low, high; a group is no more than two blocks."""
+        group, held, failed, out = None, ([], [], [], [], []), set(), ([], [], [], [], [])
+
+        def close() -> None:
+            if len(held[0]) > 1:
+                a, b = self.pairs(*held, failed, group[1] != group[2])
+                for column, x in zip(out, (*([g] * len(a) for g in group), a, b), strict=True):
+                    column.extend(x)
+            for column in held:
+                column.clear()
+            failed.clear()
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("key", "low", "high")), strict=True))
+            rows = zip(*(batch.column(c).to_pylist() for c in ("cls", "component", "n_shingles", "block", "sketch", "failed")), strict=True)
+            for own, (cls, *facts, other) in zip(keys, rows, strict=True):
+                if own != group:
+                    close()
+                    group = own
+                if other is not None:
+                    failed.add((cls, other))
+                    continue
+                for column, x in zip(held, (cls, *facts), strict=True):
+                    column.append(x)
+            if len(out[0]) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], NEAR_NAMES)
+                out = ([], [], [], [], [])
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], NEAR_NAMES)
+
+
+NEAR = "key long, low long, high long, a long, b long"
+NEAR_NAMES = [x.split()[0] for x in NEAR.split(", ")]
+
+
+def _forest(i: np.ndarray, j: np.ndarray, distance: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """Which of the pairs make a forest of the nearest over components: each takes its nearest pair, until no pair joins two."""
+    label, taken = np.arange(component.max() + 1), np.zeros(len(i), bool)
+    rank = np.empty(len(i), np.int64)
+    rank[np.lexsort((j, i, distance))] = np.arange(len(i))
+    while True:
+        a, b = label[component[i]], label[component[j]]
+        open_ = np.flatnonzero(a != b)
+        if not len(open_):
+            return np.flatnonzero(taken)
+        nearest = np.full(len(label), len(i))
+        np.minimum.at(nearest, a[open_], rank[open_])
+        np.minimum.at(nearest, b[open_], rank[open_])
+        chosen = open_[(nearest[a[open_]] == rank[open_]) | (nearest[b[open_]] == rank[open_])]
+        taken[chosen] = True
+        while True:  # the least label of each tree
+            x, y = label[component[i[chosen]]], label[component[j[chosen]]]
+            if (x == y).all():
+                break
+            least = np.arange(len(label))
+            np.minimum.at(least, np.maximum(x, y), np.minimum(x, y))
+            while (least[least] != least).any():
+                least = least[least]
+            label = least[label]
 
 
 def _folded(sketch: bytes, size: int) -> np.ndarray:
@@ -235,18 +337,44 @@ def _folded(sketch: bytes, size: int) -> np.ndarray:
     return x
 
 
-def _near_in_lists(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b), a < b, of sets of different components of a list of ``rows`` (key, cls, component) whose sketches allow a link.
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """(key, cls, component, block, low, high): the rows (key, cls, component) of lists, each once for every pair of blocks of its list that it is in.
 
-    Of lists with the same members one is looked at. A list is cut to blocks of BLOCK members; each pair of blocks is a task's
-    group of its own, in which sketches are compared without making a row for a pair that they rule out.
+    Of lists with the same members one is looked at.
     """
     lists = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
     one = stored(lists.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "different-lists")
-    kept = rows.join(one, "key").join(classes.select("cls", "n_shingles", "sketch"), "cls").withColumn("block", F.pmod(F.xxhash64("cls", "key"), F.col("blocks")).cast("int"))
-    dealt = kept.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other", "blocks")
-    return dealt.groupBy("key", "low", "high").applyInArrow(_near_in_list, "a long, b long").distinct()
+    dealt = rows.join(one, "key").withColumn("block", F.pmod(F.xxhash64("cls", "key"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
+    return dealt.select("key", "cls", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+
+def _list_links(texts: DataFrame, classes: DataFrame, rows: DataFrame, component: DataFrame) -> DataFrame:
+    """``component`` (node, component) once it has the links between different components of the lists ``rows`` (key, cls, component)."""
+    facts = stored(classes.join(rows.select("cls").distinct(), "cls", "left_semi").select("cls", "n_shingles", "sketch"), "list-sketches")
+    dealt, failed, everything = stored(_in_blocks(rows), "dealt-lists"), None, False
+    group = ["key", "low", "high"]
+    for n in range(FORESTS + 1):
+        given = dealt.join(facts, "cls").select(*group, "cls", "component", "n_shingles", "block", "sketch", F.lit(None).cast("long").alias("failed"))
+        if failed is not None:
+            nothing = F.lit(None).cast("long")
+            given = given.unionByName(failed.select(*group, F.col("a").alias("cls"), nothing.alias("component"), nothing.alias("n_shingles"), nothing.alias("block"), F.lit(None).cast("binary").alias("sketch"), F.col("b").alias("failed")))
+        given = given.repartition(*group).sortWithinPartitions(*group)
+        found = stored(given.mapInArrow(in_turn("shingles", _Lists(everything)), NEAR), "near-in-lists")
+        pairs = stored(found.select("a", "b").distinct(), "near-pairs")
+        near = pairs.count()
+        if not near:
+            break
+        good = _verified_links(texts, classes, pairs)
+        component = stored(joined_components(component, good), "components-so-far")
+        if everything:
+            break
+        everything = n + 1 == FORESTS or 4 * good.count() < near
+        # groups that gave no pair never will; of the others those that still hold several components go on
+        bad = found.join(good, ["a", "b"], "left_anti").select(*group, "a", "b")
+        failed = stored(bad if failed is None else failed.unionByName(bad), "failed-pairs")
+        open_ = dealt.drop("component").join(found.select(*group).distinct(), group, "left_semi")
+        dealt = stored(open_.join(component.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls")), "open-groups")
+    return component
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -260,16 +388,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.xxhash64("text").alias("fingerprint"), F.col("text").cast("binary").alias("bytes"))
     schema = "doc_id long, fingerprint long, n_shingles long, cls long, sketch binary, slot int, count long"
-    facts = stored(texts.mapInArrow(_facts, schema), "shingle-sets")
+    facts = stored(texts.mapInArrow(in_turn("shingles", _facts), schema), "shingle-sets")
     members = facts.filter(F.col("slot") == _NO_SLOT).select("doc_id", "fingerprint", "n_shingles", "cls")
     frequent = np.zeros(SLOTS, np.int64)  # a fixed number of counters, so what is sent to every task is bounded
     for row in facts.filter(F.col("slot") != _NO_SLOT).groupBy("slot").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "slot").limit(1 << 16).collect():
         frequent[row["slot"]] = row["n"]
     texts = texts.filter(F.length("bytes") > 0)
     classes = stored(facts.filter("n_shingles > 0").groupBy("cls").agg(F.min("n_shingles").alias("n_shingles"), F.min("fingerprint").alias("fingerprint"), F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "set-classes")
-    keys = texts.mapInArrow(_key_rows(spark.sparkContext.broadcast(frequent)), "key long, cls long")
+    costs = spark.sparkContext.broadcast(frequent)
+    keys = texts.mapInArrow(in_turn("shingles", _key_rows(costs)), "key long, cls long")
     same = Window.partitionBy("key")
     lists = stored(keys.select("key", "cls", F.min("cls").over(same).alias("hub"), F.max("cls").over(same).alias("last")).filter("hub <> last").select("key", "cls", "hub"), "key-lists")
+    costs.destroy()
     # each set with the hub that it shares most keys with, then with other hubs of other components
     stars = stored(lists.filter("cls <> hub").groupBy("hub", "cls").agg(F.count("*").alias("n")), "stars")
     nearest = stars.groupBy("cls").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("a")).select("a", F.col("cls").alias("b"))
@@ -278,15 +408,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     named = component.select(F.col("node").alias("cls"), "component")
     apart = stars.join(nearest.select(F.col("a").alias("hub"), F.col("b").alias("cls")), ["hub", "cls"], "left_anti").join(named, "cls", "left").withColumn("x", F.coalesce("component", "cls")).drop("component")
     apart = apart.join(named.select(F.col("cls").alias("hub"), "component"), "hub", "left").withColumn("y", F.coalesce("component", "hub")).filter("x <> y")
-    links = stored(links.unionByName(_links(texts, classes, apart.select(F.col("hub").alias("a"), F.col("cls").alias("b")))), "star-links")
-    component = stored(connected_components(links, "a", "b"), "hub-components")
+    component = stored(joined_components(component, _links(texts, classes, apart.select(F.col("hub").alias("a"), F.col("cls").alias("b")))), "hub-components")
     # lists that still hold several components, of three sets or more (a pair has been compared)
     placed = lists.join(component.select(F.col("node").alias("cls"), "component"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("component")).distinct()
     placed = stored(placed, "placed-lists")
     several = stored(placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).filter("x <> y and n > 2").select("key"), "open-lists")
     rest = stored(placed.join(several, "key", "left_semi"), "open-rows")
-    links = stored(links.unionByName(_verified_links(texts, classes, _near_in_lists(rest, classes))), "all-links")
-    component = stored(connected_components(links, "a", "b"), "set-components")
+    component = _list_links(texts, classes, rest, component)
     placed = stored(classes.join(component.select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("component")), "placed-classes")
     least = stored(placed.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least-ids")
     named = stored(placed.join(least, "component").select("cls", "component_id"), "named-classes")

@@ -36,7 +36,7 @@ class RollingHash:
 
     def __init__(self, data: np.ndarray, which: int):
         n = len(data)
-        powers = _powers(max(n + 1, (1 << 19) + 1024))
+        powers = _powers(max(n + 1, (1 << 18) + 1024))
         self.inverse = powers[2 * which + 1]
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTES[which][data] * powers[2 * which][:n], out=self.sums[1:])
@@ -63,7 +63,7 @@ BY_SPACE = _word_bytes(b"\x20\x09\x0a\x0b\x0c\x0d")
 BY_PUNCTUATION = _word_bytes(bytes(b for b in range(128) if not chr(b).isalnum()))
 
 
-def groups_of(texts: list[bytes], size: int = 1 << 19) -> Iterator[tuple[int, list[bytes]]]:
+def groups_of(texts: list[bytes], size: int = 1 << 18) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first, texts) in runs of about ``size`` bytes; a longer text is alone."""
     begin, total = 0, 0
     for i, text in enumerate(texts):

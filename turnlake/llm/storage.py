@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,9 +46,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 1,000 rows and about 16 MB: texts and sets of shingles can be long."""
+    """Arrow batches of at most 1,000 rows and about 4 MB: texts and sets of shingles can be long. These stay set in the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,27 +56,42 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def likely_member(keys: DataFrame, key: str, least_bits: int = 1 << 20, most_bits: int = 1 << 27):
-    """A Column function that is true for every value of the long column ``key`` of ``keys``, and false for most others.
+def marked_likely(df: DataFrame, column: str, keys: DataFrame, key: str, least_bits: int = 1 << 20, most_bits: int = 1 << 27) -> DataFrame:
+    """``df`` with ``likely``: true where the long ``column`` is among the values ``key`` of ``keys``, false for most others and for null.
 
-    It holds one bit per slot of the value's hash, 16 slots per key, and never more than ``most_bits`` (16 MB), which is the
-    proven bound of what is broadcast. It only spares rows a shuffle; an exact join has to follow.
+    One bit stands for each slot of a value's hash, 16 slots for each key and never more than ``most_bits``: 16 MB, which is
+    the proven bound of what is broadcast, as rows of 4 KB. It only spares rows a shuffle; an exact join has to follow.
+    With more keys than that many bits can tell apart, about 10**8, most rows are likely and all of them take that join.
     """
-    bits = least_bits
-    count = keys.count()
+    bits, count = least_bits, keys.count()
     while bits < min(16 * count, most_bits):
         bits *= 2
-    slot = F.pmod(F.col(key), F.lit(bits)) + 1  # bucket n holds slots 32768 * (n - 1) + 1 and on
-    parts = keys.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap")).collect()
-    packed = np.zeros(bits // 8, np.uint8)
-    for part in parts:
-        start = (part["bucket"] - 1) * 4096
-        packed[start : start + 4096] |= np.frombuffer(part["bitmap"], np.uint8)
-    shared = keys.sparkSession.sparkContext.broadcast(packed)
-
-    @F.pandas_udf("boolean")
-    def member(values: pd.Series) -> pd.Series:
-        at = np.mod(values.to_numpy(np.int64), bits)
-        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
-
-    return member
+    slot = lambda c: F.pmod(F.col(c), F.lit(bits)) + 1  # noqa: E731  bucket n holds slots 32768 * (n - 1) + 1 and on
+    maps = keys.select(slot(key).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("likely_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("likely_bits"))
+    maps = stored(maps, "bitmap")
+    at = F.bitmap_bit_position(slot(column))
+    byte = F.conv(F.hex(F.substring("likely_bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    likely = F.coalesce(F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    joined = df.join(F.broadcast(maps), F.bitmap_bucket_number(slot(column)) == F.col("likely_bucket"), "left")
+    return joined.withColumn("likely", likely).drop("likely_bucket", "likely_bits")
+
+
+#: What modules keep between the tasks of a Python worker: name to a function that lets go of it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def in_turn(owner: str, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``f`` for mapInArrow, such that a worker that Spark uses again holds what ``owner`` keeps and nothing else."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, let_go in KEPT.items():
+            if name != owner:
+                let_go()
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
