@@ -4,16 +4,19 @@ Every 200-byte string has one suffix that stands for it: the start of its least
 equals. The choice depends on the 200 bytes alone, so equal strings choose alike, and only one position in about 70 becomes a
 row. A run is the range of string starts that share a sampled suffix.
 
-Each level of refinement has a bucket identifier, of bytes that all of a run's strings hold, and a run identifier, of all bytes
-that any of them holds, both with their places around the suffix. A bucket of one is done: nothing in it repeats. Within
-larger buckets, runs that are equal are done: all their strings repeat. What is left goes to the next level, and of runs that
-are done one goes along as a witness for the others:
+Initial buckets are those of the q-gram at the sampled suffix. A bucket identifier is a hash of content, so every offset of a
+text has that of its q-gram at hand without a look-up, and so have refined buckets: the identifier of twice the length is that
+of an offset together with that of a later one, level by level (``Identifiers``). Buckets are refined by sorting their members
+on such identifiers of other offsets, in three rounds that each start from the last one's identifier:
 
-1. runs, in initial buckets by the q-gram at the sampled suffix;
-2. parts of runs, of ``STEP`` neighbouring strings, whose identifiers are those of the bytes at later offsets;
-3. single strings, whose identifiers are made from those of their halves.
+1. runs, by the identifiers that span all bytes which any of their strings holds;
+2. parts of runs, of ``STEP`` neighbouring strings, by what all of the part's strings hold and by what any of them does;
+3. single strings, by the identifiers of their two overlapping stretches.
 
-Buckets are hash keys, counted with partial aggregation, so a passage that a third of all documents hold makes no large task.
+A bucket of one is done: nothing in it repeats. Within larger buckets, members that are equal are done: all their strings
+repeat. What is left goes to the next round, and of those that are done one goes along as a witness for the others.
+
+Spark sorts and counts buckets with partial aggregation, so a passage that a third of all documents hold makes no large task.
 """
 
 from __future__ import annotations
@@ -26,20 +29,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rolling import RollingHash, mix
-from .storage import likely_member, read_table, stored
+from .storage import in_turn, marked_likely, read_table, stored
 
 #: Bytes of a string that counts as repeated, and of the strings that initial buckets are made by.
 LENGTH, GRAM = 200, 64
 #: Strings of a part of a run.
 STEP = 16
 #: Bytes handled at once; a longer text is handled in parts that overlap.
-PART = 1 << 19
+PART = 1 << 18
+
+#: Bytes of the longest stretch that identifiers are made for: a run's strings are at most LENGTH - GRAM to either side of their suffix.
+LONGEST = 3 * LENGTH - 2 * GRAM
 
 ANCHORS = "bucket long, run long, doc long, fingerprint long, at long, left int, right int"
 PARTS = f"{ANCHORS}, witness boolean"
 _NO_ID = -(1 << 63)
 
 
+class Identifiers:
+    """Bucket identifiers of every offset of ``data``: of its q-gram, then of twice the bytes from those of two offsets, and so on."""
+
+    def __init__(self, data: np.ndarray, which: int):
+        self.levels, size = [mix(RollingHash(data, which).grams(GRAM))], GRAM
+        while 2 * size <= LONGEST:
+            known = self.levels[-1]
+            self.levels.append(_paired(known[: max(len(known) - size, 0)], known[size:]))
+            size *= 2
+
+    def of(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Identifiers of ``size`` bytes, GRAM to LONGEST, from ``start`` on: of two stretches that cover them."""
+        out = np.empty(len(start), np.uint64)
+        level = np.minimum(np.log2(size // GRAM).astype(np.int64), len(self.levels) - 1)
+        for k, known in enumerate(self.levels):
+            some = np.flatnonzero(level == k)
+            if len(some):
+                out[some] = _paired(known[start[some]], known[start[some] + size[some] - (GRAM << k)])
+        return mix(out + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _paired(first: np.ndarray, later: np.ndarray) -> np.ndarray:
+    return mix(first * np.uint64(0xC2B2AE3D27D4EB4F) + later)
+
+
 def sampled_suffixes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     """(text, gram, run, at, left, right) of the runs of several texts.
 
@@ -68,9 +99,8 @@ def sampled_suffixes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray,
     edge = np.flatnonzero((np.diff(pick, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0))
     last = np.append(edge[1:], len(pick)) - 1
     low, high, at, text = where[edge], where[last], pick[edge], text[edge]
-    second = RollingHash(data, 1)
     left, right = at - low, high - at
-    run = mix(second.of(low, high + LENGTH) + mix((left * 4096 + right + 2048).astype(np.uint64)))
+    run = mix(Identifiers(data, 1).of(low, high - low + LENGTH) + mix((left * 4096 + right + 2048).astype(np.uint64)))
     return text, grams[at].view(np.int64), run.view(np.int64), at - starts[:-1][text], left, right
 
 
@@ -110,10 +140,10 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _opened(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """Per text: its keys, its bytes, and the suffixes, left and right ends and witness marks of its open runs."""
+    """Per text: its keys, its bytes, and the buckets, suffixes, left and right ends and witness marks of its open runs."""
     for doc, fingerprint, text, runs in zip(*(batch.column(c).to_pylist() for c in ("doc", "fingerprint", "bytes", "runs")), strict=True):
-        at, left, right = (np.array([r[c] for r in runs], np.int64) for c in ("at", "left", "right"))
-        yield doc, fingerprint, np.frombuffer(text, np.uint8), at, left, right, np.array([r["witness"] for r in runs])
+        bucket, at, left, right = (np.array([r[c] for r in runs], np.int64) for c in ("bucket", "at", "left", "right"))
+        yield doc, fingerprint, np.frombuffer(text, np.uint8), bucket.view(np.uint64), at, left, right, np.array([r["witness"] for r in runs])
 
 
 def _repeated(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,61 +152,54 @@ def _repeated(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return index, np.arange(len(index)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-class _Windows:
-    """Hashes of stretches of a text around some places in it; only bytes near those places are hashed."""
+class _Stretches:
+    """Identifiers of stretches of a text around some places in it; only bytes near those places are read."""
 
     def __init__(self, data: np.ndarray, low: np.ndarray, high: np.ndarray, which: int):
         sizes = high - low
         index, within = _repeated(sizes)
         self.shift = np.cumsum(sizes) - sizes - low
-        self.rolling = RollingHash(data[low[index] + within], which)
+        self.identifiers = Identifiers(data[low[index] + within], which)
 
     def of(self, index: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return self.rolling.of(start + self.shift[index], end + self.shift[index])
+        return self.identifiers.of(start + self.shift[index], end - start)
 
 
 def _part_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each open run in parts of STEP string starts, aligned by their distance to the suffix."""
-    names = [x.split()[0] for x in PARTS.split(", ")]
     for batch in batches:
         out = []
-        for doc, fingerprint, data, at, left, right, witness in _opened(batch):
+        for doc, fingerprint, data, bucket, at, left, right, witness in _opened(batch):
             first, last = np.floor_divide(-right, STEP), np.floor_divide(left, STEP)
             run, within = _repeated(last - first + 1)
             block = (first[run] + within) * STEP
             near, far = np.maximum(block, -right[run]), np.minimum(block + STEP - 1, left[run])
-            keys = []
-            for which in (0, 1):
-                hashes = _Windows(data, at - left, at + right + LENGTH, which)
-                if which == 0:
-                    place = mix((block + 4096).astype(np.uint64))
-                    keys.append(mix(hashes.of(run, at[run] - block, at[run] - block - STEP + 1 + LENGTH) + place))
-                else:
-                    place = mix((near * 8192 + far + (1 << 30)).astype(np.uint64))
-                    keys.append(mix(hashes.of(run, at[run] - far, at[run] - near + LENGTH) + place))
+            held, spanned = (_Stretches(data, at - left, at + right + LENGTH, which) for which in (0, 1))
+            place = mix((block + 4096).astype(np.uint64))
+            common = mix(held.of(run, at[run] - block, at[run] - block - STEP + 1 + LENGTH) + bucket[run] + place)
+            whole = mix(spanned.of(run, at[run] - far, at[run] - near + LENGTH) + mix((near * 8192 + far + (1 << 30)).astype(np.uint64)))
             n = len(run)
-            out.append((keys[0].view(np.int64), keys[1].view(np.int64), np.full(n, doc), np.full(n, fingerprint), at[run], far.astype(np.int32), (-near).astype(np.int32), witness[run]))
+            out.append((common.view(np.int64), whole.view(np.int64), np.full(n, doc), np.full(n, fingerprint), at[run], far.astype(np.int32), (-near).astype(np.int32), witness[run]))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
+            yield _table(out)
 
 
 def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A run per string of each open part; its identifiers are made of those of its halves."""
-    names = [x.split()[0] for x in PARTS.split(", ")]
-    half = LENGTH // 2
+    """A run per string of each open part, by the part's bucket and the identifiers of the string."""
     for batch in batches:
         out = []
-        for doc, fingerprint, data, at, left, right, witness in _opened(batch):
+        for doc, fingerprint, data, bucket, at, left, right, witness in _opened(batch):
             run, within = _repeated(left + right + 1)
             start = at[run] - left[run] + within
-            keys = []
-            for which in (0, 1):
-                hashes = _Windows(data, at - left, at + right + LENGTH, which)
-                keys.append(mix(mix(hashes.of(run, start, start + half)) * np.uint64(3) + mix(hashes.of(run, start + half, start + LENGTH))).view(np.int64))
+            keys = [mix(_Stretches(data, at - left, at + right + LENGTH, which).of(run, start, start + LENGTH) + bucket[run]).view(np.int64) for which in (0, 1)]
             n, nothing = len(run), np.zeros(len(run), np.int32)
             out.append((keys[0], keys[1], np.full(n, doc), np.full(n, fingerprint), start, nothing, nothing, witness[run]))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
+            yield _table(out)
+
+
+def _table(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], [x.split()[0] for x in PARTS.split(", ")])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -187,13 +210,13 @@ def keyed(docs: DataFrame) -> DataFrame:
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(doc, fingerprint, low, high): byte ranges that repeated strings cover, of the texts of ``keyed`` documents; ranges may overlap."""
     texts = docs.select("doc", "fingerprint", F.col("text").cast("binary").alias("bytes")).filter(F.length("bytes") >= LENGTH)
-    anchors = stored(texts.mapInArrow(_anchor_rows, ANCHORS), "suffixes")
+    anchors = stored(texts.mapInArrow(in_turn("suffixes", _anchor_rows), ANCHORS), "suffixes")
     buckets = stored(anchors.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "initial-buckets")
-    shared = stored(anchors.filter(likely_member(buckets, "bucket")(F.col("bucket"))).join(buckets, "bucket").withColumn("witness", F.lit(False)), "shared-suffixes")
+    shared = stored(marked_likely(anchors, "bucket", buckets, "bucket").filter("likely").drop("likely").join(buckets, "bucket").withColumn("witness", F.lit(False)), "shared-suffixes")
     whole, rest = _refined(shared, "runs")
     ranges = [whole]
     for rows, name in ((_part_rows, "parts"), (_string_rows, "strings")):
-        found, rest = _refined(stored(_with_text(texts, rest).mapInArrow(rows, PARTS), name), f"{name}-of-runs")
+        found, rest = _refined(stored(_with_text(texts, rest).mapInArrow(in_turn("suffixes", rows), PARTS), name), f"{name}-of-runs")
         ranges.append(found)
     return ranges[0].unionByName(ranges[1]).unionByName(ranges[2])
 
@@ -211,14 +234,14 @@ def _refined(runs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     whole = settled.select("doc", "fingerprint", (F.col("at") - F.col("left")).alias("low"), (F.col("at") + F.col("right") + LENGTH).alias("high"))
     alone = (F.col("n") == 1) & ~F.col("witness")
     open_ = classes.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(alone).alias("alone")).filter("n > 1 and alone").select("bucket")
-    rest = classes.join(stored(open_, f"{name}-open"), "bucket", "left_semi").select("doc", "fingerprint", "at", "left", "right", (~alone).alias("witness"))
+    rest = classes.join(stored(open_, f"{name}-open"), "bucket", "left_semi").select("bucket", "doc", "fingerprint", "at", "left", "right", (~alone).alias("witness"))
     return whole, rest
 
 
 def _with_text(texts: DataFrame, runs: DataFrame) -> DataFrame:
     """``runs`` gathered by text, with its bytes; texts without any are not shuffled."""
-    by_text = stored(runs.groupBy("doc", "fingerprint").agg(F.collect_list(F.struct("at", "left", "right", "witness")).alias("runs")), "open-texts")
-    return texts.filter(likely_member(by_text, "fingerprint")(F.col("fingerprint"))).join(by_text, ["doc", "fingerprint"]).dropDuplicates(["doc", "fingerprint"])
+    by_text = stored(runs.groupBy("doc", "fingerprint").agg(F.collect_list(F.struct("bucket", "at", "left", "right", "witness")).alias("runs")), "open-texts")
+    return marked_likely(texts, "fingerprint", by_text, "fingerprint").filter("likely").drop("likely").join(by_text, ["doc", "fingerprint"]).dropDuplicates(["doc", "fingerprint"])
 
 
 def _merged(low: list[int], high: list[int]) -> list[tuple[int, int]]:
@@ -256,10 +279,9 @@ def remove_repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     docs = keyed(docs)
     ranges = stored(repeated_ranges(docs), "ranges")
-    by_text = stored(ranges.groupBy("doc", "fingerprint").agg(F.collect_list(F.struct("low", "high")).alias("ranges")), "ranges-by-text")
-    likely = likely_member(by_text, "fingerprint")
-    touched = docs.filter(F.col("text").isNotNull() & likely(F.col("fingerprint"))).select("doc", "fingerprint", F.col("text").cast("binary").alias("bytes"))
-    cut = touched.join(by_text, ["doc", "fingerprint"]).dropDuplicates(["doc", "fingerprint"]).mapInArrow(_cut, "doc long, fingerprint long, kept binary, n_removed long, n_spans long")
+    by_text = stored(ranges.groupBy("doc", "fingerprint").agg(F.collect_set(F.struct("low", "high")).alias("ranges")), "ranges-by-text")  # a set: repeated rows give equal ranges
+    touched = marked_likely(docs.select("doc", "fingerprint", F.col("text").cast("binary").alias("bytes")), "fingerprint", by_text, "fingerprint").filter("likely and bytes is not null").drop("likely")
+    cut = touched.join(by_text, ["doc", "fingerprint"]).dropDuplicates(["doc", "fingerprint"]).mapInArrow(in_turn("suffixes", _cut), "doc long, fingerprint long, kept binary, n_removed long, n_spans long")
     return docs, cut
 
 
