@@ -1,6 +1,7 @@
 """op1: ids equal those of the tokenizers library, with any lexicon; round trips; edge cases."""
 
 import hashlib
+import random
 import struct
 
 import pytest
@@ -44,7 +45,8 @@ def test_every_sure_character_splits_as_the_library_does():
 def test_transducer_shares_suffixes_and_keeps_outputs(tmp_path):
     words = sorted(f"{a}{b}ing".encode() for a in "abcdefgh" for b in "xyz")
     path = str(tmp_path / "t.bin")
-    B.write_transducer(path, [(w, [i, i + 1]) for i, w in enumerate(words)])
+    with open(path, "wb") as file:
+        B.write_transducer(file, [(w, [i, i + 1]) for i, w in enumerate(words)])
     t = B.Transducer(path)
     assert [struct.unpack("<2I", t.ids(w)) for w in words] == [(i, i + 1) for i in range(len(words))]
     assert t.ids(b"ax") is None and t.ids(b"axingo") is None and t.ids(b"") is None
@@ -53,9 +55,23 @@ def test_transducer_shares_suffixes_and_keeps_outputs(tmp_path):
 
 def test_long_words_merge_alike():
     v = B.Vocabulary(B.default_tokenizer())
-    word = b"thequickbrownfox" * 30
-    short = [v.byte_ids[b] for b in word]
-    assert v._merge_long(list(short)) == v.merge(word)
+    rng = random.Random(1)
+    for n in (1, 2, 30, 150, 199, 200):  # up to 200 bytes the other way is taken
+        for letters in (b"thequickbrownfox", b"ab", bytes(range(256))):
+            word = bytes(rng.choice(letters) for _ in range(n))
+            assert v._merge_long([v.byte_ids[b] for b in word]) == v.merge(word)
+
+
+def test_huge_words_are_not_kept(spark, tokenizer):
+    huge = ["x" * 300_000 + str(i) for i in range(6)]
+    docs = spark.createDataFrame([(i, f"{t} {t} the") for i, t in enumerate(huge)], "doc_id long, text string")
+    path = B.default_tokenizer()
+    assert {r.word for r in B.frequent_words(B.word_counts(docs, path), 100).collect()} >= {" the"}
+    assert all(len(r.word) <= B.WORD_BYTES for r in B.frequent_words(B.word_counts(docs, path), 100).collect())
+    codec = B.Codec(path, None)
+    for t in huge[:2]:
+        codec.encode(t)
+    assert all(len(w) <= B.WORD_BYTES for w in codec.known)
 
 
 def test_empty_table(spark):

@@ -8,23 +8,24 @@ import mmap
 import os
 import re
 import struct
-import tempfile
-import uuid
 from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import read_table, stored
+from .storage import KEPT, fresh_path, in_turn, read_table, stored
 
 #: Words in the transducer at most; it is the same work at every size of the corpus.
 LEXICON_WORDS = 65_536
 #: Words of a generation of a worker's memory, of which it keeps two, and distinct words a task counts before it hands them on.
-REMEMBERED, COUNTED = 300_000, 150_000
+REMEMBERED, COUNTED = 200_000, 150_000
+#: Bytes of the words of a generation, of the words that a task counts before it hands them on, and of a word that is kept or may be in the transducer.
+KEPT_BYTES, WORD_BYTES = 16 << 20, 256
 
 WORD = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Characters that this pattern and the tokenizer's own classes surely treat alike; texts with others are split by the library.
@@ -122,8 +123,8 @@ class Splitter:
         return [piece[a:b] for _, (a, b) in self.library.pre_tokenize_str(piece)]
 
 
-def write_transducer(path: str, entries: Iterable[tuple[bytes, list[int]]]) -> None:
-    """Write the minimal acyclic transducer of ``entries`` (word, ids), which must be sorted by word and distinct.
+def write_transducer(file: BinaryIO, entries: Iterable[tuple[bytes, list[int]]]) -> None:
+    """Write to ``file`` the minimal acyclic transducer of ``entries`` (word, ids), which must be sorted by word and distinct.
 
     States with equal futures are one state, so suffixes are shared. An arc holds the number of words that come before
     those behind it; the sum along a word's path is the word's number, and its ids are those at that number.
@@ -171,10 +172,9 @@ def write_transducer(path: str, entries: Iterable[tuple[bytes, list[int]]]) -> N
         flat.extend(ids)
         ends.append(len(flat))
     parts = [array("I", first).tobytes(), targets.tobytes(), skips.tobytes(), ends.tobytes(), flat.tobytes(), bytes(finals), bytes(labels)]
-    with open(path, "wb") as file:
-        file.write(struct.pack("<8I", len(arcs), *map(len, parts)))
-        for part in parts:
-            file.write(part)
+    file.write(struct.pack("<8I", len(arcs), *map(len, parts)))
+    for part in parts:
+        file.write(part)
 
 
 class Transducer:
@@ -220,15 +220,19 @@ class Codec:
             """Ids of words met lately: a full generation becomes the older one, from which words still in use come back."""
 
             older: dict[str, bytes] = {}
+            size = 0
 
             def __missing__(self, word: str) -> bytes:
                 found = self.older.get(word)
                 if found is None:
                     found = codec.word_ids(word.encode())
-                if len(self) >= REMEMBERED:
-                    self.older = dict(self)
+                if len(word) > WORD_BYTES:
+                    return found
+                if len(self) >= REMEMBERED or self.size >= KEPT_BYTES:
+                    self.older, self.size = dict(self), 0
                     self.clear()
                 self[word] = found
+                self.size += len(word) + len(found)
                 return found
 
         self.known = Known()
@@ -253,58 +257,67 @@ class Codec:
 
 
 _CODECS: dict[tuple[str, str | None], Codec] = {}
+KEPT["bpe"] = _CODECS.clear
 
 
 def _codec(tokenizer: str, lexicon: str | None) -> Codec:
-    """The worker's codec; ``lexicon`` names a file that Spark has sent to every node."""
+    """The worker's codec; ``lexicon`` is the address of a file that Spark has sent to every node."""
     if (tokenizer, lexicon) not in _CODECS:
         _CODECS.clear()
-        _CODECS[tokenizer, lexicon] = Codec(tokenizer, SparkFiles.get(lexicon) if lexicon else None)
+        _CODECS[tokenizer, lexicon] = Codec(tokenizer, SparkFiles.get(os.path.basename(lexicon)) if lexicon else None)
     return _CODECS[tokenizer, lexicon]
 
 
 def word_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(word, n) over all whole texts of ``docs`` (text); a task hands on what it has counted whenever it holds COUNTED words."""
+    """(word, n) over all whole texts of ``docs`` (text); a task hands on what it has counted whenever it holds COUNTED words or KEPT_BYTES."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, found = _codec(tokenizer, None).splitter, Counter()
+        splitter, found, size = _codec(tokenizer, None).splitter, Counter(), 0
         rows = lambda: pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 for piece in splitter.pieces(text)[::2]:
                     found.update(splitter.words(piece))
-                if len(found) >= COUNTED:
+                size += len(text)  # no less than the words it adds
+                if len(found) >= COUNTED or size >= KEPT_BYTES:
                     yield rows()
                     found.clear()
+                    size = 0
         yield rows()
 
-    return docs.filter("text is not null").select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.filter("text is not null").select("text").mapInArrow(in_turn("bpe", count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(counts: DataFrame, words: int) -> DataFrame:
-    """(word) of at most ``words`` of the most frequent words: all above a count that a histogram of some hundred bars gives."""
-    bar = F.floor(F.log2("n") * 16)
+    """(word) of at most ``words`` of the most frequent words of up to WORD_BYTES: all above a count that a histogram of some hundred bars gives."""
+    short, bar = counts.filter(F.octet_length("word") <= WORD_BYTES), F.floor(F.log2("n") * 16)
     total, least = 0, None
-    for row in sorted(counts.groupBy(bar.alias("bar")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["bar"]):
+    for row in sorted(short.groupBy(bar.alias("bar")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["bar"]):
         total += row["n"]
         if total > words:
             break
         least = row["bar"]
-    return counts.filter(bar >= least if least is not None else F.lit(False)).select("word")
+    return short.filter(bar >= least if least is not None else F.lit(False)).select("word")
 
 
 def compile_lexicon(docs: DataFrame, tokenizer: str, words: int = LEXICON_WORDS) -> str:
-    """Compile up to ``words`` of the most frequent words of the corpus with their ids and send the file to every node; returns its name.
+    """Compile up to ``words`` of the most frequent words of the corpus with their ids, send the file to every node and give its address.
 
-    Only that many words reach the driver. Encoding gives the same ids with any lexicon, or none.
+    Only that many words, of WORD_BYTES at most, reach the driver. The file is written to the shared folder. Encoding gives
+    the same ids with any lexicon, or none.
     """
+    from pyarrow import fs
+
+    spark = docs.sparkSession
     top = frequent_words(stored(word_counts(docs, tokenizer), "word-counts"), words).collect()
     vocabulary = Vocabulary(tokenizer)
-    name = f"lexicon-{uuid.uuid4().hex}.bin"
-    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), name)
-    write_transducer(path, ((w, vocabulary.merge(w)) for w in sorted(r["word"].encode() for r in top)))
-    docs.sparkSession.sparkContext.addFile(path)
-    return name
+    address = fresh_path(spark, "lexicon") + ".bin"
+    store, path = fs.FileSystem.from_uri(address)
+    store.create_dir(os.path.dirname(path), recursive=True)
+    with store.open_output_stream(path, compression=None) as file:
+        write_transducer(file, ((w, vocabulary.merge(w)) for w in sorted(r["word"].encode() for r in top)))
+    spark.sparkContext.addFile(address)
+    return address
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, lexicon: str | None) -> DataFrame:
@@ -320,7 +333,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, lexicon: str | None) -> Da
             ids = [codec.encode(text or "") for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(in_turn("bpe", encode), "doc_id long, ids binary")
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -332,7 +345,7 @@ def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
             texts = [codec.decode(ids or b"") for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, ids binary, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(in_turn("bpe", decode), "doc_id long, ids binary, text string")
 
 
 def default_tokenizer() -> str:
