@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from turnlake.llm import simhash_windows as S
 
 
@@ -86,3 +88,75 @@ def test_texts_shorter_than_an_item_are_one_window(spark):
                     want.append((str(doc), item, round(similarity, 9), 0, len(words_of(text))))
     short = [r for r in run(spark, docs, items) if r[4] < len(words_of(next(t for i, t in items if i == r[1])))]
     assert short == sorted(want) and {r[0] for r in short} >= {"1", "2", "3", "8"}
+
+
+def of_words(*texts):
+    words, counts = S.word_hashes([t.encode() for t in texts], S.BY_PUNCTUATION)
+    values, before = S.shingles(words, counts, S.WORDS)
+    return [(words[a:b], values[c:d]) for a, b, c, d in zip(counts[:-1], counts[1:], before[:-1], before[1:], strict=True)]
+
+
+def items_of(texts):
+    found = of_words(*texts)
+    pairs = [np.unique(v, return_counts=True) for _, v in found]
+    return S.Items(np.arange(len(texts)), np.array([len(w) for w, _ in found]), np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]).astype(np.int32), np.cumsum([0, *(len(p[0]) for p in pairs)]))
+
+
+def test_sliding_windows_are_windows():
+    rng = np.random.default_rng(4)
+    for n, width, kinds in ((1, 1, 5), (9, 9, 2), (60, 7, 3), (300, 40, 9), (5000, 30, 4000)):
+        values = rng.integers(1, 1 << 60, kinds, dtype=np.uint64)[rng.integers(0, kinds, n)]
+        item = values[: width // 2 + 1]
+        shingle, count = np.unique(item, return_counts=True)
+        window = S.Window(values, width)
+        prints, shared = window.prints(), window.shared(shingle, count)
+        for i in {0, (n - width) // 3, (n - width) // 2, n - width}:
+            alone = values[i : i + width]
+            assert (S.Window(np.sort(alone), width).prints()[0] == prints[i]).all()  # order does not count
+            assert shared[i] == sum((Counter(alone.tolist()) & Counter(item.tolist())).values())
+
+
+def marginal(rng, kind):
+    """An item and a text of as many words, of a similarity of 0.75 or little more."""
+    words = [f"w{rng.randrange(1 << 40)}" for _ in range(rng.choice((40, 90, 200)))]
+    n = len(words)
+    if kind == "repeats":
+        k = (n - 4) // 7 + 1
+        return words + ["la"] * k, words + ["mu"] * k
+    if kind == "tail":
+        k = n // 7 - 1
+        return words, words[: n - k] + [f"x{rng.randrange(1 << 40)}" for _ in range(k)]
+    item, text = words, list(words)
+    while True:  # words changed here and there
+        near = list(text)
+        near[rng.randrange(n)] = f"y{rng.randrange(1 << 40)}"
+        both = sum((grams(near) & grams(item)).values())
+        if both < 0.75 * (2 * (n - 4) - both):
+            return item, text
+        text = near
+
+
+def test_recall_at_the_margin_and_share_of_candidates():
+    rng = random.Random(6)
+    for kind in ("repeats", "tail", "changes"):
+        pairs = [marginal(rng, kind) for _ in range(120)]
+        items = items_of([" ".join(i) for i, _ in pairs])
+        found = 0
+        for n, (item, text) in enumerate(pairs):
+            similarity = sum((grams(item) & grams(text)).values()) / sum((grams(item) | grams(text)).values())
+            assert similarity >= 0.75 or kind != "changes"
+            (words, values), = of_words(" ".join(text))
+            found += n in {m[0] for m in S.matches_of(words, values, items)} or similarity < 0.75
+        assert found >= 0.98 * len(pairs), (kind, found)
+        assert sum(i.near for i in items.by_size.values()) < 0.4 * sum(i.seen for i in items.by_size.values())
+
+
+def test_long_items_and_texts():
+    rng = np.random.default_rng(8)
+    words = rng.integers(0, 1 << 30, 60_000)
+    near = words.copy()
+    near[::50] = 7
+    items = items_of([" ".join(map(str, words[:50_000]))])
+    (w, v), = of_words(" ".join(map(str, np.concatenate([rng.integers(0, 1 << 30, 500), near]))))
+    (item, similarity, first, n, _), = S.matches_of(w, v, items)
+    assert (item, first, n) == (0, 500, 50_000) and 0.8 < similarity < 0.85
