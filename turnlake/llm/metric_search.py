@@ -1,15 +1,20 @@
-"""Exact top-k inner products: a forest of M-trees, searched best first with stored covering radii and parent distances.
+"""Exact top-k inner products: M-trees below global pivots, searched best first with stored covering radii and parent distances.
 
 Vectors become integers, floor(1024 * x). With one more coordinate, sqrt(M - |x|^2) for the largest squared length M, all
 have the same length, so the largest inner product with a query (whose own extra coordinate is 0) is the least Euclidean
-distance. Spark deals the distinct vectors to trees by a hash, each tree is built and searched inside a task, and the trees'
-answers are merged. Distances only choose what to skip, with a margin for rounding; scores are integers.
+distance. The top page of the index are pivots, a bounded sample of the vectors: every vector belongs to its nearest pivot,
+whose covering radius is the distance of the farthest. Below a pivot are M-trees of a bounded number of vectors, each built
+and searched inside a task. Every query searches the trees of its nearest pivot first; its k-th score there is a bound for
+all others, and goes along to those pivots that it does not rule out. Only rows that reach it leave their trees.
+
+Distances only choose what to skip, with a margin for rounding; scores are integers.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .storage import read_table, stored
+from .storage import in_turn, read_table, stored
 
 SCALE = 1024
 #: Distinct vectors of a tree and entries of a page, at the most on average; queries that a task searches for at once.
 TREE_ROWS, PAGE, BLOCK = 8_192, 64, 4_096
-#: Distances are exact to far less than this, for components below 2**20.
-MARGIN = 1e-6
+#: Pivots at most, and numbers in them: what is sent to every task. Vectors are dealt to pivots whatever their number.
+PIVOTS, CELLS = 1_024, 1 << 22
+#: Rounding of a distance as a share of the largest length: a difference of squares is exact to 2**-40 of it, its root to this.
+MARGIN = 2e-6
+#: Scores below this are exact in double precision; above, they are summed as Python integers.
+EXACT = float(1 << 52)
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 class MTree:
@@ -33,8 +43,9 @@ class MTree:
     vectors is a leaf however many it holds.
     """
 
-    def __init__(self, points: np.ndarray, extra: np.ndarray):
-        self.points, self.extra = points, extra
+    def __init__(self, points: np.ndarray, extra: np.ndarray, whole: list | None = None):
+        #: ``whole`` has the vectors as Python integers, where products of ``points`` are not exact.
+        self.points, self.extra, self.whole = points, extra, whole
         #: Page to (pivots or rows, radii or None for a leaf, distances to the page's own pivot, child pages or None).
         self.pages: list[tuple[np.ndarray, np.ndarray | None, np.ndarray, list[int] | None]] = []
         self.root = self._build(np.arange(len(points)), None) if len(points) else -1
@@ -74,14 +85,16 @@ class MTree:
         self.pages[number] = (np.array(kept), np.array(radii), to_parent, children)
         return number
 
-    def search(self, query: np.ndarray, largest: float, k: int, worst: float = -math.inf) -> list[tuple[int, int]]:
+    def search(self, query: list[int], largest: float, k: int, worst: float = -math.inf) -> list[tuple[int, int]]:
         """(score, row) of the k best rows and those that tie with the last; ``worst`` is a score that k rows reach already."""
+        asked, query = query, np.asarray(query, np.float64)
         length, best, found = float(query @ query), [], []
+        margin = MARGIN * math.sqrt(max(largest, length, 1.0))
 
         def limit() -> float:
-            score = best[0] if len(best) == k else -math.inf
+            score = float(best[0]) if len(best) == k else -math.inf
             score = max(score, worst)
-            return math.inf if score == -math.inf else math.sqrt(max(length + largest - 2 * score, 0.0)) + MARGIN
+            return math.inf if score == -math.inf else math.sqrt(max(length + largest - 2 * score, 0.0)) + margin
 
         queue = [(0.0, self.root, -1.0)] if self.root >= 0 else []
         while queue:
@@ -98,7 +111,9 @@ class MTree:
                 continue
             scores = self.points[rows[open_]] @ query
             if radii is None:
-                for score, row in zip(scores.tolist(), rows[open_].tolist(), strict=True):
+                mine = rows[open_].tolist()
+                exact = scores.tolist() if self.whole is None else [sum(a * b for a, b in zip(asked, self.whole[row], strict=True)) for row in mine]
+                for score, row in zip(exact, mine, strict=True):
                     if len(best) < k:
                         heapq.heappush(best, score)
                     elif score > best[0]:
@@ -116,31 +131,110 @@ class MTree:
 
 
 def integer_vectors(table: DataFrame) -> DataFrame:
-    """(vec_id, v): floor(1024 * x) of each component; rows with a null id, vector or component, or one that is not finite, are out."""
+    """(vec_id, v): floor(1024 * x) of each component; rows with a null id, vector or component, or one that is not finite, are out.
+
+    Integers that no long holds become the nearest that one does.
+    """
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     usable = table.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(finite)
-    return usable.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(F.lit(SCALE) * x.cast("double")).cast("long")).alias("v"))
+    bound = 2.0**62
+    whole = lambda x: F.floor(F.greatest(F.lit(-bound), F.least(F.lit(bound), F.lit(SCALE) * x.cast("double")))).cast("long")
+    return usable.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", whole).alias("v"))
+
+
+def _padded(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Vectors as rows; missing components are 0."""
+    out = np.zeros((len(column), width))
+    for i, v in enumerate(column.to_pylist()):
+        out[i, : len(v)] = v
+    return out
+
+
+class _Top:
+    """The top page: pivots in the space of one more coordinate, and how far from each its vectors are."""
+
+    def __init__(self, pivots: np.ndarray, largest: float):
+        self.pivots, self.largest = pivots, largest
+        self.extra = np.sqrt(np.maximum(largest - (pivots * pivots).sum(1), 0))
+        self.radii = np.zeros(len(pivots))
+        self.parts = np.zeros(len(pivots), np.int64)
+
+    def distances(self, points: np.ndarray, indexed: bool) -> np.ndarray:
+        """Of every point to every pivot; a query's extra coordinate is 0."""
+        square = (points * points).sum(1)
+        extra = np.sqrt(np.maximum(self.largest - square, 0)) if indexed else np.zeros(len(points))
+        length = self.largest if indexed else square[:, None]
+        return np.sqrt(np.maximum(length + self.largest - 2 * (points @ self.pivots.T + extra[:, None] * self.extra[None]), 0))
+
+
+def _dealt(shared, width: int):
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = shared.value
+        for batch in batches:
+            d = top.distances(_padded(batch.column("v"), width), True)
+            near = d.argmin(1)
+            yield pa.RecordBatch.from_arrays([batch.column("v"), batch.column("ids"), pa.array(near), pa.array(d[np.arange(len(d)), near])], ["v", "ids", "pivot", "d"])
+
+    return deal
 
 
-def _search_block(k: int, largest: float):
+ASKED = "query_id long, v array<long>, worst double, pivot long, part long"
+
+
+def _asked(shared, width: int, first: bool):
+    """Each query with the trees that it has to search: those of its nearest pivot, or of all others that ``worst`` leaves."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = shared.value
+        used = np.flatnonzero(top.parts)
+        for batch in batches:
+            points = _padded(batch.column("v"), width)
+            d = top.distances(points, False)[:, used]
+            nearest = (d - top.radii[used]).argmin(1)
+            worst = np.array([-math.inf if x is None else x for x in batch.column("worst").to_pylist()])
+            length = (points * points).sum(1)
+            limit = np.sqrt(np.maximum(length + top.largest - 2 * np.where(np.isinf(worst), 0, worst), 0))
+            limit = np.where(np.isinf(worst), math.inf, limit + 4 * MARGIN * np.sqrt(np.maximum(np.maximum(length, top.largest), 1)))
+            chosen = np.zeros(d.shape, bool)
+            chosen[np.arange(len(d)), nearest] = True
+            if not first:
+                chosen = ~chosen & (d - top.radii[used] <= limit[:, None])
+            row, column = np.nonzero(chosen)
+            parts = top.parts[used[column]]
+            again = np.repeat(np.arange(len(row)), parts)
+            part = np.arange(len(again)) - np.repeat(np.cumsum(parts) - parts, parts)
+            row, pivot = row[again], used[column[again]]
+            for a in range(0, len(row), 4096):
+                some = pa.array(row[a : a + 4096])
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(some), batch.column("v").take(some), batch.column("worst").take(some), pa.array(pivot[a : a + 4096]), pa.array(part[a : a + 4096])], [x.split()[0] for x in ASKED.split(", ")])
+
+    return ask
+
+
+FOUND = "query_id long, vec_id long, score long"
+
+
+def _search_block(k: int, largest: float, width: int):
     """One tree and one block of queries: the k best of each, with all copies that can matter."""
 
     def search(key: tuple, vectors: pa.Table, queries: pa.Table) -> pa.Table:
         kinds = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
         if not vectors.num_rows or not queries.num_rows:
             return kinds.empty_table()
-        points = np.stack(vectors.column("v").to_numpy()).astype(np.float64)
-        ids = vectors.column("ids").to_pylist()
+        points, ids = _padded(vectors.column("v"), width), vectors.column("ids").to_pylist()
         extra = np.sqrt(np.maximum(largest - (points * points).sum(1), 0))
-        tree = MTree(points, extra)
+        pad = lambda v: v + [0] * (width - len(v))
+        asked = [pad(v) for v in queries.column("v").to_pylist()]
+        longest = max(float(np.abs(points).max(initial=0)), max((abs(x) for v in asked for x in v), default=0))
+        tree = MTree(points, extra, None if longest * longest * max(width, 1) < EXACT else [pad(v) for v in vectors.column("v").to_pylist()])
         out: tuple[list, list, list] = ([], [], [])
-        for query_id, v in zip(queries.column("vec_id").to_pylist(), queries.column("v").to_numpy(), strict=True):
+        for query_id, v, worst in zip(queries.column("query_id").to_pylist(), asked, queries.column("worst").to_pylist(), strict=True):
             # k + 1: the query's own vector may be among them
-            rows = tree.search(np.asarray(v, np.float64), largest, k + 1)
-            hits = sorted((-score, i) for score, row in rows for i in ids[row] if i != query_id)[:k]
+            rows = tree.search(v, largest, k + 1, -math.inf if worst is None else worst)
+            hits = sorted((-int(score), i) for score, row in rows for i in ids[row] if i != query_id)[:k]
             out[0].extend([query_id] * len(hits))
             out[1].extend(i for _, i in hits)
-            out[2].extend(-s for s, _ in hits)
+            out[2].extend(min(max(-s, LEAST), MOST) for s, _ in hits)
         return pa.table([pa.array(x, pa.int64()) for x in out], schema=kinds)
 
     return search
@@ -149,11 +243,12 @@ def _search_block(k: int, largest: float):
 def top_k(table: DataFrame, queries: DataFrame, k: int = 10, tree_rows: int = TREE_ROWS, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of ``queries`` the ``k`` rows of ``table`` of the largest inner product.
 
-    Both have vec_id and v (integers, all of one length), as ``integer_vectors`` gives them. A query's own id is no
-    candidate; ties go to the smaller vec_id; with fewer rows there are fewer ranks. Repeated ids count once per different
-    vector. Equal vectors are one entry of a tree with its k + 1 least ids, which is all that any answer can hold, so a
-    vector that a third of all rows share is one entry. Trees hold a bounded number of rows and are searched by blocks of
-    the queries; only blocks of queries and trees meet, and only k rows of each leave a task.
+    Both have vec_id and v (integers), as ``integer_vectors`` gives them; a shorter vector counts as filled up with zeros. A
+    query's own id is no candidate; ties go to the smaller vec_id; with fewer rows there are fewer ranks. Repeated ids count
+    once per different vector. Scores that no long holds become the nearest that one does. Equal vectors are one entry of a
+    tree with its k + 1 least ids, which is all that any answer can hold, so a vector that a third of all rows share is one
+    entry. Pivots are those vectors of the least hash; a pivot that most rows are near has as many trees as they ask for.
+    Trees are searched by blocks of the queries; only rows that reach a query's bound leave a task.
     """
     spark = table.sparkSession
     salted = table.distinct().withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
@@ -162,18 +257,37 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 10, tree_rows: int = TR
     part = Window.partitionBy("v", "salt").orderBy("vec_id")
     few = salted.withColumn("n", F.row_number().over(part)).filter(F.col("n") <= k + 1).drop("n")
     distinct = stored(few.groupBy("v").agg(least(F.collect_list("vec_id")).alias("ids")), "distinct-vectors")
-    length = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
-    count, largest = distinct.agg(F.count("*"), F.max(length)).first()
-    if not count:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    length = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    count, largest, width = distinct.agg(F.count("*"), F.max(length("v")), F.max(F.size("v"))).first()
     queries = stored(queries.select("vec_id", "v").distinct(), "queries")
-    trees, blocks = max(1, math.ceil(count / tree_rows)), max(1, math.ceil(queries.count() / block))
-    salt = F.lit(5)
-    dealt = distinct.withColumn("tree", F.pmod(F.xxhash64("v", salt), F.lit(trees))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", salt), F.lit(blocks)).cast("int")).withColumn("tree", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long"))))
-    found = dealt.groupBy("tree", "block").cogroup(asked.groupBy("tree", "block")).applyInArrow(_search_block(k, float(largest)), "query_id long, vec_id long, score long")
+    asked, longest = queries.agg(F.count("*"), F.max(F.size("v"))).first()
+    if not count or not asked:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    width, largest = max(width, longest), float(largest) * (1 + 1e-12)
+    pivots = max(1, min(math.ceil(count / tree_rows), PIVOTS, CELLS // max(width, 1)))
+    sample = distinct.orderBy(F.xxhash64("v", F.lit(5))).limit(pivots).select("v").collect()
+    top = _Top(_padded(pa.chunked_array([pa.array([r["v"] for r in sample], pa.list_(pa.int64()))]), width), largest)
+    context = spark.sparkContext
+    near = stored(distinct.mapInArrow(in_turn("vectors", _dealt(context.broadcast(top), width)), "v array<long>, ids array<long>, pivot long, d double"), "pivots")
+    for row in near.groupBy("pivot").agg(F.max("d").alias("d"), F.count("*").alias("n")).collect():  # a row for each pivot
+        top.radii[row["pivot"]], top.parts[row["pivot"]] = row["d"], math.ceil(row["n"] / tree_rows)
+    shared, blocks = context.broadcast(top), max(1, math.ceil(asked / block))
+    sizes = spark.createDataFrame([(i, int(n)) for i, n in enumerate(top.parts) if n], "pivot long, parts long")
+    trees = near.join(F.broadcast(sizes), "pivot").select("v", "ids", "pivot", F.pmod(F.xxhash64("v", F.lit(7)), F.col("parts")).alias("part"))
+    trees = trees.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    by = ["pivot", "part", "block"]
+
+    def search(waiting: DataFrame, first: bool) -> DataFrame:
+        given = waiting.mapInArrow(in_turn("vectors", _asked(shared, width, first)), ASKED).withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(5)), F.lit(blocks)))
+        found = trees.groupBy(*by).cogroup(given.groupBy(*by)).applyInArrow(_search_block(k, largest, width), FOUND)
+        return stored(found, "nearest" if first else "others")
+
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = lambda rows: rows.distinct().withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
+    nearest = search(queries.withColumn("worst", F.lit(None).cast("double")), True)
+    bounds = best(nearest).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("worst"))
+    others = search(queries.join(bounds, "vec_id", "left").select("vec_id", "v", "worst"), False)
+    return best(nearest.unionByName(others)).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_metric_search(spark, sf_dir) -> DataFrame:
