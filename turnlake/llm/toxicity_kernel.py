@@ -1,11 +1,13 @@
 """Toxicity: a gapped subsequence string kernel, Nyström landmarks and a linear SVM, trained on labelled sentences.
 
-The kernel of two words sums, over all subsequences of three symbols that span at most ``SPAN`` steps in both, the product
-of ``DECAY`` to the spans; a boundary symbol stands before and after a word, and each word is scaled by a norm that its
-length gives. Symbols that are not letters are passed over, and single letters in a row are one word, so ``i.d.i.o.t``,
-``i d i o t`` and ``idxiot`` all stay near ``idiot``. The Nyström map sends a word to its kernel values with the landmarks,
-whitened; a weight vector there is one weight per subsequence, which is how words are scored. A sentence, and a document,
-is as toxic as its worst words.
+The kernel of two words sums, over all subsequences of three symbols that span at most ``SPAN`` steps in both, the product of
+``DECAY`` to the spans, and is scaled by the roots of both words' kernels with themselves. A boundary symbol stands before and
+after a word; all other symbols are code points. What is no letter is passed over, and single letters in a row are one word,
+so ``i.d.i.o.t``, ``i d i o t`` and ``idxiot`` all stay near ``idiot``. The Nyström map sends a word to its kernel values with
+the landmarks, whitened; a weight vector there is one weight per subsequence of the landmarks, which is how words are scored.
+
+A sentence is a bag of words that is as toxic as its worst, and so is a document of its sentences. Of each toxic document the
+worst sentence counts as toxic, by its worst word; sentences of clean documents are clean in every word.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,53 +26,51 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .quality_rules import hash_fold
-from .storage import read_table, stored
+from .rolling import mix
+from .storage import KEPT, in_turn, read_table, stored
 
 SPAN, DECAY = 5, 0.8
 LANDMARKS = 96
 #: Labelled documents that are learnt from at most, those with the least hash of doc_id.
 MAX_TOXIC, MAX_CLEAN = 4_000, 8_000
-#: Words of clean documents that are learnt from at most.
+#: Landmarks are the words of the strongest association with toxic labels; first guesses at a sentence's worst word come from four times as many.
+GUESSES = 4 * LANDMARKS
+#: Words of clean documents that are learnt from at most: a third the most frequent ones, the others by hash.
 MAX_CLEAN_WORDS = 24_000
 THRESHOLD = 0.3
-#: Characters handled at once; a longer text is cut between words, which no score depends on.
-SLICE = 1 << 20
+#: Characters handled at once; a longer text is cut between words, which no score depends on. Scores that a worker remembers.
+SLICE, REMEMBERED = 1 << 20, 200_000
 
-BOUNDARY, DROPPED, SYMBOLS = 0, 255, 64
+BOUNDARY, DROPPED = 0, 0xFFFFFFFF
+#: Bytes of a symbol.
+WIDE = 4
 
 
 def _symbol_table() -> np.ndarray:
-    """Code point to symbol: a-z, 36 shared symbols for other letters, look-alike digits as letters, white space as boundary."""
-    codes = np.full(0x3001, DROPPED, np.uint8)
-    for cp in range(0x3001):
+    """Code point to symbol: letters are themselves, look-alike digits letters, white space a boundary, all else dropped."""
+    codes = np.full(0x110000, DROPPED, np.uint32)
+    for cp in range(0x30000):  # what lies beyond is for private use or not assigned
         ch = chr(cp)
-        if "a" <= ch <= "z":
-            codes[cp] = cp - 96
-        elif ch.isalpha():
-            codes[cp] = 27 + cp % 36
+        if ch.isalpha():
+            codes[cp] = cp
         elif ch.isspace():
             codes[cp] = BOUNDARY
     for digit, letter in zip("013457@", "oieasta", strict=True):
-        codes[ord(digit)] = ord(letter) - 96
-    codes[0x3000] = BOUNDARY
+        codes[ord(digit)] = ord(letter)
     return codes
 
 
-_TABLE: np.ndarray | None = None
+_TABLE: list[np.ndarray] = []
+KEPT["words"] = _TABLE.clear
 
 
 def symbols_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, starts, owner): all words of ``texts`` with a boundary before each and one at the end; a word's start is the
     boundary before it, its owner the index of its text. Empty words are left in (their owner's scores ignore them)."""
-    global _TABLE
-    if _TABLE is None:
-        _TABLE = _symbol_table()
+    if not _TABLE:
+        _TABLE.append(_symbol_table())
     lowered = [f" \n{t.lower()}" for t in texts]
-    points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), "<u4")
-    codes = _TABLE[np.minimum(points, 0x2FFF)]
-    high = points >= 0x3001
-    if high.any():
-        codes[high] = 27 + points[high] % 36
+    codes = _TABLE[0][np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), "<u4")]
     text_of = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in lowered])
     kept = codes != DROPPED
     codes, text_of = codes[kept], text_of[kept]
@@ -81,60 +82,121 @@ def symbols_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keep[joined] = False
         codes, text_of = codes[keep], text_of[keep]
         at = np.flatnonzero(codes == BOUNDARY)
-    return np.append(codes, np.uint8(BOUNDARY)), at, text_of[at]
+    return np.append(codes, np.uint32(BOUNDARY)), at, text_of[at]
 
 
-def norms(lengths: np.ndarray) -> np.ndarray:
-    """The square root of what a word of that length, all subsequences different, has as kernel with itself."""
-    total = np.zeros(len(lengths), np.float32)
-    for span in range(2, SPAN + 1):
-        total += (span - 1) * np.float32(DECAY ** (2 * span)) * np.maximum(lengths + 2 - span, 0)
-    return np.sqrt(np.maximum(total, np.float32(1e-6)))
+def words_of(codes: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """The words as the bytes of their symbols, empty ones too."""
+    raw, ends = codes.tobytes(), np.append(starts[1:], len(codes) - 1)
+    return [raw[a:b] for a, b in zip(((starts + 1) * WIDE).tolist(), (ends * WIDE).tolist(), strict=True)]
+
 
+def word_bytes(word: str) -> bytes:
+    return word.encode("utf-32-le", "surrogatepass")
 
-def word_values(codes: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Sum over a word's subsequences of DECAY**span times their weight (``weights``: 64**3), divided by the word's norm."""
-    n = len(codes)
-    c = codes.astype(np.int32)
-    first, second, boundary = c << 12, c << 6, codes == BOUNDARY
-    total = np.zeros(n, np.float32)
-    blocked = np.zeros(n, bool)
+
+def subsequences(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, subsequence, value) of every occurrence of three symbols of a word, boundaries added, that span at most SPAN steps: DECAY**span."""
+    nothing = bytes(WIDE)
+    c = np.frombuffer(nothing + nothing.join(words) + nothing, "<u4").astype(np.uint64)
+    starts = np.concatenate([[0], np.cumsum([len(w) // WIDE + 1 for w in words])])
+    owner = np.repeat(np.arange(len(words)), np.diff(starts))
+    first, second, third = (c * np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+    boundary, blocked = c == BOUNDARY, np.zeros(len(c), bool)
+    found = ([], [], [])
     for span in range(2, SPAN + 1):
-        if span >= n:
+        m = len(c) - span
+        if m <= 0:
             break
-        m = n - span
-        blocked[: n - span + 1] |= boundary[span - 1 :]
-        got = np.zeros(m, np.float32)
-        ends = first[:m] + c[span:]
+        blocked[: len(c) - span + 1] |= boundary[span - 1 :]
+        at = np.flatnonzero(~blocked[:m])
         for middle in range(1, span):
-            got += weights[ends + second[middle : middle + m]]
-        got *= np.float32(DECAY**span)
-        got[blocked[:m]] = 0
-        total[:m] += got
-    lengths = np.diff(starts, append=n - 1) - 1
-    return np.add.reduceat(total, starts) / norms(lengths) if len(starts) else np.zeros(0, np.float32)
+            key = (first[at] + second[at + middle]) ^ third[at + span]
+            found[0].append(owner[at])
+            found[1].append(mix(key + second[at + span]))
+            found[2].append(np.full(len(at), DECAY**span))
+    return tuple(np.concatenate(x) if x else np.zeros(0, kind) for x, kind in zip(found, (np.int64, np.uint64, float), strict=True))
+
+
+def norms(n: int, word: np.ndarray, key: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The root of the kernel of each of ``n`` words with itself."""
+    square = np.bincount(word, value * value, n)
+    own = mix(key + word.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))  # a word and a subsequence of it
+    rising = np.sort(own)
+    twice = np.unique(rising[1:][rising[1:] == rising[:-1]])
+    if len(twice):  # values of those that a word has more than once add up before the square
+        likely = np.zeros(1 << 16, bool)
+        likely[(twice & np.uint64(0xFFFF)).astype(np.int64)] = True
+        at = np.flatnonzero(likely[(own & np.uint64(0xFFFF)).astype(np.int64)])
+        place = np.minimum(np.searchsorted(twice, own[at]), len(twice) - 1)
+        at, place = at[twice[place] == own[at]], place[twice[place] == own[at]]
+        whose = np.zeros(len(twice), np.int64)
+        whose[place] = word[at]
+        square += np.bincount(whose, np.bincount(place, value[at], len(twice)) ** 2, n) - np.bincount(word[at], value[at] ** 2, n)
+    return np.sqrt(np.where(square > 0, square, 1.0))
 
 
-def subsequences(word: bytes) -> Counter:
-    """Index of each subsequence of three symbols of a word (boundaries added) to the sum of DECAY**span."""
-    s, out = bytes([BOUNDARY]) + word + bytes([BOUNDARY]), Counter()
-    for i in range(len(s)):
-        for span in range(2, min(SPAN, len(s) - 1 - i) + 1):
-            for middle in range(1, span):
-                out[s[i] << 12 | s[i + middle] << 6 | s[i + span]] += DECAY**span
-    return out
+@dataclass(frozen=True)
+class Weights:
+    """A weight for each of some subsequences (sorted), 0 for all others."""
+
+    key: np.ndarray
+    weight: np.ndarray
+
+    @staticmethod
+    def of(words: list[bytes], factors: np.ndarray) -> Weights:
+        """Those of the sum of normalised kernels with ``words``, each times its factor."""
+        word, key, value = subsequences(words)
+        value = value * (factors / norms(len(words), word, key, value))[word]
+        known, place = np.unique(key, return_inverse=True)
+        return Weights(known, np.bincount(place, value, len(known)))
+
+    @cached_property
+    def likely(self) -> np.ndarray:
+        out = np.zeros(1 << 18, bool)
+        out[(self.key & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
+        return out
+
+    def values(self, words: list[bytes]) -> np.ndarray:
+        """The weighted sum of each word's subsequences, by the root of its kernel with itself."""
+        word, key, value = subsequences(words)
+        return self.sums(len(words), word, key, value) / norms(len(words), word, key, value)
+
+    def sums(self, n: int, word: np.ndarray, key: np.ndarray, value: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(self.likely[(key & np.uint64((1 << 18) - 1)).astype(np.int64)]) if len(self.key) else np.zeros(0, np.int64)
+        place = np.minimum(np.searchsorted(self.key, key[at]), max(len(self.key) - 1, 0))
+        at, place = (x[self.key[place] == key[at]] for x in (at, place)) if len(at) else (at, place)
+        return np.bincount(word[at], value[at] * self.weight[place], n)
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
     """``weights`` and ``bias`` score words; ``link`` maps a document's (best, second best, log words above 0, log words) to a score."""
 
-    weights: np.ndarray
+    weights: Weights
     bias: float
     link: np.ndarray
 
-    def word_scores(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        return word_values(codes, starts, self.weights) + np.float32(self.bias)
+    @cached_property
+    def known(self) -> dict[bytes, float]:
+        return {}
+
+    def word_scores(self, words: list[bytes]) -> np.ndarray:
+        """Scores of words, each different one computed once and remembered for a while."""
+        known = self.known
+        new = [w for w in set(words) if w not in known]
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = list(set(words))
+        short = [w for w in new if len(w) <= 64 * WIDE]
+        for some in ([short[i : i + 20_000] for i in range(0, len(short), 20_000)], [[w] for w in new if len(w) > 64 * WIDE]):
+            for part in some:
+                known.update(zip(part, (self.weights.values(part) + self.bias).tolist(), strict=True))
+        out = np.array([known[w] for w in words]) if words else np.zeros(0)
+        for w in new:
+            if len(w) > 64 * WIDE:
+                del known[w]
+        return out
 
     def document_score(self, facts: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(facts @ self.link[1:] + self.link[0], -30, 30)))
@@ -165,13 +227,12 @@ def _slices(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
 
 def document_facts(texts: list[str | None], model: ToxicityModel) -> np.ndarray:
     """Per text: the best and second best word score (-1 where there is none), log of words above 0, log of words."""
-    best, second = np.full(len(texts), -1, np.float32), np.full(len(texts), -1, np.float32)
+    best, second = np.full(len(texts), -1.0), np.full(len(texts), -1.0)
     above, words = np.zeros(len(texts)), np.zeros(len(texts))
     for owners, parts in _slices(texts):
         codes, starts, owner = symbols_of(parts)
-        scores = model.word_scores(codes, starts)
         full = np.diff(starts, append=len(codes) - 1) > 1
-        scores, owner = scores[full], np.asarray(owners)[owner[full]]
+        scores, owner = model.word_scores([w for w in words_of(codes, starts) if w]), np.asarray(owners)[owner[full]]
         if not len(scores):
             continue
         np.add.at(above, owner[scores > 0], 1)
@@ -180,24 +241,19 @@ def document_facts(texts: list[str | None], model: ToxicityModel) -> np.ndarray:
         top, who = np.maximum.reduceat(scores, edge), owner[edge]
         at_top = np.repeat(top, np.diff(edge, append=len(owner))) == scores
         again = np.add.reduceat(at_top.astype(np.int32), edge) > 1
-        next_top = np.where(again, top, np.maximum.reduceat(np.where(at_top, np.float32(-1), scores), edge))
+        next_top = np.where(again, top, np.maximum.reduceat(np.where(at_top, -1.0, scores), edge))
         second[who] = np.maximum(np.maximum(second[who], next_top), np.minimum(best[who], top))
         best[who] = np.maximum(best[who], top)
     return np.stack([best, second, np.log1p(above), np.log1p(words)], axis=1).astype(np.float64)
 
 
-def _words(codes: np.ndarray, starts: np.ndarray) -> list[bytes]:
-    raw, ends = codes.tobytes(), np.append(starts[1:], len(codes) - 1)
-    return [raw[a + 1 : b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-
-
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, toxic, documents with it), summed over each batch."""
     for batch in batches:
         found: Counter = Counter()
         toxic = batch.column("toxic").to_pylist()
         for label, text in zip(toxic, batch.column("text").to_pylist(), strict=True):
-            for word in set(_words(*symbols_of([text or ""])[:2])) - {b""}:
+            for word in set(words_of(*symbols_of([text or ""])[:2])) - {b""}:
                 found[word, label] += 1
         keys = list(found)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.binary()), pa.array([k[1] for k in keys], pa.int32()), pa.array(list(found.values()), pa.int64())], ["word", "toxic", "n"])
@@ -215,11 +271,10 @@ def _worst_words(scores: dict[bytes, float] | None, model: ToxicityModel | None)
             for text in batch.column("text").to_pylist():
                 best, word = -math.inf, b""
                 for sentence in SENTENCE_END.split(text or ""):
-                    codes, starts, _ = symbols_of([sentence])
-                    words = _words(codes, starts)
-                    values = [scores.get(w, 0.0) for w in words] if scores is not None else model.word_scores(codes, starts).tolist()
+                    words = [w for w in words_of(*symbols_of([sentence])[:2]) if w]
+                    values = [scores.get(w, 0.0) for w in words] if scores is not None else model.word_scores(words).tolist()
                     for w, value in zip(words, values, strict=True):
-                        if w and value > best:
+                        if value > best:
                             best, word = value, w
                 if word and best > 0:
                     out.append(word)
@@ -268,75 +323,63 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def _joined(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    codes = np.frombuffer(b"\0" + b"\0".join(words) + b"\0", np.uint8)
-    return codes, np.flatnonzero(codes == BOUNDARY)[:-1]
-
-
-def _table(parts: list[tuple[bytes, float]]) -> np.ndarray:
-    table = np.zeros(SYMBOLS**3, np.float32)
-    for word, factor in parts:
-        scale = factor / float(norms(np.array([len(word)]))[0])
-        for index, value in subsequences(word).items():
-            table[index] += scale * value
-    return table
+def _kernel(words: list[bytes], landmarks: list[bytes]) -> np.ndarray:
+    """Normalised kernel of every word with every landmark."""
+    found = subsequences(words)
+    size = norms(len(words), *found)
+    return np.stack([Weights.of([mark], np.ones(1)).sums(len(words), *found) / size for mark in landmarks], axis=1)
 
 
-def _fit_words(landmarks: list[bytes], positive: Counter, negative: list[bytes]) -> tuple[np.ndarray, float]:
+def _fit_words(landmarks: list[bytes], positive: Counter, negative: list[bytes]) -> tuple[Weights, float]:
     """Weights per subsequence and bias of the SVM in the landmarks' Nyström space."""
     words = [*positive, *negative]
-    codes, starts = _joined(words)
-    kernel = np.stack([word_values(codes, starts, _table([(mark, 1.0)])) for mark in landmarks], axis=1).astype(np.float64)
-    marks = _joined(landmarks)
-    gram = np.stack([word_values(*marks, _table([(mark, 1.0)])) for mark in landmarks], axis=1).astype(np.float64)
-    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+    values, vectors = np.linalg.eigh(_kernel(landmarks, landmarks))
     whitening = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
-    x = np.column_stack([kernel @ whitening, np.ones(len(words))])
+    x = np.column_stack([_kernel(words, landmarks) @ whitening, np.ones(len(words))])
     y = np.repeat([1.0, -1.0], [len(positive), len(negative)])
     weight = np.concatenate([np.minimum(np.array(list(positive.values()), float), 20.0), np.ones(len(negative))])
     w = _hinge(x, y, weight)
-    alpha = whitening @ w[:-1]
-    return _table(list(zip(landmarks, alpha.tolist(), strict=True))), float(w[-1])
+    return Weights.of(landmarks, whitening @ w[:-1]), float(w[-1])
 
 
-def fit_toxicity(train: DataFrame) -> ToxicityModel:
+def fit_toxicity(train: DataFrame, max_clean_words: int = MAX_CLEAN_WORDS) -> ToxicityModel:
     """Fit on ``train`` (toxic 0/1, text), which the caller has bounded.
 
-    Word counts by label choose the landmarks. Of each toxic document the worst sentence is taken as toxic and its worst
-    word as what makes it so; clean documents are clean in every sentence. Worst sentences are chosen first by word counts,
-    then once more by the SVM itself. A logistic link over a document's worst words gives the score.
+    Word counts by label choose ``LANDMARKS`` landmarks. Worst sentences of toxic documents are chosen first by word counts,
+    of ``GUESSES`` words, then once more by the SVM itself; of the words of clean sentences ``max_clean_words`` are learnt
+    from. A logistic link over a document's worst words gives the score.
     """
     classes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = classes.get(1, 0), classes.get(0, 0)
-    nothing = np.zeros(SYMBOLS**3, np.float32)
+    nothing = Weights(np.zeros(0, np.uint64), np.zeros(0))
     share = (n_toxic + 1) / (n_toxic + n_clean + 2)
     constant = ToxicityModel(nothing, 0.0, np.array([math.log(share / (1 - share)), 0, 0, 0, 0]))
     if not n_toxic or not n_clean:
         return constant
-    counts = train.mapInArrow(_count_words, "word binary, toxic int, n long").groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("neg"))
+    counts = train.mapInArrow(in_turn("words", _count_words), "word binary, toxic int, n long").groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("neg"))
     counts = stored(counts, "toxic-words")
     expected = (F.col("pos") + F.col("neg")) * (n_toxic / (n_toxic + n_clean))
     strength = (F.col("pos") - expected) / F.sqrt(expected + 1)
     least = min(3, n_toxic)
-    top = counts.filter((F.col("pos") >= least) & (F.col("pos") * n_clean > 2 * F.col("neg") * n_toxic)).select("word", strength.alias("s")).orderBy(F.desc("s"), "word").limit(4 * LANDMARKS).collect()
+    top = counts.filter((F.col("pos") >= least) & (F.col("pos") * n_clean > 2 * F.col("neg") * n_toxic)).select("word", strength.alias("s")).orderBy(F.desc("s"), "word").limit(GUESSES).collect()
     if not top:
         return constant
     association = {bytes(r["word"]): float(r["s"]) for r in top}
     landmarks = [bytes(r["word"]) for r in top[:LANDMARKS]]
     clean = counts.filter("neg > 0").withColumn("h", F.xxhash64("word"))
-    negative = {bytes(r["word"]) for r in clean.orderBy(F.desc("neg"), "h").limit(MAX_CLEAN_WORDS // 3).collect()} | {bytes(r["word"]) for r in clean.orderBy("h", "word").limit(2 * MAX_CLEAN_WORDS // 3).collect()}
+    negative = {bytes(r["word"]) for r in clean.orderBy(F.desc("neg"), "h").limit(max_clean_words // 3).collect()} | {bytes(r["word"]) for r in clean.orderBy("h", "word").limit(2 * max_clean_words // 3).collect()}
     toxic = train.filter("toxic = 1")
     model, scores = None, association
     for _ in range(2):
-        found = toxic.select("text").mapInArrow(_worst_words(scores, model), "word binary").groupBy("word").count().collect()
+        found = toxic.select("text").mapInArrow(in_turn("words", _worst_words(scores, model)), "word binary").groupBy("word").count().collect()
         positive = Counter({bytes(r["word"]): r["count"] for r in found})
         if not positive:
             break
-        weights, bias = _fit_words(landmarks, positive, sorted(negative - set(positive)))
+        weights, bias = _fit_words(landmarks, Counter(dict(sorted(positive.items()))), sorted(negative - set(positive)))
         model, scores = ToxicityModel(weights, bias, np.zeros(5)), None
     if model is None:
         return constant
-    facts = train.mapInArrow(_document_facts(model), "toxic int, a double, b double, c double, d double").toPandas().to_numpy(np.float64)
+    facts = train.mapInArrow(in_turn("words", _document_facts(model)), "toxic int, a double, b double, c double, d double").toPandas().to_numpy(np.float64)
     facts = facts[np.lexsort(facts.T)]  # one order on any cluster
     return ToxicityModel(model.weights, model.bias, _logistic(facts[:, 1:], facts[:, 0]))
 
@@ -351,22 +394,23 @@ def _scorer(model: ToxicityModel):
     return score
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_clean_words: int = MAX_CLEAN_WORDS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Score every row of ``docs`` (doc_id, text) by what ``labels`` (doc_id, toxic) of rows not ``held_out`` teach.
 
     ``held_out`` is a condition on doc_id. Rows with a null label or doc_id teach nothing. Returns the columns ``keep``,
     held_out, score (0 to 1), predicted (score >= 0.3). A null text scores as an empty one; without labels of both classes
-    every score is the smoothed share of toxic labels. The bounded training rows are joined by broadcast, their number being
-    the bound.
+    every score is the smoothed share of toxic labels. The model learns from at most ``max_toxic`` toxic and ``max_clean`` clean
+    labelled documents, those of the least hash of doc_id, and from ``max_clean_words`` words of the clean ones; they are
+    joined by broadcast, their number being the bound. Of rows that repeat a doc_id the least text by hash is learnt from.
     """
     known = labels.filter(~held_out & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = (F.xxhash64("doc_id", F.lit(3)), F.col("doc_id"))
     taught = known.filter("toxic = 1").orderBy(*order).limit(max_toxic).union(known.filter("toxic = 0").orderBy(*order).limit(max_clean))
-    train = stored(docs.select("doc_id", "text").join(F.broadcast(taught), "doc_id").select("toxic", "text"), "toxic-train")
-    model = fit_toxicity(train)
+    once = docs.select("doc_id", "text").join(F.broadcast(taught), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
+    model = fit_toxicity(stored(once.select("toxic", "text"), "toxic-train"), max_clean_words)
     rows = docs.select(*keep, held_out.alias("held_out"), F.col("text").alias("scored_text"))
     schema = T.StructType([*(f for f in rows.schema.fields if f.name != "scored_text"), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_scorer(model), schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return rows.mapInArrow(in_turn("words", _scorer(model)), schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def op3_toxicity_kernel(spark, sf_dir) -> DataFrame:
