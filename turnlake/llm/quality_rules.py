@@ -131,8 +131,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, max_trai
     """Score every row of ``docs`` (doc_id, text) by rules learnt from ``labels`` (doc_id, quality) of rows not ``held_out``.
 
     ``held_out`` is a condition on doc_id. Rows with a null label or doc_id teach nothing; a document with several labels
-    takes the largest. Returns doc_id, held_out, score, predicted; a null text scores as an empty one, and repeated rows
-    each get a row. The statistics are computed once, in one scan, and stored as narrow rows; training rows are bounded by
+    takes the largest, and of rows that repeat a doc_id those of the least statistics teach. Returns doc_id, held_out, score,
+    predicted; a null text scores as an empty one, and repeated rows each get a row. The statistics are computed once, in one scan, and stored as narrow rows; training rows are bounded by
     ``max_train_rows``.
     """
     narrow = stored(docs.select("doc_id", *(c.cast("double").alias(name) for name, c in statistics(F.col("text")).items())), "statistics")
@@ -141,7 +141,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, max_trai
         .groupBy("doc_id").agg(F.max("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(max_train_rows)
     )
-    train = stored(narrow.join(taught, "doc_id").dropDuplicates(["doc_id"]).coalesce(4).sortWithinPartitions("doc_id"), "quality-train")
+    once = narrow.join(taught, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*STATISTICS, "quality")).alias("s")).select("doc_id", "s.*")
+    train = stored(once.coalesce(4).sortWithinPartitions("doc_id"), "quality-train")
     ensemble = fit_rules(train, "quality")
     scored = narrow.select("doc_id", held_out.alias("held_out"), ensemble.score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
