@@ -9,7 +9,7 @@ from turnlake.llm.bpe_lexicon import compile_lexicon, decode_documents, default_
 from turnlake.llm.partition_join import jaccard_components
 from turnlake.llm.quality_rules import hash_fold
 from turnlake.llm.simhash_windows import contaminated
-from turnlake.llm.storage import fresh_path, likely_member, read_table, small_batches, stored
+from turnlake.llm.storage import fresh_path, marked_likely, read_table, small_batches, stored
 from turnlake.llm.suffix_buckets import remove_repeated
 from turnlake.llm.toxicity_kernel import score_toxicity
 
@@ -30,24 +30,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = jaccard_components(docs).filter("n_shingles > 0").withColumn("goes", F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
     groups = found.groupBy("doc_id", "fingerprint").agg(F.max("goes").alias("goes"), F.count("*").alias("n"))
     odd = stored(groups.filter("goes or (n > 1 and doc_id is not null)").select(F.col("doc_id").alias("odd_id"), F.col("fingerprint").alias("odd_print"), "goes"), "odd-documents")
-    keyed = docs.withColumn("odd_print", F.xxhash64("text"))
-    likely = likely_member(odd, "odd_print")(F.col("odd_print"))
-    same = keyed.filter(likely).join(odd.withColumnRenamed("odd_print", "print"), F.col("odd_id").eqNullSafe(F.col("doc_id")) & (F.col("odd_print") == F.col("print")), "left")
+    keyed = marked_likely(docs.withColumn("odd_print", F.xxhash64("text")), "odd_print", odd, "odd_print")
+    same = keyed.filter("likely").join(odd.withColumnRenamed("odd_print", "print"), F.col("odd_id").eqNullSafe(F.col("doc_id")) & (F.col("odd_print") == F.col("print")), "left")
     fine = same.filter("print is null").select(*docs.columns)
     one = same.filter("print is not null and not goes").dropDuplicates(["doc_id", "odd_print"]).select(*docs.columns)
-    return keyed.filter(~likely).select(*docs.columns).unionByName(fine).unionByName(one)
+    return keyed.filter("not likely").select(*docs.columns).unionByName(fine).unionByName(one)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every byte that a repeated 200-byte string covers goes, with what is left of a character that is cut; n_chars follows."""
     small_batches(spark)
     keyed, cut = remove_repeated(docs)
-    cut = stored(cut.select(F.col("doc").alias("cut_doc"), F.col("fingerprint").alias("cut_print"), F.try_validate_utf8("kept").alias("whole"), "kept"), "cut")
-    likely = likely_member(cut, "cut_print")(F.col("fingerprint"))
-    text = F.when(F.col("cut_doc").isNull(), F.col("text")).otherwise(F.coalesce("whole", F.replace(F.make_valid_utf8(F.col("kept")), F.lit("�"), F.lit(""))))
-    joined = keyed.filter(likely).join(cut, (F.col("doc") == F.col("cut_doc")) & (F.col("fingerprint") == F.col("cut_print")), "left").withColumn("text", text)
+    cut = stored(cut.select(F.col("doc").alias("cut_doc"), F.col("fingerprint").alias("cut_print"), F.col("text").alias("cut_text")), "cut")
+    keyed = marked_likely(keyed, "fingerprint", cut, "cut_print")
+    text = F.when(F.col("cut_doc").isNull(), F.col("text")).otherwise(F.col("cut_text"))
+    joined = keyed.filter("likely").join(cut, (F.col("doc") == F.col("cut_doc")) & (F.col("fingerprint") == F.col("cut_print")), "left").withColumn("text", text)
     joined = joined.withColumn("n_chars", F.when(F.col("cut_doc").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return keyed.filter(~likely).select(*docs.columns).unionByName(joined.select(*docs.columns))
+    return keyed.filter("not likely").select(*docs.columns).unionByName(joined.select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +55,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keyed = docs.withColumn("leak_print", F.xxhash64("text"))
     found = contaminated(keyed.select(F.col("leak_print").alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
     leaks = stored(found.select(F.col("doc_id").alias("leak_print")).distinct(), "leaks")
-    likely = likely_member(leaks, "leak_print")(F.col("leak_print"))
-    kept = keyed.filter(likely).join(leaks, "leak_print", "left_anti")
-    return keyed.filter(~likely).select(*docs.columns).unionByName(kept.select(*docs.columns))
+    keyed = marked_likely(keyed, "leak_print", leaks, "leak_print")
+    kept = keyed.filter("likely").join(leaks, "leak_print", "left_anti")
+    return keyed.filter("not likely").select(*docs.columns).unionByName(kept.select(*docs.columns))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
