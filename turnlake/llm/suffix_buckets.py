@@ -266,14 +266,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(b"".join([*parts, text[at:]]))
             removed.append(len(text) - len(kept[-1]))
             count.append(len(spans))
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("fingerprint"), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(count, pa.int64())], ["doc", "fingerprint", "kept", "n_removed", "n_spans"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("fingerprint"), pa.array(kept, pa.binary()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()), pa.array(removed, pa.int64()), pa.array(count, pa.int64())], ["doc", "fingerprint", "kept", "text", "n_removed", "n_spans"])
 
 
 def remove_repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs`` (doc_id, text, any others) with its key columns, and (doc, fingerprint, kept, n_removed, n_spans) of the texts that lose bytes.
+    """``docs`` (doc_id, text, any others) with its key columns, and (doc, fingerprint, kept, text, n_removed, n_spans) of the texts that lose bytes.
 
     A byte goes if a ``LENGTH``-byte string that covers it also starts anywhere else, in the same text or another, whatever
-    goes elsewhere; nothing crosses texts. ``kept`` is binary, for a cut may fall inside a character. Null and short texts
+    goes elsewhere; nothing crosses texts. ``kept`` is binary, for a cut may fall inside a character; ``text`` is
+    ``kept`` without what is left of such characters. Null and short texts
     lose nothing. Repeated rows are texts of their own, so each loses all of 200 bytes or more that they share. Texts are
     shuffled only if a fixed-size bitmap says that they may lose bytes.
     """
@@ -281,7 +282,7 @@ def remove_repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ranges = stored(repeated_ranges(docs), "ranges")
     by_text = stored(ranges.groupBy("doc", "fingerprint").agg(F.collect_set(F.struct("low", "high")).alias("ranges")), "ranges-by-text")  # a set: repeated rows give equal ranges
     touched = marked_likely(docs.select("doc", "fingerprint", F.col("text").cast("binary").alias("bytes")), "fingerprint", by_text, "fingerprint").filter("likely and bytes is not null").drop("likely")
-    cut = touched.join(by_text, ["doc", "fingerprint"]).dropDuplicates(["doc", "fingerprint"]).mapInArrow(in_turn("suffixes", _cut), "doc long, fingerprint long, kept binary, n_removed long, n_spans long")
+    cut = touched.join(by_text, ["doc", "fingerprint"]).dropDuplicates(["doc", "fingerprint"]).mapInArrow(in_turn("suffixes", _cut), "doc long, fingerprint long, kept binary, text string, n_removed long, n_spans long")
     return docs, cut
 
 
