@@ -267,18 +267,19 @@ def _worst_words(scores: dict[bytes, float] | None, model: ToxicityModel | None)
 
     def worst(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in batch.column("text").to_pylist():
-                best, word = -math.inf, b""
-                for sentence in SENTENCE_END.split(text or ""):
-                    words = [w for w in words_of(*symbols_of([sentence])[:2]) if w]
-                    values = [scores.get(w, 0.0) for w in words] if scores is not None else model.word_scores(words).tolist()
-                    for w, value in zip(words, values, strict=True):
-                        if value > best:
-                            best, word = value, w
-                if word and best > 0:
-                    out.append(word)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["word"])
+            sentences, owner = [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                parts = SENTENCE_END.split(text or "")
+                sentences += parts
+                owner += [i] * len(parts)
+            codes, starts, whose = symbols_of(sentences)
+            words = [(owner[k], w) for k, w in zip(whose.tolist(), words_of(codes, starts), strict=True) if w]
+            values = [scores.get(w, 0.0) for _, w in words] if scores is not None else model.word_scores([w for _, w in words]).tolist()
+            best: dict[int, tuple[float, bytes]] = {}
+            for (i, w), value in zip(words, values, strict=True):
+                if value > best.get(i, (0.0,))[0]:
+                    best[i] = value, w
+            yield pa.RecordBatch.from_arrays([pa.array([w for _, w in best.values()], pa.binary())], ["word"])
 
     return worst
 
