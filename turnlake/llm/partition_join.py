@@ -67,12 +67,12 @@ def set_ids(values: np.ndarray, before: np.ndarray) -> np.ndarray:
 
 
 def odd_sketches(values: np.ndarray, before: np.ndarray) -> list[bytes]:
-    """A bit array of each set, at least four bits a shingle: the parity of the shingles that hash to each bit.
+    """A bit array of each set, at least two bits a shingle: the parity of the shingles that hash to each bit.
 
     A shingle that one of two sets lacks flips one bit, so the bits that differ never outnumber the shingles that do.
     """
     n = np.diff(before)
-    bits = np.left_shift(1, np.clip(np.ceil(np.log2(np.maximum(4 * n, 1))), 6, 20).astype(np.int64))
+    bits = np.left_shift(1, np.clip(np.ceil(np.log2(np.maximum(2 * n, 1))), 6, 20).astype(np.int64))
     start = np.cumsum(bits) - bits
     owner = np.repeat(np.arange(len(n)), n)
     at = start[owner] + (mix(values + np.uint64(0x41C64E6D)) & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
@@ -192,7 +192,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _links(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` of set identifiers whose sets reach the similarity.
 
-    Sizes and sketches, a sixteenth of a set, rule out pairs without doubt; only sets of the others are shuffled.
+    Sizes and sketches, a small part of a set, rule out pairs without doubt; only sets of the others are shuffled.
     """
     side = lambda x, y: classes.select(F.col("cls").alias(x), F.struct("n_shingles", "sketch").alias(y))
     likely = pairs.join(side("a", "left"), "a").join(side("b", "right"), "b").filter("4 * left.n_shingles >= 3 * right.n_shingles and 4 * right.n_shingles >= 3 * left.n_shingles")
@@ -377,6 +377,13 @@ def _list_links(texts: DataFrame, classes: DataFrame, rows: DataFrame, component
     return component
 
 
+def _placed(rows: DataFrame, column: str, component: DataFrame, out: str) -> DataFrame:
+    """``rows`` with the component of a set as ``out``: itself where it has no links. Only sets that likely have some are shuffled."""
+    marked = marked_likely(rows, column, component, "node")
+    linked = marked.filter("likely").join(component.select(F.col("node").alias(column), F.col("component").alias(out)), column, "left").withColumn(out, F.coalesce(out, column))
+    return linked.drop("likely").unionByName(marked.filter("not likely").withColumn(out, F.col(column)).drop("likely"))
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint of the text, n_shingles, component_id for every row of ``docs`` (doc_id, text).
 
@@ -398,22 +405,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     costs = spark.sparkContext.broadcast(frequent)
     keys = texts.mapInArrow(in_turn("shingles", _key_rows(costs)), "key long, cls long")
     same = Window.partitionBy("key")
-    lists = stored(keys.select("key", "cls", F.min("cls").over(same).alias("hub"), F.max("cls").over(same).alias("last")).filter("hub <> last").select("key", "cls", "hub"), "key-lists")
+    listed = keys.select("key", "cls", F.min("cls").over(same).alias("hub"), F.max("cls").over(same).alias("last")).filter("hub <> last")
+    lists = stored(listed.select("key", "cls", "hub").distinct(), "key-lists")  # dealt by key already
     costs.destroy()
     # each set with the hub that it shares most keys with, then with other hubs of other components
     stars = stored(lists.filter("cls <> hub").groupBy("hub", "cls").agg(F.count("*").alias("n")), "stars")
     nearest = stars.groupBy("cls").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("a")).select("a", F.col("cls").alias("b"))
     links = _links(texts, classes, nearest)
     component = stored(connected_components(links, "a", "b"), "nearest-components")
-    named = component.select(F.col("node").alias("cls"), "component")
-    apart = stars.join(nearest.select(F.col("a").alias("hub"), F.col("b").alias("cls")), ["hub", "cls"], "left_anti").join(named, "cls", "left").withColumn("x", F.coalesce("component", "cls")).drop("component")
-    apart = apart.join(named.select(F.col("cls").alias("hub"), "component"), "hub", "left").withColumn("y", F.coalesce("component", "hub")).filter("x <> y")
+    apart = stars.join(nearest.select(F.col("a").alias("hub"), F.col("b").alias("cls")), ["hub", "cls"], "left_anti").select("hub", "cls")
+    apart = _placed(_placed(stored(apart, "other-hubs"), "cls", component, "x"), "hub", component, "y").filter("x <> y")
     component = stored(joined_components(component, _links(texts, classes, apart.select(F.col("hub").alias("a"), F.col("cls").alias("b")))), "hub-components")
     # lists that still hold several components, of three sets or more (a pair has been compared)
-    placed = lists.join(component.select(F.col("node").alias("cls"), "component"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("component")).distinct()
-    placed = stored(placed, "placed-lists")
+    placed = stored(_placed(lists.select("key", "cls"), "cls", component, "component"), "placed-lists")
     several = stored(placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).filter("x <> y and n > 2").select("key"), "open-lists")
-    rest = stored(placed.join(several, "key", "left_semi"), "open-rows")
+    rest = stored(marked_likely(placed, "key", several, "key").filter("likely").drop("likely").join(several, "key", "left_semi").select("key", "cls", "component"), "open-rows")
     component = _list_links(texts, classes, rest, component)
     placed = stored(classes.join(component.select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("component")), "placed-classes")
     least = stored(placed.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least-ids")
