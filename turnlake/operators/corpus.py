@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import let
+from ..functions.text import let, strip
 
 PAGE_MARK = r"<sub>p(\d+)</sub>"
 # Marks that end a sentence.
@@ -232,22 +232,60 @@ def corpus_counts(chunks: DataFrame) -> DataFrame:
     return per_kind.unionByName(chunks.agg(F.count("*").alias("chunks"), F.count_distinct("doc_id").alias("docs")).withColumn("kind", F.lit("all")))
 
 
-def corpus_profile(lines: DataFrame) -> DataFrame:
-    """Per document: lines, paragraphs, characters that are no space, headings, anchors, table rows, upper median line length."""
-    text = F.regexp_replace("line", r"(?U)\s", "")
+def upper_median(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, median): of n values the one of rank n // 2 (from 0), by counts of equal values; no key's values are gathered."""
+    counts = rows.groupBy(key, value).agg(F.count("*").alias("n"))
+    whole = Window.partitionBy(key)
+    ranked = counts.withColumn("upto", F.sum("n").over(whole.orderBy(value))).withColumn("all", F.sum("n").over(whole))
+    return ranked.filter(F.col("upto") > F.floor(F.col("all") / 2)).groupBy(key).agg(F.min(value).alias("median"))
+
+
+def corpus_profile(lines: DataFrame, chunks: DataFrame, dropped: DataFrame, max_chars: int = 600) -> DataFrame:
+    """Per document of ``lines`` what its text and its chunks are like; ``chunks`` and ``dropped`` as ``chunk_corpus`` gives them.
+
+    lines, paragraphs (neither blank nor a heading), chars (no white space), h1 to h6, page_anchors, images, table_rows (two bars at
+    least), chunks, chunk_chars, chunk_min, chunk_median (the upper one), chunk_max, chunks_over_max, scenario_chars,
+    reference_chars, dropped_sections, dropped_chars, dropped_reasons (map). Without chunks their figures are 0.
+    """
     level = heading_level(F.col("line"))
-    sizes = F.sort_array(F.collect_list(F.when((text != "") & level.isNull(), F.length("line"))))
-    out = lines.groupBy("doc_id").agg(
-        F.count("*").alias("lines"), F.count_if((text != "") & level.isNull()).alias("paragraphs"), F.sum(F.length(text)).alias("chars"), F.count_if(level.isNotNull()).alias("headings"),
-        F.count_if(F.col("line").rlike(PAGE_MARK)).alias("anchors"), F.count_if(F.trim("line").startswith("|")).alias("table_rows"), sizes.alias("s"),
+    bare = F.regexp_replace("line", r"(?U)\s", "")
+    text = lines.groupBy("doc_id").agg(
+        F.count("*").alias("lines"), F.count_if((bare != "") & level.isNull()).alias("paragraphs"), F.sum(F.length(bare)).alias("chars"), *(F.count_if(level == k).alias(f"h{k}") for k in range(1, 7)),
+        F.sum(F.regexp_count("line", F.lit(PAGE_MARK))).cast("long").alias("page_anchors"), F.sum(F.regexp_count("line", F.lit(r"!\["))).cast("long").alias("images"), F.count_if(F.regexp_count("line", F.lit(r"\|")) >= 2).alias("table_rows"),
     )
-    return out.withColumn("median", F.try_element_at("s", (F.floor(F.size("s") / 2) + 1).cast("int"))).drop("s")
+    sized = chunks.select("doc_id", "kind", F.length("text").alias("size"))
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("size"))), F.lit(0)).alias(f"{kind}_chars")
+    made = sized.groupBy("doc_id").agg(
+        F.count("*").alias("chunks"), F.sum("size").alias("chunk_chars"), F.min("size").alias("chunk_min"), F.max("size").alias("chunk_max"), F.count_if(F.col("size") > max_chars).alias("chunks_over_max"), of("scenario"), of("reference"),
+    )
+    median = upper_median(sized, "doc_id", "size").withColumnRenamed("median", "chunk_median")
+    reasons = dropped.groupBy("doc_id", "reason").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    gone = reasons.groupBy("doc_id").agg(F.sum("n").alias("dropped_sections"), F.sum("chars").alias("dropped_chars"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("dropped_reasons"))
+    out = text.join(made, "doc_id", "left").join(median, "doc_id", "left").join(gone, "doc_id", "left")
+    counted = [c for c in out.columns if c not in ("doc_id", "dropped_reasons")]
+    return out.fillna(0, counted).withColumn("dropped_reasons", F.coalesce("dropped_reasons", F.create_map().cast("map<string,bigint>")))
+
+
+def parse_toc(lines: DataFrame) -> DataFrame:
+    """(doc_id, ord, title, page) of the entries of a table of contents: list items that end in a page anchor."""
+    entry = lambda n: F.regexp_extract("line", r"(?i)^\s*[-*]\s+(.+?)\s*<sub>\s*p(\d+)\s*</sub>\s*$", n)
+    return lines.filter(entry(2) != "").select("doc_id", F.col("pos").alias("ord"), strip(entry(1)).alias("title"), entry(2).cast("int").alias("page"))
 
 
 def toc_pages(sections: DataFrame, toc: DataFrame) -> DataFrame:
-    """Sections (doc_id, start, title) with the page of the same occurrence of their title in the table of contents (doc_id, ord, title, page)."""
+    """Sections (doc_id, start, level, title) with ``toc_page``: the page of the same occurrence of their title in the table of contents
+    (doc_id, ord, title, page), else that of the nearest heading above them in the tree that has one."""
     n = lambda order: F.row_number().over(Window.partitionBy("doc_id", "title").orderBy(order))
-    return sections.withColumn("n", n("start")).join(toc.withColumn("n", n("ord")).select("doc_id", "title", "n", F.col("page").alias("toc_page")), ["doc_id", "title", "n"], "left").drop("n")
+    own = sections.withColumn("n", n("start")).join(toc.withColumn("n", n("ord")).select("doc_id", "title", "n", F.col("page").alias("own_page")), ["doc_id", "title", "n"], "left").drop("n")
+    before = Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    inherited = []
+    for k in range(5, 0, -1):
+        # the last heading of level k is above, unless one of a smaller level has come since
+        at = F.max(F.when(F.col("level") == k, F.struct("start", "own_page"))).over(before)
+        cut = F.max(F.when(F.col("level") < k, F.col("start"))).over(before)
+        own = own.withColumn(f"above{k}", F.when((F.col("level") > k) & (cut.isNull() | (cut < at["start"])), at["own_page"]))
+        inherited.append(f"above{k}")
+    return own.withColumn("toc_page", F.coalesce("own_page", *inherited)).drop("own_page", *inherited)
 
 
 def coverage_check(source: DataFrame, output: DataFrame, part: int = 512) -> DataFrame:
@@ -266,6 +304,14 @@ def coverage_check(source: DataFrame, output: DataFrame, part: int = 512) -> Dat
     return found.groupBy("class").agg(F.coalesce(F.sum(F.when(F.col("held"), F.col("n"))), F.lit(0)).alias("kept"), F.sum("n").alias("total"))
 
 
+#: Shares of a page's height above and below which text is a header or footer; marks that end a sentence, on a line and
+#: at the foot of a page; marks that no heading has.
+HEADER_BAND, FOOTER_BAND = 0.09, 0.91
+LINE_ENDS = "。！？；.!?;：:"
+PARAGRAPH_ENDS = "。！？；.!?;”」』）"
+PROSE_MARKS = "。！？；，、："
+
+
 def running_heads(lines: DataFrame, band: float = 0.08, pages: int = 3, longest: int = 30) -> DataFrame:
     """(doc_id, text, n): short texts at the top of several pages; ``lines``: doc_id, page, text, y, page_height."""
     top = lines.filter((F.col("y") < band * F.col("page_height")) & (F.length(F.trim("text")) <= longest) & (F.trim("text") != ""))
@@ -281,28 +327,73 @@ def page_offset(lines: DataFrame, band: float = 0.12) -> DataFrame:
     return votes.withColumn("r", F.row_number().over(w)).filter("r = 1").select("doc_id", "offset", "votes")
 
 
-def page_report(lines: DataFrame) -> DataFrame:
-    """(doc_id, page, lines, chars, mean_width)."""
-    return lines.groupBy("doc_id", "page").agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("chars"), F.avg("width").alias("mean_width"))
+def page_report(lines: DataFrame, paragraphs: DataFrame, offsets: DataFrame) -> DataFrame:
+    """(doc_id, page, printed_page, lines, paragraphs, chars, mean_score) of every page of ``lines`` (doc_id, page, score).
 
+    ``paragraphs`` as ``carry_paragraph`` gives them, with the page where each ends up; ``offsets`` as ``page_offset`` does, 0 where
+    there is none. A page without paragraphs has 0 of them; lines without a score do not count in the mean.
+    """
+    read = lines.groupBy("doc_id", "page").agg(F.count("*").alias("lines"), F.round(F.avg("score"), 3).alias("mean_score"))
+    made = paragraphs.groupBy("doc_id", "page").agg(F.count("*").alias("paragraphs"), F.sum(F.length("text")).alias("chars"))
+    out = read.join(made, ["doc_id", "page"], "left").join(offsets.select("doc_id", "offset"), "doc_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return out.select("doc_id", "page", (F.col("page") - zero("offset")).alias("printed_page"), "lines", zero("paragraphs").alias("paragraphs"), zero("chars").alias("chars"), "mean_score")
 
-def paragraphs_from_lines(lines: DataFrame, indent: float = 0.8, pitch: float = 1.35, char_width: float = 12.0) -> DataFrame:
-    """(doc_id, page, paragraph, text): an indent, or a gap larger than usual on the page, starts a paragraph."""
-    w = Window.partitionBy("doc_id", "page").orderBy("y", "x")
-    gaps = lines.withColumns({"gap": F.col("y") - F.lag("y").over(w), "r": F.row_number().over(w)})
-    usual = gaps.groupBy("doc_id", "page").agg(F.percentile("gap", 0.5).alias("usual"), F.min("x").alias("left"))
-    flagged = gaps.join(usual, ["doc_id", "page"]).withColumn("new", F.when((F.col("r") == 1) | (F.col("x") - F.col("left") > indent * char_width) | (F.col("gap") > pitch * F.col("usual")), 1).otherwise(0))
-    placed = flagged.withColumn("paragraph", F.sum("new").over(w))
-    return placed.groupBy("doc_id", "page", "paragraph").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "text"))), lambda s: s["text"]), "").alias("text"))
 
+def paragraphs_from_lines(lines: DataFrame, heads: DataFrame | None = None, pairs: Sequence[tuple[str, str]] = (), headings: bool = True, indent: float = 0.8, pitch: float = 1.35) -> DataFrame:
+    """(doc_id, page, paragraph, text): each page's lines (doc_id, page, text, y, x, width, page_height, page_width) as paragraphs.
 
-def carry_paragraph(paragraphs: DataFrame, ends: str = r"[。！？.!?]\s*$") -> DataFrame:
-    """(doc_id, block, page, text): a page's last paragraph that does not end a sentence goes on with the next page's first."""
+    Lines in the header and footer bands, blank ones and running ``heads`` (doc_id, text) are out; the others are read by rows of
+    about six units, then from left to right, with ``fix_confusions`` by ``pairs``. An indent of more than ``indent`` median character
+    widths, or a step of more than ``pitch`` median steps, starts a paragraph. A short line without punctuation that follows a finished
+    sentence and stands in the middle or after such a step is a heading, ``### ...``, and never part of a paragraph. The fold over a
+    page's lines is one expression; no row leaves the page.
+    """
+    at, high = F.col("y"), F.col("page_height")
+    body = lines.withColumn("bare", strip(F.col("text"))).filter((F.col("bare") != "") & (at >= HEADER_BAND * high) & (at <= FOOTER_BAND * high))
+    if heads is not None:
+        body = body.join(heads.select("doc_id", F.col("text").alias("bare")).distinct(), ["doc_id", "bare"], "left_anti")
+    order = Window.partitionBy("doc_id", "page").orderBy(F.bround(at / 6), "x", "y", "text")
+    steps = body.withColumn("step", at - F.lag("y").over(order)).withColumn("r", F.row_number().over(order))
+    clean = fix_confusions(F.col("bare"), pairs)
+    line = F.struct("r", clean.alias("text"), F.col("x").cast("double").alias("x"), at.cast("double").alias("y"), F.col("width").cast("double").alias("width"))
+    pages = steps.groupBy("doc_id", "page").agg(
+        F.array_sort(F.collect_list(line)).alias("lines"), F.min("x").alias("left"), F.percentile(F.col("width") / F.greatest(F.length("text"), F.lit(1)), F.lit(0.5)).alias("char"),
+        F.coalesce(F.percentile(F.when(F.col("step") > 0, F.col("step")), F.lit(0.5)), F.lit(12.0)).alias("usual"), F.max("page_width").alias("across"),
+    )
+    state = lambda done, open_, y, ended: F.struct(done.alias("done"), open_.alias("open"), y.alias("y"), ended.alias("ended"))
+    start = state(F.array().cast("array<string>"), F.lit(""), F.lit(None).cast("double"), F.lit(True))
+    push = lambda done, text: F.when(text != "", F.concat(done, F.array(text))).otherwise(done)
+
+    def take(a: Column, x: Column) -> Column:
+        spaced = F.coalesce(x["y"] - a["y"] > pitch * F.col("usual"), F.lit(False))
+        breaks = (a["open"] != "") & ((x["x"] - F.col("left") > indent * F.col("char")) | spaced)
+        short = (F.length(x["text"]) <= 18) & ~x["text"].rlike(f"[{PROSE_MARKS}]")
+        middle = F.abs(x["x"] + x["width"] / 2 - F.col("across") / 2) < F.col("across") * 0.06
+        heading = F.lit(headings) & (breaks | (a["open"] == "")) & short & a["ended"] & (middle | spaced)
+        facts = F.struct(F.when(breaks, push(a["done"], strip(a["open"]))).otherwise(a["done"]).alias("done"), F.when(breaks, "").otherwise(a["open"]).alias("open"), heading.alias("heading"))
+        ended = F.substring(x["text"], -1, 1).isin(*LINE_ENDS)
+        return let(facts, lambda f: F.when(f["heading"], state(F.concat(f["done"], F.array(F.concat(F.lit("### "), x["text"]))), F.lit(""), x["y"], F.lit(True))).otherwise(state(f["done"], F.concat(f["open"], x["text"]), x["y"], ended)))
+
+    made = pages.select("doc_id", "page", F.posexplode(F.aggregate("lines", start, take, lambda a: push(a["done"], strip(a["open"])))).alias("n", "text"))
+    return made.select("doc_id", "page", (F.col("n") + 1).alias("paragraph"), "text")
+
+
+def carry_paragraph(paragraphs: DataFrame) -> DataFrame:
+    """(doc_id, block, page, text) of ``paragraphs`` (doc_id, page, paragraph, text), in order.
+
+    A page's last paragraph that is no heading and does not end a sentence is carried to the document's next page: it goes before that
+    page's first paragraph, as one with it unless that is a heading. On the last page it stays. A paragraph has the page on which it
+    ends up.
+    """
     w = Window.partitionBy("doc_id").orderBy("page", "paragraph")
-    before = F.lag(F.struct("page", "text")).over(w)
-    joins = before.isNotNull() & (before["page"] < F.col("page")) & ~before["text"].rlike(ends)
-    runs = paragraphs.withColumn("joins", joins).withColumn("block", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(w))
-    return runs.groupBy("doc_id", "block").agg(F.min("page").alias("page"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "paragraph", "text"))), lambda s: s["text"]), "").alias("text"))
+    heading = lambda c: F.startswith(c, F.lit("###"))
+    open_ = lambda c: ~heading(c) & ~F.coalesce(F.substring(c, -1, 1).isin(*PARAGRAPH_ENDS), F.lit(False))
+    before, after = F.lag(F.struct("page", "text")).over(w), F.lead(F.struct("page", "text")).over(w)
+    joins = F.coalesce((before["page"] < F.col("page")) & open_(before["text"]) & ~heading(F.col("text")), F.lit(False))
+    carried = F.coalesce((after["page"] > F.col("page")) & open_(F.col("text")), F.lit(False))
+    runs = paragraphs.withColumns({"joins": joins, "ends": F.when(carried, after["page"]).otherwise(F.col("page"))}).withColumn("block", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(w))
+    return runs.groupBy("doc_id", "block").agg(F.max("ends").alias("page"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "paragraph", "text"))), lambda s: s["text"]), "").alias("text"))
 
 
 def fix_confusions(text: Column, pairs: Sequence[tuple[str, str]], doubles: Sequence[str] = ("一一个", "一一些", "一一直", "一一定", "一一般", "一一样")) -> Column:

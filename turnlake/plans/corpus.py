@@ -100,15 +100,35 @@ def corpus_counts(spark, sf):
     return C.corpus_counts(C.sectionize(lines(spark, sf)).select("doc_id", c["kind"].alias("kind")))
 
 
-@query("a09_corpus_profile", duck(f"WITH x AS (SELECT doc_id, line, regexp_replace(line, '[\\s\\p{{Z}}]', '', 'g') AS bare, {_LEVEL} AS level FROM md_lines), s AS (SELECT doc_id, list_sort(list(length(line)) FILTER (bare <> '' AND level IS NULL)) AS s, count(*) AS lines, count(*) FILTER (bare <> '' AND level IS NULL) AS paragraphs, CAST(sum(length(bare)) AS BIGINT) AS chars, count(level) AS headings, count(*) FILTER (regexp_matches(line, '<sub>p\\d+</sub>')) AS anchors, count(*) FILTER (starts_with(trim(line), '|')) AS table_rows FROM x GROUP BY doc_id) SELECT doc_id, lines, paragraphs, chars, headings, anchors, table_rows, s[len(s) // 2 + 1] AS median FROM s", "md_lines"))
+_PROFILE = f"""WITH {_SECTIONS}, {_JUDGED}, {_packed(600, 'JOIN (SELECT doc_id, start FROM judged WHERE reason IS NULL) USING (doc_id, start)')},
+x AS (SELECT doc_id, line, regexp_replace(line, '[\\s\\p{{Z}}]', '', 'g') AS bare, {_LEVEL} AS level FROM md_lines),
+t AS (SELECT doc_id, count(*) AS lines, count(*) FILTER (bare <> '' AND level IS NULL) AS paragraphs, CAST(sum(length(bare)) AS BIGINT) AS chars, {', '.join(f'count(*) FILTER (level = {k}) AS h{k}' for k in range(1, 7))},
+  CAST(sum(len(regexp_extract_all(line, '<sub>p\\d+</sub>'))) AS BIGINT) AS page_anchors, CAST(sum(len(regexp_extract_all(line, '!\\['))) AS BIGINT) AS images, count(*) FILTER (length(line) - length(replace(line, '|', '')) >= 2) AS table_rows FROM x GROUP BY doc_id),
+c AS (SELECT p.doc_id, j.kind, length(p.text) AS size FROM packed p JOIN judged j USING (doc_id, start)),
+m AS (SELECT doc_id, count(*) AS chunks, CAST(sum(size) AS BIGINT) AS chunk_chars, min(size) AS chunk_min, list_sort(list(size))[count(*) // 2 + 1] AS chunk_median, max(size) AS chunk_max, count(*) FILTER (size > 600) AS chunks_over_max,
+  CAST(coalesce(sum(size) FILTER (kind = 'scenario'), 0) AS BIGINT) AS scenario_chars, CAST(coalesce(sum(size) FILTER (kind = 'reference'), 0) AS BIGINT) AS reference_chars FROM c GROUP BY doc_id),
+g AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS dropped_sections, CAST(sum(chars) AS BIGINT) AS dropped_chars, string_agg(reason || ':' || n, ',' ORDER BY reason) AS dropped_reasons FROM (SELECT doc_id, reason, count(*) AS n, sum(length(body)) AS chars FROM judged WHERE reason IS NOT NULL GROUP BY ALL) GROUP BY doc_id)
+SELECT t.*, {', '.join(f'coalesce({c}, 0) AS {c}' for c in 'chunks chunk_chars chunk_min chunk_median chunk_max chunks_over_max scenario_chars reference_chars dropped_sections dropped_chars'.split())}, coalesce(dropped_reasons, '') AS dropped_reasons
+FROM t LEFT JOIN m ON m.doc_id = t.doc_id LEFT JOIN g ON g.doc_id = t.doc_id"""
+
+
+@query("a09_corpus_profile", duck(_PROFILE, "md_lines"))
 def corpus_profile(spark, sf):
-    return C.corpus_profile(lines(spark, sf))
+    rows = lines(spark, sf)
+    out = C.corpus_profile(rows, *C.chunk_corpus(rows, drop=("an",), scenario=("en",)))
+    return out.withColumn("dropped_reasons", F.array_join(F.transform(F.array_sort(F.map_entries("dropped_reasons")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ","))
 
 
-@query("j12_toc_pages", duck(f"WITH {_TREE}, s AS (SELECT *, row_number() OVER (PARTITION BY doc_id, title ORDER BY start) AS n FROM tree), toc AS (SELECT *, row_number() OVER (PARTITION BY doc_id, title ORDER BY start) AS m FROM tree WHERE start % 2 = 0) SELECT s.doc_id, s.start, toc.start // 2 AS toc_page FROM s LEFT JOIN toc ON s.doc_id = toc.doc_id AND s.title = toc.title AND s.n = toc.m", "md_lines"))
+_ABOVE = """s AS (SELECT doc_id, start, level, title, row_number() OVER (PARTITION BY doc_id, title ORDER BY start) AS n FROM tree), toc AS (SELECT doc_id, start // 2 AS page, title, row_number() OVER (PARTITION BY doc_id, title ORDER BY start) AS n FROM tree WHERE start % 6 = 0),
+o AS (SELECT s.*, toc.page AS own FROM s LEFT JOIN toc ON toc.doc_id = s.doc_id AND toc.title = s.title AND toc.n = s.n),
+above AS (SELECT s.doc_id, s.start, arg_max(a.own, a.start) AS page FROM o s JOIN o a ON a.doc_id = s.doc_id AND a.start < s.start AND a.level < s.level AND a.own IS NOT NULL
+  WHERE NOT EXISTS (SELECT 1 FROM o b WHERE b.doc_id = s.doc_id AND b.start > a.start AND b.start < s.start AND b.level <= a.level) GROUP BY ALL)"""
+
+
+@query("j12_toc_pages", duck(f"WITH {_TREE}, {_ABOVE} SELECT o.doc_id, o.start, coalesce(o.own, above.page) AS toc_page FROM o LEFT JOIN above ON above.doc_id = o.doc_id AND above.start = o.start", "md_lines"))
 def toc_pages(spark, sf):
-    s = C.heading_tree(lines(spark, sf)).select("doc_id", "start", "title")
-    toc = s.filter("start % 2 = 0").select("doc_id", F.col("start").alias("ord"), "title", F.floor(F.col("start") / 2).alias("page"))
+    s = C.heading_tree(lines(spark, sf)).select("doc_id", "start", "level", "title")
+    toc = s.filter("start % 6 = 0").select("doc_id", F.col("start").alias("ord"), "title", F.floor(F.col("start") / 2).alias("page"))
     return C.toc_pages(s, toc).select("doc_id", "start", "toc_page")
 
 
@@ -128,22 +148,62 @@ def page_offset(spark, sf):
     return C.page_offset(view(spark, sf, "ocr_lines"))
 
 
-@query("a16_page_report", duck("SELECT doc_id, page, count(*) AS lines, CAST(sum(length(text)) AS BIGINT) AS chars, round(avg(width), 6) AS mean_width FROM ocr_lines GROUP BY ALL", "ocr_lines"))
-def page_report(spark, sf):
-    return C.page_report(view(spark, sf, "ocr_lines")).withColumn("mean_width", F.round("mean_width", 6))
-
-
-_PARAGRAPHS = "g AS (SELECT *, y - lag(y) OVER w AS gap, row_number() OVER w AS r FROM ocr_lines WINDOW w AS (PARTITION BY doc_id, page ORDER BY y, x)), us AS (SELECT doc_id, page, quantile_cont(gap, 0.5) AS usual, min(x) AS lft FROM g GROUP BY ALL), fl AS (SELECT g.*, CASE WHEN r = 1 OR x - lft > 9.6 OR gap > 1.35 * usual THEN 1 ELSE 0 END AS new FROM g JOIN us USING (doc_id, page)), pl AS (SELECT *, CAST(sum(new) OVER (PARTITION BY doc_id, page ORDER BY y, x) AS BIGINT) AS paragraph FROM fl), paragraphs AS (SELECT doc_id, page, paragraph, string_agg(text, '' ORDER BY y, x) AS text FROM pl GROUP BY ALL)"
-
-
-@query("w14_paragraphs_from_lines", duck(f"WITH {_PARAGRAPHS} SELECT doc_id, page, paragraph, text FROM paragraphs", "ocr_lines"))
+_OFFSETS = "ov AS (SELECT doc_id, page - CAST(regexp_extract(text, '(\\d{1,4})', 1) AS INT) AS off, page FROM ocr_lines WHERE (y < 0.12 * page_height OR y > 0.88 * page_height) AND regexp_matches(text, '\\d')), ow AS (SELECT doc_id, off, count(*) AS votes, min(page) AS first FROM ov GROUP BY ALL), offsets AS (SELECT doc_id, off FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY votes DESC, first, off) AS r FROM ow) WHERE r = 1)"
+
+
+def _fixed(t: str, pairs: tuple = ()) -> str:
+    """DuckDB SQL of the corrections of a line."""
+    for wrong, right in pairs:
+        t = f"replace({t}, '{wrong}', '{right}')"
+    dashed = f"regexp_replace({t}, '[-—–·]+', '一', 'g')"
+    for double in ("一一个", "一一些", "一一直", "一一定", "一一般", "一一样"):
+        dashed = f"replace({dashed}, '{double}', '{double[1:]}')"
+    return f"regexp_replace(CASE WHEN regexp_matches({t}, '[-—–·]') THEN {dashed} ELSE {t} END, '[（(]\\s*(\\d{{1,2}})\\s*[)）]', '（\\1）', 'g')"
+
+
+_ENDS = "[\\s\\p{Z}\\x0B\\x85]+"
+_SHORT = "(length(b.t) <= 18 AND NOT regexp_matches(b.t, '[。！？；，、：]'))"
+_SPACED = "coalesce(b.y - f.y > 1.35 * b.usual, false)"
+_BREAKS = f"(f.open <> '' AND (b.x - b.lft > 0.8 * b.chr OR {_SPACED}))"
+_HEADING = f"(({_BREAKS} OR f.open = '') AND {_SHORT} AND f.ended AND (abs(b.x + b.width / 2.0 - b.page_width / 2.0) < b.page_width * 0.06 OR {_SPACED}))"
+_DONE = f"(CASE WHEN {_BREAKS} THEN f.done || [regexp_replace(f.open, '^{_ENDS}|{_ENDS}$', '', 'g')] ELSE f.done END)"
+#: The rule line by line: all pages step to their next line together.
+_PARAGRAPHS = f"""hd AS (SELECT doc_id, trim(text) AS text FROM ocr_lines WHERE y < 0.144 * page_height AND length(trim(text)) <= 30 AND trim(text) <> '' GROUP BY ALL HAVING count(DISTINCT page) >= 3),
+b0 AS (SELECT *, regexp_replace(text, '^{_ENDS}|{_ENDS}$', '', 'g') AS bare FROM ocr_lines),
+b1 AS (SELECT *, row_number() OVER w AS r, y - lag(y) OVER w AS step FROM b0 WHERE bare <> '' AND y BETWEEN 0.09 * page_height AND 0.91 * page_height AND NOT EXISTS (SELECT 1 FROM hd WHERE hd.doc_id = b0.doc_id AND hd.text = b0.bare) WINDOW w AS (PARTITION BY doc_id, page ORDER BY round_even(y / 6, 0), x, y, text)),
+b2 AS (SELECT doc_id, page, count(*) AS n, min(x) AS lft, quantile_cont(width / greatest(length(text), 1), 0.5) AS chr, coalesce(quantile_cont(step, 0.5) FILTER (step > 0), 12.0) AS usual FROM b1 GROUP BY ALL),
+b AS MATERIALIZED (SELECT b1.*, n, lft, chr, usual, {_fixed('bare')} AS t FROM b1 JOIN b2 USING (doc_id, page)),
+f AS (SELECT doc_id, page, n, CAST(0 AS BIGINT) AS r, CAST([] AS VARCHAR[]) AS done, '' AS open, CAST(NULL AS DOUBLE) AS y, true AS ended FROM b2 UNION ALL
+  SELECT f.doc_id, f.page, f.n, f.r + 1, CASE WHEN {_HEADING} THEN {_DONE} || ['### ' || b.t] ELSE {_DONE} END, CASE WHEN {_HEADING} THEN '' WHEN {_BREAKS} THEN b.t ELSE f.open || b.t END, CAST(b.y AS DOUBLE),
+    {_HEADING} OR regexp_matches(b.t, '[。！？；.!?;：:]$') FROM f JOIN b ON b.doc_id = f.doc_id AND b.page = f.page AND b.r = f.r + 1),
+pd AS (SELECT doc_id, page, list_filter(done || [regexp_replace(open, '^{_ENDS}|{_ENDS}$', '', 'g')], lambda p: p <> '') AS p FROM f WHERE r = n),
+paragraphs AS (SELECT doc_id, page, CAST(generate_subscripts(p, 1) AS INTEGER) AS paragraph, unnest(p) AS text FROM pd)"""
+_OPEN = "NOT starts_with({0}, '###') AND NOT regexp_matches({0}, '[。！？；.!?;”」』）]$')"
+_CARRIED = f"""j AS (SELECT *, lag(page) OVER w AS before_page, lag(text) OVER w AS before, lead(page) OVER w AS after_page FROM paragraphs WINDOW w AS (PARTITION BY doc_id ORDER BY page, paragraph)),
+k AS (SELECT *, CAST(sum(CASE WHEN before_page < page AND {_OPEN.format('before')} AND NOT starts_with(text, '###') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY page, paragraph) AS BIGINT) AS block, CASE WHEN after_page > page AND {_OPEN.format('text')} THEN after_page ELSE page END AS ends FROM j),
+carried AS (SELECT doc_id, block, max(ends) AS page, string_agg(text, '' ORDER BY page, paragraph) AS text FROM k GROUP BY doc_id, block)"""
+
+
+def paragraphs(spark, sf):
+    ocr = view(spark, sf, "ocr_lines")
+    return C.paragraphs_from_lines(ocr, C.running_heads(ocr, C.HEADER_BAND * 1.6))
+
+
+@query("w14_paragraphs_from_lines", duck(f"WITH RECURSIVE {_PARAGRAPHS} SELECT doc_id, page, paragraph, text FROM paragraphs", "ocr_lines"))
 def paragraphs_from_lines(spark, sf):
-    return C.paragraphs_from_lines(view(spark, sf, "ocr_lines"))
+    return paragraphs(spark, sf)
 
 
-@query("w13_carry_paragraph", duck(f"WITH {_PARAGRAPHS}, j AS (SELECT *, lag(page) OVER w AS last_page, lag(text) OVER w AS last_text FROM paragraphs WINDOW w AS (PARTITION BY doc_id ORDER BY page, paragraph)), b AS (SELECT *, CAST(sum(CASE WHEN last_page < page AND NOT regexp_matches(last_text, '[。！？.!?]\\s*$') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY page, paragraph) AS BIGINT) AS block FROM j) SELECT doc_id, block, min(page) AS page, string_agg(text, '' ORDER BY page, paragraph) AS text FROM b GROUP BY doc_id, block", "ocr_lines"))
+@query("w13_carry_paragraph", duck(f"WITH RECURSIVE {_PARAGRAPHS}, {_CARRIED} SELECT doc_id, block, page, text FROM carried", "ocr_lines"))
 def carry_paragraph(spark, sf):
-    return C.carry_paragraph(C.paragraphs_from_lines(view(spark, sf, "ocr_lines")))
+    return C.carry_paragraph(paragraphs(spark, sf))
+
+
+@query("a16_page_report", duck(f"WITH RECURSIVE {_PARAGRAPHS}, {_CARRIED}, {_OFFSETS}, pl AS (SELECT doc_id, page, count(*) AS lines, round(avg(0.5 + (length(text) % 50) / 100.0), 3) AS mean_score FROM ocr_lines GROUP BY ALL), pp AS (SELECT doc_id, page, count(*) AS paragraphs, CAST(sum(length(text)) AS BIGINT) AS chars FROM carried GROUP BY ALL) SELECT pl.doc_id, pl.page, pl.page - coalesce(off, 0) AS printed_page, lines, coalesce(paragraphs, 0) AS paragraphs, coalesce(chars, 0) AS chars, mean_score FROM pl LEFT JOIN pp ON pp.doc_id = pl.doc_id AND pp.page = pl.page LEFT JOIN offsets ON offsets.doc_id = pl.doc_id", "ocr_lines"))
+def page_report(spark, sf):
+    ocr = view(spark, sf, "ocr_lines")
+    scored = ocr.withColumn("score", 0.5 + (F.length("text") % 50) / 100)
+    return C.page_report(scored, C.carry_paragraph(paragraphs(spark, sf)), C.page_offset(ocr))
 
 
 @query("f21_split_windows", duck("WITH t AS (SELECT doc_id, list_filter(list_transform(" + _SENTENCES("regexp_replace(coalesce(text, ''), '\\.\\s*', '!', 'g')") + ", lambda s: trim(s)), lambda s: s <> '') AS s FROM documents) SELECT doc_id, " + _folded("s", 90, "") + "[1:8] AS windows FROM t"))
@@ -157,10 +217,9 @@ def tidy(spark, sf):
     return view(spark, sf, "turns").select("turn_id", C.tidy(F.concat(F.lit("字 　字"), F.col("input_text"), F.lit("  ，end"))).alias("text"))
 
 
-@query("f28_fix_confusions", duck("SELECT turn_id, '（' || turn_id % 90 || '）一个' || replace(input_text, 'the', 'teh') AS text FROM turns WHERE NOT regexp_matches(input_text, '[-—–·(（]')", "turns"))
+@query("f28_fix_confusions", duck("SELECT turn_id, " + _fixed("('( ' || turn_id % 90 || ' )—一个' || input_text)", (("the", "teh"),)) + " AS text FROM turns", "turns"))
 def fix_confusions(spark, sf):
-    t = view(spark, sf, "turns").filter(~F.col("input_text").rlike("[-—–·(（]"))
-    return t.select("turn_id", C.fix_confusions(F.concat(F.lit("( "), F.col("turn_id") % 90, F.lit(" )—一个"), F.col("input_text")), (("the", "teh"),)).alias("text"))
+    return view(spark, sf, "turns").select("turn_id", C.fix_confusions(F.concat(F.lit("( "), F.col("turn_id") % 90, F.lit(" )—一个"), F.col("input_text")), (("the", "teh"),)).alias("text"))
 
 
 _DOCS = "d AS (SELECT doc_id, 'corpus/' || lang || '/' || source || '.md' AS path FROM documents)"

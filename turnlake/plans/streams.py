@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import scratch
+from ..session import scratch, table
+from ..sources.tables import replace_partitions
 from ..streaming import flows, machines
 from .analytics import ATTENTION, NEGATIVE, POSITIVE, URGENT, labelled
 from .base import query
-from .fixtures import duck, view
+from .fixtures import NOW, duck, view
 
 
 @query("t03_sequence_dedup", duck("SELECT session_id, sequence, arrival FROM (SELECT *, max(sequence) OVER (PARTITION BY session_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM frames) WHERE best IS NULL OR sequence > best", "frames"))
@@ -53,12 +54,60 @@ def sentence_stream(spark, sf):
     return machines.run_batch(parts.withColumn("last", F.col("chunk_no") == F.col("n") - 1), "request_id", "chunk_no", machines.sentence_step(), machines.SENTENCES)
 
 
-@query("t09_enrollment_state")
-def enrollment_state(spark, sf):
+def enrollments(spark, sf):
     h = view(spark, sf, "heartbeats")
     kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "purchase", "complete").when(F.col("event_type") == "error", "cancel").otherwise("sample")
-    e = h.select(F.col("device_id").alias("user_id"), (F.col("event_id") % 2).alias("enrollment_id"), F.col("created_at").alias("ts"), kind.alias("kind"))
-    return machines.run_batch(e, "user_id", "ts", machines.enrollment_step(86_400), machines.ENROLLMENTS)
+    return h.select(F.col("device_id").alias("user_id"), (F.col("event_id") % 2).alias("enrollment_id"), F.col("created_at").alias("ts"), kind.alias("kind"), (F.col("created_at") * 1_000_000 + F.col("event_id")).alias("seq"))
+
+
+_ROW = "STRUCT(enrollment_id BIGINT, ts BIGINT, status VARCHAR)"
+_ENROLLMENTS = f"""e AS (SELECT device_id AS user_id, event_id % 2 AS one, created_at AS t, CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'cancel' ELSE 'sample' END AS kind, created_at * 1000000 + event_id AS seq FROM heartbeats),
+l AS (SELECT user_id, list({{'id': CAST(NULL AS BIGINT), 'since': CAST(NULL AS BIGINT), 'out': CAST([] AS {_ROW}[]), 'one': one, 't': t, 'kind': kind}} ORDER BY seq) AS l FROM e GROUP BY user_id),
+r AS (SELECT user_id, list_reduce([{{'id': CAST(NULL AS BIGINT), 'since': CAST(NULL AS BIGINT), 'out': CAST([] AS {_ROW}[]), 'one': CAST(0 AS BIGINT), 't': CAST(0 AS BIGINT), 'kind': ''}}] || l, lambda a, x: {{
+  'id': CASE WHEN x.kind = 'start' THEN x.one WHEN x.t > a.since + 86400 OR (a.id = x.one AND x.kind <> 'sample') THEN NULL ELSE a.id END,
+  'since': CASE WHEN x.kind = 'start' THEN x.t WHEN x.t > a.since + 86400 OR (a.id = x.one AND x.kind <> 'sample') THEN NULL ELSE a.since END,
+  'out': a.out || CASE WHEN a.id IS NOT NULL AND x.t > a.since + 86400 THEN [{{'enrollment_id': a.id, 'ts': a.since + 86400, 'status': 'expired'}}] WHEN a.id IS NOT NULL AND x.kind = 'start' THEN [{{'enrollment_id': a.id, 'ts': x.t, 'status': 'cancelled'}}] ELSE [] END
+    || CASE WHEN x.kind = 'start' THEN [{{'enrollment_id': x.one, 'ts': x.t, 'status': 'started'}}] WHEN a.id = x.one AND x.t <= a.since + 86400 THEN [{{'enrollment_id': x.one, 'ts': x.t, 'status': CASE x.kind WHEN 'sample' THEN 'sampled' WHEN 'complete' THEN 'completed' ELSE 'cancelled' END}}] ELSE [] END,
+  'one': x.one, 't': x.t, 'kind': x.kind}}) AS r FROM l),
+o AS (SELECT user_id, unnest(r.out || CASE WHEN r.id IS NOT NULL AND {NOW} > r.since + 86400 THEN [{{'enrollment_id': r.id, 'ts': r.since + 86400, 'status': 'expired'}}] ELSE [] END) AS o FROM r)"""
+
+
+@query("t09_enrollment_state", duck(f"WITH {_ENROLLMENTS} SELECT user_id, o.enrollment_id AS enrollment_id, o.ts AS ts, o.status AS status FROM o", "heartbeats"))
+def enrollment_state(spark, sf):
+    return machines.run_batch(enrollments(spark, sf), "user_id", "seq", machines.enrollment_step(86_400), machines.ENROLLMENTS, machines.enrollment_finish(86_400, NOW))
+
+
+_SAMPLES = "samples AS (SELECT vec_id AS sample_id, label AS user_id, CASE WHEN vec_id % 5 = 0 THEN NULL ELSE vec_id % 4 + 1 END AS step, CASE label % 3 WHEN 0 THEN CAST([] AS BIGINT[]) WHEN 1 THEN [CAST(1 AS BIGINT)] ELSE [CAST(1 AS BIGINT), 3] END AS saved FROM embeddings)"
+_ADMITTED = "STRUCT(sample_id BIGINT, step BIGINT, outcome VARCHAR, samples BIGINT)"
+
+
+@query(
+    "w18_admit_samples",
+    f"""WITH {_SAMPLES}, l AS (SELECT user_id, first(saved) AS saved, list({{'saved': CAST([] AS BIGINT[]), 'out': CAST([] AS {_ADMITTED}[]), 'id': sample_id, 'step': step}} ORDER BY sample_id) AS l FROM samples GROUP BY user_id),
+r AS (SELECT user_id, list_reduce([{{'saved': saved, 'out': CAST([] AS {_ADMITTED}[]), 'id': CAST(0 AS BIGINT), 'step': CAST(NULL AS BIGINT)}}] || l, lambda a, x: {{
+  'saved': CASE WHEN coalesce(x.step, list_min(list_filter([1, 2, 3], lambda k: NOT list_contains(a.saved, k)))) = list_min(list_filter([1, 2, 3], lambda k: NOT list_contains(a.saved, k)))
+    THEN a.saved || [CAST(list_min(list_filter([1, 2, 3], lambda k: NOT list_contains(a.saved, k))) AS BIGINT)] ELSE a.saved END,
+  'out': a.out || [{{'sample_id': x.id, 'step': CAST(coalesce(x.step, list_min(list_filter([1, 2, 3], lambda k: NOT list_contains(a.saved, k)))) AS BIGINT),
+    'outcome': CASE WHEN list_contains(a.saved, x.step) THEN 're_recorded' WHEN coalesce(x.step, list_min(list_filter([1, 2, 3], lambda k: NOT list_contains(a.saved, k)))) = list_min(list_filter([1, 2, 3], lambda k: NOT list_contains(a.saved, k))) THEN 'accepted' ELSE 'rejected' END,
+    'samples': len(a.saved) + CASE WHEN coalesce(x.step, list_min(list_filter([1, 2, 3], lambda k: NOT list_contains(a.saved, k)))) = list_min(list_filter([1, 2, 3], lambda k: NOT list_contains(a.saved, k))) THEN 1 ELSE 0 END}}],
+  'id': x.id, 'step': x.step}}).out AS out FROM l), o AS (SELECT user_id, unnest(out) AS o FROM r)
+SELECT user_id, o.sample_id AS sample_id, o.step AS step, o.outcome AS outcome, o.samples AS samples FROM o""",
+)
+def admit_samples(spark, sf):
+    v, label = F.col("vec_id"), F.col("label")
+    saved = F.when(label % 3 == 0, F.array().cast("array<long>")).when(label % 3 == 1, F.array(F.lit(1).cast("long"))).otherwise(F.array(F.lit(1).cast("long"), F.lit(3).cast("long")))
+    samples = table(spark, sf, "embeddings").select(label.cast("long").alias("user_id"), v.alias("sample_id"), F.when(v % 5 != 0, v % 4 + 1).alias("step"), saved.alias("saved"))
+    return machines.run_batch(samples, "user_id", "sample_id", machines.admission_step(), machines.ADMISSIONS)
+
+
+_RUNS = "SELECT device_id, '{clock}' AS clock, min(created_at) AS started_at, max(created_at) + {gap} AS ended_at, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY device_id ORDER BY created_at, event_id) AS run FROM (SELECT *, CASE WHEN created_at - lag(created_at) OVER (PARTITION BY device_id ORDER BY created_at, event_id) < {gap} THEN 0 ELSE 1 END AS new FROM heartbeats WHERE {of})) GROUP BY device_id, run"
+
+
+@query("t06_session_clocks", duck(_RUNS.format(clock="standby", gap=21_600, of="event_type IN ('click', 'purchase')") + " UNION ALL " + _RUNS.format(clock="dead", gap=86_400, of="true"), "heartbeats"))
+def session_clocks(spark, sf):
+    h = view(spark, sf, "heartbeats").withColumn("at", F.timestamp_seconds("created_at"))
+    out = flows.session_clocks(h, F.col("event_type").isin("click", "purchase"), 21_600, 86_400)
+    return out.withColumns({c: F.unix_seconds(c) for c in ("started_at", "ended_at")})
 
 
 @query("t10_risk_alerts", duck("SELECT turn_id, CASE WHEN contains(lower(input_text), 'sad') OR contains(lower(input_text), 'great') THEN 'urgent' ELSE 'attention' END AS risk_level FROM turns WHERE contains(lower(input_text), 'sad') OR contains(lower(input_text), 'great') OR contains(lower(input_text), 'err')", "turns"))
@@ -102,7 +151,7 @@ def heartbeat_stream(spark, sf):
 
     def write(name, df):
         if name == "device_events":
-            df.write.mode("append").parquet(f"{root}/device_events")
+            replace_partitions(df, f"{root}/device_events", "batch_id")
             return
         path = f"{root}/{name}-{len(at)}-{scratch(spark, name).rsplit('-', 1)[1]}"
         df.write.parquet(path)

@@ -74,6 +74,11 @@ def append_events(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def replace_partitions(df: DataFrame, path: str, *by: str) -> None:
+    """Write ``df`` in place of the partitions of the table at ``path`` that its rows belong to; all others keep their files."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
 def write_files(files: DataFrame, folder: str) -> int:
     """Write each row (name, content) as a file of its own below ``folder``, from the tasks; the number of files."""
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

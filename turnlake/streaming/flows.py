@@ -42,7 +42,9 @@ def validate_envelope(events: DataFrame, types: Sequence[str], version: int = 1)
 def heartbeat_batch(read: Callable[[str], DataFrame], write: Callable[[str, DataFrame], None]):
     """The foreachBatch function of a heartbeat stream: clean rows, latest state per device (a late one never replaces a newer), event log, unknown users.
 
-    ``read`` and ``write`` take a table's name (devices, device_events, users); writing devices and users replaces the table.
+    ``read`` and ``write`` take a table's name (devices, device_events, users). Writing devices and users replaces the table; writing
+    device_events replaces the rows of the batch_id that its rows have (``replace_partitions``), so a batch that is delivered
+    again, as after a failure, leaves every table as the first time.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
@@ -61,3 +63,21 @@ def heartbeat_batch(read: Callable[[str], DataFrame], write: Callable[[str, Data
 def heartbeat_stream(stream: DataFrame, checkpoint: str, read: Callable[[str], DataFrame], write: Callable[[str, DataFrame], None]):
     """Start the heartbeat stream over what there is; returns the query."""
     return stream.writeStream.foreachBatch(heartbeat_batch(read, write)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def session_clocks(events: DataFrame, voice: Column, voice_gap: int = 60, link_gap: int = 300, late: str = "10 minutes") -> DataFrame:
+    """(device_id, clock, started_at, ended_at, n): runs of a device's events (device_id, at), on a stream or a batch.
+
+    Two clocks run side by side: without a ``voice`` event for ``voice_gap`` seconds a device goes to standby, without any event for
+    ``link_gap`` its link is dead; ended_at is that moment. An event exactly a gap later begins a new run. On a stream a run
+    is emitted once the watermark, ``late`` behind the latest event, is past its end; events behind the watermark are dropped.
+    """
+
+    def runs(rows: DataFrame, clock: str, gap: int) -> DataFrame:
+        # windows that touch are merged: a microsecond less keeps an event at exactly the gap apart
+        window = F.session_window("at", f"{gap * 1_000_000 - 1} microseconds")
+        found = rows.groupBy("device_id", window.alias("run")).agg(F.count("*").alias("n"))
+        return found.select("device_id", F.lit(clock).alias("clock"), F.col("run.start").alias("started_at"), (F.col("run.end") + F.expr("INTERVAL 1 MICROSECOND")).alias("ended_at"), "n")
+
+    timed = events.withWatermark("at", late)
+    return runs(timed.filter(voice), "standby", voice_gap).unionByName(runs(timed, "dead", link_gap))
