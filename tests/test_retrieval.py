@@ -74,3 +74,30 @@ def test_queries_over_documents(spark):
     items, texts = spark.read.parquet(f"{sf}/benchmark.parquet").collect(), docs.collect()
     held = {(i.item_id, d.doc_id) for i in items for d in texts if i.text[:60] in (d.text or "")}
     assert gate[None].cases == len({i for i, _ in held}) and set(gate) - {None} == {d for _, d in held}
+
+
+def test_a_second_stage_decides_for_weak_queries_only(spark):
+    ranked = spark.createDataFrame([(q, c, s, r) for q in (1, 2, 3, 4, 5) for c, s, r in ((10, 0.65, 1), (11, 0.5, 2), (12, 0.4, 3))] + [(6, 10, 0.9, 1)], "query_id long, chunk_id long, score double, rank int")
+    again = spark.createDataFrame([(1, "scored", 1, 12, 3.0), (1, "scored", 2, 11, -4.0), (1, "scored", 3, 10, -9.0), (2, "failed", None, None, None), (3, "none", None, None, None), (4, "picked", 1, 12, None), (4, "picked", 2, 11, None), (6, "scored", 1, 10, -99.0)], "query_id long, status string, place int, chunk_id long, rerank double")
+    served = lambda **options: sorted((r.query_id, r.place, r.chunk_id, r.stage) for r in R.retrieve(ranked, reranked=again, **options).collect())
+    assert served() == [(1, 1, 12, 2), (1, 2, 11, 2), (2, 1, 10, 1), (4, 1, 11, 2), (5, 1, 10, 1), (6, 1, 10, 1)]
+    assert served(keep=1) == [(1, 1, 12, 2), (2, 1, 10, 1), (5, 1, 10, 1), (6, 1, 10, 1)]
+    own = ranked.withColumn("floor", F.when(F.col("query_id") == 5, 0.95))
+    assert sorted(r.query_id for r in R.retrieve(own).collect()) == [1, 2, 3, 4, 6]
+    questions, texts = spark.createDataFrame([(1, "a"), (6, "b")], "query_id long, question string"), spark.createDataFrame([(10, "x"), (11, "y"), (12, "z")], "chunk_id long, text string")
+    assert sorted((r.query_id, r.chunk_id) for r in R.weak_candidates(ranked, questions, texts).collect()) == [(1, 10), (1, 11), (1, 12)]
+
+
+def test_the_gate_tests_the_bands_of_the_stage_that_admits(spark):
+    cases = spark.createDataFrame([(1,), (2,), (3,), (4,)], "query_id long")
+    expected = spark.createDataFrame([(1, 10), (2, 11)], "query_id long, doc_id long")
+    ranked = spark.createDataFrame([(q, c, s, r) for q in (1, 2, 3, 4) for c, s, r in ((10, 0.65, 1), (11, 0.6, 2))], "query_id long, chunk_id long, score double, rank int")
+    again = spark.createDataFrame([(1, "scored", 1, 10, 4.0), (1, "scored", 2, 11, 1.0), (2, "scored", 1, 11, 3.0), (2, "scored", 2, 10, 0.0), (3, "scored", 1, 10, -2.0), (4, "failed", None, None, None)], "query_id long, status string, place int, chunk_id long, rerank double")
+    served = R.retrieve(ranked, reranked=again).withColumn("doc_id", F.col("chunk_id"))
+    whole, each = R.judge_cases(cases, expected, ranked, served, again)
+    assert sorted(map(tuple, whole.collect())) == [(1, False, True, 0.65, 4.0), (2, False, True, 0.6, 3.0), (3, True, False, 0.65, -2.0), (4, True, False, 0.65, None)]
+    gate = R.calibration_gate(whole).first()
+    assert (gate.stage, gate.lowest_hit, gate.highest_negative, gate.overlap, gate.margin, gate.passed) == (2, 3.0, -2.0, False, 5.0, True)
+    first = R.calibration_gate(R.judge_cases(cases, expected, ranked, served)[0]).first()
+    assert (first.stage, first.lowest_hit, first.highest_negative, first.overlap, first.passed) == (1, 0.6, 0.65, True, False)
+    assert each.count() == 2

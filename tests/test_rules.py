@@ -131,7 +131,12 @@ def test_hooks(spark):
     got = {r.id: r.embedding for r in H.embed_texts(texts, "t", lambda: lambda xs: [[float(len(x))] for x in xs], as_query=True).collect()}
     assert got == {1: [10.0], 2: None}
     pool = spark.createDataFrame([(1, "q", 5, "xx"), (1, "q", 6, "x")], "query_id long, question string, chunk_id long, text string")
-    assert {r.chunk_id: r.rerank for r in H.rerank(pool, lambda q, ps: [float(len(p)) for p in ps]).collect()} == {5: 2.0, 6: 1.0}
+    assert [(r.status, r.place, r.chunk_id, r.rerank) for r in H.rerank(pool, lambda q, ps: [float(len(p)) for p in ps]).collect()] == [("scored", 1, 5, 2.0), ("scored", 2, 6, 1.0)]
+    one = lambda scorer, picks=False: [(r.status, r.place, r.chunk_id) for r in H.rerank(pool, scorer, picks).collect()]
+    assert one(lambda q, ps: None) == one(lambda q, ps: 1 / 0) == [("failed", None, None)]
+    assert one(lambda q, ps: []) == one(lambda q, ps: [7], True) == [("none", None, None)]
+    assert one(lambda q, ps: [1, 1, 0], True) == [("picked", 1, 6), ("picked", 2, 5)]
+    assert one(lambda q, ps: [None, 3.0, 9.0]) == [("scored", 1, 6)]
     old = spark.createDataFrame([(1, "old", "t", 3, 9), (2, "old", "fail", 3, 9)], "user_id long, previous string, transcript string, covered_count long, stop long")
 
     def model(previous, transcript):
@@ -255,3 +260,35 @@ def test_levels_at_any_depth(spark):
     texts = ['{"a": [{"Volume": 55.9}]}', '{"volume": "50"}', '{"x": "\\"volume\\": 5", "speaker_level": 3}', '{"volume": 101, "b": {"level": 1e1}}', '{"volume": true}', "no json", None, '{"brightness": 4}']
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     assert [r.v for r in df.orderBy("i").select(K.find_level(F.col("t"), "volume").alias("v")).collect()] == [55, None, 3, 10, None, None, None, None]
+
+
+RECALLED = "chunk_id long, owner_user_id long, text string, probe string, slot_key string, tier string, created_at long, approved boolean, active boolean, embedding array<float>"
+
+
+def recalled(spark, rows, turns, vectors=None, **options):
+    t = spark.createDataFrame(turns, "turn_id long, user_id long, input_text string" + (", decision string" if len(turns[0]) > 3 else ""))
+    v = spark.createDataFrame(vectors, "turn_id long, part int, embedding array<float>") if vectors else None
+    scores = M.recall_scores(t, spark.createDataFrame(rows, RECALLED), M.MemorySettings(**options), v)
+    rows_ = M.recall(t, spark.createDataFrame(rows, RECALLED), M.MemorySettings(**options), scores=scores).collect()
+    return sorted((r.turn_id, r.source, r.chunk_id, r.pool) for r in rows_), {r.turn_id: r for r in M.recall_report(t, scores).collect()}
+
+
+def test_basics_take_nothing_from_the_budget(spark):
+    row = lambda i, key, tier="hot", at=0, owner=7: (i, owner, "green tea", "green tea", key, tier, at, True, True, None)
+    rows = [row(i, None) for i in range(20)] + [row(100 + i, "name", "slot", i) for i in range(6)] + [row(200, "pet", "slot"), row(201, "name", "hot"), row(300, None, "cold"), row(301, "name", "slot", 99, 8)]
+    found, report = recalled(spark, rows, [(1, 7, "green tea?"), (2, 9, "green tea?")])
+    basic, matched = ([c for _, source, c, _ in found if source == kind] for kind in ("basic", "matched"))
+    # the newest four of the basic keys; then twelve more, by id as all score alike, the two older basics among those that may match
+    assert basic == [102, 103, 104, 105] and matched == list(range(12))
+    assert (report[1].slot_best, report[1].hot_best, report[1].cold_best, report[1].tier_reached, report[1].revived) == (1.0, 1.0, 1.0, "slot", [300])
+    assert (report[2].slot_best, report[2].tier_reached, report[2].revived) == (0.0, "cold", [])
+
+
+def test_each_question_has_its_vector_and_tiers_their_floors(spark):
+    rows = [(1, 7, "x", "x", None, "slot", 0, True, True, [1.0, 0.0]), (2, 7, "x", "x", None, "cold", 0, True, True, [0.71, 0.7042]), (3, None, "x", "x", None, "cold", 0, True, True, [0.0, 1.0]), (4, 7, "second one", "y", None, "hot", 0, True, True, None), (5, 7, "x", "x", None, "slot", 0, False, True, [1.0, 0.0])]
+    found, report = recalled(spark, rows, [(1, 7, "first, second one"), (2, 7, "first", )], [(1, 0, [1.0, 0.0]), (2, 0, [0.0, 1.0])])
+    # row 2 has a cosine of 0.71, above the floor of other tiers and below that of cold ones; shared rows stand in the slot pool
+    assert found == [(1, "matched", 1, "slot"), (1, "matched", 4, "hot"), (2, "matched", 3, "slot")]
+    assert (report[1].tier_reached, report[2].tier_reached) == ("slot", "slot") and abs(report[1].cold_best - 0.71) < 1e-6
+    found, report = recalled(spark, rows, [(1, 7, "nothing, second one", "accepted"), (2, 7, "second one", "unknown")])
+    assert found == [(1, "matched", 4, "hot")] and (report[1].tier_reached, report[2].tier_reached, report[2].hot_best) == ("hot", "cold", 0.0)

@@ -35,19 +35,41 @@ def embed_texts(df: DataFrame, text: str, make: Callable[[], Embedder], as_query
     return df.mapInArrow(run, schema)
 
 
-def rerank(candidates: DataFrame, scorer: Callable[[str, Sequence[str]], Sequence[float] | None]) -> DataFrame:
-    """(query_id, chunk_id, rerank) for each query's candidates (query_id, question, chunk_id, text), a bounded pool per query.
+RERANKED = "query_id long, status string, place int, chunk_id long, rerank double"
 
-    ``scorer`` gives a score per passage; null or fewer scores leave the rest without.
+
+def rerank(candidates: DataFrame, scorer: Callable[[str, Sequence[str]], Sequence | None], picks: bool = False) -> DataFrame:
+    """(query_id, status, place, chunk_id, rerank): what ``scorer`` makes of each query's candidates (query_id, question, chunk_id, text).
+
+    Candidates are a bounded pool for each query, given in the order of ``rank`` where there is that column, else of chunk_id.
+    ``scorer`` gives a number for each passage, or with ``picks`` the places of those it chooses, best first. Its candidates then come
+    as status scored (all that have a number, best first, equal ones in order) or picked (places that exist, each once).
+    A query has one row without a candidate if the scorer gives null or raises (failed), or gives none of them (none): the first
+    leaves the decision to the scores before, the second is one.
     """
+    order = ["rank", "chunk_id"] if "rank" in candidates.columns else ["chunk_id"]
+
+    def chosen(question: str, texts: list[str]) -> tuple[str, list[tuple[int, float | None]]]:
+        try:
+            given = scorer(question, texts)
+        except Exception:  # noqa: BLE001  the callable is the user's; its failure is a result
+            given = None
+        if given is None:
+            return "failed", []
+        if picks:
+            found = [(int(i), None) for i in dict.fromkeys(given) if 0 <= int(i) < len(texts)]
+            return "picked" if found else "none", found
+        scores = [(i, float(x)) for i, x in enumerate(given) if x is not None and i < len(texts)]
+        return "scored" if scores else "none", sorted(scores, key=lambda pair: -pair[1])
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk_id")
-        scores = list(scorer(pdf["question"].iloc[0], pdf["text"].tolist()) or [])
-        pdf["rerank"] = [*scores, *[None] * (len(pdf) - len(scores))][: len(pdf)]
-        return pdf[["query_id", "chunk_id", "rerank"]]
+        pdf = pdf.sort_values(order)
+        status, found = chosen(pdf["question"].iloc[0], pdf["text"].tolist())
+        ids, query = pdf["chunk_id"].tolist(), pdf["query_id"].iloc[0]
+        rows = [(query, status, place + 1, ids[i], x) for place, (i, x) in enumerate(found)] or [(query, status, None, None, None)]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in RERANKED.split(", ")]).astype({"place": "Int32", "chunk_id": "Int64", "rerank": "Float64"})
 
-    return candidates.groupBy("query_id").applyInPandas(score, "query_id long, chunk_id long, rerank double").filter("rerank is not null")
+    return candidates.groupBy("query_id").applyInPandas(score, RERANKED)
 
 
 def summarize(df: DataFrame, fn: Callable[[str, str], str], longest: int = 400) -> DataFrame:

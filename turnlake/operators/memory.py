@@ -24,6 +24,9 @@ SINGLE_VALUED = frozenset({
     "address", "occupation", "job", "phone", "email",
 })
 
+# Slot keys of what a turn always gets to see.
+BASIC_SLOT_KEYS = ("name", "nickname", "call_me", "identity", "language")
+
 
 @dataclass(frozen=True)
 class MemorySettings:
@@ -299,31 +302,109 @@ def lexical_search(turns: DataFrame, memory: DataFrame, limit: int = 4) -> DataF
     return select_relevant(shared.unionByName(owned), -1.0, limit, "turn_id").select("turn_id", "chunk_id", "score")
 
 
-def recall(turns: DataFrame, memory: DataFrame, s: MemorySettings = MemorySettings(), basics: int = 4) -> DataFrame:
-    """(turn_id, chunk_id, pool, score, source): what each turn (turn_id, user_id, input_text) gets to see, lexical path.
-
-    Every question of a turn is scored against the rows that ``memory_pool`` gives its user; rows that reach the floor of
-    their pool count with their best score. The user's highest slot rows come first as basics and are not charged; of the
-    matched the best ``inject_top_n`` stay. Terms are taken once for each row; pairs are scored in blocks and never made.
-    """
+def question_parts(turns: DataFrame, text: str = "input_text", key: str = "turn_id") -> DataFrame:
+    """(key, part, question): the questions of each turn, numbered from 0; what an embedder is given, one vector each."""
     from ..functions.text import split_queries
 
-    questions = turns.select("turn_id", "user_id", F.explode(split_queries(F.col("input_text"))).alias("question")).select("turn_id", "user_id", _hashed(lexical_terms(F.col("question"))).alias("q"))
-    usable = memory.filter("active and approved").withColumn("pool", F.when(F.col("owner_user_id").isNull(), "slot").otherwise(F.coalesce("tier", F.lit("hot"))))
-    terms = lambda c: _hashed(lexical_terms(F.coalesce(c, F.lit(""))))
-    rows = usable.select("owner_user_id", "chunk_id", "pool", terms("text").alias("t"), terms("probe").alias("p"))
+    return turns.select(key, F.posexplode(split_queries(F.col(text))).alias("part", "question"))
+
+
+def _cosines(a: pa.ChunkedArray, b: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Cosine of every vector of ``a`` with every one of ``b``, 0 where ``cosine`` gives 0; and where neither is null."""
+    vectors = [c.to_pylist() for c in (a, b)]
+    there = [np.array([v is not None for v in c], bool) for c in vectors]
+    sizes = [np.array([-1 if v is None else len(v) for v in c]) for c in vectors]
+    width = max(int(n.max(initial=0)) for n in sizes)
+    x, y = (matrix(pa.chunked_array([pa.array([v or [] for v in c], pa.list_(pa.float64()))]), width) for c in vectors)
+    size = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None]
+    return np.divide(x @ y.T, size, out=np.zeros_like(size), where=(size > 0) & (sizes[0][:, None] == sizes[1][None])), there[0][:, None] & there[1][None]
+
+
+SCORED = "turn_id long, chunk_id long, pool string, score double, part int"
+
+
+def recall_scores(turns: DataFrame, memory: DataFrame, s: MemorySettings = MemorySettings(), vectors: DataFrame | None = None) -> DataFrame:
+    """(turn_id, chunk_id, pool, score, part): what recall and its report are made of, without the pairs of turns and rows.
+
+    Rows with a chunk_id reach their pool's floor with the score, that of the turn's best question: of each block the best that may be
+    matched, and every cold one. Rows without say for a pool its best score and the first question that it answers, if any.
+    ``vectors`` (turn_id, part, embedding) has a vector for each of a turn's ``question_parts``; a question and a row that both have
+    one score by ``hybrid_score``, all others by words.
+    """
+    schema, keep = SCORED, s.inject_top_n + s.slot_top_n
     floors = {"slot": s.relevance_floor, "hot": s.relevance_floor, "cold": s.cold_floor}
-    shared = _lexical_best(questions.select("turn_id", "q"), rows.filter("owner_user_id is null").drop("owner_user_id"), s.inject_top_n, floors)
-    owned = _lexical_best(questions, rows.withColumnRenamed("owner_user_id", "user_id"), s.inject_top_n, floors, "user_id")
-    best = shared.unionByName(owned).groupBy("turn_id", "chunk_id", "pool").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("turn_id").orderBy(F.desc("score"), "chunk_id")
-    matched = best.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= s.inject_top_n).drop("r").withColumn("source", F.lit("matched"))
-    own = Window.partitionBy("owner_user_id").orderBy(F.desc("importance"), "chunk_id")
-    slot = usable.filter("pool = 'slot' and owner_user_id is not null").select("owner_user_id", "chunk_id", "pool", F.row_number().over(own).alias("r")).filter(F.col("r") <= basics)
-    first = turns.select("turn_id", F.col("user_id").alias("owner_user_id")).join(slot, "owner_user_id").select("turn_id", "chunk_id", "pool", F.lit(None).cast("double").alias("score"), F.lit("basic").alias("source"))
-    both = first.unionByName(matched.select("turn_id", "chunk_id", "pool", "score", "source"))
-    order = Window.partitionBy("turn_id", "chunk_id").orderBy(F.when(F.col("source") == "basic", 0).otherwise(1))
-    return both.withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r")
+    columns = [c for c in ("turn_id", "user_id", "decision") if c in turns.columns]
+    questions = question_parts(turns).join(turns.select(*columns), "turn_id").withColumn("q", _hashed(lexical_terms(F.col("question")))).drop("question")
+    rows = memory.filter("active and approved").select("owner_user_id", "chunk_id", F.when(F.col("owner_user_id").isNull(), "slot").otherwise(F.coalesce("tier", F.lit("hot"))).alias("pool"), *(_hashed(lexical_terms(F.coalesce(c, F.lit("")))).alias(n) for c, n in (("text", "t"), ("probe", "p"))), *(["embedding"] if vectors is not None else []))
+    if vectors is not None:
+        questions = questions.join(vectors.select("turn_id", "part", F.col("embedding").alias("vector")), ["turn_id", "part"], "left")
+
+    def best(x: pa.Table, y: pa.Table) -> pa.Table:
+        x = x.sort_by([("turn_id", "ascending"), ("part", "ascending")])
+        turn, first = np.unique(x["turn_id"].to_numpy(), return_index=True)
+        asked, part = x["q"].to_pylist(), x["part"].to_numpy()
+        text = term_jaccards(asked, y["t"].to_pylist())
+        scores = np.maximum(text, term_jaccards(asked, y["p"].to_pylist()))
+        if "vector" in x.column_names:
+            near, both = _cosines(x["vector"], y["embedding"])
+            scores = np.where(both, near + 0.25 * text, scores)
+        pools, ids = np.array(y["pool"].to_pylist()), y["chunk_id"].to_numpy()
+        reached = scores >= np.array([floors.get(pool, floors["hot"]) for pool in pools])[None]
+        top = np.maximum.reduceat(np.where(reached, scores, -np.inf), first, axis=0)
+        row, column = best_in_rows(top, keep, 1e-9)
+        kept = np.zeros(top.shape, bool)
+        kept[row, column] = True
+        row, column = np.nonzero((kept | (pools == "cold")[None]) & np.isfinite(top))
+        out = [made(schema, turn[row], ids[column], pools[column], top[row, column], [None] * len(row))]
+        for pool in np.unique(pools):
+            own = pools == pool
+            high = np.maximum(np.maximum.reduceat(scores[:, own].max(1), first), 0.0)
+            answers = np.minimum.reduceat(np.where(reached[:, own].any(1), part, np.iinfo(np.int32).max), first)
+            out.append(made(schema, turn, [None] * len(turn), [pool] * len(turn), high, [None if n == np.iinfo(np.int32).max else int(n) for n in answers]))
+        return pa.concat_tables(out)
+
+    owned = questions.filter("decision = 'accepted'") if "decision" in columns else questions
+    shared = scored_in_blocks(questions, rows.filter("owner_user_id is null").drop("owner_user_id"), ("turn_id", "chunk_id"), best, schema, None, (1024, 1024))
+    own = scored_in_blocks(owned, rows.withColumnRenamed("owner_user_id", "user_id"), ("turn_id", "chunk_id"), best, schema, "user_id", (1024, 1024))
+    both = shared.unionByName(own)
+    found = both.filter("chunk_id is not null").groupBy("turn_id", "chunk_id", "pool").agg(F.round(F.max("score"), 9).alias("score")).withColumn("part", F.lit(None).cast("int"))
+    facts = both.filter("chunk_id is null").groupBy("turn_id", "pool").agg(F.max("score").alias("score"), F.min("part").alias("part"))
+    return found.unionByName(facts.select("turn_id", F.lit(None).cast("long").alias("chunk_id"), "pool", "score", "part"))
+
+
+def recall(turns: DataFrame, memory: DataFrame, s: MemorySettings = MemorySettings(), vectors: DataFrame | None = None, scores: DataFrame | None = None) -> DataFrame:
+    """(turn_id, chunk_id, pool, score, source): what each turn (turn_id, user_id, input_text) gets to see.
+
+    The user's newest ``slot_top_n`` slot rows of BASIC_SLOT_KEYS come always, as source basic, and take nothing from the budget. Of the
+    other rows that reach the floor of their pool with any question of the turn, shared ones standing in the slot pool, the best
+    ``inject_top_n`` come as matched; ties go to the smaller chunk_id. With a column ``decision``, only an accepted speaker gets owned
+    rows. ``scores`` are ``recall_scores``, where they are at hand.
+    """
+    found = (recall_scores(turns, memory, s, vectors) if scores is None else scores).filter("chunk_id is not null")
+    newest = Window.partitionBy("owner_user_id").orderBy(F.desc("created_at"), "chunk_id")
+    basics = memory.filter("active and approved and tier = 'slot' and owner_user_id is not null").filter(F.col("slot_key").isin(*BASIC_SLOT_KEYS))
+    basics = basics.select("owner_user_id", "chunk_id", F.row_number().over(newest).alias("r")).filter(F.col("r") <= s.slot_top_n).drop("r")
+    accepted = turns.filter("decision = 'accepted'") if "decision" in turns.columns else turns
+    first = accepted.select("turn_id", F.col("user_id").alias("owner_user_id")).join(basics, "owner_user_id").select("turn_id", "chunk_id", F.lit("slot").alias("pool"), F.lit(None).cast("double").alias("score"), F.lit("basic").alias("source"))
+    others = found.join(first.select("turn_id", "chunk_id"), ["turn_id", "chunk_id"], "left_anti")
+    best = Window.partitionBy("turn_id").orderBy(F.desc("score"), "chunk_id")
+    matched = others.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= s.inject_top_n)
+    return first.unionByName(matched.select("turn_id", "chunk_id", "pool", "score", F.lit("matched").alias("source")))
+
+
+def recall_report(turns: DataFrame, scores: DataFrame) -> DataFrame:
+    """(turn_id, slot_best, hot_best, cold_best, tier_reached, revived) of every turn, from ``recall_scores``.
+
+    The bests are over all rows of a pool, 0 without any; tier_reached is the first tier that answers the first question answered at all,
+    cold without one; revived are the cold rows found, by chunk_id, whether or not the budget has room for them.
+    """
+    order = F.when(F.col("pool") == "slot", 0).when(F.col("pool") == "cold", 2).otherwise(1)
+    facts = scores.filter("chunk_id is null").groupBy("turn_id").agg(
+        *(F.max(F.when(F.col("pool") == pool, F.col("score"))).alias(f"{pool}_best") for pool in TIERS), F.min(F.when(F.col("part").isNotNull(), F.struct("part", order.alias("order"), "pool")))["pool"].alias("tier_reached"),
+    )
+    cold = scores.filter("chunk_id is not null and pool = 'cold'").groupBy("turn_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("revived"))
+    out = turns.select("turn_id").distinct().join(facts, "turn_id", "left").join(cold, "turn_id", "left")
+    return out.select("turn_id", *(F.coalesce(f"{pool}_best", F.lit(0.0)).alias(f"{pool}_best") for pool in TIERS), F.coalesce("tier_reached", F.lit("cold")).alias("tier_reached"), F.coalesce("revived", F.array().cast("array<long>")).alias("revived"))
 
 
 def duplicate_groups(memory: DataFrame, similarity: float = 0.90, newest: int = 200) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import lexical_terms, split_queries, term_jaccard
+from ..functions.text import MAX_QUERIES, lexical_terms, split_queries, term_jaccard
 from .blocks import best_in_rows, made, matrix, scored_in_blocks, widest
 
 
@@ -63,20 +63,24 @@ def rank(questions: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
 def rank_hybrid(questions: DataFrame, chunks: DataFrame, k: int = 20, pool: int = 20) -> DataFrame:
     """(query_id, chunk_id, score, rank): each question's ``pool`` nearest chunks by vector, scored anew by vector and words, the best ``k``.
 
-    ``questions`` (query_id, question, embedding), ``chunks`` (chunk_id, text, embedding). Chunks without a vector are ranked
-    by their words, as all are for a question without one (``rank``). Only pooled pairs get to see texts.
+    ``questions`` (query_id, question, embedding), ``chunks`` (chunk_id, text, embedding). With a column ``part`` (from 0, below
+    MAX_QUERIES) a row is one question of a text, each with its own vector and pool; a chunk has the best score of any of them.
+    Chunks without a vector are ranked by their words, as all are for a question without one (``rank``). Only pooled pairs get
+    to see texts; an id below 2**59 keeps its parts apart.
     """
     from .memory import hybrid_score
 
-    asked = questions.select(F.col("query_id").cast("long").alias("query_id"), "question", F.col("embedding").alias("vector"))
+    part = F.col("part") if "part" in questions.columns else F.lit(0)
+    asked = questions.select((F.col("query_id").cast("long") * MAX_QUERIES + part).alias("query_id"), "question", F.col("embedding").alias("vector"))
     rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "text", "embedding")
     near = brute_force_topk(asked.withColumnRenamed("vector", "embedding"), rows, pool).select("query_id", "chunk_id")
     text = F.coalesce("text", F.lit(""))
     scored = near.join(asked, "query_id").join(rows, "chunk_id").select("query_id", "chunk_id", hybrid_score(F.coalesce("question", F.lit("")), F.col("vector"), text, text, F.col("embedding")).alias("score"))
     plain = rank_all(asked.filter("vector is null").select("query_id", "question"), rows.select("chunk_id", "text"), k)
     bare = rank_all(asked.filter("vector is not null").select("query_id", "question"), rows.filter("embedding is null").select("chunk_id", "text"), k)
+    each = scored.unionByName(plain.select("query_id", "chunk_id", "score")).unionByName(bare.select("query_id", "chunk_id", "score"))
+    both = each.groupBy(F.floor(F.col("query_id") / MAX_QUERIES).alias("query_id"), "chunk_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    both = scored.unionByName(plain.select("query_id", "chunk_id", "score")).unionByName(bare.select("query_id", "chunk_id", "score"))
     return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
@@ -163,32 +167,55 @@ def rank_all(questions: DataFrame, chunks: DataFrame, k: int = 20, block: int =
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def judge_cases(cases: DataFrame, expected: DataFrame, ranked: DataFrame, served: DataFrame) -> tuple[DataFrame, DataFrame]:
+def judge_cases(cases: DataFrame, expected: DataFrame, ranked: DataFrame, served: DataFrame, reranked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows for ``calibration_gate``: one for each case, and one for each case and document that it expects.
 
-    ``cases`` (query_id); ``expected`` (query_id, doc_id), where a case without rows is a negative; ``ranked`` and ``served``
-    (query_id, chunk_id, doc_id, score). A hit is a served chunk of an expected document and scores as the best of those;
-    any other case scores as its best chunk, 0 without one.
+    ``cases`` (query_id); ``expected`` (query_id, doc_id), where a case without rows is a negative; ``ranked`` (query_id, chunk_id,
+    score) and ``served`` (query_id, chunk_id, doc_id, score, and place where there is a second stage). A hit is the first served chunk
+    of an expected document and has its score; any other case scores as its best chunk, 0 without one. ``reranked`` (as ``rerank`` gives
+    it) adds ``rerank``: a hit's own second score, a negative's best.
     """
     top = ranked.groupBy("query_id").agg(F.max("score").alias("top"))
     pairs = expected.select("query_id", "doc_id").distinct()
-    hits = pairs.join(served.select("query_id", "doc_id", "score"), ["query_id", "doc_id"], "left").groupBy("query_id", "doc_id").agg(F.max("score").alias("hit_score"))
-    whole = cases.select("query_id").distinct().join(hits.groupBy("query_id").agg(F.max("hit_score").alias("hit_score"), F.lit(False).alias("wanted")), "query_id", "left").join(top, "query_id", "left")
-    each = hits.withColumn("wanted", F.lit(False)).join(top, "query_id", "left")
+    place = F.col("place") if "place" in served.columns else F.struct((-F.col("score")).alias("by"), "chunk_id")
+    first = F.min(F.struct(place.alias("place"), F.col("score").alias("hit_score"), F.col("chunk_id").alias("hit")))
+    found = pairs.join(served, ["query_id", "doc_id"])
+    whole = found.groupBy("query_id").agg(first.alias("f")).select("query_id", "f.hit_score", "f.hit")
+    each = pairs.join(found.groupBy("query_id", "doc_id").agg(first.alias("f")).select("query_id", "doc_id", "f.hit_score", "f.hit"), ["query_id", "doc_id"], "left").withColumn("wanted", F.lit(False))
+    whole = cases.select("query_id").distinct().join(pairs.select("query_id", F.lit(False).alias("wanted")).distinct(), "query_id", "left").join(whole, "query_id", "left")
     rows = [F.coalesce("wanted", F.lit(True)).alias("is_negative"), F.col("hit_score").isNotNull().alias("hit"), F.coalesce("hit_score", "top", F.lit(0.0)).alias("score")]
-    return whole.select("query_id", *rows), each.select("query_id", "doc_id", *rows)
-
-
-def retrieve(ranked: DataFrame, floor: float = 0.623, n: int = 4, rerank_scores: DataFrame | None = None, rerank_below: float = 0.70, rerank_floor: float = -5.0, sanity: float = 0.45) -> DataFrame:
-    """The first ``n`` rows of each query that pass: by score and ``floor``, or, where the best score is below ``rerank_below``
-    and rerank scores (query_id, chunk_id, rerank) are given, by those, their own floor and the sanity floor of the score."""
-    kept = ranked.withColumn("stage", F.lit(1)).withColumn("by", F.col("score")).filter(F.col("score") >= floor)
-    if rerank_scores is not None:
-        top = ranked.groupBy("query_id").agg(F.max("score").alias("top"))
-        weak = top.filter(F.col("top") < rerank_below).select("query_id")
-        again = ranked.join(weak, "query_id", "left_semi").join(rerank_scores, ["query_id", "chunk_id"]).filter((F.col("rerank") >= rerank_floor) & (F.col("score") >= sanity))
-        kept = kept.join(weak, "query_id", "left_anti").unionByName(again.withColumn("stage", F.lit(2)).withColumn("by", F.col("rerank")).drop("rerank"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("by"), "chunk_id")
+    if reranked is not None:
+        scored = reranked.filter("rerank is not null")
+        own, most = scored.select("query_id", F.col("chunk_id").alias("hit"), "rerank"), scored.groupBy("query_id").agg(F.max("rerank").alias("most"))
+        whole, each = (df.join(own, ["query_id", "hit"], "left").join(most, "query_id", "left") for df in (whole, each))
+        rows.append(F.when(F.coalesce("wanted", F.lit(True)), F.col("most")).otherwise(F.col("rerank")).alias("rerank"))
+    return whole.join(top, "query_id", "left").select("query_id", *rows), each.join(top, "query_id", "left").select("query_id", "doc_id", *rows)
+
+
+def weak_candidates(ranked: DataFrame, questions: DataFrame, texts: DataFrame, rerank_below: float = 0.70) -> DataFrame:
+    """(query_id, rank, question, chunk_id, text): the pools that a second stage reads, those of queries whose best score is below ``rerank_below``."""
+    weak = ranked.groupBy("query_id").agg(F.max("score").alias("top")).filter(F.col("top") < rerank_below).select("query_id")
+    pool = ranked.join(weak, "query_id", "left_semi").join(questions.select("query_id", "question"), "query_id")
+    return pool.join(texts.select("chunk_id", "text"), "chunk_id").select("query_id", "rank", "question", "chunk_id", "text")
+
+
+def retrieve(ranked: DataFrame, floor: float = 0.623, n: int = 4, reranked: DataFrame | None = None, rerank_below: float = 0.70, rerank_floor: float = -5.0, sanity: float = 0.45, keep: int = 5) -> DataFrame:
+    """(query_id, chunk_id, score, stage, place): the first ``n`` rows of each query that pass.
+
+    A row passes by its score and its own ``floor`` (a column, where there is one and it is not null) or else the given one. Where the
+    best score of a query is below ``rerank_below`` and ``reranked`` (as ``rerank`` gives it) has a decision, that alone counts: of its
+    first ``keep``, scored ones pass by ``rerank_floor``, picked ones by ``sanity`` of the score, in its order; none passes
+    nothing. A query whose second stage failed stays with the first.
+    """
+    own = F.coalesce("floor", F.lit(floor)) if "floor" in ranked.columns else F.lit(floor)
+    kept = ranked.filter(F.col("score") >= own).select("query_id", "chunk_id", "score", F.lit(1).alias("stage"), (-F.col("score")).alias("by"))
+    if reranked is not None:
+        weak = ranked.groupBy("query_id").agg(F.max("score").alias("top")).filter(F.col("top") < rerank_below).select("query_id")
+        decided = reranked.filter("status <> 'failed'").join(weak, "query_id", "left_semi")
+        again = decided.filter(F.col("place") <= keep).join(ranked.select("query_id", "chunk_id", "score"), ["query_id", "chunk_id"])
+        again = again.filter(F.when(F.col("status") == "scored", F.col("rerank") >= rerank_floor).otherwise(F.col("score") >= sanity))
+        kept = kept.join(decided.select("query_id"), "query_id", "left_anti").unionByName(again.select("query_id", "chunk_id", "score", F.lit(2).alias("stage"), F.col("place").cast("double").alias("by")))
+    w = Window.partitionBy("query_id").orderBy("by", "chunk_id")
     return kept.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).select("query_id", "chunk_id", "score", "stage", "place")
 
 
@@ -199,16 +226,22 @@ def max_window_score(chunk_scores: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def calibration_gate(cases: DataFrame, by: str | None = None, least_rate: float = 0.80) -> DataFrame:
-    """Per group, or in all: cases, hits, rate, lowest_hit, highest_negative, overlap, margin, suggested_floor, passed.
+    """Per group, or in all: cases, hits, rate, lowest_hit, highest_negative, overlap, margin, suggested_floor, stage, passed.
 
-    ``cases``: query_id, is_negative, hit, score (the best of the query). Overlap is false where either band is empty or 0.
+    ``cases``: query_id, is_negative, hit, score (the best of the query) and, where a second stage ran, rerank. If there are hits and
+    negatives with a second score, its bands are the ones that are tested (stage 2), as it is what admits; lowest_hit and
+    highest_negative are of the tested bands. Overlap is false where either band is empty or 0.
     """
     hit, negative = F.expr("hit AND NOT is_negative"), F.col("is_negative")
+    second = F.col("rerank") if "rerank" in cases.columns else F.lit(None).cast("double")
     grouped = cases.groupBy(by) if by else cases.groupBy()
     out = grouped.agg(
-        F.count_if(~negative).alias("cases"), F.count_if(hit).alias("hits"), F.min(F.when(hit, F.col("score"))).alias("lowest_hit"), F.max(F.when(negative, F.col("score"))).alias("highest_negative")
+        F.count_if(~negative).alias("cases"), F.count_if(hit).alias("hits"), F.min(F.when(hit, F.col("score"))).alias("low1"), F.max(F.when(negative, F.col("score"))).alias("high1"),
+        F.min(F.when(hit, second)).alias("low2"), F.max(F.when(negative, second)).alias("high2"),
     )
-    both = (F.coalesce("lowest_hit", F.lit(0.0)) > 0) & (F.coalesce("highest_negative", F.lit(0.0)) > 0)
+    again = F.col("low2").isNotNull() & F.col("high2").isNotNull()
+    out = out.withColumns({"stage": F.when(again, 2).otherwise(1), "lowest_hit": F.when(again, F.col("low2")).otherwise(F.col("low1")), "highest_negative": F.when(again, F.col("high2")).otherwise(F.col("high1"))}).drop("low1", "high1", "low2", "high2")
+    both = (F.coalesce("lowest_hit", F.lit(0.0)) != 0) & (F.coalesce("highest_negative", F.lit(0.0)) != 0)
     out = out.withColumn("rate", F.when(F.col("cases") > 0, F.col("hits") / F.col("cases")).otherwise(0.0))
     out = out.withColumn("overlap", F.when(both, F.col("highest_negative") >= F.col("lowest_hit")).otherwise(F.lit(False)))
     out = out.withColumns({"margin": F.when(both, F.col("lowest_hit") - F.col("highest_negative")), "suggested_floor": F.when(both, (F.col("lowest_hit") + F.col("highest_negative")) / 2)})

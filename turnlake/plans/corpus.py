@@ -440,12 +440,28 @@ def embed_texts(spark, sf):
     return H.embed_texts(t, "text", lambda: lambda texts: [[float(len(x)), 1.0] for x in texts], as_query=True).select("turn_id", F.col("embedding")[0].alias("size"))
 
 
-@query("h02_rerank", duck("SELECT session_id AS query_id, turn_id AS chunk_id, length(response_text) + length(first_value(input_text) OVER (PARTITION BY session_id ORDER BY seq)) / 1000.0E0 AS rerank FROM turns", "turns"))
-def rerank(spark, sf):
+_ANSWERS = "p AS (SELECT session_id AS query_id, turn_id AS chunk_id, first_value(input_text) OVER (PARTITION BY session_id ORDER BY seq) AS question, response_text AS text, row_number() OVER (PARTITION BY session_id ORDER BY turn_id) - 1 AS i, count(*) OVER (PARTITION BY session_id) AS n FROM turns)"
+
+
+def answers(spark, sf):
     t = view(spark, sf, "turns")
     first = t.groupBy("session_id").agg(F.min_by("input_text", "seq").alias("question"))
-    pool = t.join(first, "session_id").select(F.col("session_id").alias("query_id"), "question", F.col("turn_id").alias("chunk_id"), F.col("response_text").alias("text"))
-    return H.rerank(pool, lambda question, texts: [len(x) + len(question) / 1000.0 for x in texts])
+    return t.join(first, "session_id").select(F.col("session_id").alias("query_id"), "question", F.col("turn_id").alias("chunk_id"), F.col("response_text").alias("text"))
+
+
+@query("h02_rerank", duck(f"WITH {_ANSWERS}, s AS (SELECT *, length(text) % 97 + length(question) / 1000.0E0 AS rerank FROM p) SELECT query_id, 'scored' AS status, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, i) AS INTEGER) AS place, chunk_id, rerank FROM s WHERE length(question) % 5 > 1 UNION ALL SELECT DISTINCT query_id, CASE length(question) % 5 WHEN 0 THEN 'failed' ELSE 'none' END, NULL, NULL, NULL FROM p WHERE length(question) % 5 < 2", "turns"))
+def rerank(spark, sf):
+    """A scorer that fails for some questions and decides for none of the passages for others."""
+
+    def scorer(question, texts):
+        return (None, [])[len(question) % 5] if len(question) % 5 < 2 else [len(x) % 97 + len(question) / 1000.0 for x in texts]
+
+    return H.rerank(answers(spark, sf), scorer)
+
+
+@query("h02_rerank_picks", duck(f"WITH {_ANSWERS} SELECT query_id, 'picked' AS status, CAST(CASE WHEN n > 2 THEN CASE i WHEN 2 THEN 1 ELSE 2 END ELSE 1 END AS INTEGER) AS place, chunk_id, CAST(NULL AS DOUBLE) AS rerank FROM p WHERE length(question) % 2 = 0 AND i IN (0, 2) UNION ALL SELECT DISTINCT query_id, 'none', NULL, NULL, NULL FROM p WHERE length(question) % 2 = 1", "turns"))
+def rerank_picks(spark, sf):
+    return H.rerank(answers(spark, sf), lambda question, texts: [2, 99, 0, 2, -1] if len(question) % 2 == 0 else [], picks=True)
 
 
 @query("h03_summarize", duck("SELECT turn_id AS user_id, CASE WHEN turn_id % 5 = 0 THEN 'before' WHEN length(s) > 400 THEN substr(s, 1, 400) || '…' ELSE s END AS summary, CASE WHEN turn_id % 5 = 0 THEN 3 ELSE seq END AS covered_count, CASE WHEN turn_id % 5 = 0 THEN 'ValueError' END AS error FROM (SELECT *, trim(regexp_replace('before ' || response_text, '[\\s\\p{Z}]+', ' ', 'g')) AS s FROM turns)", "turns"))

@@ -209,21 +209,54 @@ def inject_cap(spark, sf):
     return M.select_relevant(_scored(spark, sf), float("-inf"), M.MemorySettings().inject_top_n).select("query_id", "chunk_id")
 
 
-_RECALL = f"""{_POOL}, qs AS (SELECT turn_id, user_id, {_TERMS('question')} AS q FROM (SELECT turn_id, user_id, unnest({_SPLIT('input_text')}) AS question FROM turns)),
-pt AS (SELECT *, {_TERMS('text')} AS tt, {_TERMS('probe')} AS pp FROM pool), sc AS (SELECT turn_id, chunk_id, pool, greatest({_JACCARD('q', 'tt')}, {_JACCARD('q', 'pp')}) AS score FROM qs JOIN pt USING (user_id)),
-best AS (SELECT turn_id, chunk_id, pool, max(score) AS score FROM sc WHERE score >= CASE WHEN pool = 'cold' THEN 0.16 ELSE 0.14 END GROUP BY ALL),
-matched AS (SELECT turn_id, chunk_id, pool, score, 'matched' AS source FROM (SELECT *, row_number() OVER (PARTITION BY turn_id ORDER BY round(score, 9) DESC, chunk_id) AS r FROM best) WHERE r <= 12),
-basics AS (SELECT turn_id, chunk_id, pool, CAST(NULL AS DOUBLE) AS score, 'basic' AS source FROM turns JOIN (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY importance DESC, chunk_id) AS r FROM pool WHERE pool = 'slot' AND owner_user_id IS NOT NULL) USING (user_id) WHERE r <= 4),
-both_ AS (SELECT *, row_number() OVER (PARTITION BY turn_id, chunk_id ORDER BY source) AS r FROM (SELECT * FROM basics UNION ALL SELECT * FROM matched))"""
+def _recall_sql(score: str, slot: float, cold: float, vectors: str = "", more: str = "") -> str:
+    """DuckDB SQL of recall, rule by rule: every pair of a question and a row of its user's pools."""
+    return f"""{_POOL}, qp AS (SELECT turn_id, user_id, unnest(x) AS question, generate_subscripts(x, 1) - 1 AS part FROM (SELECT turn_id, user_id, {_SPLIT('input_text')} AS x FROM turns)),
+qs AS (SELECT turn_id, user_id, part, {_TERMS('question')} AS q{vectors}), pt AS (SELECT *, {_TERMS('text')} AS tt, {_TERMS('probe')} AS pp FROM pool),
+sc AS MATERIALIZED (SELECT turn_id, part, chunk_id, pool, {score} AS score, CASE WHEN pool = 'cold' THEN {cold} ELSE {slot} END AS floor FROM qs JOIN pt USING (user_id)),
+basics AS (SELECT turn_id, chunk_id, 'slot' AS pool, CAST(NULL AS DOUBLE) AS score, 'basic' AS source FROM turns JOIN (SELECT *, row_number() OVER (PARTITION BY owner_user_id ORDER BY created_at DESC, chunk_id) AS r FROM memory WHERE active AND approved AND tier = 'slot' AND slot_key IN ('name', 'nickname', 'call_me', 'identity', 'language')) m ON m.owner_user_id = turns.user_id WHERE r <= 4),
+best AS (SELECT turn_id, chunk_id, pool, round(max(score), 9) AS score FROM sc WHERE score >= floor AND (turn_id, chunk_id) NOT IN (SELECT (turn_id, chunk_id) FROM basics) GROUP BY ALL),
+matched AS (SELECT turn_id, chunk_id, pool, score, 'matched' AS source FROM (SELECT *, row_number() OVER (PARTITION BY turn_id ORDER BY score DESC, chunk_id) AS r FROM best) WHERE r <= 12),
+both_ AS (SELECT * FROM basics UNION ALL SELECT * FROM matched){more}"""
 
 
-@query("r07_recall", duck(f"WITH {_RECALL} SELECT turn_id, chunk_id, pool, round(score, 6) AS score, source FROM both_ WHERE r = 1", "turns", "memory"))
+_WORD_SCORE = f"greatest({_JACCARD('q', 'tt')}, {_JACCARD('q', 'pp')})"
+_RECALL = _recall_sql(_WORD_SCORE, 0.14, 0.16, " FROM qp")
+_VECTOR_RECALL = _recall_sql(f"CASE WHEN v IS NOT NULL AND e IS NOT NULL THEN {_COS('v', 'e')} + 0.25 * {_JACCARD('q', 'tt')} ELSE {_WORD_SCORE} END", 0.68, 0.73, ", v.embedding AS v FROM qp LEFT JOIN vs v ON v.vec_id = (turn_id + part) % 499 AND part <> 2").replace("'slot' AS pool, text, probe, importance, owner_user_id FROM", "'slot' AS pool, text, probe, CASE WHEN chunk_id % 7 <> 0 THEN embedding END AS e, importance, owner_user_id FROM").replace("chunk_id, tier, text, probe, importance", "chunk_id, tier, text, probe, CASE WHEN chunk_id % 7 <> 0 THEN embedding END AS e, importance")
+_REPORT = """, tb AS (SELECT turn_id, max(score) FILTER (pool = 'slot') AS slot_best, max(score) FILTER (pool = 'hot') AS hot_best, max(score) FILTER (pool = 'cold') AS cold_best,
+  arg_min(pool, part * 10 + CASE pool WHEN 'slot' THEN 0 WHEN 'hot' THEN 1 ELSE 2 END) FILTER (score >= floor) AS tier, string_agg(DISTINCT CAST(chunk_id AS VARCHAR), ',' ORDER BY CAST(chunk_id AS VARCHAR)) FILTER (pool = 'cold' AND score >= floor) AS revived FROM sc GROUP BY turn_id)"""
+
+
+def part_vectors(spark, sf):
+    """A vector for each question of a turn but its third."""
+    parts = M.question_parts(view(spark, sf, "turns")).filter("part <> 2")
+    return parts.join(table(spark, sf, "embeddings").select("vec_id", "embedding"), F.col("vec_id") == (F.col("turn_id") + F.col("part")) % 499).select("turn_id", "part", "embedding")
+
+
+def partly_embedded(spark, sf):
+    return view(spark, sf, "memory").withColumn("embedding", F.when(F.col("chunk_id") % 7 != 0, F.col("embedding")))
+
+
+@query("r07_recall", duck(f"WITH {_RECALL} SELECT turn_id, chunk_id, pool, round(score, 6) AS score, source FROM both_", "turns", "memory"))
 def recall(spark, sf):
     s = M.MemorySettings(relevance_floor=0.14, cold_floor=0.16)
     return M.recall(view(spark, sf, "turns"), view(spark, sf, "memory"), s).withColumn("score", F.round("score", 6))
 
 
-@query("u02_merge_basics", duck(f"WITH {_RECALL} SELECT turn_id, source, count(*) AS n FROM both_ WHERE r = 1 GROUP BY ALL", "turns", "memory"))
+@query("r07_recall_vectors", duck(f"WITH vs AS (SELECT vec_id, embedding FROM embeddings), {_VECTOR_RECALL} SELECT turn_id, chunk_id, pool, round(score, 9) AS score, source FROM both_", "turns", "memory"))
+def recall_vectors(spark, sf):
+    return M.recall(view(spark, sf, "turns"), partly_embedded(spark, sf), vectors=part_vectors(spark, sf)).withColumn("score", F.round("score", 9))
+
+
+@query("r07_recall_report", duck(f"WITH vs AS (SELECT vec_id, embedding FROM embeddings), {_VECTOR_RECALL}{_REPORT} SELECT turn_id, round(coalesce(slot_best, 0), 9) AS slot_best, round(greatest(coalesce(hot_best, 0), 0), 9) AS hot_best, round(greatest(coalesce(cold_best, 0), 0), 9) AS cold_best, coalesce(tier, 'cold') AS tier_reached, coalesce(revived, '') AS revived FROM turns LEFT JOIN tb USING (turn_id)", "turns", "memory"))
+def recall_report(spark, sf):
+    turns = view(spark, sf, "turns")
+    out = M.recall_report(turns, M.recall_scores(turns, partly_embedded(spark, sf), vectors=part_vectors(spark, sf)))
+    ids = F.array_join(F.array_sort(F.transform("revived", lambda x: x.cast("string"))), ",")
+    return out.select("turn_id", *(F.round(f"{tier}_best", 9).alias(f"{tier}_best") for tier in M.TIERS), "tier_reached", ids.alias("revived"))
+
+
+@query("u02_merge_basics", duck(f"WITH {_RECALL} SELECT turn_id, source, count(*) AS n FROM both_ GROUP BY ALL", "turns", "memory"))
 def merge_basics(spark, sf):
     s = M.MemorySettings(relevance_floor=0.14, cold_floor=0.16)
     return M.recall(view(spark, sf, "turns"), view(spark, sf, "memory"), s).groupBy("turn_id", "source").agg(F.count("*").alias("n"))
@@ -254,6 +287,47 @@ def calibration_gate(spark, sf):
     return out.select("cases", "hits", F.round("rate", 6).alias("rate"), F.round("lowest_hit", 6).alias("lowest_hit"), F.round("highest_negative", 6).alias("highest_negative"), "overlap", "passed")
 
 
+# second stage: a scorer by length, which fails for every fourth query and finds nothing for every seventh
+_SECOND = f"""{_PASSAGES}, pool AS (SELECT r.*, length(t.text) % 13 - 6.0E0 AS second FROM ranked r JOIN cases t ON t.item_id = r.chunk_id WHERE rank <= 20),
+w AS (SELECT query_id FROM pool GROUP BY query_id HAVING max(score) < 0.7), again AS (SELECT pool.*, row_number() OVER (PARTITION BY query_id ORDER BY second DESC, rank) AS o FROM pool JOIN w USING (query_id) WHERE query_id % 4 <> 0 AND query_id % 7 <> 0),
+served AS (SELECT query_id, chunk_id, score, 1 AS stage, -score AS place_by FROM pool WHERE score >= 0.1 AND (query_id NOT IN (SELECT query_id FROM w) OR query_id % 4 = 0) UNION ALL SELECT query_id, chunk_id, score, 2, o FROM again WHERE o <= 5 AND second >= 0),
+placed AS (SELECT query_id, chunk_id, score, stage, CAST(row_number() OVER (PARTITION BY query_id ORDER BY place_by, chunk_id) AS INTEGER) AS place FROM served QUALIFY place <= 4)"""
+
+
+def second_stage(spark, sf):
+    from ..functions.hooks import rerank
+
+    ranked, cases = _ranked(spark, sf, 20), view(spark, sf, "cases")
+    marked = cases.select(F.col("item_id").alias("query_id"), F.concat(F.col("item_id"), F.lit(" "), "question").alias("question"))
+    pool = R.weak_candidates(ranked, marked, cases.select(F.col("item_id").alias("chunk_id"), "text"))
+
+    def scorer(question, texts):
+        number = int(question.split(" ", 1)[0])
+        return None if number % 4 == 0 else [] if number % 7 == 0 else [len(t) % 13 - 6.0 for t in texts]
+
+    again = rerank(pool, scorer)
+    return ranked, again, R.retrieve(ranked, 0.1, reranked=again, rerank_floor=0.0)
+
+
+@query("r06_retrieve_reranked", duck(f"WITH {_SECOND} SELECT query_id, chunk_id, round(score, 6) AS score, stage, place FROM placed", "cases"))
+def retrieve_reranked(spark, sf):
+    return second_stage(spark, sf)[2].withColumn("score", F.round("score", 6))
+
+
+@query("a13_calibration_reranked", duck(f"""WITH {_SECOND}, ex AS (SELECT DISTINCT item_id AS query_id, item_id AS doc_id FROM cases WHERE item_id % 5 <> 0), tops AS (SELECT query_id, max(score) AS top FROM pool GROUP BY query_id), most AS (SELECT query_id, max(second) AS most FROM again GROUP BY query_id),
+h AS (SELECT p.query_id, p.chunk_id, p.score FROM placed p JOIN ex ON ex.query_id = p.query_id AND ex.doc_id = p.chunk_id), cs AS (SELECT item_id AS query_id, item_id % 5 = 0 AS neg, h.score IS NOT NULL AS hit, coalesce(h.score, top, 0.0) AS score, CASE WHEN item_id % 5 = 0 THEN most ELSE a.second END AS second
+  FROM cases LEFT JOIN h ON h.query_id = item_id LEFT JOIN tops ON tops.query_id = item_id LEFT JOIN most ON most.query_id = item_id LEFT JOIN again a ON a.query_id = item_id AND a.chunk_id = h.chunk_id),
+g AS (SELECT count(*) FILTER (NOT neg) AS cases, count(*) FILTER (hit AND NOT neg) AS hits, min(score) FILTER (hit AND NOT neg) AS l1, max(score) FILTER (neg) AS h1, min(second) FILTER (hit AND NOT neg) AS l2, max(second) FILTER (neg) AS h2 FROM cs),
+b AS (SELECT cases, hits, CASE WHEN l2 IS NOT NULL AND h2 IS NOT NULL THEN 2 ELSE 1 END AS stage, CASE WHEN l2 IS NOT NULL AND h2 IS NOT NULL THEN l2 ELSE l1 END AS lo, CASE WHEN l2 IS NOT NULL AND h2 IS NOT NULL THEN h2 ELSE h1 END AS hi FROM g)
+SELECT cases, hits, round(hits / cases, 6) AS rate, stage, round(lo, 6) AS lowest_hit, round(hi, 6) AS highest_negative, coalesce(lo <> 0 AND hi <> 0 AND hi >= lo, false) AS overlap, hits / cases >= 0.8 AND NOT coalesce(lo <> 0 AND hi <> 0 AND hi >= lo, false) AS passed FROM b""", "cases"))
+def calibration_reranked(spark, sf):
+    ranked, again, served = second_stage(spark, sf)
+    cases = view(spark, sf, "cases").select(F.col("item_id").alias("query_id"))
+    expected = cases.filter("query_id % 5 <> 0").withColumn("doc_id", F.col("query_id"))
+    whole, _ = R.judge_cases(cases, expected, ranked, served.withColumn("doc_id", F.col("chunk_id")), again)
+    return R.calibration_gate(whole).select("cases", "hits", F.round("rate", 6).alias("rate"), "stage", F.round("lowest_hit", 6).alias("lowest_hit"), F.round("highest_negative", 6).alias("highest_negative"), "overlap", "passed")
+
+
 _HYBRID = f"""q AS (SELECT e.vec_id AS query_id, d.text AS question, e.embedding AS v FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE e.vec_id % 100 = 0), c AS (SELECT e.vec_id AS chunk_id, d.text, e.embedding AS e FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id),
 near AS (SELECT query_id, chunk_id FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round({_DOT('v', 'e')}, 6) DESC, chunk_id) AS r FROM q, c) WHERE r <= 20),
 terms AS (SELECT query_id, chunk_id, v, e, {_TERMS("coalesce(question, '')")} AS a, {_TERMS("coalesce(text, '')")} AS b FROM near JOIN q USING (query_id) JOIN c USING (chunk_id)),
@@ -267,6 +341,22 @@ def rank_hybrid(spark, sf):
     return R.rank_hybrid(asked, both.withColumnRenamed("vec_id", "chunk_id")).select("query_id", "chunk_id", F.round("score", 5).alias("score"))
 
 
+_PARTED = f"""e AS (SELECT vec_id, embedding FROM embeddings), q AS (SELECT query_id, part, sub, v.embedding AS v FROM (SELECT query_id, unnest(x) AS sub, generate_subscripts(x, 1) - 1 AS part FROM (SELECT vec_id AS query_id, {_SPLIT("coalesce(d.text, '')")} AS x FROM embeddings JOIN documents d ON d.doc_id = vec_id WHERE vec_id % 100 = 0)) JOIN e v ON v.vec_id = (query_id + part) % 499),
+c AS (SELECT vec_id AS chunk_id, d.text, embedding AS e FROM embeddings JOIN documents d ON d.doc_id = vec_id), near AS (SELECT query_id, part, chunk_id FROM (SELECT query_id, part, chunk_id, row_number() OVER (PARTITION BY query_id, part ORDER BY round({_DOT('v', 'e')}, 6) DESC, chunk_id) AS r FROM q, c) WHERE r <= 20),
+terms AS (SELECT query_id, chunk_id, v, e, {_TERMS('sub')} AS a, {_TERMS("coalesce(text, '')")} AS b FROM near JOIN q USING (query_id, part) JOIN c USING (chunk_id)),
+s AS (SELECT query_id, chunk_id, max({_COS('v', 'e')} + 0.25 * {_JACCARD('a', 'b')}) AS score FROM terms GROUP BY ALL)"""
+
+
+@query("r05_rank_parts", duck(f"WITH {_PARTED} SELECT query_id, chunk_id, round(score, 9) AS score FROM s"))
+def rank_parts(spark, sf):
+    """Each question of a text has a vector and a pool of its own; a chunk counts with its best score. All pooled chunks are given."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    both = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text").join(e, "vec_id")
+    parts = M.question_parts(both.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("text")), "text", "query_id")
+    asked = parts.join(e, F.col("vec_id") == (F.col("query_id") + F.col("part")) % 499)
+    return R.rank_hybrid(asked, both.withColumnRenamed("vec_id", "chunk_id"), T.MAX_QUERIES * 20).select("query_id", "chunk_id", F.round("score", 9).alias("score"))
+
+
 def _ranked_documents(spark, sf):
     questions = view(spark, sf, "cases").select(F.col("item_id").alias("query_id"), "question")
     return R.rank_all(questions, R.document_chunks(table(spark, sf, "documents")), 20)
