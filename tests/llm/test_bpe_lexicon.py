@@ -59,7 +59,37 @@ def test_long_words_merge_alike():
     for n in (1, 2, 30, 150, 199, 200):  # up to 200 bytes the other way is taken
         for letters in (b"thequickbrownfox", b"ab", bytes(range(256))):
             word = bytes(rng.choice(letters) for _ in range(n))
-            assert v._merge_long([v.byte_ids[b] for b in word]) == v.merge(word)
+            ids = v.merge(word)
+            assert v._merge_long(word) == struct.pack(f"<{len(ids)}I", *ids)
+
+
+def test_very_long_words_equal_the_library(tokenizer, monkeypatch):
+    v, rng = B.Vocabulary(B.default_tokenizer()), random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = ["a" * 5001, "ab" * 4000, "ing" * 3000, "".join(rng.choice(letters) for _ in range(20_000)), "".join(rng.choice("the an ion ing er".split()) for _ in range(5000)), "é" * 3000, "".join(rng.choice("aA") for _ in range(9000)), "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(5000))]
+    assert v.rising
+    for window in (1 << 20, 997):
+        monkeypatch.setattr(B, "WINDOW", window)
+        for word in words:
+            ids = tokenizer.encode(word, add_special_tokens=False).ids
+            assert v.packed(word.encode()) == v._merge_long(word.encode()) == struct.pack(f"<{len(ids)}I", *ids)
+            assert B.Codec(B.default_tokenizer(), None).decode(struct.pack(f"<{len(ids)}I", *ids)) == word
+
+
+def peak_mb(code):
+    """Peak memory of a process of its own that runs ``code``."""
+    import subprocess
+    import sys
+
+    end = "\nimport resource; print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"
+    done = subprocess.run([sys.executable, "-c", code + end], capture_output=True, text=True, timeout=600, check=True)
+    return int(done.stdout.split()[-1])
+
+
+def test_a_word_of_many_megabytes_stays_below_a_gigabyte():
+    head = "import random; from turnlake.llm import bpe_lexicon as B; c = B.Codec(B.default_tokenizer(), None); r = random.Random(1)\n"
+    for text in ("'a' * 20_000_000", "''.join(r.choices('abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', k=3_000_000))"):
+        assert peak_mb(head + f"t = {text}; assert c.decode(c.encode(t)) == t") < 1000
 
 
 def test_huge_words_are_not_kept(spark, tokenizer):

@@ -13,6 +13,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from typing import BinaryIO
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,8 @@ LEXICON_WORDS = 65_536
 REMEMBERED, COUNTED = 200_000, 150_000
 #: Bytes of the words of a generation, of the words that a task counts before it hands them on, and of a word that is kept or may be in the transducer.
 KEPT_BYTES, WORD_BYTES = 16 << 20, 256
+#: Bytes up to which a word is merged pair by pair; bytes of a long one that are looked at together.
+SHORT, WINDOW = 200, 1 << 20
 
 WORD = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Characters that this pattern and the tokenizer's own classes surely treat alike; texts with others are split by the library.
@@ -61,12 +64,21 @@ class Vocabulary:
             self.rank[vocab[a] << 20 | vocab[b]] = rank
             self.merged.append(vocab[a + b])
         self.never = len(self.merged)
+        #: Pairs of bytes that stand side by side in some token: between all others no merge can reach.
+        self.beside = np.zeros(1 << 16, bool)
+        for i in set(self.merged):
+            token = np.frombuffer(self.token_bytes[i], np.uint8).astype(np.int64)
+            self.beside[token[:-1] << 8 | token[1:]] = True
+        pairs = np.fromiter(self.rank, np.int64, len(self.rank))
+        order = np.argsort(pairs)
+        self.pairs, self.pair_ranks = pairs[order], np.fromiter(self.rank.values(), np.int64, len(pairs))[order]
+        made = {token: rank for rank, token in enumerate(self.merged)}
+        #: Whether merges of a token come after all that make it, so that equal pairs may be merged together.
+        self.rising = all(rank > max(made.get(pair >> 20, -1), made.get(pair & 0xFFFFF, -1)) for pair, rank in self.rank.items())
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word: always the pair of least rank, the leftmost first."""
         ids = [self.byte_ids[b] for b in word]
-        if len(ids) > 200:
-            return self._merge_long(ids)
         get, never = self.rank.get, self.never
         ranks = [get(a << 20 | b, never) for a, b in zip(ids, ids[1:])]  # noqa: B905
         while ranks:
@@ -82,24 +94,84 @@ class Vocabulary:
                 ranks[i - 1] = get(ids[i - 1] << 20 | ids[i], never)
         return ids
 
-    def _merge_long(self, ids: list[int]) -> list[int]:
-        """The same with a heap, for words of any length."""
-        n = len(ids)
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(self.rank[k], i) for i in range(n - 1) if (k := ids[i] << 20 | ids[i + 1]) in self.rank]
-        heapq.heapify(heap)
-        while heap:
-            rank, i = heapq.heappop(heap)
-            j = after[i]
-            if not alive[i] or j >= n or self.rank.get(ids[i] << 20 | ids[j]) != rank:
-                continue
-            ids[i], alive[j], after[i] = self.merged[rank], False, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for left in (before[i], i):
-                if left >= 0 and (right := after[left]) < n and (k := ids[left] << 20 | ids[right]) in self.rank:
-                    heapq.heappush(heap, (self.rank[k], left))
-        return [x for x, kept in zip(ids, alive, strict=True) if kept]
+    def packed(self, word: bytes) -> bytes:
+        """The same, packed, for words of any length: they are cut where no token reaches across, and long parts merged by ranks."""
+        if len(word) <= SHORT:
+            return array("I", self.merge(word)).tobytes()
+        out = bytearray()
+        for part in self._parts(word):
+            out += array("I", self.merge(part)).tobytes() if len(part) <= SHORT or not self.rising else self._merge_long(part)
+        return bytes(out)
+
+    def _parts(self, word: bytes) -> Iterator[bytes]:
+        """``word`` in parts that merge apart, found a window at a time."""
+        begin = at = 0
+        while at < len(word):
+            window = np.frombuffer(word, np.uint8, min(WINDOW + 1, len(word) - at), at).astype(np.int64)
+            for cut in (np.flatnonzero(~self.beside[window[:-1] << 8 | window[1:]]) + at + 1).tolist():
+                yield word[begin:cut]
+                begin = cut
+            at += WINDOW
+        if begin < len(word):
+            yield word[begin:]
+
+    def _merge_long(self, word: bytes) -> bytes:
+        """All equal pairs of the least rank at once; of those that overlap the first, third and so on from the left.
+
+        A token's place is that of its first byte. Places wait by the rank of their pair and are looked at when its turn comes; a
+        merge makes pairs of later ranks only. A few bytes are held for each byte of the word.
+        """
+        n = len(word)
+        kind = np.uint16 if max(self.token_bytes) < 0xFFFF else np.uint32
+        gone = kind(np.iinfo(kind).max)
+        ids = np.array(self.byte_ids, kind)[np.frombuffer(word, np.uint8)]
+        size, before = np.ones(n + 1, np.uint16), np.ones(n + 1, np.uint16)  # bytes of the token at a place, and of the one before it
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def rank_of(at: np.ndarray) -> np.ndarray:
+            """Rank of the pair that begins at each place, -1 for none; all have a token after them."""
+            pair = ids[at].astype(np.int64) << 20 | ids[at + size[at]]
+            found = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+            return np.where((self.pairs[found] == pair) & (ids[at] != gone), self.pair_ranks[found], -1)
+
+        def wait(at: np.ndarray) -> None:
+            rank = rank_of(at)
+            order = np.argsort(rank, kind="stable")
+            order = order[np.searchsorted(rank[order], 0) :]
+            rank, at = rank[order], at[order].astype(np.int32)
+            if not len(at):
+                return
+            edge = np.flatnonzero(np.diff(rank, prepend=-1))
+            for value, places in zip(rank[edge].tolist(), np.split(at, edge[1:]), strict=True):
+                if value not in waiting:
+                    waiting[value] = []
+                    heapq.heappush(ranks, value)
+                waiting[value].append(places)
+
+        for i in range(0, n - 1, WINDOW):
+            wait(np.arange(i, min(i + WINDOW, n - 1)))
+        while ranks:
+            rank = heapq.heappop(ranks)
+            places = np.concatenate(waiting.pop(rank))
+            if (np.diff(places) <= 0).any():
+                places = np.unique(places)
+            for i in range(0, len(places), WINDOW):  # from the left: what a window has merged is seen by the next
+                at = places[i : i + WINDOW].astype(np.int64)
+                at = at[at + size[at] < n]
+                at = at[rank_of(at) == rank]
+                if not len(at):
+                    continue
+                follows = np.r_[False, at[1:] == at[:-1] + size[at[:-1]]]  # overlaps the pair before it: runs keep every second
+                start = np.maximum.accumulate(np.where(follows, 0, np.arange(len(at))))
+                at = at[(np.arange(len(at)) - start) % 2 == 0]
+                second = at + size[at]
+                ids[second], ids[at] = gone, self.merged[rank]
+                size[at] += size[second]
+                before[at + size[at]] = size[at]
+                left = at[at > 0]
+                wait(np.unique(np.concatenate([left - before[left], at[at + size[at] < n]])))
+        return ids[ids != gone].astype("<u4").tobytes()
 
 
 class Splitter:
@@ -239,7 +311,7 @@ class Codec:
 
     def word_ids(self, word: bytes) -> bytes:
         found = self.lexicon.ids(word) if self.lexicon else None
-        return found if found is not None else struct.pack(f"<{len(ids)}I", *ids) if (ids := self.vocabulary.merge(word)) else b""
+        return found if found is not None else self.vocabulary.packed(word)
 
     def encode(self, text: str) -> bytes:
         out = []
@@ -252,8 +324,11 @@ class Codec:
 
     def decode(self, ids: bytes) -> str:
         """Ids that the vocabulary lacks decode to nothing; bytes that are not UTF-8 to U+FFFD."""
-        token = self.vocabulary.token_bytes
-        return b"".join([token.get(i, b"") for i in memoryview(ids).cast("I")]).decode("utf-8", "replace")
+        token, every = self.vocabulary.token_bytes, memoryview(ids).cast("I")
+        out = bytearray()
+        for i in range(0, len(every), WINDOW):
+            out += b"".join([token.get(k, b"") for k in every[i : i + WINDOW]])
+        return out.decode("utf-8", "replace")
 
 
 _CODECS: dict[tuple[str, str | None], Codec] = {}
