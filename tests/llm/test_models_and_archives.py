@@ -31,7 +31,7 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_contracted_queries_are_registered():
-    assert [sum(name.startswith(f"op{n}_") for name in registry.QUERIES) for n in range(1, 11)] == [1] * 10
+    assert [sum(name.startswith(f"op{n}_") for name in registry.QUERIES) for n in range(1, 14)] == [1] * 13
 
 
 @pytest.mark.parametrize(("name", "label", "least"), [("op3_toxicity_kernel", "toxic", 0.9), ("op7_quality_rules", "quality", 0.95)])
@@ -98,14 +98,43 @@ def test_a_document_scores_as_by_hand():
     assert np.allclose(model.document_score(got)[0], 1 / (1 + np.exp(-(link[0] + np.dot(link[1:], facts)))))
 
 
-def test_long_texts_score_as_in_one_piece(monkeypatch):
+def kernel_model():
     marks = [toxicity_kernel.word_bytes(w) for w in ("some", "words", "q", "between")]
-    model = toxicity_kernel.ToxicityModel(toxicity_kernel.Weights.of(marks, np.array([1.0, -1.0, 0.5, 2.0])), -0.5, np.zeros(5))
-    texts = ["some words of a text that is cut between words " * 9, None, "", "q", "z" * 5_000]
+    return toxicity_kernel.ToxicityModel(toxicity_kernel.Weights.of(marks, np.array([1.0, -1.0, 0.5, 2.0])), -0.5, np.zeros(5))
+
+
+def test_long_texts_score_as_in_one_piece(monkeypatch):
+    model = kernel_model()
+    texts = ["some words of a text that is cut between words " * 9, None, "", "q", "z" * 5_000, "i d i o t s o m e " * 40, "1 2 3 " * 90, "So" + "ΣΑΣ" * 70 + " me " + "b" * 90]
     whole = toxicity_kernel.document_facts(texts, model)
-    monkeypatch.setattr(toxicity_kernel, "SLICE", 50)
-    monkeypatch.setattr(toxicity_kernel, "REMEMBERED", 3)
-    assert np.allclose(whole, toxicity_kernel.document_facts(texts, model))
+    for name, value in (("SLICE", 50), ("REMEMBERED", 3), ("PART", 17), ("HELD", 40)):
+        monkeypatch.setattr(toxicity_kernel, name, value)
+    assert np.allclose(whole, toxicity_kernel.document_facts(texts, kernel_model()))
+
+
+def test_long_words_score_by_parts_as_whole(monkeypatch):
+    model, rng = kernel_model(), random.Random(4)
+    words = ["between" * 400, "".join(rng.choice("abc") for _ in range(3000)), "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(3000)), "x" * 65]
+    for part, held in ((1 << 16, 1 << 22), (64, 500)):
+        monkeypatch.setattr(toxicity_kernel, "PART", part)
+        monkeypatch.setattr(toxicity_kernel, "HELD", held)
+        for w in words:
+            codes, starts, _ = toxicity_kernel.symbols_of([w])
+            whole = model.weights.values([toxicity_kernel.word_bytes(w)])[0] + model.bias
+            assert np.isclose(model.scores_of(codes, starts)[-1], whole)
+
+
+def test_letters_of_every_plane_are_letters():
+    assert toxicity_kernel.words_of(*toxicity_kernel.symbols_of(["\U00030001\U00030002 \U0001f642 \U00031350"])[:2])[-3:] == [toxicity_kernel.word_bytes("\U00030001\U00030002"), b"", toxicity_kernel.word_bytes("\U00031350")]
+
+
+def test_a_word_of_many_megabytes_stays_below_a_gigabyte():
+    import subprocess
+    import sys
+
+    code = "import numpy as np, random, resource; from turnlake.llm import toxicity_kernel as K; m = K.ToxicityModel(K.Weights.of([K.word_bytes('idiot')], np.ones(1)), 0.0, np.zeros(5)); r = random.Random(1)\n"
+    code += "t = ''.join(r.choices('ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/', k=10_000_000)); assert K.document_facts([t], m)[0, 3] > 0; print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600, check=True).stdout) < 1000
 
 
 def test_rules_are_paths_and_columns(spark):

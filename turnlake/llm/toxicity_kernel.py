@@ -33,13 +33,16 @@ SPAN, DECAY = 5, 0.8
 LANDMARKS = 96
 #: Labelled documents that are learnt from at most, those with the least hash of doc_id.
 MAX_TOXIC, MAX_CLEAN = 4_000, 8_000
-#: Landmarks are the words of the strongest association with toxic labels; first guesses at a sentence's worst word come from four times as many.
+#: Landmarks are the words of the strongest association with toxic labels; a sentence's worst word is first guessed by four times as many.
 GUESSES = 4 * LANDMARKS
-#: Words of clean documents that are learnt from at most: a third the most frequent ones, the others by hash.
-MAX_CLEAN_WORDS = 24_000
+#: Of the clean ones, those whose words, all of them, the kernel machine learns from: again those with the least hash.
+WORD_ROWS = 250
 THRESHOLD = 0.3
-#: Characters handled at once; a longer text is cut between words, which no score depends on. Scores that a worker remembers.
+#: Characters handled at once. Scores that a worker remembers.
 SLICE, REMEMBERED = 1 << 20, 200_000
+#: Letters of a word beyond which it is scored part by part, and is no landmark nor learnt from; letters of a part; different
+#: subsequences of such a word that are held at once.
+LONG, PART, HELD = 64, 1 << 16, 1 << 22
 
 BOUNDARY, DROPPED = 0, 0xFFFFFFFF
 #: Bytes of a symbol.
@@ -49,7 +52,7 @@ WIDE = 4
 def _symbol_table() -> np.ndarray:
     """Code point to symbol: letters are themselves, look-alike digits letters, white space a boundary, all else dropped."""
     codes = np.full(0x110000, DROPPED, np.uint32)
-    for cp in range(0x30000):  # what lies beyond is for private use or not assigned
+    for cp in range(0x110000):
         ch = chr(cp)
         if ch.isalpha():
             codes[cp] = cp
@@ -64,16 +67,39 @@ _TABLE: list[np.ndarray] = []
 KEPT["words"] = _TABLE.clear
 
 
+def _lower(text: str) -> str:
+    """Lower case, each letter by itself: the one that has a form for the end of a word takes the other."""
+    return text.lower().replace("ς", "σ")
+
+
+def _codes(text: str) -> np.ndarray:
+    """Symbols of a text, without what is dropped; a long one is mapped a slice at a time."""
+    if not _TABLE:
+        _TABLE.append(_symbol_table())
+    out, at = [], 0
+    while True:
+        end = min(at + SLICE, len(text))
+        codes = _TABLE[0][np.frombuffer(_lower(text[at:end]).encode("utf-32-le", "surrogatepass"), "<u4")]
+        out.append(codes[codes != DROPPED])
+        at = end
+        if at >= len(text):
+            return out[0] if len(out) == 1 else np.concatenate(out)
+
+
 def symbols_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, starts, owner): all words of ``texts`` with a boundary before each and one at the end; a word's start is the
     boundary before it, its owner the index of its text. Empty words are left in (their owner's scores ignore them)."""
-    if not _TABLE:
-        _TABLE.append(_symbol_table())
-    lowered = [f" \n{t.lower()}" for t in texts]
-    codes = _TABLE[0][np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), "<u4")]
-    text_of = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in lowered])
-    kept = codes != DROPPED
-    codes, text_of = codes[kept], text_of[kept]
+    marked = [f" \n{t}" for t in texts]
+    if sum(map(len, marked)) <= 2 * SLICE:
+        if not _TABLE:
+            _TABLE.append(_symbol_table())
+        lowered = [_lower(t) for t in marked]
+        codes = _TABLE[0][np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), "<u4")]
+        kept = codes != DROPPED
+        codes, text_of = codes[kept], np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in lowered])[kept]
+    else:
+        each = [_codes(t) for t in marked]
+        codes, text_of = np.concatenate(each) if len(each) > 1 else each[0], np.repeat(np.arange(len(texts), dtype=np.int32), list(map(len, each)))
     at = np.flatnonzero(codes == BOUNDARY)
     single = np.diff(at, append=len(codes)) == 2
     joined = at[1:][single[1:] & single[:-1]]  # a boundary between two words of one letter
@@ -82,13 +108,24 @@ def symbols_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keep[joined] = False
         codes, text_of = codes[keep], text_of[keep]
         at = np.flatnonzero(codes == BOUNDARY)
-    return np.append(codes, np.uint32(BOUNDARY)), at, text_of[at]
+    owner = text_of[at]
+    return np.append(codes, np.uint32(BOUNDARY)), at, owner
+
+
+def words_of(codes: np.ndarray, starts: np.ndarray, which: np.ndarray | None = None) -> list[bytes]:
+    """The words as the bytes of their symbols, empty ones too; or those ``which`` chooses."""
+    ends = np.append(starts[1:], len(codes) - 1)
+    if which is not None:
+        starts, ends = starts[which], ends[which]
+    if not len(starts):
+        return []
+    raw = codes.tobytes() if len(codes) <= 4 * SLICE else memoryview(codes).cast("B")
+    return [bytes(raw[a:b]) for a, b in zip(((starts + 1) * WIDE).tolist(), (ends * WIDE).tolist(), strict=True)]
 
 
-def words_of(codes: np.ndarray, starts: np.ndarray) -> list[bytes]:
-    """The words as the bytes of their symbols, empty ones too."""
-    raw, ends = codes.tobytes(), np.append(starts[1:], len(codes) - 1)
-    return [raw[a:b] for a, b in zip(((starts + 1) * WIDE).tolist(), (ends * WIDE).tolist(), strict=True)]
+def lengths_of(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Letters of each word."""
+    return np.diff(starts, append=len(codes) - 1) - 1
 
 
 def word_bytes(word: str) -> bytes:
@@ -118,6 +155,48 @@ def subsequences(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return tuple(np.concatenate(x) if x else np.zeros(0, kind) for x, kind in zip(found, (np.int64, np.uint64, float), strict=True))
 
 
+def triples(c: np.ndarray, stop: int) -> tuple[np.ndarray, np.ndarray]:
+    """(subsequence, value) as ``subsequences`` gives them, of those that begin in the first ``stop`` symbols of one part of a word."""
+    c = c.astype(np.uint64)
+    first, second, third = (c * np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+    found = ([], [])
+    for span in range(2, SPAN + 1):
+        m = min(stop, len(c) - span)
+        for middle in range(1, span) if m > 0 else ():
+            found[0].append(mix(((first[:m] + second[middle : middle + m]) ^ third[span : span + m]) + second[span : span + m]))
+            found[1].append(np.full(m, DECAY**span))
+    return (np.concatenate(found[0]), np.concatenate(found[1])) if found[0] else (np.zeros(0, np.uint64), np.zeros(0))
+
+
+def _parts(c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``triples`` of a word with its boundaries, PART symbols at a time; a part reaches as far beyond as a subsequence does."""
+    for a in range(0, len(c), PART):
+        yield triples(c[a : a + PART + SPAN], PART)
+
+
+def long_norm(c: np.ndarray) -> float:
+    """``norms`` of one word of any length. Its subsequences' values are summed by shares of a hash if they are too many to hold."""
+    shares = 1
+    while True:
+        square = 0.0
+        for share in range(shares):
+            known, sums = np.zeros(0, np.uint64), np.zeros(0)
+            for key, value in _parts(c):
+                if shares > 1:
+                    own = key % np.uint64(shares) == share
+                    key, value = key[own], value[own]
+                known, place = np.unique(np.concatenate([known, key]), return_inverse=True)
+                sums = np.bincount(place, np.concatenate([sums, value]), len(known))
+                if len(known) > HELD:
+                    break
+            if len(known) > HELD:
+                break
+            square += float(sums @ sums)
+        else:
+            return math.sqrt(square) if square > 0 else 1.0
+        shares *= 4
+
+
 def norms(n: int, word: np.ndarray, key: np.ndarray, value: np.ndarray) -> np.ndarray:
     """The root of the kernel of each of ``n`` words with itself."""
     square = np.bincount(word, value * value, n)
@@ -182,44 +261,56 @@ class ToxicityModel:
         return {}
 
     def word_scores(self, words: list[bytes]) -> np.ndarray:
-        """Scores of words, each different one computed once and remembered for a while."""
+        """Scores of words of up to LONG letters, each different one computed once and remembered for a while."""
         known = self.known
         new = [w for w in set(words) if w not in known]
         if len(known) + len(new) > REMEMBERED:
             known.clear()
             new = list(set(words))
-        short = [w for w in new if len(w) <= 64 * WIDE]
-        for some in ([short[i : i + 20_000] for i in range(0, len(short), 20_000)], [[w] for w in new if len(w) > 64 * WIDE]):
-            for part in some:
-                known.update(zip(part, (self.weights.values(part) + self.bias).tolist(), strict=True))
-        out = np.array([known[w] for w in words]) if words else np.zeros(0)
-        for w in new:
-            if len(w) > 64 * WIDE:
-                del known[w]
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            known.update(zip(part, (self.weights.values(part) + self.bias).tolist(), strict=True))
+        return np.array([known[w] for w in words]) if words else np.zeros(0)
+
+    def long_score(self, c: np.ndarray) -> float:
+        """The same of one word of any length, given as symbols with a boundary at either end, in bounded memory."""
+        total = sum(float(self.weights.sums(1, np.zeros(len(key), np.int64), key, value)[0]) for key, value in _parts(c))
+        return total / long_norm(c) + self.bias
+
+    def scores_of(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Scores of all words of ``symbols_of``; 0 for empty ones."""
+        size, out = lengths_of(codes, starts), np.zeros(len(starts))
+        short = (size > 0) & (size <= LONG)
+        out[short] = self.word_scores(words_of(codes, starts, short))
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[i] = self.long_score(codes[starts[i] : starts[i] + size[i] + 2])
         return out
 
     def document_score(self, facts: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(facts @ self.link[1:] + self.link[0], -30, 30)))
 
 
+#: White space between two words of several letters.
+BETWEEN = re.compile(r"(?<=[^\W\d_]{2})\s(?=[^\W\d_]{2})")
+
+
 def _slices(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
-    """Texts in groups of about SLICE characters; parts of a long one keep its index."""
+    """Texts in groups of about SLICE characters; parts of a long one keep its index. It is cut between words that stand apart however
+    the rest is cut; a part without such a place, as one long word, stays whole."""
     owners, parts, size = [], [], 0
     for i, text in enumerate(texts):
-        rest = text or ""
+        at, text = 0, text or ""
         while True:
-            cut = len(rest)
-            if cut > SLICE:
-                space = re.compile(r"\s").search(rest, SLICE)
-                cut = space.start() if space else cut
+            space = BETWEEN.search(text, at + SLICE) if len(text) - at > SLICE else None
+            end = space.start() if space else len(text)
             owners.append(i)
-            parts.append(rest[:cut])
-            size += cut
-            rest = rest[cut:]
+            parts.append(text[at:end])
+            size += end - at
+            at = end
             if size >= SLICE:
                 yield owners, parts
                 owners, parts, size = [], [], 0
-            if not rest:
+            if at >= len(text):
                 break
     if parts:
         yield owners, parts
@@ -231,8 +322,8 @@ def document_facts(texts: list[str | None], model: ToxicityModel) -> np.ndarray:
     above, words = np.zeros(len(texts)), np.zeros(len(texts))
     for owners, parts in _slices(texts):
         codes, starts, owner = symbols_of(parts)
-        full = np.diff(starts, append=len(codes) - 1) > 1
-        scores, owner = model.word_scores([w for w in words_of(codes, starts) if w]), np.asarray(owners)[owner[full]]
+        full = lengths_of(codes, starts) > 0
+        scores, owner = model.scores_of(codes, starts)[full], np.asarray(owners)[owner[full]]
         if not len(scores):
             continue
         np.add.at(above, owner[scores > 0], 1)
@@ -247,13 +338,18 @@ def document_facts(texts: list[str | None], model: ToxicityModel) -> np.ndarray:
     return np.stack([best, second, np.log1p(above), np.log1p(words)], axis=1).astype(np.float64)
 
 
+def _short_words(text: str | None) -> set[bytes]:
+    codes, starts, _ = symbols_of([text or ""])
+    size = lengths_of(codes, starts)
+    return set(words_of(codes, starts, (size > 0) & (size <= LONG)))
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, toxic, documents with it), summed over each batch."""
     for batch in batches:
         found: Counter = Counter()
-        toxic = batch.column("toxic").to_pylist()
-        for label, text in zip(toxic, batch.column("text").to_pylist(), strict=True):
-            for word in set(words_of(*symbols_of([text or ""])[:2])) - {b""}:
+        for label, text in zip(batch.column("toxic").to_pylist(), batch.column("text"), strict=True):
+            for word in _short_words(text.as_py()):
                 found[word, label] += 1
         keys = list(found)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.binary()), pa.array([k[1] for k in keys], pa.int32()), pa.array(list(found.values()), pa.int64())], ["word", "toxic", "n"])
@@ -273,7 +369,9 @@ def _worst_words(scores: dict[bytes, float] | None, model: ToxicityModel | None)
                 sentences += parts
                 owner += [i] * len(parts)
             codes, starts, whose = symbols_of(sentences)
-            words = [(owner[k], w) for k, w in zip(whose.tolist(), words_of(codes, starts), strict=True) if w]
+            size = lengths_of(codes, starts)
+            short = (size > 0) & (size <= LONG)
+            words = [(owner[k], w) for k, w in zip(whose[short].tolist(), words_of(codes, starts, short), strict=True)]
             values = [scores.get(w, 0.0) for _, w in words] if scores is not None else model.word_scores([w for _, w in words]).tolist()
             best: dict[int, tuple[float, bytes]] = {}
             for (i, w), value in zip(words, values, strict=True):
@@ -343,12 +441,12 @@ def _fit_words(landmarks: list[bytes], positive: Counter, negative: list[bytes])
     return Weights.of(landmarks, whitening @ w[:-1]), float(w[-1])
 
 
-def fit_toxicity(train: DataFrame, max_clean_words: int = MAX_CLEAN_WORDS) -> ToxicityModel:
+def fit_toxicity(train: DataFrame, word_rows: int = WORD_ROWS, landmarks: int = LANDMARKS, guesses: int = GUESSES) -> ToxicityModel:
     """Fit on ``train`` (toxic 0/1, text), which the caller has bounded.
 
-    Word counts by label choose ``LANDMARKS`` landmarks. Worst sentences of toxic documents are chosen first by word counts,
-    of ``GUESSES`` words, then once more by the SVM itself; of the words of clean sentences ``max_clean_words`` are learnt
-    from. A logistic link over a document's worst words gives the score.
+    Word counts by label choose ``landmarks`` landmarks. Worst sentences of toxic documents are chosen first by the ``guesses``
+    words of the strongest association, then once more by the SVM itself; clean words are all those of the ``word_rows`` clean rows of the least hash. Only words of up to
+    LONG letters are landmarks or learnt from. A logistic link over a document's worst words gives the score.
     """
     classes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = classes.get(1, 0), classes.get(0, 0)
@@ -362,13 +460,13 @@ def fit_toxicity(train: DataFrame, max_clean_words: int = MAX_CLEAN_WORDS) -> To
     expected = (F.col("pos") + F.col("neg")) * (n_toxic / (n_toxic + n_clean))
     strength = (F.col("pos") - expected) / F.sqrt(expected + 1)
     least = min(3, n_toxic)
-    top = counts.filter((F.col("pos") >= least) & (F.col("pos") * n_clean > 2 * F.col("neg") * n_toxic)).select("word", strength.alias("s")).orderBy(F.desc("s"), "word").limit(GUESSES).collect()
+    top = counts.filter((F.col("pos") >= least) & (F.col("pos") * n_clean > 2 * F.col("neg") * n_toxic)).select("word", strength.alias("s")).orderBy(F.desc("s"), "word").limit(guesses).collect()
     if not top:
         return constant
     association = {bytes(r["word"]): float(r["s"]) for r in top}
-    landmarks = [bytes(r["word"]) for r in top[:LANDMARKS]]
-    clean = counts.filter("neg > 0").withColumn("h", F.xxhash64("word"))
-    negative = {bytes(r["word"]) for r in clean.orderBy(F.desc("neg"), "h").limit(max_clean_words // 3).collect()} | {bytes(r["word"]) for r in clean.orderBy("h", "word").limit(2 * max_clean_words // 3).collect()}
+    marks = [bytes(r["word"]) for r in top[:landmarks]]
+    taught = train.filter("toxic = 0").orderBy(F.xxhash64("text", F.lit(5)), "text").limit(word_rows)
+    negative = {bytes(r["word"]) for r in taught.mapInArrow(in_turn("words", _count_words), "word binary, toxic int, n long").select("word").distinct().collect()}
     toxic = train.filter("toxic = 1")
     model, scores = None, association
     for _ in range(2):
@@ -376,7 +474,7 @@ def fit_toxicity(train: DataFrame, max_clean_words: int = MAX_CLEAN_WORDS) -> To
         positive = Counter({bytes(r["word"]): r["count"] for r in found})
         if not positive:
             break
-        weights, bias = _fit_words(landmarks, Counter(dict(sorted(positive.items()))), sorted(negative - set(positive)))
+        weights, bias = _fit_words(marks, Counter(dict(sorted(positive.items()))), sorted(negative - set(positive)))
         model, scores = ToxicityModel(weights, bias, np.zeros(5)), None
     if model is None:
         return constant
@@ -395,20 +493,20 @@ def _scorer(model: ToxicityModel):
     return score
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_clean_words: int = MAX_CLEAN_WORDS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, word_rows: int = WORD_ROWS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Score every row of ``docs`` (doc_id, text) by what ``labels`` (doc_id, toxic) of rows not ``held_out`` teach.
 
     ``held_out`` is a condition on doc_id. Rows with a null label or doc_id teach nothing. Returns the columns ``keep``,
     held_out, score (0 to 1), predicted (score >= 0.3). A null text scores as an empty one; without labels of both classes
     every score is the smoothed share of toxic labels. The model learns from at most ``max_toxic`` toxic and ``max_clean`` clean
-    labelled documents, those of the least hash of doc_id, and from ``max_clean_words`` words of the clean ones; they are
-    joined by broadcast, their number being the bound. Of rows that repeat a doc_id the least text by hash is learnt from.
+    labelled documents, those of the least hash of doc_id, its kernel machine from all words of ``word_rows`` of the clean ones;
+    they are joined by broadcast, their number being the bound. Of rows that repeat a doc_id the least text by hash is learnt from.
     """
     known = labels.filter(~held_out & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = (F.xxhash64("doc_id", F.lit(3)), F.col("doc_id"))
     taught = known.filter("toxic = 1").orderBy(*order).limit(max_toxic).union(known.filter("toxic = 0").orderBy(*order).limit(max_clean))
     once = docs.select("doc_id", "text").join(F.broadcast(taught), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
-    model = fit_toxicity(stored(once.select("toxic", "text"), "toxic-train"), max_clean_words)
+    model = fit_toxicity(stored(once.select("toxic", "text"), "toxic-train"), word_rows)
     rows = docs.select(*keep, held_out.alias("held_out"), F.col("text").alias("scored_text"))
     schema = T.StructType([*(f for f in rows.schema.fields if f.name != "scored_text"), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(in_turn("words", _scorer(model)), schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
