@@ -24,6 +24,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINKS, METAS, BASES = (rf"(?is)(<{name}\b[^>]*>)" for name in ("link", "meta", "base"))
 #: Target in the content of a refresh, with or without ``url=``.
 REFRESH = r"""(?is)(?:\burl\s*=\s*|^\s*[0-9.]+\s*[;,]\s*+(?!url\s*=))["']?\s*([^"']+)"""
+COMMENTS = r"(?s)<!--.*?(?:-->|\z)"
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 NAMED = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"))
 
@@ -43,6 +44,12 @@ def _after_scheme(url: Column) -> Column:
     return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
 
 
+def alias_key(url: Column) -> Column:
+    """What aliases are compared by: the url without its fragment, A-Z of scheme and host lower-cased; one without ``://`` as it is."""
+    head = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    return F.when(head == "", url).otherwise(F.concat(F.translate(head, UPPER, LOWER), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)))
+
+
 def _fits(host: Column, path: Column, rule_host: str, rule_path: str) -> Column:
     return ((host == rule_host) | host.endswith("." + rule_host)) & path.startswith(rule_path)
 
@@ -107,19 +114,19 @@ def _resolved(target: Column, base: Column) -> Column:
 def alias_links(pages: DataFrame) -> DataFrame:
     """(url, target): all redirects and canonical links that pages declare.
 
-    Attributes may be in any order and in either or no quotes; character references are decoded. Relative targets are
-    resolved against the page's url, or its ``<base>`` where that has a scheme.
+    Attributes may be in any order and in either or no quotes; character references are decoded; what stands in a comment declares
+    nothing. Relative targets are resolved against the page's url, or its ``<base>`` where that has a scheme. Both urls are
+    given as ``alias_key`` does.
     """
+    pages = pages.filter("url is not null and html is not null").filter(F.col("html").rlike(r"(?i)<(link|meta)\b")).select("url", F.regexp_replace("html", COMMENTS, "").alias("html"))
     links = F.filter(F.regexp_extract_all("html", F.lit(LINKS), 1), lambda t: F.array_contains(F.split(F.lower(_attribute(t, "rel")), r"\s+"), "canonical"))
     metas = F.filter(F.regexp_extract_all("html", F.lit(METAS), 1), lambda t: F.lower(F.trim(_attribute(t, "http-equiv"))) == "refresh")
     hrefs = F.transform(links, lambda t: _decoded(_attribute(t, "href")))
     found = F.concat(hrefs, F.transform(metas, lambda t: F.regexp_extract(_decoded(_attribute(t, "content")), REFRESH, 1)))
     base = F.trim(_decoded(_attribute(F.regexp_extract("html", BASES, 1), "href")))
     return (
-        pages.filter("url is not null and html is not null")
-        .filter(F.col("html").rlike(r"(?i)<(link|meta)\b"))
-        .select("url", F.when(base.rlike(SCHEME + "//"), base).otherwise(F.col("url")).alias("base"), F.explode(found).alias("raw"))
-        .select("url", _resolved(F.regexp_replace("raw", r"^\s+|\s+$", ""), F.col("base")).alias("target"))
+        pages.select("url", F.when(base.rlike(SCHEME + "//"), base).otherwise(F.col("url")).alias("base"), F.explode(found).alias("raw"))
+        .select(alias_key(F.col("url")).alias("url"), alias_key(_resolved(F.regexp_replace("raw", r"^\s+|\s+$", ""), F.col("base"))).alias("target"))
         .filter("target is not null and target <> url")
         .distinct()
     )
@@ -134,18 +141,18 @@ def judge_urls(pages: DataFrame, links: DataFrame, rules: Sequence[tuple[str, st
 
     Returns page_id, host, path, rule (null if none fits), verdict, via_alias (the verdict came from an alias). A null url
     or one without ``://`` has an empty host and path; rows repeat as they do in the input; other columns are not read.
-    ``links`` has url and target. Only urls that have a link are shuffled by it, and a component costs its minimum only.
+    ``links`` has url and target, which aliases are compared by as ``alias_key`` gives them. Only urls that have a link are shuffled by it, and a component costs its minimum only.
     """
     judged = pages.select("page_id", "url").withColumns({"host": host_of(F.coalesce("url", F.lit(""))), "path": path_of(F.coalesce("url", F.lit("")))})
     judged = judged.withColumn("own", explicit_rule(F.col("host"), F.col("path"), rules))
-    links = stored(links.select("url", "target"), "alias-links")
+    links = stored(links.select(alias_key(F.col("url")).alias("url"), alias_key(F.col("target")).alias("target")), "alias-links")
     if links.isEmpty():
         return judged.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", F.lit(default)).alias("verdict"), F.lit(False).alias("via_alias"))
     members = stored(connected_components(links, "url", "target"), "aliases")
     own = explicit_rule(host_of(F.col("node")), path_of(F.col("node")), rules)
     blocked = members.filter(own["verdict"] == "block").select("component").distinct()
-    spread = stored(members.join(blocked, "component", "left_semi").select(F.col("node").alias("url"), F.lit(True).alias("aliased")), "blocked-aliases")
-    out = judged.join(spread, "url", "left")
+    spread = stored(members.join(blocked, "component", "left_semi").select(F.col("node").alias("key"), F.lit(True).alias("aliased")), "blocked-aliases")
+    out = judged.withColumn("key", alias_key(F.col("url"))).join(spread, "key", "left")
     verdict = F.coalesce(F.col("own.verdict"), F.when(F.col("aliased"), "block"), F.lit(default))
     return out.select("page_id", "host", "path", F.col("own.rule").alias("rule"), verdict.alias("verdict"), (F.col("own").isNull() & F.coalesce("aliased", F.lit(False))).alias("via_alias"))
 
@@ -157,24 +164,55 @@ def op5_url_equivalence(spark, sf_dir) -> DataFrame:
 
 QUERIES = {"op5_url_equivalence": op5_url_equivalence}
 
-ORACLE_SQL = {
-    "op5_url_equivalence": r"""
-WITH RECURSIVE p AS (
-  SELECT page_id, url, html, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
-q AS (SELECT page_id, url, html, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
-rules(verdict, rhost, rpath) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
-own AS (SELECT page_id, url, html, host, path,
-  (SELECT arg_max(struct_pack(rule := rhost || rpath, verdict := verdict), length(rhost || rpath)) FROM rules WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS o FROM q),
-raw AS (
-  SELECT url, trim(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']([^"''>]+)["'']', 1)) AS t FROM own
-  UNION SELECT url, trim(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\bcontent\s*=\s*["''][^"''>]*?url\s*=\s*([^"''>]+)["'']', 1)) FROM own),
-edges AS (SELECT url AS a, t AS b FROM raw WHERE t <> '' AND position('://' IN t) > 0 AND t <> url),
-both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+
+
+def _sql() -> str:
+    """The operator's rules as DuckDB SQL, over all pairs of urls that links connect."""
+    lower = lambda t: f"translate({t}, '{UPPER}', '{LOWER}')"
+    after = lambda u: f"(CASE WHEN position('://' IN {u}) > 0 THEN substr({u}, position('://' IN {u}) + 3) ELSE '' END)"
+    host = lambda u: lower(f"regexp_extract({after(u)}, '^[^/?#]*', 0)")
+    path = lambda u: f"regexp_extract({after(u)}, '^[^/?#]*([^?#]*)', 1)"
+    head = lambda u: f"regexp_extract({u}, '(?s)^(.*?://[^/?#]*)', 1)"
+    key = lambda u: f"(CASE WHEN {head(u)} = '' THEN {u} ELSE {lower(head(u))} || regexp_extract({u}, '(?s)^.*?://[^/?#]*([^#]*)', 1) END)"
+    attribute = lambda tag, name: "concat(" + ", ".join(f"""regexp_extract({tag}, '(?is)[\\s"''/]{name}\\s*=\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s"''>]+))', {k})""" for k in (1, 2, 3)) + ")"
+    code = "(CASE WHEN lower(e[1]) = 'x' THEN list_reduce(list_prepend(0, list_transform(string_split(lower(e[2:]), ''), lambda d: position(d IN '0123456789abcdef') - 1)), lambda m, d: m * 16 + d) ELSE CAST(e AS BIGINT) END)"
+    valid = f"{code} NOT IN (0, 38) AND {code} < 1114112 AND {code} NOT BETWEEN 55296 AND 57343"
+    rule = lambda u: f"(SELECT arg_max(struct_pack(rule := rhost || rpath, verdict := verdict), length(rhost || rpath)) FROM rules WHERE ({host(u)} = rhost OR ends_with({host(u)}, '.' || rhost)) AND starts_with({path(u)}, rpath))"
+
+    def decoded(t: str) -> str:
+        for name, character in NAMED:
+            t = f"replace({t}, '{name}', '{character if character != chr(39) else chr(39) * 2}')"
+        codes = f"list_filter(regexp_extract_all({t}, '(?i)&#(x0*[0-9a-f]{{1,6}}|0*[0-9]{{1,7}});', 1), lambda e: {valid})"
+        return f"regexp_replace(list_reduce(list_prepend({t}, {codes}), lambda s, e: replace(s, '&#' || e || ';', chr(CAST({code} AS INTEGER)))), '(?i)&(amp|#0*38|#x0*26);', '&', 'g')"
+
+    def dotless(p: str) -> str:
+        parts = f"string_split(regexp_replace(substr({p}, 2), '(^|/)(\\.\\.?)$', '\\1\\2/'), '/')"
+        return f"('/' || array_to_string(list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform({parts}, lambda s: [s])), lambda a, x: CASE x[1] WHEN '.' THEN a WHEN '..' THEN a[1:greatest(len(a) - 1, 0)] ELSE a || x END), '/'))"
+
+    wait = "^\\s*[0-9.]+\\s*[;,]\\s*"
+    rest = """["'']?\\s*([^"'']+)"""
+    return f"""
+WITH RECURSIVE rules(verdict, rhost, rpath) AS (VALUES {', '.join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)}),
+h AS (SELECT url, regexp_replace(html, '(?s)<!--.*?(?:-->|\\z)', '', 'g') AS html FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
+b AS (SELECT url, html, trim({decoded(attribute("regexp_extract(html, '(?is)<base[^>]*>', 0)", "href"))}) AS base FROM h),
+t AS (SELECT url, base, 'link' AS kind, unnest(regexp_extract_all(html, '(?is)<link\\b[^>]*>')) AS tag FROM b UNION ALL SELECT url, base, 'meta', unnest(regexp_extract_all(html, '(?is)<meta\\b[^>]*>')) FROM b),
+c AS (SELECT url, base, kind, CASE kind WHEN 'link' THEN {decoded(attribute('tag', 'href'))} ELSE {decoded(attribute('tag', 'content'))} END AS x FROM t
+  WHERE CASE kind WHEN 'link' THEN list_contains(regexp_split_to_array(lower({attribute('tag', 'rel')}), '\\s+'), 'canonical') ELSE lower(trim({attribute('tag', 'http-equiv')})) = 'refresh' END),
+r AS (SELECT url, CASE WHEN regexp_matches(base, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN base ELSE url END AS base, regexp_replace(CASE kind WHEN 'link' THEN x
+  ELSE CASE WHEN regexp_matches(x, '(?is){wait}') AND NOT regexp_matches(x, '(?is){wait}url\\s*=') THEN regexp_extract(x, '(?is){wait}{rest}', 1) ELSE regexp_extract(x, '(?is)\\burl\\s*=\\s*{rest}', 1) END END, '^\\s+|\\s+$', '', 'g') AS t FROM c),
+o AS (SELECT *, regexp_extract(base, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS origin, regexp_extract(t, '^[^?#]*', 0) AS tp, regexp_extract(t, '(?s)^[^?#]*(.*)$', 1) AS tr, {path('base')} AS bp FROM r),
+s AS (SELECT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') OR starts_with(t, '#') OR t = '' THEN NULL WHEN starts_with(t, '//') THEN regexp_extract(base, '^([^:]*:)', 1) || t
+  WHEN starts_with(t, '/') THEN origin || {dotless('tp')} || tr WHEN origin = '' THEN NULL WHEN starts_with(t, '?') THEN origin || CASE WHEN bp = '' THEN '/' ELSE bp END || t
+  ELSE origin || {dotless("(CASE WHEN regexp_extract(bp, '^(.*/)', 1) = '' THEN '/' ELSE regexp_extract(bp, '^(.*/)', 1) END || tp)")} || tr END AS target FROM o),
+edges AS (SELECT DISTINCT {key('url')} AS a, {key('target')} AS b FROM s WHERE target IS NOT NULL),
+both_ways AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
 reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
-spread AS (SELECT DISTINCT r.a AS url FROM reach r JOIN own o ON o.url = r.b WHERE o.o.verdict = 'block')
-SELECT page_id, host, path, o.rule AS rule, coalesce(o.verdict, CASE WHEN s.url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
-  (o IS NULL AND s.url IS NOT NULL) AS via_alias
-FROM own LEFT JOIN spread s ON s.url = own.url
-""",
-}
+bad AS (SELECT b AS node FROM (SELECT DISTINCT b FROM both_ways) WHERE {rule('b')}.verdict = 'block'),
+spread AS (SELECT DISTINCT r.a AS key FROM reach r JOIN bad ON bad.node = r.b),
+own AS (SELECT page_id, url, {host("coalesce(url, '')")} AS host, {path("coalesce(url, '')")} AS path, {rule("coalesce(url, '')")} AS o FROM pages)
+SELECT page_id, host, path, o.rule AS rule, coalesce(o.verdict, CASE WHEN s.key IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, (o IS NULL AND s.key IS NOT NULL) AS via_alias
+FROM own LEFT JOIN spread s ON s.key = {key('own.url')}
+"""
+
+
+ORACLE_SQL = {"op5_url_equivalence": _sql()}
