@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlake.llm.bpe_lexicon import compile_lexicon, decode_documents, default_tokenizer, encode_documents
@@ -14,11 +14,17 @@ from turnlake.llm.suffix_buckets import remove_repeated
 from turnlake.llm.toxicity_kernel import score_toxicity
 
 
+def whole() -> Column:
+    """A document as it came, whatever its columns are named, while a stage adds columns of its own."""
+    return F.struct("*").alias("whole_row")
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the kernel machine predicts to be toxic go; it learns from the labels of the training fold."""
     small_batches(spark)
-    scored = score_toxicity(docs, read_table(spark, sf_dir, "labels"), hash_fold(4, 2), keep=tuple(docs.columns))
-    return scored.filter("predicted = 0").select(*docs.columns)
+    rows = docs.select("doc_id", "text", whole())
+    scored = score_toxicity(rows, read_table(spark, sf_dir, "labels"), hash_fold(4, 2), keep=("whole_row",))
+    return scored.filter("predicted = 0").select("whole_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,37 +33,37 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows without doc_id go if their group has a row with one. Only texts that may go are shuffled.
     """
     small_batches(spark)
-    found = jaccard_components(docs).filter("n_shingles > 0").withColumn("goes", F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = jaccard_components(docs.select("doc_id", "text")).filter("n_shingles > 0").withColumn("goes", F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
     groups = found.groupBy("doc_id", "fingerprint").agg(F.max("goes").alias("goes"), F.count("*").alias("n"))
     odd = stored(groups.filter("goes or (n > 1 and doc_id is not null)").select(F.col("doc_id").alias("odd_id"), F.col("fingerprint").alias("odd_print"), "goes"), "odd-documents")
-    keyed = marked_likely(docs.withColumn("odd_print", F.xxhash64("text")), "odd_print", odd, "odd_print")
+    keyed = marked_likely(docs.select("doc_id", F.xxhash64("text").alias("odd_print"), whole()), "odd_print", odd, "odd_print")
     same = keyed.filter("likely").join(odd.withColumnRenamed("odd_print", "print"), F.col("odd_id").eqNullSafe(F.col("doc_id")) & (F.col("odd_print") == F.col("print")), "left")
-    fine = same.filter("print is null").select(*docs.columns)
-    one = same.filter("print is not null and not goes").dropDuplicates(["doc_id", "odd_print"]).select(*docs.columns)
-    return keyed.filter("not likely").select(*docs.columns).unionByName(fine).unionByName(one)
+    fine = same.filter("print is null").select("whole_row.*")
+    one = same.filter("print is not null and not goes").dropDuplicates(["doc_id", "odd_print"]).select("whole_row.*")
+    return keyed.filter("not likely").select("whole_row.*").unionByName(fine).unionByName(one)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every byte that a repeated 200-byte string covers goes, with what is left of a character that is cut; n_chars follows."""
     small_batches(spark)
-    keyed, cut = remove_repeated(docs)
+    keyed, cut = remove_repeated(docs.select("doc_id", "text", whole()))
     cut = stored(cut.select(F.col("doc").alias("cut_doc"), F.col("fingerprint").alias("cut_print"), F.col("text").alias("cut_text")), "cut")
     keyed = marked_likely(keyed, "fingerprint", cut, "cut_print")
-    text = F.when(F.col("cut_doc").isNull(), F.col("text")).otherwise(F.col("cut_text"))
-    joined = keyed.filter("likely").join(cut, (F.col("doc") == F.col("cut_doc")) & (F.col("fingerprint") == F.col("cut_print")), "left").withColumn("text", text)
-    joined = joined.withColumn("n_chars", F.when(F.col("cut_doc").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return keyed.filter("not likely").select(*docs.columns).unionByName(joined.select(*docs.columns))
+    joined = keyed.filter("likely").join(cut, (F.col("doc") == F.col("cut_doc")) & (F.col("fingerprint") == F.col("cut_print")), "left")
+    kept = F.col("whole_row").withField("text", F.col("cut_text")).withField("n_chars", F.length("cut_text").cast(docs.schema["n_chars"].dataType))
+    joined = joined.select(F.when(F.col("cut_doc").isNull(), F.col("whole_row")).otherwise(kept).alias("whole_row"))
+    return keyed.filter("not likely").select("whole_row.*").unionByName(joined.select("whole_row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window similar to a benchmark item go."""
     small_batches(spark)
-    keyed = docs.withColumn("leak_print", F.xxhash64("text"))
+    keyed = docs.select(F.xxhash64("text").alias("leak_print"), "text", whole())
     found = contaminated(keyed.select(F.col("leak_print").alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
     leaks = stored(found.select(F.col("doc_id").alias("leak_print")).distinct(), "leaks")
-    keyed = marked_likely(keyed, "leak_print", leaks, "leak_print")
+    keyed = marked_likely(keyed.drop("text"), "leak_print", leaks, "leak_print")
     kept = keyed.filter("likely").join(leaks, "leak_print", "left_anti")
-    return keyed.filter("not likely").select(*docs.columns).unionByName(kept.select(*docs.columns))
+    return keyed.filter("not likely").select("whole_row.*").unionByName(kept.select("whole_row.*"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,8 +55,39 @@ def test_stages_in_turn(spark, data):
     assert ids["tokens"] == ids["decontamination"] and after["tokens"].filter("n_tokens > 0").count() >= len(clean)
 
 
-def test_run_applies_all(spark, data):
-    assert C.run(spark, data[0]).columns == ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+def test_run_gives_the_tokens_of_what_the_stages_keep(spark, data):
+    from hashlib import sha256
+
+    from tokenizers import Tokenizer
+
+    from turnlake.llm.bpe_lexicon import default_tokenizer
+
+    folder, _ = data
+    docs = spark.read.parquet(folder + "/documents.parquet")
+    for _, stage in C.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, folder).collect(), docs.schema)
+    library = Tokenizer.from_file(default_tokenizer())
+    packed = lambda text: b"".join(i.to_bytes(4, "little") for i in library.encode(text or "", add_special_tokens=False).ids)
+    found = C.run(spark, folder)
+    assert found.columns == ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    got = sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in found.collect())
+    assert got == sorted((r.doc_id, len(packed(r.text)) // 4, sha256(packed(r.text)).hexdigest(), sha256((r.text or "").encode()).hexdigest()) for r in docs.collect())
+
+
+CLASHING = ("odd_print", "leak_print", "doc", "likely", "fingerprint", "score", "held_out", "predicted", "whole_row", "cut_text", "print", "goes")
+
+
+def test_columns_of_any_name_and_very_long_texts_stay(spark, data):
+    folder, passage = data
+    docs = spark.read.parquet(folder + "/documents.parquet")
+    long = words(77, 150_000)
+    docs = docs.unionByName(table(spark, [(90, long), (91, passage + " " + long), (92, "abc" * 200_000)]))
+    plain, named = docs, docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in CLASHING})
+    for name, stage in C.STAGES[:-1]:
+        plain, named = (spark.createDataFrame(stage(spark, df, folder).collect(), df.schema) for df in (plain, named))
+        assert sorted(map(str, plain.collect())) == sorted(map(str, named.drop(*CLASHING).collect())), name
+        assert named.filter(" or ".join(f"`{c}` <> concat('{c}', doc_id)" for c in CLASHING)).count() == 0
+    assert 92 in {r.doc_id for r in plain.collect()}
 
 
 def test_empty_and_null_tables(spark, data):

@@ -225,8 +225,8 @@ def _refined(runs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """(byte ranges of the runs that repeat as a whole, runs to refine further with their witnesses)."""
     classes = stored(
         runs.groupBy("bucket", "run").agg(
-            F.count("*").alias("n"), F.min("witness").alias("witness"), F.min("doc").alias("doc"), F.min_by("fingerprint", "doc").alias("fingerprint"), F.min_by("at", "doc").alias("at"), F.first("left").alias("left"), F.first("right").alias("right")
-        ),
+            F.count("*").alias("n"), F.min("witness").alias("witness"), F.min(F.struct("doc", "fingerprint", "at", "left", "right")).alias("one")  # of one row, whatever ties
+        ).select("bucket", "run", "n", "witness", "one.*"),
         name,
     )
     several = classes.filter("n > 1").select("bucket", "run")
