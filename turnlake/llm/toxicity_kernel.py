@@ -51,13 +51,9 @@ WIDE = 4
 
 def _symbol_table() -> np.ndarray:
     """Code point to symbol: letters are themselves, look-alike digits letters, white space a boundary, all else dropped."""
-    codes = np.full(0x110000, DROPPED, np.uint32)
-    for cp in range(0x110000):
-        ch = chr(cp)
-        if ch.isalpha():
-            codes[cp] = cp
-        elif ch.isspace():
-            codes[cp] = BOUNDARY
+    every = np.arange(0x110000, dtype=np.uint32)
+    letters = every.view("U1")
+    codes = np.where(np.strings.isalpha(letters), every, np.where(np.strings.isspace(letters), np.uint32(BOUNDARY), np.uint32(DROPPED)))
     for digit, letter in zip("013457@", "oieasta", strict=True):
         codes[ord(digit)] = ord(letter)
     return codes
@@ -201,17 +197,12 @@ def norms(n: int, word: np.ndarray, key: np.ndarray, value: np.ndarray) -> np.nd
     """The root of the kernel of each of ``n`` words with itself."""
     square = np.bincount(word, value * value, n)
     own = mix(key + word.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))  # a word and a subsequence of it
-    rising = np.sort(own)
-    twice = np.unique(rising[1:][rising[1:] == rising[:-1]])
-    if len(twice):  # values of those that a word has more than once add up before the square
-        likely = np.zeros(1 << 16, bool)
-        likely[(twice & np.uint64(0xFFFF)).astype(np.int64)] = True
-        at = np.flatnonzero(likely[(own & np.uint64(0xFFFF)).astype(np.int64)])
-        place = np.minimum(np.searchsorted(twice, own[at]), len(twice) - 1)
-        at, place = at[twice[place] == own[at]], place[twice[place] == own[at]]
-        whose = np.zeros(len(twice), np.int64)
-        whose[place] = word[at]
-        square += np.bincount(whose, np.bincount(place, value[at], len(twice)) ** 2, n) - np.bincount(word[at], value[at] ** 2, n)
+    slot = (own >> np.uint64(44)).astype(np.int64)
+    at = np.flatnonzero((np.bincount(slot, minlength=1 << 20) > 1)[slot])  # all that a word has more than once, and a few others
+    if len(at):  # their values add up before the square
+        order = np.argsort(own[at])
+        at, edge = at[order], np.flatnonzero(np.diff(own[at[order]], prepend=own[at[order[0]]] + np.uint64(1)))
+        square += np.bincount(word[at[edge]], np.add.reduceat(value[at], edge) ** 2, n) - np.bincount(word[at], value[at] ** 2, n)
     return np.sqrt(np.where(square > 0, square, 1.0))
 
 
