@@ -80,15 +80,20 @@ def sectionize(lines: DataFrame, lead_title: str = "前言") -> DataFrame:
     )
 
 
-def _matches(title: Column, patterns: Sequence[str]) -> Column:
+def _matches(title: Column, patterns: Sequence[str] | Column) -> Column:
+    if isinstance(patterns, Column):
+        return F.coalesce(F.exists(patterns, lambda p: F.contains(title, p)), F.lit(False))
     return reduce(lambda a, p: a | F.contains(title, F.lit(p)), patterns, F.lit(False))
 
 
-def classify_section(title: Column, parents: Column, keep: Sequence[str] = (), drop: Sequence[str] = (), scenario: Sequence[str] = (), reference: Sequence[str] = (), default_kind: str | None = "reference") -> Column:
-    """Struct (keep, reason, kind): drop before keep before scenario (inherited too) before reference before the default kind."""
+def classify_section(title: Column, parents: Column, keep: Sequence[str] | Column = (), drop: Sequence[str] | Column = (), scenario: Sequence[str] = (), reference: Sequence[str] = (), default_kind: str | Column | None = "reference") -> Column:
+    """Struct (keep, reason, kind): drop before keep before scenario (inherited too) before reference before the default kind.
+
+    ``keep`` and ``drop`` may be array columns, of which an empty one keeps all or drops nothing.
+    """
     up = lambda patterns: _matches(title, patterns) | F.exists(parents, lambda p: _matches(p, patterns))
-    kept = up(keep) if keep else F.lit(True)
-    kind = F.when(up(scenario), "scenario").when(up(reference), "reference").otherwise(F.lit(default_kind))
+    kept = (F.size(keep) <= 0) | up(keep) if isinstance(keep, Column) else up(keep) if keep else F.lit(True)
+    kind = F.when(up(scenario), "scenario").when(up(reference), "reference").otherwise(default_kind if isinstance(default_kind, Column) else F.lit(default_kind))
     reason = F.when(_matches(title, drop), "drop_section").when(~kept, "not_in_keep_sections").when(kind.isNull(), "no_kind_rule").otherwise("kept")
     return F.struct((reason == "kept").alias("keep"), reason.alias("reason"), F.when(reason == "kept", kind).alias("kind"))
 
@@ -131,20 +136,28 @@ def split_windows(text: Column, size: int = 90, limit: int = 8) -> Column:
     return F.slice(_fold(sentences, size, ""), 1, limit)
 
 
-def pack_chunks(sections: DataFrame, max_chars: int = 600) -> DataFrame:
+def pack_chunks(sections: DataFrame, max_chars: int | Column = 600) -> DataFrame:
     """(doc_id, start, ord, page, text): the blocks of each section packed greedily; a page change starts a chunk, a chunk that
     is too long is cut after sentences. ``sections`` are rows of ``sectionize``. Each section folds alone, in its own row."""
     pages = F.transform(F.array_distinct(F.transform("b", lambda x: x["page"])), lambda p: F.struct(p.alias("page"), F.filter("b", lambda x: x["page"].eqNullSafe(p)).alias("b")))
-    runs = sections.select("doc_id", "start", F.posexplode(pages).alias("n", "run"))
+    size = max_chars if isinstance(max_chars, Column) else F.lit(max_chars)
+    runs = sections.select("doc_id", "start", size.alias("size"), F.posexplode(pages).alias("n", "run"))
+    max_chars = F.col("size")
     pieces = F.flatten(F.transform(F.col("run.b"), lambda x: F.when(F.length(x["text"]) > max_chars, _fold(F.filter(F.split(x["text"], SENTENCE_END), lambda s: s != ""), max_chars, "")).otherwise(F.array(x["text"]))))
     packed = runs.select("doc_id", "start", "n", F.col("run.page").alias("page"), F.posexplode(_fold(pieces, max_chars, " ")).alias("m", "text"))
     w = Window.partitionBy("doc_id").orderBy("start", "n", "m")
     return packed.select("doc_id", "start", (F.row_number().over(w) - 1).alias("ord"), "page", "text")
 
 
-def chunk_corpus(lines: DataFrame, keep: Sequence[str] = (), drop: Sequence[str] = (), scenario: Sequence[str] = (), reference: Sequence[str] = (), default_kind: str | None = "reference", min_chars: int = 40, max_chars: int = 600) -> tuple[DataFrame, DataFrame]:
-    """(chunks, dropped): sections that pass the rules as chunks (doc_id, ord, page, kind, section_path, text), the others with their reason."""
-    sections = sectionize(lines).withColumn("c", classify_section(F.col("title"), F.col("parents"), keep, drop, scenario, reference, default_kind))
+def chunk_corpus(lines: DataFrame, keep: Sequence[str] | Column = (), drop: Sequence[str] | Column = (), scenario: Sequence[str] = (), reference: Sequence[str] = (), default_kind: str | Column | None = "reference", min_chars: int | Column = 40, max_chars: int | Column = 600, settings: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(chunks, dropped): sections that pass the rules as chunks (doc_id, ord, page, kind, section_path, text), the others with their reason.
+
+    Rules may be columns of ``settings`` (doc_id, ...), a row for each document, so documents of any number of profiles are one job.
+    """
+    sections = sectionize(lines)
+    if settings is not None:
+        sections = sections.join(settings, "doc_id")
+    sections = sections.withColumn("c", classify_section(F.col("title"), F.col("parents"), keep, drop, scenario, reference, default_kind))
     reason = F.when(~F.col("c.keep"), F.col("c.reason")).when(F.length("body") < min_chars, "too_short")
     judged = sections.withColumn("reason", reason)
     kept = judged.filter("reason is null")
@@ -153,9 +166,10 @@ def chunk_corpus(lines: DataFrame, keep: Sequence[str] = (), drop: Sequence[str]
     return chunks, judged.filter("reason is not null").select("doc_id", "section_path", "reason", F.length("body").alias("chars"))
 
 
-def citation(section_path: Column, page: Column, label: str) -> Column:
+def citation(section_path: Column, page: Column, label: str | Column) -> Column:
+    label = label if isinstance(label, Column) else F.lit(label)
     leaf = F.element_at(F.split(section_path, PATH_JOINT), -1)
-    return F.concat(F.lit(label), F.when(page > 0, F.concat(F.lit(" p"), page)).otherwise(F.lit("")), F.lit(PATH_JOINT), leaf)
+    return F.concat(label, F.when(page > 0, F.concat(F.lit(" p"), page)).otherwise(F.lit("")), F.lit(PATH_JOINT), leaf)
 
 
 def needs_import(docs: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -177,8 +191,8 @@ def import_corpus(docs: DataFrame, profiles: DataFrame, catalog: DataFrame, chun
     """(catalog, chunks, report) after an import of ``docs`` (doc_id, path, sha256, text).
 
     ``report`` has a status for each document: refused without a profile, skipped if the catalog has it as it is (unless
-    ``force``), else imported. ``profiles`` are rows of ``read_profiles`` with ``ord``, a short list: its rows are collected,
-    and each cleans and chunks its own documents. ``embed`` adds the vectors of ``text`` to new chunks. Chunks and catalog
+    ``force``), else imported. ``profiles`` are rows of ``read_profiles`` with ``ord``; a document carries the settings of its own as
+    columns, so all are read and chunked in one job. ``embed`` adds the vectors of ``text`` to new chunks. Chunks and catalog
     keep the columns that they have; new chunks offer doc_id, ord, chunk_id, page, kind, section_path, text, source_id,
     windows, hits, embedding.
     """
@@ -187,17 +201,13 @@ def import_corpus(docs: DataFrame, profiles: DataFrame, catalog: DataFrame, chun
     known = placed.select("doc_id", "profile", "refused").join(stale, "doc_id", "left")
     report = known.select("doc_id", "profile", F.when(F.col("refused"), "refused").when(F.lit(force) | F.col("stale"), "imported").otherwise("skipped").alias("status"))
     new = docs.join(report.filter("status = 'imported'").select("doc_id", "profile"), "doc_id")
-    lines = new.select("doc_id", "profile", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    found = None
-    for p in profiles.orderBy("ord").collect():
-        made, _ = chunk_corpus(
-            lines.filter(F.col("profile") == p["ord"]).drop("profile"), p["keep_sections"], p["drop_sections"], default_kind=p["default_kind"], min_chars=p["min_chars"], max_chars=p["max_chars"],
-        )
-        made = made.withColumn("source_id", citation(F.col("section_path"), F.col("page"), p["doc"]))
-        found = made if found is None else found.unionByName(made)
+    lines = new.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    profile = profiles.select(F.col("ord").alias("profile"), F.col("doc").alias("label"), "keep_sections", "drop_sections", "min_chars", "max_chars", "default_kind")
+    settings = new.select("doc_id", "profile").join(profile, "profile").drop("profile")
+    of = F.col
+    found, _ = chunk_corpus(lines, of("keep_sections"), of("drop_sections"), default_kind=of("default_kind"), min_chars=of("min_chars"), max_chars=of("max_chars"), settings=settings)
+    found = found.join(settings.select("doc_id", "label"), "doc_id").withColumn("source_id", citation(of("section_path"), of("page"), of("label"))).drop("label")
     report = report.select("doc_id", "status")
-    if found is None:
-        return catalog, chunks, report
     found = found.withColumn("windows", split_windows(F.col("text")))
     if embed is not None:
         found = embed(found)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
@@ -476,15 +477,27 @@ class _OwnMemories:
         self.by_text: dict[str, list[int]] = {}
         self.by_key: dict[str, list[int]] = {}
         self.changed: dict[int, str] = {}
+        #: Places of rows with a vector, newest first; kept in order, so a proposal looks at the first few only.
+        self.recent: list[tuple[int, int]] = []
 
     def add(self, row: dict) -> int:
         at = len(self.rows)
-        self.rows.append(row | {"unit": _unit(row["embedding"])})
+        self.rows.append(row | {"unit": None})
+        self._embed(at, row["embedding"])
         self.by_text.setdefault(row["text"], []).append(at)
         if row["slot_key"]:
             self.by_key.setdefault(row["slot_key"], []).append(at)
         return at
 
+    def _embed(self, at: int, vector) -> None:
+        row, unit = self.rows[at], _unit(vector)
+        place = (-row["created_at"], at)
+        if row["unit"] is None and unit is not None:
+            insort(self.recent, place)
+        elif row["unit"] is not None and unit is None:
+            del self.recent[bisect_left(self.recent, place)]
+        row |= {"embedding": vector, "unit": unit}
+
     def _with(self, index: dict, column: str, value) -> list[int]:
         return sorted({i for i in index.get(value, ()) if self.rows[i][column] == value}) if value else []
 
@@ -492,8 +505,7 @@ class _OwnMemories:
         """Rows whose probe is about the same, among the newest that have a vector, newest first."""
         if vector is None or self.s.merge_similarity > 1:
             return []
-        some = sorted((i for i, r in enumerate(self.rows) if r["unit"] is not None), key=lambda i: (-self.rows[i]["created_at"], i))[: self.newest]
-        return [i for i in some if len(self.rows[i]["unit"]) == len(vector) and float(self.rows[i]["unit"] @ vector) >= self.s.merge_similarity]
+        return [i for _, i in self.recent[: self.newest] if len(self.rows[i]["unit"]) == len(vector) and float(self.rows[i]["unit"] @ vector) >= self.s.merge_similarity]
 
     def _same_fact(self, p: dict, i: int) -> bool:
         a, b = _unit(p.get("statement_vec")), _unit(self.rows[i].get("statement_vec"))
@@ -524,7 +536,7 @@ class _OwnMemories:
         verified = bool(row["approved"]) and not p["approved"]
         if not verified:
             if p["embedding"] is not None or p["probe"] != row["probe"]:
-                row |= {"embedding": p["embedding"], "unit": _unit(p["embedding"])}
+                self._embed(at, p["embedding"])
             row |= {"text": p["text"], "probe": p["probe"], "statement_vec": p.get("statement_vec")}
             self.by_text.setdefault(p["text"], []).append(at)
         if p["slot_key"]:

@@ -34,9 +34,9 @@ def next_tier(spark, sf):
     return view(spark, sf, "memory").select("chunk_id", M.next_tier(F.col("tier"), M.effective_score(NOW)).alias("tier"))
 
 
-@query("p06_list_memories", duck(f"SELECT chunk_id, tier, round({_SCORE}, 4) AS score FROM memory WHERE active AND owner_user_id = 3", "memory"))
+@query("p06_list_memories", duck(f"SELECT chunk_id, tier, round({_SCORE}, 4) AS score FROM memory WHERE active", "memory"))
 def list_memories(spark, sf):
-    return M.list_memories(view(spark, sf, "memory"), NOW, 3).select("chunk_id", "tier", "score")
+    return M.list_memories(view(spark, sf, "memory"), NOW).select("chunk_id", "tier", "score")
 
 
 @query("a07_tier_counts", duck("SELECT t AS tier, count(chunk_id) AS n FROM (VALUES ('slot'), ('hot'), ('cold')) v(t) LEFT JOIN memory ON tier = t AND active GROUP BY t", "memory"))
