@@ -16,7 +16,8 @@ def _linked_to_least(edges: DataFrame, larger_only: bool) -> DataFrame:
     if larger_only:
         both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).toDF("node", "other")
         least = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("least"))
-        moved = both.filter("other > node").join(least, "node").select(F.col("other").alias("a"), F.col("least").alias("b"))
+        # repeated edges stay until the small-star, whose minima they do not change
+        return both.filter("other > node").join(least, "node").select(F.col("other").alias("a"), F.col("least").alias("b")).filter("a <> b")
     else:
         down = edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("other"))
         least = down.groupBy("node").agg(F.min("other").alias("least"))
