@@ -274,12 +274,14 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 10, tree_rows: int = TR
     shared, blocks = context.broadcast(top), max(1, math.ceil(asked / block))
     sizes = spark.createDataFrame([(i, int(n)) for i, n in enumerate(top.parts) if n], "pivot long, parts long")
     trees = near.join(F.broadcast(sizes), "pivot").select("v", "ids", "pivot", F.pmod(F.xxhash64("v", F.lit(7)), F.col("parts")).alias("part"))
-    trees = trees.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     by = ["pivot", "part", "block"]
 
     def search(waiting: DataFrame, first: bool) -> DataFrame:
         given = waiting.mapInArrow(in_turn("vectors", _asked(shared, width, first)), ASKED).withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(5)), F.lit(blocks)))
-        found = trees.groupBy(*by).cogroup(given.groupBy(*by)).applyInArrow(_search_block(k, largest, width), FOUND)
+        given = stored(given, "asked")
+        # a tree goes to the blocks of queries that ask for it, and to no others
+        sent = trees.join(given.select(*by).distinct(), ["pivot", "part"])
+        found = sent.groupBy(*by).cogroup(given.groupBy(*by)).applyInArrow(_search_block(k, largest, width), FOUND)
         return stored(found, "nearest" if first else "others")
 
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
