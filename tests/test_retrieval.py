@@ -49,8 +49,8 @@ def test_all_chunks_of_whole_documents_are_ranked(spark):
     for doc, text in docs[:32]:
         assert "".join(t for _, t in sorted({r for r in rows if r[0] >> 23 == doc})) == text
     q = spark.createDataFrame(questions, "query_id long, question string")
-    for block in (2, 256):
-        got = sorted((r.query_id, r.chunk_id, round(r.score, 9), r["rank"]) for r in R.rank_all(q, chunks, 5, block).collect())
+    for block, at_once in ((2, 4096), (256, 4096), (256, 2)):
+        got = sorted((r.query_id, r.chunk_id, round(r.score, 9), r["rank"]) for r in R.rank_all(q, chunks, 5, block, at_once).collect())
         assert got == brute(questions, rows, 5)
     assert next(c >> 23 for n, c, _, place in got if n == 1 and place == 1) == 30
     assert R.rank_all(q.limit(0), chunks).count() == 0 and R.rank_all(q, chunks.limit(0)).count() == 0

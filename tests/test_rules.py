@@ -292,3 +292,15 @@ def test_each_question_has_its_vector_and_tiers_their_floors(spark):
     assert (report[1].tier_reached, report[2].tier_reached) == ("slot", "slot") and abs(report[1].cold_best - 0.71) < 1e-6
     found, report = recalled(spark, rows, [(1, 7, "nothing, second one", "accepted"), (2, 7, "second one", "unknown")])
     assert found == [(1, "matched", 4, "hot")] and (report[1].tier_reached, report[2].tier_reached, report[2].hot_best) == ("hot", "cold", 0.0)
+
+
+def test_sample_rows_say_what_arrays_say(spark):
+    rng = random.Random(8)
+    sessions = {k: [rng.choice((-32768, 32760, 0, 5, -5, 200, -200)) for _ in range(n)] for k, n in ((1, 1), (2, 50), (3, 900), (4, 3))}
+    rows = spark.createDataFrame([(k, i * 3, x) for k, own in sessions.items() for i, x in enumerate(own)] + [(2, 10_000, None)], "session_id long, arrival long, sample int").repartition(4)
+    arrays = spark.createDataFrame(list(sessions.items()), "session_id long, pcm array<int>")
+    quality = {r.session_id: (r.q.clipping, round(r.q.rms, 6), r.q.duration, r.q.fault) for r in arrays.select("session_id", D.audio_quality(F.col("pcm"), F.lit(20)).alias("q")).collect()}
+    assert {r.session_id: (r.clipping, round(r.rms, 6), r.duration, r.fault) for r in V.sample_quality(rows, 20).collect()} == quality
+    features = {r.session_id: tuple(round(x, 9) for x in r.q) for r in arrays.select("session_id", D.acoustic_features(F.col("pcm")).alias("q")).collect()}
+    for span in (4096, 10):
+        assert {r.session_id: tuple(round(x, 9) for x in (r["mean"], r["rms"], r["zero_crossing_rate"])) for r in V.sample_features(rows, span).collect()} == features

@@ -133,3 +133,30 @@ def standby_sessions(events: DataFrame, voice: Column, gap: int) -> DataFrame:
     new = F.when(F.col("created_at") - F.lag("created_at").over(w) < gap, 0).otherwise(1)
     runs = spoken.withColumn("new", new).withColumn("run", F.sum("new").over(w))
     return runs.groupBy("device_id", "run").agg(F.min("created_at").alias("started_at"), F.max("created_at").alias("ended_at"), F.count("*").alias("n")).drop("run")
+
+
+def sample_quality(samples: DataFrame, rate: float, seconds: float = 3.0) -> DataFrame:
+    """(session_id, clipping, rms, duration, fault) of sessions' 16-bit samples, one to a row (session_id, sample): what ``audio_quality``
+    says of them as an array, by sums that combine before the shuffle. Null samples are no samples."""
+    x = F.col("sample").cast("double")
+    sums = samples.filter("sample is not null").groupBy("session_id").agg(F.count("*").alias("n"), F.count_if(F.abs(x) >= 32760).alias("clipped"), F.sum(x * x).alias("square"))
+    out = sums.select("session_id", (F.col("clipped") / F.col("n")).alias("clipping"), F.sqrt(F.col("square") / F.col("n")).alias("rms"), (F.col("n") / rate).alias("duration"))
+    return out.withColumn("fault", F.when(F.col("duration") < seconds, "too_short").when(F.col("clipping") > 0.01, "clipped").when(F.col("rms") < 150, "too_quiet"))
+
+
+def sample_features(samples: DataFrame, span: int = 4096) -> DataFrame:
+    """(session_id, mean, rms, zero_crossing_rate) of samples (session_id, arrival, sample), as ``acoustic_features`` has them.
+
+    Sign changes are counted within spans of ``span`` arrivals; then only the spans' ends, a row for each, meet in order. So no task holds
+    a session, however long. ``arrival`` is a number that orders the samples of a session.
+    """
+    x, negative = F.col("sample").cast("double"), F.col("sample") < 0
+    part = ["session_id", "part"]
+    rows = samples.filter("sample is not null").withColumn("part", F.floor(F.col("arrival") / span))
+    before = F.lag(negative).over(Window.partitionBy(*part).orderBy("arrival"))
+    ends = rows.withColumn("turned", F.coalesce((before != negative).cast("int"), F.lit(0))).groupBy(*part).agg(
+        F.count("*").alias("n"), F.sum(x).alias("sum"), F.sum(x * x).alias("square"), F.sum("turned").alias("turned"), F.min_by(negative, "arrival").alias("first"), F.max_by(negative, "arrival").alias("last")
+    )
+    across = F.coalesce((F.lag("last").over(Window.partitionBy("session_id").orderBy("part")) != F.col("first")).cast("int"), F.lit(0))
+    sums = ends.withColumn("across", across).groupBy("session_id").agg(F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.sum("square").alias("square"), F.sum(F.col("turned") + F.col("across")).alias("turned"))
+    return sums.select("session_id", (F.col("sum") / F.col("n")).alias("mean"), F.sqrt(F.col("square") / F.col("n")).alias("rms"), (F.col("turned") / F.col("n")).alias("zero_crossing_rate"))

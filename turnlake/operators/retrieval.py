@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import MAX_QUERIES, lexical_terms, split_queries, term_jaccard
+from ..session import scratch
 from .blocks import best_in_rows, made, matrix, scored_in_blocks, widest
 
 
@@ -146,27 +148,43 @@ def _best_chunks(shared, k: int, cells: int = 1 << 22):
     return best
 
 
-def rank_all(questions: DataFrame, chunks: DataFrame, k: int = 20, block: int = 256) -> DataFrame:
+def rank_all(questions: DataFrame, chunks: DataFrame, k: int = 20, block: int = 256, at_once: int = 4096) -> DataFrame:
     """What ``rank`` gives, over chunks of any number: each task scores its chunks against all questions by matrix products and keeps the best ``k``.
 
-    The stated questions go to every task; neither chunks, terms nor pairs are shuffled, only each task's best. No term is
-    left out for being common. Ids are longs; rows without one are not ranked.
+    About ``at_once`` of the stated questions go to every task; more are asked in passes over the chunks, each written before the
+    next, so what is at the driver and sent to tasks is bounded. Neither chunks, terms nor pairs are shuffled, only each task's
+    best. No term is left out for being common. Ids are longs; rows without one are not ranked.
     """
     spark = chunks.sparkSession
     parts = questions.filter("query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), F.explode(split_queries(F.col("question"))).alias("sub"))
-    rows = parts.select("query_id", lexical_terms(F.col("sub")).alias("terms")).filter(F.size("terms") > 0).collect()
-    ids = sorted({r["query_id"] for r in rows})
-    empty = "query_id long, chunk_id long, score double"
-    if not ids:
-        return spark.createDataFrame([], empty + ", rank int")
-    which = {q: i // block for i, q in enumerate(ids)}
-    blocks = [_Asked([r for r in rows if which[r["query_id"]] == n]) for n in range(which[ids[-1]] + 1)]
+    asked = parts.select("query_id", lexical_terms(F.col("sub")).alias("terms")).filter(F.size("terms") > 0)
     terms = chunks.filter("chunk_id is not null").select(F.col("chunk_id").cast("long"), lexical_terms(F.coalesce("text", F.lit(""))).alias("terms"))
-    best = terms.mapInArrow(_best_chunks(spark.sparkContext.broadcast(blocks), k), empty).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+    passes = max(1, math.ceil(asked.select("query_id").distinct().count() / at_once))
+    if passes == 1:
+        best = _best_of(asked.collect(), terms, k, block)
+    else:
+        folder = scratch(spark, "ranked")
+        for n in range(passes):
+            some = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == n).collect()
+            _best_of(some, terms, k, block).write.parquet(f"{folder}/{n}")
+        best = spark.read.schema(BEST).parquet(*(f"{folder}/{n}" for n in range(passes)))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+BEST = "query_id long, chunk_id long, score double"
+
+
+def _best_of(rows: list, terms: DataFrame, k: int, block: int) -> DataFrame:
+    """Each task's best chunks of some questions (rows of query_id, terms), a chunk once."""
+    spark, ids = terms.sparkSession, sorted({r["query_id"] for r in rows})
+    if not ids:
+        return spark.createDataFrame([], BEST)
+    which = {q: i // block for i, q in enumerate(ids)}
+    blocks = [_Asked([r for r in rows if which[r["query_id"]] == n]) for n in range(which[ids[-1]] + 1)]
+    return terms.mapInArrow(_best_chunks(spark.sparkContext.broadcast(blocks), k), BEST).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+
+
 def judge_cases(cases: DataFrame, expected: DataFrame, ranked: DataFrame, served: DataFrame, reranked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows for ``calibration_gate``: one for each case, and one for each case and document that it expects.
 

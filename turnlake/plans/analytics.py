@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..operators import analytics as A
-from .base import query
+from ..session import scratch
+from ..sources.store import KeyedTable, insert_rows
+from .base import ORACLE_SQL, query
 from .fixtures import NOW, duck, view
 
 #: Lexicons that the test texts hold.
@@ -91,6 +93,19 @@ def persist_turns(spark, sf):
     return out
 
 
+@query("r12_persist_stored", ORACLE_SQL["r12_persist_turns"])
+def persist_stored(spark, sf):
+    """Turns in stored tables, half of them delivered twice: a turn is kept once."""
+    turns, out = labelled(spark, sf), None
+    for name, rows in A.persist_turns(turns).items():
+        kept = KeyedTable(scratch(spark, name), rows.schema, ["conversation_id"], 16)
+        for part in (rows.filter("conversation_id % 2 = 0"), rows):
+            kept.merge(part, insert_rows("conversation_id"))
+        row = kept.read(spark).agg(F.count("*").alias("n")).select(F.lit(name).alias("target"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("a02_dashboard_summary", duck(f"WITH {_LABELLED}, {_DEVICES}, s AS (SELECT *, CASE WHEN greatest({NOW} - last_seen, 0) < 3600 THEN 'online' WHEN greatest({NOW} - last_seen, 0) <= 86400 THEN 'stale' ELSE 'offline' END AS status FROM devices) SELECT (SELECT count(*) FROM labelled) AS conversation_count, (SELECT count(DISTINCT user_id) FROM labelled) AS active_user_count, (SELECT count(*) FROM labelled WHERE emotion='positive') AS n_positive, (SELECT count(*) FROM labelled WHERE emotion='neutral') AS n_neutral, (SELECT count(*) FROM labelled WHERE emotion='negative') AS n_negative, (SELECT CAST(round_even(avg(latency_ms), 0) AS BIGINT) FROM analysis) AS average_latency_ms, count(*) FILTER (status='online') AS n_online, count(*) FILTER (status='stale') AS n_stale, count(*) FILTER (status='offline') AS n_offline, bool_or(is_simulator) AS simulator_mode FROM s", "turns", "analysis", "heartbeats"))
 def dashboard_summary(spark, sf):
     return A.dashboard_summary(labelled(spark, sf), view(spark, sf, "analysis"), devices(spark, sf), NOW, 3600, 86400)

@@ -9,9 +9,11 @@ from ..functions import dialogue as D
 from ..functions import hooks as H
 from ..functions.tables import register_tables
 from ..operators import corpus as C
+from ..operators import devices as V
 from ..operators.retrieval import export_matrix
 from ..session import scratch, table
 from ..sources import tables as S
+from ..sources.store import KeyedTable, delete_groups, replace_groups
 from .base import query
 from .fixtures import duck, view
 
@@ -263,6 +265,18 @@ def replace_document(spark, sf):
     return docs.join(rows, "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), "calibration_status", "chunk_id")
 
 
+@query("s09_replace_stored", duck("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE i END AS ord, CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE 'old' END AS text FROM documents, (SELECT unnest(range(3)) AS i) WHERE (doc_id % 4 = 0 AND i = 0) OR (doc_id % 4 <> 0 AND doc_id % 7 <> 1)"))
+def replace_stored(spark, sf):
+    """Chunks in a stored table: an import, documents imported again, others deleted; only their partitions are written."""
+    ids = table(spark, sf, "documents").select("doc_id")
+    old = ids.select("doc_id", F.explode(F.array(*map(F.lit, range(3)))).alias("ord"), F.lit("old").alias("text"))
+    stored = KeyedTable(scratch(spark, "chunks"), old.schema, ["doc_id"], 16)
+    stored.merge(old, replace_groups("doc_id"))
+    stored.merge(ids.filter("doc_id % 4 = 0").select("doc_id", F.lit(0).alias("ord"), F.lit("new").alias("text")), replace_groups("doc_id"))
+    stored.merge(ids.filter("doc_id % 7 = 1 and doc_id % 4 <> 0"), delete_groups("doc_id"))
+    return stored.read(spark)
+
+
 @query("s10_delete_document", duck(f"WITH {_CATALOG} SELECT doc_id FROM c WHERE doc_id % 7 <> 0"))
 def delete_document(spark, sf):
     _, c = catalog(spark, sf)
@@ -322,16 +336,18 @@ def language_code(spark, sf):
 
 @query("f36_audio_quality", duck("WITH s AS (SELECT session_id, list(CAST(round(rms * 10 * CASE WHEN arrival % 2 = 0 THEN 1 ELSE -1 END) AS INT) ORDER BY arrival) AS pcm FROM frames GROUP BY 1) SELECT session_id, round(sqrt(list_sum(list_transform(pcm, lambda x: CAST(x AS DOUBLE) * x)) / len(pcm)), 4) AS rms, CASE WHEN len(pcm) / 20.0 < 3 THEN 'too_short' END AS fault FROM s", "frames"))
 def audio_quality(spark, sf):
-    sample = F.round(F.col("rms") * 10 * F.when(F.col("arrival") % 2 == 0, 1).otherwise(-1)).cast("int")
-    s = view(spark, sf, "frames").groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("arrival", sample.alias("x")))).alias("p")).withColumn("pcm", F.transform("p", lambda v: v["x"]))
-    return s.withColumn("q", D.audio_quality(F.col("pcm"), F.lit(20))).select("session_id", F.round("q.rms", 4).alias("rms"), "q.fault")
+    return V.sample_quality(samples(spark, sf, 2), 20).select("session_id", F.round("rms", 4).alias("rms"), "fault")
 
 
 @query("f37_acoustic_features", duck("WITH s AS (SELECT session_id, list(CAST(round(rms * 10 * CASE WHEN arrival % 3 = 0 THEN 1 ELSE -1 END) AS INT) ORDER BY arrival) AS pcm FROM frames GROUP BY 1) SELECT session_id, round(list_sum(pcm) / len(pcm), 4) AS mean, round(len(list_filter(range(1, len(pcm)), lambda i: (pcm[i] < 0) <> (pcm[i + 1] < 0))) / len(pcm), 6) AS zero_crossing_rate FROM s", "frames"))
 def acoustic_features(spark, sf):
-    sample = F.round(F.col("rms") * 10 * F.when(F.col("arrival") % 3 == 0, 1).otherwise(-1)).cast("int")
-    s = view(spark, sf, "frames").groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("arrival", sample.alias("x")))).alias("p")).withColumn("pcm", F.transform("p", lambda v: v["x"]))
-    return s.withColumn("q", D.acoustic_features(F.col("pcm"))).select("session_id", F.round("q.mean", 4).alias("mean"), F.round("q.zero_crossing_rate", 6).alias("zero_crossing_rate"))
+    return V.sample_features(samples(spark, sf, 3)).select("session_id", F.round("mean", 4).alias("mean"), F.round("zero_crossing_rate", 6).alias("zero_crossing_rate"))
+
+
+def samples(spark, sf, turn):
+    """Frames' levels as samples, every ``turn``-th above zero."""
+    sample = F.round(F.col("rms") * 10 * F.when(F.col("arrival") % turn == 0, 1).otherwise(-1)).cast("int")
+    return view(spark, sf, "frames").select("session_id", "arrival", sample.alias("sample"))
 
 
 _SAID = ("音量調到六十", "把亮度设为100%", "声音小一点", "屏幕调成夜间模式", "volume 35", "喇叭百分之三十到", "亮度最大", "聲音好像有問題", "音量一百二十到")

@@ -8,8 +8,11 @@ from pyspark.sql import types as T
 from ..operators import governance as G
 from ..operators import identity as I
 from ..operators import upsert as U
+from ..session import scratch
+from ..sources import store as W
 from ..sources import tables as S
-from .base import query
+from ..sources.store import KeyedTable
+from .base import ORACLE_SQL, query
 from .fixtures import NOW, duck, view
 
 _COS = "round(list_cosine_similarity(CAST(p.embedding AS DOUBLE[]), CAST(t.embedding AS DOUBLE[])), 6)"
@@ -177,10 +180,54 @@ def insert_or_replace(spark, sf):
 
 @query("m05_profile_patch", duck(f"SELECT user_id, CASE WHEN user_id % 3 = 0 THEN 'renamed' ELSE display_name END AS display_name, CASE WHEN user_id % 4 = 0 THEN 'disabled' ELSE status END AS status, CASE WHEN user_id % 5 = 0 THEN 40 ELSE 30 END AS age_at_registration, CASE WHEN user_id % 5 = 0 THEN {NOW} ELSE created_at END AS age_recorded_at FROM users_v", "users_v"))
 def profile_patch(spark, sf):
+    return U.profile_patch(*patched(spark, sf), NOW)
+
+
+def patched(spark, sf):
     u, i = view(spark, sf, "users_v"), F.col("user_id")
     u = u.select("user_id", "display_name", "status", F.lit(30).alias("age_at_registration"), F.col("created_at").alias("age_recorded_at"))
-    patches = u.select("user_id", F.when(i % 3 == 0, "renamed").alias("new_name"), F.when(i % 4 == 0, "disabled").when(i % 4 == 1, "bogus").alias("new_status"), F.when(i % 5 == 0, 40).when(i % 5 == 1, 30).alias("new_age"))
-    return U.profile_patch(u, patches, NOW)
+    return u, u.select("user_id", F.when(i % 3 == 0, "renamed").alias("new_name"), F.when(i % 4 == 0, "disabled").when(i % 4 == 1, "bogus").alias("new_status"), F.when(i % 5 == 0, 40).when(i % 5 == 1, 30).alias("new_age"))
+
+
+def stored(spark, old, keys, *merges):
+    """What a stored table holds after it was filled with ``old`` and each of the ``merges`` (changes, combine) was made."""
+    kept = KeyedTable(scratch(spark, "keyed"), old.schema, keys, 16)
+    kept.merge(old, W.replace_groups(*keys))
+    for changes, combine in merges:
+        kept.merge(changes, combine)
+    return kept.read(spark)
+
+
+@query("m01_upsert_stored", ORACLE_SQL["m01_upsert_last"])
+def upsert_stored(spark, sf):
+    h = view(spark, sf, "heartbeats").select("device_id", "event_id", "event_type", "created_at")
+    parts = [h.filter(F.col("event_id") % 3 == k) for k in range(3)]
+    last = W.upsert_rows(["device_id"], ["created_at", "event_id"])
+    return stored(spark, h.limit(0), ["device_id"], *((part, last) for part in parts), (parts[0], last)).select("device_id", "event_id", "event_type")
+
+
+@query("m02_coalesce_stored", ORACLE_SQL["m02_upsert_coalesce"])
+def coalesce_stored(spark, sf):
+    old, new = sides(spark, sf)
+    return stored(spark, old, ["device_id"], (new, W.coalesce_rows("device_id", ["board"], ["first_seen"])))
+
+
+@query("m03_insert_stored", ORACLE_SQL["m03_insert_if_absent"])
+def insert_stored(spark, sf):
+    old, new = sides(spark, sf)
+    return stored(spark, old, ["device_id"], (new, W.insert_rows("device_id")))
+
+
+@query("m04_replace_stored", ORACLE_SQL["m04_insert_or_replace"])
+def replace_stored(spark, sf):
+    old, new = sides(spark, sf)
+    return stored(spark, old, ["device_id"], (new, W.replace_rows("device_id", ["first_seen"])))
+
+
+@query("m05_patch_stored", ORACLE_SQL["m05_profile_patch"])
+def patch_stored(spark, sf):
+    users, patches = patched(spark, sf)
+    return stored(spark, users, ["user_id"], (patches, W.patch_rows(NOW)))
 
 
 @query("s01_conform", duck("SELECT user_id, display_name, 'unset' AS gender, CAST(NULL AS INT) AS age FROM users_v", "users_v"))
