@@ -12,7 +12,7 @@ from .text import let
 TRAILER = "emotion string, risk string, risk_level string, risk_evidence array<string>, remember array<map<string,string>>"
 DELTA = "model string, choices array<struct<delta:struct<content:string,tool_calls:array<struct<index:int,id:string,function:struct<name:string,arguments:string>>>>>>"
 # What ends a spoken sentence, and where a long one may break.
-TERMINATORS, SOFT_BREAKS = "。！？!?；;", "，,、 "
+TERMINATORS, SOFT_BREAKS = "。！？!?；;…\n", "，,、：:）)】」》」 　"
 # Whole utterances that stop speech or end a conversation, and what is trimmed around them.
 STOP_WORDS = ("停", "停止", "停一下", "停下", "停停", "别说了", "別說了", "不要说了", "不用说了", "别讲了", "別講了", "安静", "安靜", "闭嘴", "閉嘴", "打断", "打斷", "别念了", "stop", "shutup")
 END_WORDS = (
@@ -66,10 +66,10 @@ def strip_markup(text: Column) -> Column:
 
 
 def split_speech(text: Column, longest: int = 48) -> Column:
-    """Speakable pieces: sentences, those that are too long cut at the last soft break that is not too early, else hard."""
-    plain = F.trim(F.regexp_replace(strip_markup(text), r"(?U)\s+", " "))
+    """Speakable pieces: sentences, those that are too long cut at the last soft break that is not too early, else hard; no emoji at the start."""
+    plain = strip_lead_emoji(F.trim(F.regexp_replace(strip_markup(text), r"(?U)\s+", " ")))
     parts = F.transform(F.regexp_extract_all(plain, F.lit(f"([^{TERMINATORS}]+[{TERMINATORS}]?)"), 1), lambda s: F.trim(s))
-    floor = max(6, longest // 3)
+    floor = max(8, longest // 3)
 
     def cut(part: Column) -> Column:
         steps = F.sequence(F.lit(1), F.greatest(F.ceil(F.length(part) / floor).cast("int"), F.lit(1)))

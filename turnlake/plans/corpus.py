@@ -308,9 +308,16 @@ def merge_call_deltas(spark, sf):
     return D.merge_call_deltas(chunks)
 
 
-@query("f20_split_speech")
+_SPOKEN = r"""t AS (SELECT turn_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(response_text, '.', '!'), '(?s)```.*?```', '', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '[*_`#~]', '', 'g'), '[\s\p{Z}\x0B\x85]+', ' ', 'g')) AS plain FROM turns),
+p AS (SELECT turn_id, unnest(x) AS part, generate_subscripts(x, 1) AS i FROM (SELECT turn_id, list_transform(regexp_extract_all(plain, '[^。！？!?；;…\n]+[。！？!?；;…\n]?'), lambda s: trim(s)) AS x FROM t)),
+c AS (SELECT turn_id, i, 0 AS n, CAST(NULL AS VARCHAR) AS piece, part AS rest, true AS more FROM p UNION ALL
+  SELECT turn_id, i, n + 1, trim(CASE WHEN length(rest) > 48 THEN substr(rest, 1, spot) ELSE rest END), CASE WHEN length(rest) > 48 THEN substr(rest, spot + 1) ELSE '' END, length(rest) > 48
+  FROM (SELECT *, CASE WHEN 48 - length(regexp_extract(substr(rest, 1, 48), '[^，,、：:）)】」》」 　]*$')) > 16 THEN 48 - length(regexp_extract(substr(rest, 1, 48), '[^，,、：:）)】」》」 　]*$')) ELSE 48 END AS spot FROM c WHERE more))"""
+
+
+@query("f20_split_speech", duck(f"WITH RECURSIVE {_SPOKEN} SELECT t.turn_id, coalesce(string_agg(piece, '|' ORDER BY i, n) FILTER (piece <> ''), '') AS pieces FROM t LEFT JOIN c ON c.turn_id = t.turn_id AND c.n > 0 GROUP BY t.turn_id", "turns"))
 def split_speech(spark, sf):
-    return view(spark, sf, "turns").select("turn_id", D.split_speech(F.regexp_replace("response_text", r"\.", "!")).alias("pieces"))
+    return view(spark, sf, "turns").select("turn_id", F.array_join(D.split_speech(F.regexp_replace("response_text", r"\.", "!")), "|").alias("pieces"))
 
 
 @query("f22_lead_emoji", duck("SELECT turn_id, CASE WHEN turn_id % 2 = 0 THEN '🙂' END AS emoji, CASE WHEN turn_id % 2 = 0 THEN 'happy' END AS face, ltrim(input_text) AS rest FROM turns", "turns"))

@@ -243,7 +243,7 @@ def parse_json_cols(spark, sf):
     return view(spark, sf, "heartbeats").withColumn("p", parsed).select("event_id", F.coalesce("p.k", F.lit(-1)).alias("k"))
 
 
-@query("s07_vector_codecs")
+@query("s07_vector_codecs", duck("SELECT template_id, CAST(len(embedding) * 4 AS INTEGER) AS bytes, CAST(len(embedding) // 32 AS INTEGER) AS windows, true AS same FROM templates", "templates"))
 def vector_codecs(spark, sf):
     t = view(spark, sf, "templates").select("template_id", "embedding")
     both = S.decode_vec(S.encode_vec(t, "embedding", "packed"), "packed", "again", 32)

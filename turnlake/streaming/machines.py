@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..functions.dialogue import SOFT_BREAKS, TERMINATORS
+
 Step = Callable[[dict, dict], tuple[dict, list[tuple]]]
 ARROW = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
 
@@ -154,10 +156,7 @@ def lifecycle_step(state: dict, row: dict) -> tuple[dict, list[tuple]]:
 LIFECYCLE = "session_id long, turn_id long, ts long, outcome string"
 
 
-#: Marks that end a sentence; marks at which a long run may be cut; what begins the trailer that is never spoken;
-#: characters of such a trailer; the least place of a soft cut.
-SENTENCE_ENDS = "。！？!?；;…\n"
-SOFT_BREAKS = "，,、：:）)】」》」 　"
+#: What begins the trailer that is never spoken; characters of such a trailer; the least place of a soft cut.
 TRAILERS = ("```", '"emotion"', '"risk_evidence"', '"remember"', '"risk"')
 TRAILER_MARKS = '{}":,'
 SOFT_FLOOR = 8
@@ -171,7 +170,7 @@ def _soft_cut(text: str, longest: int) -> int:
     return at + 1 if at >= max(SOFT_FLOOR, longest // 3) else longest
 
 
-def sentence_step(least: int = 6, longest: int = 48, ends: str = SENTENCE_ENDS) -> Step:
+def sentence_step(least: int = 6, longest: int = 48, ends: str = TERMINATORS) -> Step:
     """Speakable sentences of streamed text. Rows: request_id, chunk_no, delta, last; emits request_id, piece_no, piece.
 
     A sentence ends at one of ``ends`` once it has ``least`` characters, two while nothing was spoken in an earlier delta; a run of
