@@ -17,7 +17,19 @@ def sequence_dedup(spark, sf):
     return machines.run_batch(view(spark, sf, "frames"), "session_id", "arrival", machines.sequence_step, machines.SEQUENCE)
 
 
-@query("t04_endpoint_detect")
+#: All sessions step to their next frame together.
+_SEGMENTS = """fr AS (SELECT session_id, arrival, coalesce(rms, 0.0) AS level, row_number() OVER (PARTITION BY session_id ORDER BY arrival) AS r FROM frames),
+s AS (SELECT session_id, CAST(0 AS BIGINT) AS r, CAST([] AS DOUBLE[]) AS levels, 0 AS voiced, 0 AS silent, 0 AS frames, CAST(NULL AS BIGINT) AS began, false AS spoke, CAST(NULL AS BIGINT) AS arrival, CAST(NULL AS STRUCT(started BIGINT, frames INTEGER, spoke BOOLEAN, reason VARCHAR)) AS cut FROM (SELECT DISTINCT session_id FROM frames)
+  UNION ALL SELECT session_id, r, CASE WHEN reason IS NULL THEN levels ELSE [] END, CASE WHEN reason IS NULL THEN voiced ELSE 0 END, CASE WHEN reason IS NULL THEN silent ELSE 0 END, CASE WHEN reason IS NULL THEN frames ELSE 0 END, CASE WHEN reason IS NULL THEN began END, reason IS NULL AND spoke, arrival,
+    CASE WHEN reason IS NOT NULL AND frames * 60 >= 400 THEN {'started': began, 'frames': frames, 'spoke': spoke, 'reason': reason} END
+  FROM (SELECT *, CASE WHEN spoke AND silent >= 800 THEN 'silence' WHEN frames * 60 >= 20000 THEN 'max_length' END AS reason
+    FROM (SELECT session_id, r, levels, voiced + 60 * loud AS voiced, CASE loud WHEN 1 THEN 0 ELSE silent + 60 END AS silent, frames + 1 AS frames, coalesce(began, arrival) AS began, spoke OR voiced + 60 * loud >= 240 AS spoke, arrival
+      FROM (SELECT *, CASE WHEN level >= least(greatest(2.5 * list_min(levels), 100.0), 300.0) THEN 1 ELSE 0 END AS loud
+        FROM (SELECT s.session_id, fr.r, (s.levels || [fr.level])[-50:] AS levels, voiced, silent, frames, began, spoke, fr.arrival, fr.level FROM s JOIN fr ON fr.session_id = s.session_id AND fr.r = s.r + 1))))),
+e AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY r DESC) AS back FROM s)"""
+
+
+@query("t04_endpoint_detect", duck(f"WITH RECURSIVE {_SEGMENTS} SELECT session_id, cut.started AS started, arrival AS ended, CAST(cut.frames AS BIGINT) AS frames, cut.spoke AS spoke, cut.reason AS reason FROM s WHERE cut IS NOT NULL UNION ALL SELECT session_id, began, arrival, CAST(frames AS BIGINT), true, 'flush' FROM e WHERE back = 1 AND spoke AND frames * 60 >= 400", "frames"))
 def endpoint_detect(spark, sf):
     return machines.run_batch(view(spark, sf, "frames"), "session_id", "arrival", machines.endpoint_step(100.0), machines.SEGMENTS, machines.endpoint_finish())
 
