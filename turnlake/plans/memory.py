@@ -174,7 +174,14 @@ def merge_duplicates(spark, sf):
     return M.merge_duplicates(m, m.select("chunk_id", (F.col("owner_user_id") * 10 + F.col("chunk_id") % 3).alias("leader")))
 
 
-@query("w15_duplicate_groups")
+#: All owners step to their next memory together, newest first; the leaders so far go along.
+_GROUPS = f"""n AS (SELECT owner_user_id, chunk_id, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (PARTITION BY owner_user_id ORDER BY created_at DESC, chunk_id DESC) AS r FROM memory WHERE active AND embedding IS NOT NULL AND owner_user_id IS NOT NULL QUALIFY r <= 200),
+g AS (SELECT owner_user_id, CAST(0 AS BIGINT) AS r, CAST([] AS STRUCT(id BIGINT, v DOUBLE[])[]) AS leaders, CAST(NULL AS BIGINT) AS chunk_id, CAST(NULL AS BIGINT) AS leader FROM (SELECT DISTINCT owner_user_id FROM n)
+  UNION ALL SELECT owner_user_id, r, CASE WHEN len(near) = 0 THEN leaders || [{{'id': chunk_id, 'v': v}}] ELSE leaders END, chunk_id, CASE WHEN len(near) = 0 THEN chunk_id ELSE near[1].id END
+  FROM (SELECT g.owner_user_id, n.r, g.leaders, n.chunk_id, n.v, list_filter(g.leaders, lambda l: list_cosine_similarity(l.v, n.v) >= 0.6) AS near FROM g JOIN n ON n.owner_user_id = g.owner_user_id AND n.r = g.r + 1))"""
+
+
+@query("w15_duplicate_groups", duck(f"WITH RECURSIVE {_GROUPS} SELECT owner_user_id, chunk_id, leader FROM g WHERE r > 0 QUALIFY count(*) OVER (PARTITION BY owner_user_id, leader) > 1", "memory"))
 def duplicate_groups(spark, sf):
     return M.duplicate_groups(view(spark, sf, "memory"), 0.6)
 
