@@ -280,7 +280,7 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 10, tree_rows: int = TR
         given = waiting.mapInArrow(in_turn("vectors", _asked(shared, width, first)), ASKED).withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(5)), F.lit(blocks)))
         given = stored(given, "asked")
         # a tree goes to the blocks of queries that ask for it, and to no others
-        sent = trees.join(given.select(*by).distinct(), ["pivot", "part"])
+        sent = trees.join(given.select(*(F.col(c).alias(c) for c in by)).distinct(), ["pivot", "part"])
         found = sent.groupBy(*by).cogroup(given.groupBy(*by)).applyInArrow(_search_block(k, largest, width), FOUND)
         return stored(found, "nearest" if first else "others")
 
