@@ -26,7 +26,7 @@ from .storage import in_turn, read_table, stored
 
 SCALE = 1024
 #: Distinct vectors of a tree and entries of a page, at the most on average; queries that a task searches for at once.
-TREE_ROWS, PAGE, BLOCK = 8_192, 64, 4_096
+TREE_ROWS, PAGE, BLOCK = 8_192, 256, 4_096
 #: Pivots at most, and numbers in them: what is sent to every task. Vectors are dealt to pivots whatever their number.
 PIVOTS, CELLS = 1_024, 1 << 22
 #: Rounding of a distance as a share of the largest length: a difference of squares is exact to 2**-40 of it, its root to this.
