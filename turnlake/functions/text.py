@@ -36,7 +36,7 @@ def bigrams(text: Column) -> Column:
     """Distinct pairs of neighbouring letters or digits, in lower case; a single one alone."""
     def pairs(compact: Column) -> Column:
         size = F.length(compact)
-        every = F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.substring(compact, i, F.lit(2)))
+        every = F.regexp_extract_all(compact, F.lit(r"(?s)(?=(..))."), 1)  # one pass over the text
         return F.when(size >= 2, F.array_distinct(every)).when(size == 1, F.array(compact)).otherwise(F.array().cast("array<string>"))
 
     return let(F.regexp_replace(F.lower(text), r"(?U)[\s\W_]+", ""), pairs)
