@@ -2,7 +2,6 @@
 
 import pytest
 
-from turnlake.operators import memory as M
 from turnlake.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -21,9 +20,54 @@ def test_pairs_are_not_shuffled_for_what_each_user_has_once(spark, name):
 
 
 def test_visible_pairs_make_small_files(spark, tmp_path):
-    memory = spark.range(3000).selectExpr("id * 4096 + id % 7 as chunk_id", "if(id % 2 = 0, null, 1) as owner_user_id", "true as active", "true as approved")
-    turns = spark.range(3000).selectExpr("id * 1009 as turn_id", "cast(1 as long) as user_id", "'accepted' as decision")
-    seen = M.visible(memory, turns).select("turn_id", "chunk_id")
-    seen.write.parquet(f"{tmp_path}/seen")
-    assert spark.read.parquet(f"{tmp_path}/seen").distinct().count() == 9_000_000
-    assert sum(f.stat().st_size for f in (tmp_path / "seen").glob("*.parquet")) < 3_000_000
+    QUERIES["j04_visible"](spark, "/root/testdata/sf0.1").write.parquet(f"{tmp_path}/seen")
+    assert spark.read.parquet(f"{tmp_path}/seen").count() == 3_378_599
+    assert sum(f.stat().st_size for f in (tmp_path / "seen").glob("*.parquet")) < 2_500_000
+
+
+def test_tiles_are_all_pairs_once_and_rows_are_sent_to_few_blocks(spark):
+    from turnlake.operators.blocks import made, scored_in_blocks
+
+    left, right = spark.range(20_000).selectExpr("id as a", "id % 2 as k"), spark.range(3000).selectExpr("id as b", "id % 3 as k")
+    schema = "n long, a long, b long"
+
+    def prepare(y):
+        return lambda x: made(schema, [x.num_rows * y.num_rows], [x.num_rows], [y.num_rows])
+
+    tiles = scored_in_blocks(left, right, ("a", "b"), prepare, schema, "k").collect()
+    assert sum(t.n for t in tiles) == 20_000 * 1000 and max(t.a for t in tiles) == 512
+    assert sum(t.n for t in scored_in_blocks(left.drop("k"), right.drop("k"), ("a", "b"), prepare, schema, tile=(4096, 100)).collect()) == 60_000_000
+
+
+@pytest.mark.parametrize("name", ["f14_cosine", "r04_max_window_score", "f15_hybrid_score"])
+def test_scores_of_pairs_are_matrix_products(spark, name):
+    lines = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(lines) if "MapInArrow" in line)
+    assert not any("Join" in line or "Exchange" in line for line in lines[:at])
+
+
+@pytest.mark.parametrize("name", ["w08_best_second", "f18_classify_scores"])
+def test_the_best_users_need_no_pairs_of_templates(spark, name):
+    lines = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
+    line = next(line for line in lines if "MapInArrow" in line)
+    assert "probe_id" in line.rsplit("[", 1)[1] and "template_id" not in line.rsplit("[", 1)[1]
+
+
+def test_documents_without_vectors_are_not_dealt_for_memories(spark):
+    from turnlake.plans.fixtures import view
+
+    assert "doc_id#" in (plan := view(spark, SF, "memory")._jdf.queryExecution().optimizedPlan().toString()) and ">= 0" in plan
+
+
+def test_bigrams_take_one_pass_and_keep_characters_whole(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from turnlake.functions.text import bigrams
+
+    df = spark.createDataFrame([("a😀bé𠮷",), (" x ",), ("",)], "t string")
+    assert [r.x for r in df.select(bigrams(F.col("t")).alias("x")).collect()] == [["ab", "bé", "é𠮷"], ["x"], []]
+    began = time.time()
+    assert spark.range(1).select(F.size(bigrams(F.repeat(F.lit("abcdefghij"), 40_000)))).first()[0] == 10
+    assert time.time() - began < 15

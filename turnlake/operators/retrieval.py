@@ -26,11 +26,16 @@ def brute_force_topk(queries: DataFrame, chunks: DataFrame, k: int = 20) -> Data
     """
     schema = "query_id long, chunk_id long, score double"
 
-    def best(x: pa.Table, y: pa.Table) -> pa.Table:
-        width = widest(x["embedding"], y["embedding"])
-        scores = matrix(x["embedding"], width) @ matrix(y["embedding"], width).T
-        row, column = best_in_rows(scores, k, 1e-6)  # all that may tie once rounded
-        return made(schema, x["query_id"].to_numpy()[row], y["chunk_id"].to_numpy()[column], scores[row, column])
+    def best(y: pa.Table):
+        width, ids = widest(y["embedding"]), y["chunk_id"].to_numpy()
+        rows = matrix(y["embedding"], width)
+
+        def of(x: pa.Table) -> pa.Table:
+            scores = matrix(x["embedding"], max(width, widest(x["embedding"])))[:, :width] @ rows.T
+            row, column = best_in_rows(scores, k, 1e-6)  # all that may tie once rounded
+            return made(schema, x["query_id"].to_numpy()[row], ids[column], scores[row, column])
+
+        return of
 
     asked = queries.filter("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), "embedding")
     rows = chunks.filter("embedding is not null").select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding")
@@ -39,6 +44,27 @@ def brute_force_topk(queries: DataFrame, chunks: DataFrame, k: int = 20) -> Data
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def user_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score, w): the inner product of each query vector with each chunk of its ``user_id``, to 6 places; ``w`` is the chunk's.
+
+    Tiles meet as matrix products. Missing components and vectors count as 0.
+    """
+    schema = "query_id long, chunk_id long, score double, w double"
+
+    def every(y: pa.Table):
+        width, ids, best = widest(y["embedding"]), y["chunk_id"].to_numpy(), y["w"].combine_chunks()
+        rows = matrix(y["embedding"], width)
+
+        def of(x: pa.Table) -> pa.Table:
+            scores = rows @ matrix(x["embedding"], max(width, widest(x["embedding"])))[:, :width].T
+            row, column = (i.ravel() for i in np.indices(scores.shape))
+            return made(schema, x["query_id"].to_numpy()[column], ids[row], np.round(scores, 6).ravel(), best.take(pa.array(row)))
+
+        return of
+
+    return scored_in_blocks(queries.select("query_id", "user_id", "embedding"), chunks.select("chunk_id", "user_id", "embedding", "w"), ("query_id", "chunk_id"), every, schema, "user_id", (256, 512))
+
+
 def inverted_lexical(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score) of all pairs that share a term: Jaccard over bigrams and words, by an equi-join on terms.
 
@@ -237,10 +263,16 @@ def retrieve(ranked: DataFrame, floor: float = 0.623, n: int = 4, reranked: Data
     return kept.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).select("query_id", "chunk_id", "score", "stage", "place")
 
 
-def max_window_score(chunk_scores: DataFrame, windows: DataFrame) -> DataFrame:
-    """Scores raised to the best of the chunk's windows: ``windows`` (query_id, chunk_id, window_score)."""
-    best = windows.groupBy("query_id", "chunk_id").agg(F.max("window_score").alias("w"))
-    return chunk_scores.join(best, ["query_id", "chunk_id"], "left").withColumn("score", F.greatest("score", F.coalesce("w", F.lit(0.0)))).drop("w")
+def max_window_score(chunk_scores: DataFrame, windows: DataFrame | None = None) -> DataFrame:
+    """Scores raised to the best of the chunk's windows: ``windows`` (query_id, chunk_id, window_score); without them, ``chunk_scores`` has that best as ``w``."""
+    if windows is not None:
+        chunk_scores = chunk_scores.join(best_windows(windows), ["query_id", "chunk_id"], "left")
+    return chunk_scores.withColumn("score", F.greatest("score", F.coalesce("w", F.lit(0.0)))).drop("w")
+
+
+def best_windows(windows: DataFrame) -> DataFrame:
+    """(query_id and chunk_id, where there are such columns, w): the best ``window_score`` of each."""
+    return windows.groupBy(*(c for c in ("query_id", "chunk_id") if c in windows.columns)).agg(F.max("window_score").alias("w"))
 
 
 def calibration_gate(cases: DataFrame, by: str | None = None, least_rate: float = 0.80) -> DataFrame:
