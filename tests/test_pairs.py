@@ -2,6 +2,7 @@
 
 import pytest
 
+from turnlake.operators import memory as M
 from turnlake.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -71,3 +72,17 @@ def test_bigrams_take_one_pass_and_keep_characters_whole(spark):
     began = time.time()
     assert spark.range(1).select(F.size(bigrams(F.repeat(F.lit("abcdefghij"), 40_000)))).first()[0] == 10
     assert time.time() - began < 15
+
+
+def test_proposals_of_a_key_with_many_rows_take_time_by_their_number():
+    import time
+
+    state = M._OwnMemories(M.MemorySettings(), M.SINGLE_VALUED, 200, 99)
+    row = {"slot_key": "pet", "probe": "p", "importance": 0.5, "approved": False, "embedding": [1.0, 0.0], "statement_vec": None}
+    for n in range(20_000):
+        state.add(row | {"owner_user_id": 1, "chunk_id": n, "text": f"old {n}", "created_at": n})
+    began = time.time()
+    for n in range(3000):
+        state.apply(row | {"owner_user_id": 1, "prop_id": n, "ord": n, "text": f"new {n}" if n % 3 else f"old  {n}", "embedding": None})
+    assert time.time() - began < 10
+    assert [a for *_, a in state.out()].count("merged") == 1000 and len(state.changed) == 3000
