@@ -421,7 +421,8 @@ def import_counts(spark, sf):
 @query("s03_read_markdown", duck("SELECT 'doc-' || doc_id AS doc_id, sha256('---' || chr(10) || 'title: T' || doc_id || chr(10) || '---' || chr(10) || coalesce(text, '')) AS sha256, sha256(coalesce(text, '')) AS body, 'T' || doc_id AS title FROM documents"))
 def read_markdown(spark, sf):
     folder, i = scratch(spark, "markdown"), F.col("doc_id").cast("string")
-    S.write_files(table(spark, sf, "documents").select(F.concat(F.lit("Doc "), i, F.lit(".md")).alias("name"), F.concat(F.lit("---\ntitle: T"), i, F.lit("\n---\n"), F.coalesce("text", F.lit(""))).alias("content")), folder)
+    some = F.shiftright(F.monotonically_increasing_id(), 10).cast("string")  # a folder for each 1,024 files, of one task
+    S.write_files(table(spark, sf, "documents").select(F.concat(some, F.lit("/Doc "), i, F.lit(".md")).alias("name"), F.concat(F.lit("---\ntitle: T"), i, F.lit("\n---\n"), F.coalesce("text", F.lit(""))).alias("content")), folder)
     return S.read_markdown(spark, folder).select("doc_id", "sha256", F.sha2("text", 256).alias("body"), F.col("front")["title"].alias("title"))
 
 

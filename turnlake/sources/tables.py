@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
@@ -80,14 +82,17 @@ def replace_partitions(df: DataFrame, path: str, *by: str) -> None:
 
 
 def write_files(files: DataFrame, folder: str) -> int:
-    """Write each row (name, content) as a file of its own below ``folder``, from the tasks; the number of files."""
+    """Write each row (name, content) as a file of its own below ``folder``, from the tasks; the number of files. A name may begin with folders."""
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, path = fs.FileSystem.from_uri(folder)
         store.create_dir(path, recursive=True)
+        made = path
         for batch in batches:
             for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                if (inner := f"{path}/{name}".rpartition("/")[0]) != made:
+                    store.create_dir(made := inner, recursive=True)
                 with store.open_output_stream(f"{path}/{name}", compression=None) as file:
                     file.write(content)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
@@ -96,6 +101,69 @@ def write_files(files: DataFrame, folder: str) -> int:
     return rows.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+def read_files(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
+    """(path, content) of every file below ``folder`` whose name ends in ``suffix``, without those that Spark's readers leave out (hidden, empty).
+
+    Tasks list the folders and read the files, so the driver holds no list of them and small files share a task; a task holds the names
+    of one folder. What is not the plain path of a local or HDFS folder that the driver can open (other stores, patterns) is listed by
+    Spark's reader on the driver.
+    """
+    from pyarrow import fs
+
+    store, local = None, (spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:").startswith("file:")
+    if re.fullmatch(r"(file:(//)?|hdfs://[\w.:-]+)/[\w.~/@-]*" + (r"|/[\w.~/@-]*" if local else ""), folder, re.ASCII):
+        with contextlib.suppress(OSError, ValueError):
+            store, top = fs.FileSystem.from_uri(folder)
+    if store is None or store.get_file_info(top).type != fs.FileType.Directory:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(folder).select("path", "content")
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    begin = "/".join(folder.split("/")[:3]) if folder.startswith("hdfs:") else "file:"
+
+    def entries(deep: bool):
+        """What a folder holds, or all below it, one folder at a time."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyarrow import fs
+
+            store, _ = fs.FileSystem.from_uri(folder)
+            shown = lambda name: not (name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_"))
+            for batch in batches:
+                paths, files = batch.column("path").to_pylist(), batch.column("file").to_pylist()
+                done, left = [x for x, file in zip(paths, files, strict=True) if file], [x for x, file in zip(paths, files, strict=True) if not file]
+                yield pa.RecordBatch.from_arrays([pa.array(done, pa.string()), pa.array([True] * len(done), pa.bool_())], ["path", "file"])
+                while left:
+                    inside = [x for x in store.get_file_info(fs.FileSelector(left.pop())) if shown(x.base_name)]
+                    inner = [x.path for x in inside if x.type == fs.FileType.Directory]
+                    found = [x.path for x in inside if x.type == fs.FileType.File and x.size and x.base_name.endswith(suffix)]
+                    if deep:
+                        left += inner
+                        inner = []
+                    yield pa.RecordBatch.from_arrays([pa.array(found + inner, pa.string()), pa.array([True] * len(found) + [False] * len(inner), pa.bool_())], ["path", "file"])
+
+        return run
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, _ = fs.FileSystem.from_uri(folder)
+        out = lambda rows: pa.RecordBatch.from_arrays([pa.array([f"{begin}{p}" for p, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.binary())], ["path", "content"])
+        rows, size = [], 0
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                with store.open_input_file(path) as file:
+                    rows.append((path, file.read()))
+                size += len(rows[-1][1]) + 64
+                if size > 4 << 20:
+                    yield out(rows)
+                    rows, size = [], 0
+        yield out(rows)
+
+    schema = "path string, file boolean"
+    first = spark.range(0, 1, 1, 1).select(F.lit(top).alias("path"), F.lit(False).alias("file")).mapInArrow(entries(False), schema)
+    found = first.repartition(tasks, "path").mapInArrow(entries(True), schema)
+    return found.select("path").repartition(tasks, "path").mapInArrow(read, "path string, content binary")
+
+
 def slug(name: Column) -> Column:
     """Letters, digits and underscores, all else dashes, 80 characters at most; of a name without any, a hash."""
     s = F.substring(F.regexp_replace(F.regexp_replace(F.lower(name), r"(?U)[^\w]+", "-"), "^-+|-+$", ""), 1, 80)
@@ -104,7 +172,7 @@ def slug(name: Column) -> Column:
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """(path, doc_id, sha256, text, front): every ``*.md`` below a folder; ``front`` are its front matter's pairs."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(path)
+    files = read_files(spark, path, ".md")
     text = F.decode("content", "UTF-8")
     head = F.regexp_extract(text, r"(?s)\A---\n(.*?)\n---\n", 1)
     pairs = F.filter(F.transform(F.split(head, "\n"), lambda line: F.split(line, r":\s*", 2)), lambda p: F.size(p) == 2)
