@@ -47,6 +47,18 @@ def test_scores_of_pairs_are_matrix_products(spark, name):
     assert not any("Join" in line or "Exchange" in line for line in lines[:at])
 
 
+def test_files_of_all_pairs_hold_scores_by_dictionary(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from turnlake.operators.identity import identify
+
+    rows = lambda name, seed: spark.range(2000).select(F.col("id").alias(name), (F.col("id") % 10).alias("user_id"), F.array(*(F.randn(seed + i).cast("float") for i in range(64))).alias("embedding"))
+    identify(rows("probe_id", 1), rows("template_id", 99)).coalesce(1).write.parquet(f"{tmp_path}/pairs")
+    pairs = spark.read.parquet(f"{tmp_path}/pairs")
+    assert pairs.count() == 4_000_000 == pairs.select("probe_id", "template_id").distinct().count()
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 5 * 4_000_000
+
+
 @pytest.mark.parametrize("name", ["w08_best_second", "f18_classify_scores"])
 def test_the_best_users_need_no_pairs_of_templates(spark, name):
     lines = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
