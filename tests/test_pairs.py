@@ -59,6 +59,30 @@ def test_files_of_all_pairs_hold_scores_by_dictionary(spark, tmp_path):
     assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 5 * 4_000_000
 
 
+def test_cosines_go_from_tiles_to_files_without_a_step_between(spark, tmp_path):
+    import numpy as np
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from turnlake.operators import identity as I
+
+    rows = lambda name, n, seed: spark.range(n).select(F.col("id").alias(name), (F.col("id") % 3).alias("user_id"), F.array(*(F.randn(seed + i).cast("float") for i in range(8))).alias("embedding")).localCheckpoint()
+    probes, templates = rows("probe_id", 700, 1), rows("template_id", 1300, 50)
+    I.identify(probes, templates)  # sets dictionaries for its own scores, not for these
+    df = QUERIES["f14_cosine"](spark, SF)
+    assert df.columns == ["probe_id", "template_id", "cosine"] and not any(f.nullable for f in df.schema)
+    plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert not any("Project" in line for line in plan[: next(i for i, line in enumerate(plan) if "MapInArrow" in line)])
+    I.own_scores(probes, templates, "cosine").coalesce(1).write.parquet(f"{tmp_path}/own")
+    file = next((tmp_path / "own").glob("*.parquet"))
+    kinds = {c["path_in_schema"]: c["encodings"] for c in pq.ParquetFile(file).metadata.row_group(0).to_dict()["columns"]}
+    assert not any("DICTIONARY" in e for e in kinds["cosine"]) and any("DICTIONARY" in e for e in kinds["probe_id"])
+    got = {(r.probe_id, r.template_id): r.cosine for r in spark.read.parquet(f"{tmp_path}/own").collect()}
+    a, b = ({r[0]: np.array(r.embedding, float) for r in x.collect()} for x in (probes, templates))
+    assert len(got) == sum(1 for i in a for j in b if i % 3 == j % 3)
+    assert all(i % 3 == j % 3 and abs(a[i] @ b[j] / np.linalg.norm(a[i]) / np.linalg.norm(b[j]) - s) < 1e-6 for (i, j), s in got.items())
+
+
 @pytest.mark.parametrize("name", ["w08_best_second", "f18_classify_scores"])
 def test_the_best_users_need_no_pairs_of_templates(spark, name):
     lines = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
