@@ -138,3 +138,50 @@ def test_files_hold_a_users_long_list_once(spark, tmp_path):
     lists = spark.read.parquet(f"{tmp_path}/lists")
     assert lists.agg(F.count("*"), F.min(F.length("used_ids")), F.max(F.length("used_ids"))).first()[:] == (300, *[sum(len(str(d * 4096 + p)) + 1 for d in range(60) for p in range(4000)) - 1] * 2)
     assert sum(f.stat().st_size for f in (tmp_path / "lists").glob("*.parquet")) < 5_000_000
+
+
+def test_an_index_of_terms_finds_what_all_pairs_give():
+    import numpy as np
+    import pyarrow as pa
+
+    from turnlake.operators.termindex import TermIndex, best_rows
+
+    rng, kind = np.random.default_rng(3), pa.list_(pa.int64())
+    for n, words in ((50, 30), (2000, 400), (4000, 5000)):
+        weight = 1 / np.arange(1, words + 1)
+        some = lambda most: sorted({int(x) * 7919 - 10**9 for x in rng.choice(words, rng.integers(0, most), p=weight / weight.sum())}) if rng.random() > 0.05 else None  # noqa: E731, B023
+        texts, probes, questions = [some(120) for _ in range(n)], [some(60) for _ in range(n)], [some(90) or [] for _ in range(25)]
+        index = TermIndex(pa.chunked_array([pa.array(texts, kind)]), pa.array(probes, kind))
+        ids, kinds = rng.permutation(n), np.arange(n) % 3
+        sets = [[set(x or ()) for x in rows] for rows in (texts, probes)]
+        jaccard = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
+        for q, asked in zip(index.asked(pa.chunked_array([pa.array(questions, kind)])), map(set, questions), strict=True):
+            scores = np.array([max(jaccard(asked, a), jaccard(asked, b)) for a, b in zip(*sets, strict=True)])
+            assert np.array_equal(index.common(q, index.place[0]), [len(asked & a) for a in sets[0]])
+            for need in ([0.05, 0.14, 0.3], [0.68, 0.68, 0.1], [1e-9] * 3):
+                need = np.array(need)
+                wanted = np.flatnonzero(scores >= need[kinds])
+                row, score = best_rows(*index.search(q, need, kinds), ids)
+                assert np.array_equal(row, wanted) and np.array_equal(score, scores[wanted])
+                for keep in (1, 16):
+                    best = wanted[np.lexsort((ids[wanted], -scores[wanted]))][:keep]
+                    assert sorted(best_rows(*index.search(q, need, kinds, keep), ids, keep)[0]) == sorted(best)
+                row, score = best_rows(*index.search(q, need, kinds, 1, True, 0.4), ids)
+                assert set(wanted[scores[wanted] >= 0.4]) <= set(row) <= set(wanted)
+                assert all(score[kinds[row] == k].max(initial=0) == scores[wanted[kinds[wanted] == k]].max(initial=0) for k in range(3))
+
+
+@pytest.mark.parametrize("name", ["r07_recall", "r07_recall_vectors", "r07_recall_report", "u02_merge_basics", "k03_lexical_retrieve"])
+def test_questions_are_looked_up_once_for_shared_and_once_for_own_rows(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2
+
+
+def test_terms_are_hashed_before_they_are_told_apart(spark):
+    from pyspark.sql import functions as F
+
+    from turnlake.functions.text import hashed_terms, lexical_terms
+
+    df = spark.createDataFrame([("a😀bé𠮷",), (" x ",), ("",), (None,), ("The the_x  THE, a",)], "t string")
+    for r in df.select(hashed_terms(F.col("t")).alias("a"), F.transform(lexical_terms(F.col("t")), lambda t: F.xxhash64(t)).alias("b")).collect():
+        assert r.b is None and r.a is None or sorted(r.a) == sorted(r.b)
