@@ -185,3 +185,23 @@ def test_terms_are_hashed_before_they_are_told_apart(spark):
     df = spark.createDataFrame([("a😀bé𠮷",), (" x ",), ("",), (None,), ("The the_x  THE, a",)], "t string")
     for r in df.select(hashed_terms(F.col("t")).alias("a"), F.transform(lexical_terms(F.col("t")), lambda t: F.xxhash64(t)).alias("b")).collect():
         assert r.b is None and r.a is None or sorted(r.a) == sorted(r.b)
+
+
+def test_an_owners_memories_are_held_in_few_bytes_and_given_in_batches(spark):
+    import tracemalloc
+
+    from pyspark.sql import functions as F
+
+    tracemalloc.start()
+    state = M._OwnMemories(M.MemorySettings(), M.SINGLE_VALUED, 200, 99)
+    row = {"owner_user_id": 1, "slot_key": "pet", "probe": "p", "importance": 0.5, "approved": False, "statement_vec": None}
+    for n in range(5000):
+        state.add(row | {"chunk_id": n, "text": f"old {n} " * 20, "created_at": n, "embedding": [float(n % 7)] * 64})
+    for n in range(3000):
+        state.apply(row | {"prop_id": n, "ord": n, "text": f"new {n} " * 20, "embedding": [float(n % 5)] * 64})
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(state.rows) == 8000 and held / 8000 < 1600
+    many = spark.range(5000).select(F.col("id").alias("prop_id"), F.lit(1).cast("long").alias("owner_user_id"), F.col("id").alias("ord"), F.lit("").alias("slot_key"), F.concat(F.lit("t"), "id").alias("text"), F.lit("p").alias("probe"), F.lit(0.5).alias("importance"), F.lit(True).alias("approved"), F.lit(None).cast("array<float>").alias("embedding"))
+    memory = many.filter("prop_id < 0").withColumns({"chunk_id": F.col("prop_id"), "created_at": F.col("prop_id"), "active": F.lit(True)})
+    assert M.upsert_memories(many, memory, 99).count() == 5000
